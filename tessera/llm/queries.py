@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from .decontaminate import ORACLE_OP1, op1_decontamination
 from .packing import op5_packing
+from .token_counts import op4_token_counts
 from .token_output import op2_token_output
 
-QUERIES = {"op2_token_output": op2_token_output, "op5_packing": op5_packing}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_token_output": op2_token_output,
+    "op4_token_counts": op4_token_counts,
+    "op5_packing": op5_packing,
+}
+#: Tokenizers, trained models and page wrappers are beyond SQL: those queries have brute-force tests.
+ORACLE = {"op1_decontamination": ORACLE_OP1}
