@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from .decontaminate import ORACLE_OP1, op1_decontamination
+from .minhash import op6_near_duplicates
 from .packing import op5_packing
+from .secrets import ORACLE_OP3, op3_secret_scans
 from .token_counts import op4_token_counts
 from .token_output import op2_token_output
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_token_output": op2_token_output,
+    "op3_secret_scans": op3_secret_scans,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
+    "op6_near_duplicates": op6_near_duplicates,
 }
 #: Tokenizers, trained models and page wrappers are beyond SQL: those queries have brute-force tests.
-ORACLE = {"op1_decontamination": ORACLE_OP1}
+ORACLE = {"op1_decontamination": ORACLE_OP1, "op3_secret_scans": ORACLE_OP3}
