@@ -12,7 +12,7 @@ import os
 import re
 from array import array
 
-#: Pieces a worker remembers; beyond that it starts anew, so memory stays bounded.
+#: Pieces a worker remembers; beyond that it forgets, so memory stays bounded.
 CACHE_PIECES = 1_000_000
 
 _DOUBLE = re.compile(r"\s\s")
@@ -40,6 +40,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.model._resize_cache(0)  # every piece it gets is new
         self.keeps_space = keeps_space
         self.known: dict[str, bytes] = {"": b""}
 
@@ -52,22 +53,26 @@ class PieceEncoder:
 
     def learn(self, unseen: list[str]) -> None:
         """Encode pieces in one library call."""
-        if len(self.known) + len(unseen) > CACHE_PIECES:
-            self.known = {"": b""}
         for piece, found in zip(unseen, self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False), strict=True):
             self.known[piece] = array("I", found.ids).tobytes()
 
+    def forget(self) -> None:
+        """Where memory is full, keep the short pieces, which recur; if these fill it, nothing."""
+        self.known = {k: v for k, v in self.known.items() if len(k) < 10}
+        if len(self.known) > CACHE_PIECES // 2:
+            self.known = {"": b""}
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text (None: of the empty text) as bytes."""
+        if len(self.known) > CACHE_PIECES:
+            self.forget()
         cut = [self.pieces(x or "") for x in texts]
-        get = self.known.get
-        found = [list(map(get, pieces)) for pieces in cut]
-        open_ = [k for k, ids in enumerate(found) if None in ids]
-        if open_:
-            self.learn(list({p for k in open_ for p, x in zip(cut[k], found[k], strict=True) if x is None}))
-            if self.known is not get.__self__:  # started anew: what else these texts hold is needed again
-                self.learn(list({p for k in open_ for p in cut[k] if p not in self.known}))
-            get = self.known.__getitem__
-            for k in open_:
-                found[k] = list(map(get, cut[k]))
+        known = self.known
+        found = [list(map(known.get, pieces)) for pieces in cut]
+        gaps = [(pieces, ids, [k for k, x in enumerate(ids) if x is None]) for pieces, ids in zip(cut, found, strict=True) if None in ids]
+        if gaps:
+            self.learn(list({pieces[k] for pieces, _, at in gaps for k in at}))
+            for pieces, ids, at in gaps:
+                for k in at:
+                    ids[k] = known[pieces[k]]
         return [b"".join(ids) for ids in found]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import ORACLE_OP1, op1_decontamination
+from .embedding_dedup import op9_embedding_dedup
 from .minhash import op6_near_duplicates
 from .packing import op5_packing
 from .secrets import ORACLE_OP3, op3_secret_scans
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
     "op6_near_duplicates": op6_near_duplicates,
+    "op9_embedding_dedup": op9_embedding_dedup,
 }
 #: Tokenizers, trained models and page wrappers are beyond SQL: those queries have brute-force tests.
 ORACLE = {"op1_decontamination": ORACLE_OP1, "op3_secret_scans": ORACLE_OP3}
