@@ -289,9 +289,9 @@ ORACLE_OP1 = """
 WITH d AS (
     SELECT doc_id, coalesce(text, '') AS text FROM documents
 ), w AS (
-    SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') AS words FROM d
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM d
 ), b AS (
-    SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') AS words FROM benchmark
+    SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM benchmark
 ), windows AS (
     SELECT DISTINCT item_id, least(10, len(words)) AS n, array_to_string(words[k : k + least(10, len(words)) - 1], ' ') AS key
     FROM (SELECT item_id, words, unnest(range(1, len(words) - least(10, len(words)) + 2)) AS k FROM b WHERE len(words) > 0)
@@ -303,7 +303,7 @@ WITH d AS (
           FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS k FROM w, sizes WHERE len(words) >= n)) p
     JOIN windows x ON x.n = p.n AND x.key = p.key
 ), hit AS (
-    SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS at FROM found) GROUP BY doc_id
+    SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS pos FROM found) GROUP BY doc_id
 ), met AS (
     SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
 )

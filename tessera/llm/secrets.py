@@ -111,7 +111,11 @@ def redact(docs: DataFrame, ledger_path: str, mask: str = "[SECRET]", rules: str
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents, through a new ledger in the shared folder."""
     found = scan_paths(table(spark, sf_dir, "documents"), new_path(spark, "ledger"))
-    counts = [F.size(F.filter("spans", lambda x, k=kind: x["kind"] == k)).cast("long").alias(f"n_{kind}") for kind, *_ in RULES]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind, *_ in RULES]
     text = spans_text(F.col("spans"))
     return found.select("doc_id", *counts, F.sha2(text, 256).alias("base_sha256"), text.alias("spans"))
 
@@ -120,21 +124,21 @@ def _oracle_kind(ordinal: int, kind: str, pattern: str, group: int, least: int)
     """DuckDB rows (doc_id, start, ord, kind, last) of one kind, from the pieces between matches."""
     quoted = pattern.replace("'", "''")
     return f"""
-    SELECT doc_id, row, list_sum(list_transform(parts[:k], x -> length(x))) + coalesce(list_sum(list_transform(whole[:k - 1], x -> length(x))), 0) AS start,
+    SELECT doc_id, rn, list_sum(list_transform(parts[:k], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[:k - 1], lambda x: length(x))), 0) AS start,
            {ordinal} AS ord, '{kind}' AS kind, length(whole[k]) AS n
-    FROM (SELECT doc_id, row, regexp_split_to_array(text, '{quoted}') AS parts, regexp_extract_all(text, '{quoted}', 0) AS whole,
+    FROM (SELECT doc_id, rn, regexp_split_to_array(text, '{quoted}') AS parts, regexp_extract_all(text, '{quoted}', 0) AS whole,
                  regexp_extract_all(text, '{quoted}', {group}) AS held, unnest(range(1, len(regexp_extract_all(text, '{quoted}', 0)) + 1)) AS k FROM d)
     WHERE length(held[k]) >= {least}"""
 
 
 ORACLE_OP3 = f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rn FROM documents),
 s AS ({reduce(lambda a, b: a + " UNION ALL " + b, (_oracle_kind(k, *r) for k, r in enumerate(RULES)))}),
 g AS (
-    SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
-           string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + n AS BIGINT), ',' ORDER BY start, ord) AS spans FROM s GROUP BY row
+    SELECT rn, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+           string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + n AS BIGINT), ',' ORDER BY start, ord) AS spans FROM s GROUP BY rn
 )
 SELECT d.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
        sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM d LEFT JOIN g USING (row)
+FROM d LEFT JOIN g USING (rn)
 """
