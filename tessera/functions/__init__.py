@@ -1,0 +1 @@
+"""functions of the copy-number engine."""

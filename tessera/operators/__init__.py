@@ -1,0 +1 @@
+"""operators of the copy-number engine."""

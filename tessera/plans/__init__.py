@@ -1,0 +1 @@
+"""plans of the copy-number engine."""

@@ -1,0 +1 @@
+"""sources of the copy-number engine."""

@@ -1,0 +1 @@
+"""streaming of the copy-number engine."""
