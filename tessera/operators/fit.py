@@ -20,7 +20,7 @@ if TYPE_CHECKING:
     from .hmm import States
 
 #: Grid points a side, rounds, and how much narrower each round's grid is.
-POINTS, ROUNDS, ZOOM = 9, 9, 0.4
+POINTS, ROUNDS, ZOOM = 9, 7, 0.3
 
 
 def np_lgamma(x: np.ndarray) -> np.ndarray:

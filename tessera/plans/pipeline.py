@@ -107,5 +107,5 @@ def round_trip(spark: SparkSession, spots: DataFrame, *, segments: int = 40, see
     total = rows.groupBy("spot").agg(F.sum("umi").alias("total"))
     counts = rows.join(F.broadcast(share), "segment", "left").join(total, "spot").select("spot", "chr", F.col("segment").alias("bin"), "umi", (F.coalesce("share", F.lit(0.0)) * F.col("total")).alias("base"), F.col("b").alias("k"), "depth")
     start = S.random_rectangles(spots.drop("clone"), 3, seed)
-    labels, _, _ = infer_clones(counts, start)
+    labels, _, _ = infer_clones(counts, start, rounds=1, em_rounds=2)
     return drawn.select("spot", "truth").distinct().join(labels, "spot")
