@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .common import materialise, schema
 
 EDGES = "a long, b long"
+#: Links that one task contracts at first: many together, so that few pass its border.
+TASK_LINKS = 100_000
 
 
 class UnionFind:
@@ -54,7 +56,9 @@ def components(links: DataFrame) -> DataFrame:
     each a minimum per node by partial aggregation and a join, until nothing changes; their number
     grows with the logarithm of the longest path. Only two figures per round come to the driver.
     """
-    edges = materialise(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").mapInArrow(_contract, schema(EDGES)), "links")
+    plain = materialise(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b"), "links")
+    tasks = -(-plain.count() // TASK_LINKS)
+    edges = materialise(plain.coalesce(max(1, tasks)).mapInArrow(_contract, schema(EDGES)), "links")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
