@@ -7,12 +7,14 @@ that share its first ``SHALLOW`` slots. How deep neighbours agree follows the re
 one every pair of the first ``DENSE`` rows is compared, in a dense one the ``NEAR`` rows before,
 which are those that share the longest prefix. Signature sketches drop unlike pairs on the spot;
 what is left is confirmed on the full sets, in rounds: first each document's likeliest partners,
-then all pairs that would still join different components. At last the documents of dense
-regions are sorted once more, now with their components, and those outside their region's
-main component are compared with all of it.
-
-With similarity s a tree compares a pair with probability s^3 at least: 16 trees miss a pair at 0.8 with
-probability 1e-5. (The border of two tasks parts neighbours of one order only.)
+then all pairs that would still join different components. At last comes what is left of dense
+regions and of those that a border of two tasks parts: a region is dealt into blocks, and its
+rows outside its main component meet every block, so that all its pairs of different components
+are compared. These too are confirmed in rounds, the likeliest of each row first, until no pair
+is left out.
+
+With similarity s a tree compares a pair with probability s^3: 16 trees miss a pair at 0.8 with
+probability 1e-5.
 """
 
 from __future__ import annotations
@@ -32,16 +34,17 @@ SLOTS, TREES, DEPTH, SHALLOW = 128, 16, 6, 3
 DENSE, NEAR = 32, 8
 #: By how much an estimate from sketches may lie below the threshold: over four standard deviations.
 MARGIN = 0.16
-#: Partners that each document confirms first; that a stray document confirms in a region of one order.
-FIRST, STRAY = 3, 64
-#: Rows of a region that one comparison of stray documents spans.
-REACH = 4096
+#: Partners that each document confirms first; how many times as many each further round takes.
+FIRST, MORE = 3, 16
+#: Rows of a dense region's block; the parts in which the rows of a common region meet its figures.
+BLOCK, SALTS = 512, 32
 KNOWN_WORDS = 500_000
 
 SIGNED = "doc_id long, n_shingles long, set_key binary, signature binary"
 PAIRS = "a long, b long, likeness float"
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_RECORD = np.dtype([("tree", "u1"), ("key", ">u2", DEPTH), ("node", "<i8"), ("sketch", "u1", SLOTS // 2), ("component", "<i8")])
+_RECORD = np.dtype([("tree", "u1"), ("key", ">u2", DEPTH), ("node", "<i8"), ("sketch", "u1", SLOTS // 2)])
+_MEMBER = np.dtype([("node", "<i8"), ("component", "<i8"), ("sketch", "u1", SLOTS // 2)])
 
 
 class _WordHashes(dict):
@@ -116,23 +119,42 @@ def _signer(size: int):
     return sign
 
 
-def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One record per node and tree: tree, first slots in the tree's order, node, sketch."""
+def _records(batch: pa.RecordBatch) -> np.ndarray:
+    """A row per tree, a record per node: tree, first slots in the tree's order, node, sketch."""
     slots = _tree_slots()
+    sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, SLOTS)
+    nibble = (sig & 15).astype(np.uint8)
+    out = np.zeros((TREES, len(sig)), _RECORD)
+    out["node"] = batch.column(0).to_numpy(zero_copy_only=False)
+    out["sketch"] = nibble[:, ::2] | nibble[:, 1::2] << 4
+    for t in range(TREES):
+        out["tree"][t] = t
+        out["key"][t] = sig[:, slots[t]]
+    return out
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    raw, width = rows.tobytes(), rows.dtype.itemsize
+    return pa.array([raw[k : k + width] for k in range(0, len(raw), width)], pa.binary())
+
+
+def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One record per node and tree."""
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([_binary(_records(batch))], ["record"])
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per node and tree: region, node, component, and a record of node, component and sketch."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, SLOTS)
-        nibble = (sig & 15).astype(np.uint8)
-        out = np.zeros((TREES, len(sig)), _RECORD)
-        out["node"] = batch.column(0).to_numpy(zero_copy_only=False)
-        out["sketch"] = nibble[:, ::2] | nibble[:, 1::2] << 4
-        out["component"] = batch.column(2).to_numpy(zero_copy_only=False)
-        for t in range(TREES):
-            out["tree"][t] = t
-            out["key"][t] = sig[:, slots[t]]
-        raw, width = out.tobytes(), _RECORD.itemsize
-        yield pa.RecordBatch.from_arrays([pa.array([raw[k : k + width] for k in range(0, len(raw), width)], pa.binary())], ["record"])
+        rows = _records(batch).ravel()
+        out = np.zeros(len(rows), _MEMBER)
+        out["node"], out["sketch"] = rows["node"], rows["sketch"]
+        out["component"] = np.tile(batch.column(2).to_numpy(zero_copy_only=False), TREES)
+        yield pa.RecordBatch.from_arrays([pa.array(_heads(rows)), pa.array(out["node"]), pa.array(out["component"]), _binary(out)], ["head", "node", "component", "record"])
 
 
 def _heads(rows: np.ndarray) -> np.ndarray:
@@ -159,12 +181,13 @@ def _need(least: float) -> int:
 
 
 def _walker(least: float):
-    """Compares neighbours in sorted records; yields likely pairs, and (node, node) for nodes of dense regions."""
+    """Compares neighbours in sorted records; yields likely pairs, and (node, node) for nodes of regions that are dense or at a border."""
     need = _need(least)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = np.zeros(0, _RECORD)
         tail_place = np.zeros(0, np.int64)
+        border = None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -190,46 +213,56 @@ def _walker(least: float):
                     ok = (same >= need) & (x["node"] != y["node"])
                     if ok.any():
                         found.append((x["node"][ok], y["node"][ok], same[ok]))
-            crowded = np.flatnonzero(place >= DENSE)
-            if len(crowded):  # with the first rows of their regions, where these are still at hand
+            border = head[0] if border is None else border
+            crowded = (place >= DENSE) | (head == border)
+            if crowded.any():  # with the first rows of their regions, which are still at hand
                 all_ = np.unique(rows["node"][np.isin(head, head[crowded])])
                 found.append((all_, all_, np.full(len(all_), SLOTS)))
             if found:
                 yield _pairs(*(np.concatenate(c) for c in zip(*found, strict=True)))
             tail, tail_place = rows[-DENSE:].copy(), place[-DENSE:].copy()
+        if len(tail):  # the last region may go on in the next task
+            head = _heads(tail)
+            all_ = np.unique(tail["node"][head == head[-1]])
+            yield _pairs(all_, all_, np.full(len(all_), SLOTS))
 
     return walk
 
 
-def _stray_walker(least: float):
-    """In each region, compares rows outside its main component with all rows of other components."""
+def _block_walker(least: float, keep: int):
+    """Compares stray rows of one block with all of another (or the same) in different components.
+
+    Yields the ``keep`` likeliest pairs of a row in a block, and (node, node) where there are more.
+    """
     need = _need(least)
+    ones = np.uint64(0x1111111111111111)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = np.zeros(0, _RECORD)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = np.frombuffer(b"".join(batch.column(0).to_pylist()), _RECORD)
-            rows, old = np.concatenate([tail, new]), len(tail)
-            edge = np.flatnonzero(np.diff(_heads(rows))) + 1
-            for a, b in zip(np.append(0, edge), np.append(edge, len(rows)), strict=True):
-                own = rows[a:b]
-                kinds, counts = np.unique(own["component"], return_counts=True)
-                if b <= old or len(kinds) == 1:
-                    continue
-                fresh = np.arange(a, b) >= old
-                stray = own["component"] != kinds[counts.argmax()]
-                for k in np.flatnonzero(stray):
-                    # a row met before is compared only with what is new
-                    with_ = (own["component"] != own["component"][k]) & (fresh | fresh[k])
-                    other = own[with_]
-                    same = _alike(own[k], other)
-                    best = np.argsort(-same, kind="stable")[:STRAY]
-                    best = best[same[best] >= need]
-                    if len(best):
-                        yield _pairs(np.full(len(best), own["node"][k]), other["node"][best], same[best])
-            tail = rows[-REACH:].copy()
+            for k in range(batch.num_rows):
+                i, j, main = (batch.column(c)[k].as_py() for c in range(3))
+                x, y = (np.frombuffer(b"".join(batch.column(c)[k].as_py()), _MEMBER) for c in (3, 4))
+                if i > j:  # two strays meet where i < j
+                    y = y[y["component"] == main]
+                words, other = (np.ascontiguousarray(z["sketch"]).view("<u8") for z in (x, y))
+                found = []
+                for lo in range(0, len(x), 32):
+                    own = x[lo : lo + 32]
+                    odd = words[lo : lo + 32, None] ^ other[None]
+                    odd |= odd >> np.uint64(1)
+                    odd |= odd >> np.uint64(2)
+                    same = SLOTS - np.bitwise_count(odd & ones).sum(axis=2, dtype=np.int64)
+                    ok = (same >= need) & (own["component"][:, None] != y["component"][None])
+                    for r in np.flatnonzero(ok.any(axis=1)):
+                        at = np.flatnonzero(ok[r])
+                        node = np.full(len(at), own["node"][r])
+                        if len(at) > keep:
+                            at = at[np.lexsort((y["node"][at], -same[r, at]))[:keep]]
+                            node = node[:keep]
+                            found.append((node[:1], node[:1], np.full(1, SLOTS)))
+                        found.append((node, y["node"][at], same[r, at]))
+                if found:
+                    yield _pairs(*(np.concatenate(c) for c in zip(*found, strict=True)))
 
     return walk
 
@@ -273,13 +306,12 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: float = 0.8) -
     nodes = materialise(nodes.select("set_key", F.col("m.doc_id").alias("node"), F.col("m.signature").alias("signature")), "nodes")
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    def forest(own: DataFrame) -> DataFrame:
-        return own.select("node", "signature", "component").mapInArrow(_plant, schema("record binary")).repartitionByRange(n, "record").sortWithinPartitions("record")
 
     def likely_pairs(own: DataFrame, walker) -> DataFrame:
-        return materialise(forest(own).mapInArrow(walker(threshold - MARGIN), schema(PAIRS)).groupBy("a", "b").agg(F.max("likeness").alias("likeness")), "likely")
+        return materialise(own.mapInArrow(walker, schema(PAIRS)).groupBy("a", "b").agg(F.max("likeness").alias("likeness")), "likely")
 
-    met = likely_pairs(nodes.withColumn("component", F.col("node")), _walker)
+    forest = nodes.select("node", "signature").mapInArrow(_plant, schema("record binary")).repartitionByRange(n, "record").sortWithinPartitions("record")
+    met = likely_pairs(forest, _walker(threshold - MARGIN))
     dense = met.where("a = b").select(F.col("a").alias("node"))
     likely = met.where("a < b")
 
@@ -305,9 +337,34 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: float = 0.8) -
     known = components(links)
     links = links.unionByName(confirmed(still_apart(likely, known).join(first, ["a", "b"], "left_anti")))
     known = components(links)
-    crowd = nodes.join(dense, "node", "left_semi").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    links = links.unionByName(confirmed(likely_pairs(crowd, _stray_walker).join(likely, ["a", "b"], "left_anti")))
-    known = components(links)
+
+    crowd = materialise(nodes.join(dense, "node", "left_semi").select("node", "signature"), "crowd")
+
+    def remainder(known: DataFrame, keep: int) -> DataFrame:
+        """Likely pairs of different components in one region, at most ``keep`` of a row and block."""
+        own = crowd.join(known, "node", "left").select("node", "signature", F.coalesce("component", "node").alias("component"))
+        members = materialise(own.mapInArrow(_members, schema("head long, node long, component long, record binary")), "members")
+        kinds = members.groupBy("head", "component").agg(F.count(F.lit(1)).alias("n"))
+        regions = kinds.groupBy("head").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.max(F.struct("n", "component"))["component"].alias("main")).where("kinds > 1")
+        regions = regions.select("head", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        placed = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(regions, ["head", "salt"])
+        placed = placed.withColumn("block", F.pmod(F.xxhash64("head", "node"), F.col("blocks")).cast("int"))
+        rows = placed.groupBy("head", "main", "blocks", "block").agg(F.collect_list(F.when(F.col("component") != F.col("main"), F.col("record"))).alias("strays"), F.collect_list("record").alias("rows"))
+        rows = materialise(rows, "blocks")
+        left = rows.where(F.size("strays") > 0).select("head", "main", F.col("block").alias("i"), "strays", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+        both = left.join(rows.select("head", F.col("block").alias("j"), "rows"), ["head", "j"]).repartition(n, "head", "i", "j")
+        return likely_pairs(both.select("i", "j", "main", "strays", "rows"), _block_walker(threshold - MARGIN, keep))
+
+    tested, keep = likely.select("a", "b"), FIRST
+    while True:
+        met = remainder(known, keep)
+        fresh = materialise(met.where("a < b").select("a", "b").join(tested, ["a", "b"], "left_anti"), "fresh")
+        if not fresh.isEmpty():
+            links = known.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(confirmed(fresh))
+            known, tested = components(links), tested.unionByName(fresh)
+        if met.where("a = b").isEmpty():
+            break
+        keep *= MORE
 
     classes = materialise(nodes.select("set_key", "node").join(known, "node", "left").select("set_key", F.coalesce("component", "node").alias("component")), "classes")
     out = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")

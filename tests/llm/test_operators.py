@@ -266,3 +266,33 @@ def test_pipeline_stages(spark, small):
     packed = P.packing(spark, clean, small)
     assert packed.select("doc_id").distinct().count() == clean.count()
     assert hashlib.sha256(str(packed.columns).encode()).hexdigest()
+
+
+def test_near_duplicates_far_apart_in_a_dense_region(spark):
+    """Two near copies meet in one tree alone, thousands of rows and a border apart."""
+    slots, (mul, add) = minhash._tree_slots(), minhash._constants()
+    found = None
+    for seed in range(200):
+        rng = np.random.default_rng(seed)
+        words = [f"w{seed}x{k}" for k in rng.permutation(200)]
+        h = np.array([minhash.shingles(w, 1)[0] for w in words])
+        least = (h[None] * mul[:, None] + add[:, None]).argmin(axis=1)
+        kept = set(least[slots[0, :3]])
+        gone = {least[slots[0, 3]]} | {next((x for x in least[slots[t, :3]] if x not in kept), None) for t in range(1, minhash.TREES)}
+        if gone & (kept | {None}):
+            continue
+        copy = [w for k, w in enumerate(words) if k not in gone]
+        x, y = (np.frombuffer(minhash.signature(minhash.shingles(" ".join(t), 1)), "<u2").astype(int) for t in (words, copy))
+        heads = [(x[s[:3]] == y[s[:3]]).all() for s in slots]
+        if sum(heads) == 1 and heads[0] and abs(x[slots[0, 3]] - y[slots[0, 3]]) > 45_000:
+            found = words, copy, [words[k] for k in sorted(kept)]
+            break
+    words, copy, common_ = found
+    rows = [(1, " ".join(words)), (2, " ".join(copy))] + [(k, " ".join(common_ + [f"f{k}x{j}" for j in range(8)])) for k in range(3, 12_003)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    try:
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=1).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got.pop(2) == 1 and all(a == b for a, b in got.items())
