@@ -18,12 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, schema, table
-from .components import components
+from .components import UnionFind, components
 
 PASSES, BITS, NEAR = 12, 64, 64
-#: Likely predecessors a vector names in a pass: they join components; all links are counted later.
-NAMED = 4
-#: How far the cosine of rounded vectors may lie below the threshold.
+#: How far the cosine of rounded vectors may lie from the exact one.
 SLACK = 0.03
 BLOCK = 1024
 
@@ -63,8 +61,13 @@ def _projector(dim: int):
     return project
 
 
-def _walker(dim: int, least: float):
-    """Likely pairs among neighbours of the sorted records."""
+def _walker(dim: int, threshold: float):
+    """Likely pairs among neighbours of the sorted records.
+
+    A pair is left out only where pairs that are links beyond rounding join its two vectors anyway:
+    pairs serve to find components; all links inside are counted later.
+    """
+    least, sure = threshold - SLACK, threshold + SLACK
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = _record(dim)
@@ -78,16 +81,22 @@ def _walker(dim: int, least: float):
                 skip = lo - max(0, lo - NEAR)
                 x = part["rounded"].astype(np.float32)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                named = np.zeros(len(part), np.int64)
-                found = []
+                sets, found = UnionFind(), []
                 for w in range(1, min(NEAR, len(part) - 1) + 1):
                     i = np.arange(max(w, skip), len(part))
-                    ok = (np.einsum("ij,ij->i", x[i], x[i - w]) >= least) & (part["order"][i] == part["order"][i - w]) & (named[i] < NAMED)
-                    named[i[ok]] += 1
+                    cosine = np.einsum("ij,ij->i", x[i], x[i - w])
+                    ok = (cosine >= least) & (part["order"][i] == part["order"][i - w])
                     if ok.any():
-                        found.append(np.stack([part["node"][i[ok]], part["node"][i[ok] - w]]))
+                        found.append(np.stack([i[ok], i[ok] - w, cosine[ok] >= sure]))
                 if found:
-                    ab = np.concatenate(found, axis=1)
+                    i, j, firm = np.concatenate(found, axis=1)
+                    keep = np.ones(len(i), bool)
+                    for k in (*np.flatnonzero(firm), *np.flatnonzero(firm == 0)):
+                        a, b = sets.find(int(i[k])), sets.find(int(j[k]))
+                        keep[k] = a != b
+                        if firm[k]:
+                            sets.union(a, b)
+                    ab = np.stack([part["node"][i[keep]], part["node"][j[keep]]])
                     yield pa.RecordBatch.from_arrays([pa.array(ab.min(axis=0)), pa.array(ab.max(axis=0))], ["a", "b"])
             tail = rows[-NEAR:].copy()
 
@@ -148,7 +157,7 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFram
     for (dim,) in sorted(nodes.select(F.size("embedding")).distinct().collect()):
         own = nodes.where(F.size("embedding") == dim).select("node", "embedding")
         sorted_ = own.mapInArrow(_projector(dim), schema("record binary")).repartitionByRange(n, "record").sortWithinPartitions("record")
-        pairs = sorted_.mapInArrow(_walker(dim, threshold - SLACK), schema("a long, b long"))
+        pairs = sorted_.mapInArrow(_walker(dim, threshold), schema("a long, b long"))
         likely = pairs if likely is None else likely.unionByName(pairs)
     if likely is None:
         return keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

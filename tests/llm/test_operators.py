@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -296,3 +297,15 @@ def test_near_duplicates_far_apart_in_a_dense_region(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got.pop(2) == 1 and all(a == b for a, b in got.items())
+
+
+def test_embedding_link_beyond_a_crowd_of_likely_pairs():
+    """Five likely partners stand between a vector and one more link."""
+    axes = np.eye(64)
+    last = 0.95 * axes[0] + np.sqrt(1 - 0.95**2) * axes[1]
+    vectors = np.stack([axes[0]] + [0.915 * last + np.sqrt(1 - 0.915**2) * axes[k] for k in range(10, 15)] + [last])
+    rows = np.zeros(len(vectors), embedding_dedup._record(64))
+    rows["node"] = np.arange(len(vectors))
+    rows["rounded"] = np.rint(vectors / np.abs(vectors).max(axis=1, keepdims=True) * 127)
+    batch = pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary())], ["record"])
+    assert (0, 6) in {(r["a"], r["b"]) for out in embedding_dedup._walker(64, 0.9)([batch]) for r in out.to_pylist()}
