@@ -9,6 +9,7 @@ links are then counted exactly, block against block, so that the window bounds n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,36 +21,45 @@ from pyspark.sql import functions as F
 from .common import materialise, schema, table
 from .components import UnionFind, components
 
-PASSES, BITS, NEAR = 12, 64, 64
+BITS, NEAR = 64, 64
+#: Passes at least; beyond that as many as keep the share of missed pairs at the threshold under MISS.
+PASSES, MISS = 12, 0.01
 #: How far the cosine of rounded vectors may lie from the exact one.
 SLACK = 0.03
 BLOCK = 1024
 
 
+def n_passes(n: int, threshold: float) -> int:
+    """Passes over ``n`` vectors: one brings a pair near if the signs that split n into windows agree."""
+    agree = 1 - math.acos(max(-1.0, min(threshold, 1.0))) / math.pi
+    met = agree ** math.log2(max(n / NEAR, 1))
+    return PASSES if met >= 1 else max(PASSES, math.ceil(math.log(MISS) / math.log1p(-met)))
+
+
 def _projection(k: int, dim: int) -> np.ndarray:
     return np.random.default_rng((9, k, dim)).standard_normal((dim, BITS))
 
 
 def _record(dim: int) -> np.dtype:
-    return np.dtype([("order", "u1"), ("key", "u1", BITS // 8), ("node", "<i8"), ("rounded", "i1", dim)])
+    return np.dtype([("order", ">u2"), ("key", "u1", BITS // 8), ("node", "<i8"), ("rounded", "i1", dim)])
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.array(column.flatten(), dtype=np.float64).reshape(-1, dim)
 
 
-def _projector(dim: int):
+def _projector(dim: int, passes: int):
     """One record per vector and pass."""
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = _record(dim)
-        planes = [_projection(k, dim) for k in range(PASSES)]
+        planes = [_projection(k, dim) for k in range(passes)]
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _matrix(batch.column(1), dim)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            out = np.zeros((PASSES, len(x)), kind)
+            out = np.zeros((passes, len(x)), kind)
             out["node"] = batch.column(0).to_numpy(zero_copy_only=False)
             out["rounded"] = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 127)
             for k, plane in enumerate(planes):
@@ -154,9 +164,9 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFram
 
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     likely = None
-    for (dim,) in sorted(nodes.select(F.size("embedding")).distinct().collect()):
+    for dim, rows_ in sorted(nodes.groupBy(F.size("embedding")).count().collect()):
         own = nodes.where(F.size("embedding") == dim).select("node", "embedding")
-        sorted_ = own.mapInArrow(_projector(dim), schema("record binary")).repartitionByRange(n, "record").sortWithinPartitions("record")
+        sorted_ = own.mapInArrow(_projector(dim, n_passes(rows_, threshold)), schema("record binary")).repartitionByRange(n, "record").sortWithinPartitions("record")
         pairs = sorted_.mapInArrow(_walker(dim, threshold), schema("a long, b long"))
         likely = pairs if likely is None else likely.unionByName(pairs)
     if likely is None:

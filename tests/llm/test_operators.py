@@ -309,3 +309,10 @@ def test_embedding_link_beyond_a_crowd_of_likely_pairs():
     rows["rounded"] = np.rint(vectors / np.abs(vectors).max(axis=1, keepdims=True) * 127)
     batch = pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary())], ["record"])
     assert (0, 6) in {(r["a"], r["b"]) for out in embedding_dedup._walker(64, 0.9)([batch]) for r in out.to_pylist()}
+
+
+def test_embedding_passes_grow_with_the_table():
+    """The stated miss rate holds at every size."""
+    agree = 1 - np.arccos(0.9) / np.pi
+    for n in (10, 400, 100_000, 1_000_000, 10**9):
+        assert (1 - agree ** np.log2(max(n / embedding_dedup.NEAR, 1))) ** embedding_dedup.n_passes(n, 0.9) <= 0.01
