@@ -227,28 +227,34 @@ def _united(a: str, b: str):
     return F.aggregate(spans, F.array().cast(kind), add)
 
 
-def _remover(automaton, longest: int, coverage: float):
+def _remover(longest: int, coverage: float, automaton=None):
+    """Cuts what the automaton finds or, without one, the spans in the last column, which goes."""
+
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto: SuffixAutomaton = automaton.value
         for batch in batches:
             at = batch.schema.get_field_index("text")
+            given = None if automaton else batch.column(batch.num_columns - 1).to_pylist()
+            if given is not None:
+                batch = batch.select(list(range(batch.num_columns - 1)))
             keep, texts = [], []
             for k, text in enumerate(batch.column(at).to_pylist()):
-                cut = text and remove_spans(text, auto, longest, coverage)
+                if text:
+                    spans = automaton.value.find(fold(text).split())[0] if automaton else [(s["first"], s["last"]) for s in given[k] or ()]
+                    cut = cut_spans(text, spans, longest, coverage)
+                else:
+                    cut = text
                 if cut is not None or text is None:
                     keep.append(k)
                     texts.append(cut)
-            out = batch.take(pa.array(keep, pa.int32())).set_column(at, "text", pa.array(texts, pa.string()))
-            yield out
+            yield batch.take(pa.array(keep, pa.int32())).set_column(at, "text", pa.array(texts, pa.string()))
 
     return remove
 
 
-def remove_spans(text: str, auto: SuffixAutomaton, longest: int, coverage: float) -> str | None:
-    """The text without hit spans of at least ``longest`` words; None where hits cover more than ``coverage``."""
+def cut_spans(text: str, spans: list[tuple[int, int]], longest: int, coverage: float) -> str | None:
+    """The text without spans of at least ``longest`` words; None where these cover more than ``coverage``."""
     folded = fold(text)
     words = folded.split()
-    spans, _ = auto.find(words)
     spans = [(a, b) for a, b in spans if b - a >= longest]
     if not spans:
         return text
@@ -268,14 +274,21 @@ def remove_spans(text: str, auto: SuffixAutomaton, longest: int, coverage: float
 def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, longest: int = WINDOW, coverage: float = 0.5, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` (all its columns) without contaminated spans, and without documents that they dominate.
 
-    Hit spans of at least ``longest`` words are cut out of the text; a document of whose words
-    they cover more than ``coverage`` goes. Null texts stay. Each shard of items is one pass.
+    Hit spans of at least ``longest`` words are cut out of the text; a document of whose words they cover more than ``coverage`` goes. Null texts stay. Spans of
+    all shards of items are found on the untouched text and united before they are judged.
     """
     small_batches(docs.sparkSession)
-    for part in shards(items, shard_bytes):
-        automaton = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(part, window))
-        docs = docs.mapInArrow(_remover(automaton, longest, coverage), docs.schema)
-    return docs
+    parts = shards(items, shard_bytes)
+    first = next(parts, None)
+    if first is None:
+        return docs
+    if next(parts, None) is None:
+        automaton = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(first, window))
+        return docs.mapInArrow(_remover(longest, coverage, automaton), docs.schema)
+    hits = find_contamination(docs, items, window=window, shard_bytes=shard_bytes).where(F.size("spans") > 0).dropDuplicates(["doc_id", "row_key"])
+    hits = hits.select(F.col("doc_id").alias("_hit_doc"), F.col("row_key").alias("_hit_row"), F.col("spans").alias("_hit_spans"))
+    same = docs["doc_id"].cast("long").eqNullSafe(hits["_hit_doc"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == hits["_hit_row"])
+    return docs.join(hits, same, "left").drop("_hit_doc", "_hit_row").mapInArrow(_remover(longest, coverage), docs.schema)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -316,3 +316,13 @@ def test_embedding_passes_grow_with_the_table():
     agree = 1 - np.arccos(0.9) / np.pi
     for n in (10, 400, 100_000, 1_000_000, 10**9):
         assert (1 - agree ** np.log2(max(n / embedding_dedup.NEAR, 1))) ** embedding_dedup.n_passes(n, 0.9) <= 0.01
+
+
+def test_decontamination_judges_all_shards_at_once(spark):
+    """Two items of 30% each, in two shards, take a document out."""
+    x, y, z = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("x", 12), ("y", 12), ("z", 16)))
+    items = spark.createDataFrame([("a", x), ("b", y)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"{x} {y} {z}"), (2, f"{z} {x} {z} {z}"), (3, None)], "doc_id long, text string")
+    for size in (1, 1 << 20):
+        got = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, items, shard_bytes=size).collect()}
+        assert set(got) == {2, 3} and got[2].split() == f"{z} {z} {z}".split() and got[3] is None
