@@ -5,13 +5,17 @@ slots: its rows are sorted by the first slots in that order, dealt out by ranges
 (so no key, however common, meets in one task), and a row is compared with the rows before it
 that share its first ``SHALLOW`` slots. How deep neighbours agree follows the region: in a sparse
 one every pair of the first ``DENSE`` rows is compared, in a dense one the ``NEAR`` rows before,
-which are those that share the longest prefix. Signature sketches drop unlike pairs on the spot;
-what is left is confirmed on the full sets, in rounds: first each document's likeliest partners,
-then all pairs that would still join different components. At last comes what is left of dense
-regions and of those that a border of two tasks parts: a region is dealt into blocks, and its
-rows outside its main component meet every block, so that all its pairs of different components
-are compared. These too are confirmed in rounds, the likeliest of each row first, until no pair
-is left out.
+which are those that share the longest prefix. Signature sketches drop unlike pairs on the spot; a
+row names the ``KEEP`` likeliest of the rest, and these are confirmed on the full sets, in two
+rounds: first each document's likeliest partners, then those that still join different components.
+
+A region is crowded where a row had more likely partners than it named, was not compared with all
+rows before it, or where the border of two tasks parts it. What is left there is found exactly: a
+crowded region is dealt into blocks, its rows outside its main component meet every block, and
+each pair of blocks settles its likely pairs of different components on the full sets inside one
+task, so that only links leave it, one at most per component that it joins. Sketches go first and
+alone; full sets travel only for rows with a likely partner, and a pair that shares regions in
+several trees is settled in the first of them.
 
 With similarity s a tree compares a pair with probability s^3: 16 trees miss a pair at 0.8 with
 probability 1e-5.
@@ -32,19 +36,23 @@ from .components import components
 
 SLOTS, TREES, DEPTH, SHALLOW = 128, 16, 6, 3
 DENSE, NEAR = 32, 8
+#: Partners that a row names in a tree; where there are more, its region counts as crowded.
+KEEP = 2
 #: By how much an estimate from sketches may lie below the threshold: over four standard deviations.
 MARGIN = 0.16
-#: Partners that each document confirms first; how many times as many each further round takes.
-FIRST, MORE = 3, 16
-#: Rows of a dense region's block; the parts in which the rows of a common region meet its figures.
-BLOCK, SALTS = 512, 32
+#: Partners that each document confirms first.
+FIRST = 3
+#: Rows and shingles of a crowded region's block at most, on average; the parts in which the rows of a common region meet its figures.
+BLOCK, BLOCK_SHINGLES, SALTS = 2048, 1 << 20, 32
 KNOWN_WORDS = 500_000
 
 SIGNED = "doc_id long, n_shingles long, set_key binary, signature binary"
 PAIRS = "a long, b long, likeness float"
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _RECORD = np.dtype([("tree", "u1"), ("key", ">u2", DEPTH), ("node", "<i8"), ("sketch", "u1", SLOTS // 2)])
-_MEMBER = np.dtype([("node", "<i8"), ("component", "<i8"), ("sketch", "u1", SLOTS // 2)])
+_MEMBER = np.dtype([("tree", "u1"), ("node", "<i8"), ("component", "<i8"), ("sketch", "u1", SLOTS // 2), ("heads", "<u2", (TREES, SHALLOW))])
+MEMBERS = "head long, node long, component long, shingles long, record binary"
+MET = "head long, i int, j int, side int, node long, record binary"
 
 
 class _WordHashes(dict):
@@ -146,15 +154,18 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per node and tree: region, node, component, and a record of node, component and sketch."""
+    """Per node and tree: region, node, component, size and a record for comparisons."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = _records(batch).ravel()
-        out = np.zeros(len(rows), _MEMBER)
-        out["node"], out["sketch"] = rows["node"], rows["sketch"]
-        out["component"] = np.tile(batch.column(2).to_numpy(zero_copy_only=False), TREES)
-        yield pa.RecordBatch.from_arrays([pa.array(_heads(rows)), pa.array(out["node"]), pa.array(out["component"]), _binary(out)], ["head", "node", "component", "record"])
+        rows = _records(batch)
+        out = np.zeros(rows.shape, _MEMBER)
+        for name in ("tree", "node", "sketch"):
+            out[name] = rows[name]
+        out["component"] = batch.column(2).to_numpy(zero_copy_only=False)
+        out["heads"] = rows["key"][:, :, :SHALLOW].transpose(1, 0, 2)
+        out, size = out.ravel(), np.tile(batch.column(3).to_numpy(zero_copy_only=False), TREES)
+        yield pa.RecordBatch.from_arrays([pa.array(_heads(rows.ravel())), pa.array(out["node"]), pa.array(out["component"]), pa.array(size), _binary(out)], ["head", "node", "component", "shingles", "record"])
 
 
 def _heads(rows: np.ndarray) -> np.ndarray:
@@ -181,13 +192,13 @@ def _need(least: float) -> int:
 
 
 def _walker(least: float):
-    """Compares neighbours in sorted records; yields likely pairs, and (node, node) for nodes of regions that are dense or at a border."""
+    """Compares neighbours in sorted records; yields likely pairs, and (node, node) for nodes of crowded regions."""
     need = _need(least)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = np.zeros(0, _RECORD)
         tail_place = np.zeros(0, np.int64)
-        border = None
+        border = carried = None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -199,7 +210,7 @@ def _walker(least: float):
             place = np.arange(len(rows)) - first
             if old:  # the tail's first region began before it
                 place[first == 0] += tail_place[0]
-            found = []
+            met = [np.zeros((3, 0), np.int64)]
             for w in range(1, DENSE):
                 i = np.flatnonzero((head[w:] == head[:-w]) & ((place[w:] < DENSE) | (w <= NEAR))) + w
                 i = i[i >= old]
@@ -208,18 +219,26 @@ def _walker(least: float):
                         break
                     continue
                 for k in range(0, len(i), 20_000):
-                    x, y = rows[i[k : k + 20_000]], rows[i[k : k + 20_000] - w]
+                    own = i[k : k + 20_000]
+                    x, y = rows[own], rows[own - w]
                     same = _alike(x, y)
                     ok = (same >= need) & (x["node"] != y["node"])
                     if ok.any():
-                        found.append((x["node"][ok], y["node"][ok], same[ok]))
+                        met.append(np.stack([own[ok], own[ok] - w, same[ok]]))
+            i, j, same = np.concatenate(met, axis=1)
+            order = np.lexsort((-j, -same, i))
+            i, j, same = i[order], j[order], same[order]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            named = rank < KEEP
             border = head[0] if border is None else border
-            crowded = (place >= DENSE) | (head == border)
-            if crowded.any():  # with the first rows of their regions, which are still at hand
-                all_ = np.unique(rows["node"][np.isin(head, head[crowded])])
-                found.append((all_, all_, np.full(len(all_), SLOTS)))
-            if found:
-                yield _pairs(*(np.concatenate(c) for c in zip(*found, strict=True)))
+            crowded = np.unique(np.concatenate([head[(place >= DENSE) | (head == border)], head[i[~named]]]))
+            if carried is not None:  # the region went over from the batch before
+                crowded = np.union1d(crowded, carried)
+            found = [(rows["node"][i[named]], rows["node"][j[named]], same[named])]
+            all_ = np.unique(rows["node"][np.isin(head, crowded)])
+            found.append((all_, all_, np.full(len(all_), SLOTS)))
+            yield _pairs(*(np.concatenate(c) for c in zip(*found, strict=True)))
+            carried = head[-1:] if head[-1] in crowded else None
             tail, tail_place = rows[-DENSE:].copy(), place[-DENSE:].copy()
         if len(tail):  # the last region may go on in the next task
             head = _heads(tail)
@@ -229,44 +248,98 @@ def _walker(least: float):
     return walk
 
 
-def _block_walker(least: float, keep: int):
-    """Compares stray rows of one block with all of another (or the same) in different components.
-
-    Yields the ``keep`` likeliest pairs of a row in a block, and (node, node) where there are more.
+def _likely(x: np.ndarray, y: np.ndarray, need: int) -> np.ndarray:
+    """Which of ``y`` may be like which of ``x``, in another component, and don't meet in an earlier tree."""
+    ones = np.uint64(0x1111111111111111)
+    odd = np.ascontiguousarray(x["sketch"]).view("<u8")[:, None] ^ np.ascontiguousarray(y["sketch"]).view("<u8")[None]
+    odd |= odd >> np.uint64(1)
+    odd |= odd >> np.uint64(2)
+    ok = SLOTS - np.bitwise_count(odd & ones).sum(axis=2, dtype=np.int64) >= need
+    ok &= x["component"][:, None] != y["component"][None]
+    a, b = np.nonzero(ok)
+    for k in range(0, len(a), 100_000):
+        p, q = a[k : k + 100_000], b[k : k + 100_000]
+        t = int(x["tree"][0])
+        ok[p, q] = ~(x["heads"][p, :t] == y["heads"][q, :t]).all(axis=2).any(axis=1)
+    return ok
+
+
+def _block_walker(least: float):
+    """Compares the stray rows of one block with all rows of another (or the same) by sketches.
+
+    Yields, once per pair of blocks, the rows of both that have a likely partner there.
     """
     need = _need(least)
-    ones = np.uint64(0x1111111111111111)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                i, j, main = (batch.column(c)[k].as_py() for c in range(3))
-                x, y = (np.frombuffer(b"".join(batch.column(c)[k].as_py()), _MEMBER) for c in (3, 4))
+                head, i, j, main = (batch.column(c)[k].as_py() for c in range(4))
+                x, y = (np.frombuffer(b"".join(batch.column(c)[k].as_py()), _MEMBER) for c in (4, 5))
                 if i > j:  # two strays meet where i < j
                     y = y[y["component"] == main]
-                words, other = (np.ascontiguousarray(z["sketch"]).view("<u8") for z in (x, y))
-                found = []
+                left, right = np.zeros(len(x), bool), np.zeros(len(y), bool)
                 for lo in range(0, len(x), 32):
-                    own = x[lo : lo + 32]
-                    odd = words[lo : lo + 32, None] ^ other[None]
-                    odd |= odd >> np.uint64(1)
-                    odd |= odd >> np.uint64(2)
-                    same = SLOTS - np.bitwise_count(odd & ones).sum(axis=2, dtype=np.int64)
-                    ok = (same >= need) & (own["component"][:, None] != y["component"][None])
-                    for r in np.flatnonzero(ok.any(axis=1)):
-                        at = np.flatnonzero(ok[r])
-                        node = np.full(len(at), own["node"][r])
-                        if len(at) > keep:
-                            at = at[np.lexsort((y["node"][at], -same[r, at]))[:keep]]
-                            node = node[:keep]
-                            found.append((node[:1], node[:1], np.full(1, SLOTS)))
-                        found.append((node, y["node"][at], same[r, at]))
-                if found:
-                    yield _pairs(*(np.concatenate(c) for c in zip(*found, strict=True)))
+                    ok = _likely(x[lo : lo + 32], y, need)
+                    left[lo : lo + 32] = ok.any(axis=1)
+                    right |= ok.any(axis=0)
+                if left.any():
+                    rows = np.concatenate([x[left], y[right]])
+                    n = len(rows)
+                    side = np.repeat([0, 1], [left.sum(), right.sum()])
+                    cols = [pa.array(np.full(n, head)), pa.array(np.full(n, i, np.int32)), pa.array(np.full(n, j, np.int32)), pa.array(side.astype(np.int32)), pa.array(rows["node"]), _binary(rows)]
+                    yield pa.RecordBatch.from_arrays(cols, ["head", "i", "j", "side", "node", "record"])
 
     return walk
 
 
+def _settler(least: float, threshold: float):
+    """Settles the likely pairs of two blocks on full sets; yields links that join their components."""
+    need, percent = _need(least), round(threshold * 100)
+
+    def settle(group: pa.Table) -> pa.Table:
+        side = group.column("side").to_numpy()
+        rows = np.frombuffer(b"".join(group.column("record").to_pylist()), _MEMBER)
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("own").to_pylist()]
+        x, y = rows[side == 0], rows[side == 1].copy()
+        mine, others = ([sets[k] for k in np.flatnonzero(side == v)] for v in (0, 1))
+        size = np.array([len(s) for s in others], np.int64)
+        all_, start = np.concatenate([*others, np.zeros(0, np.uint64)]), np.cumsum(size) - size
+        x_of = x["component"].copy()
+        links = []
+        for k in range(len(x)):
+            own, n = mine[k], len(mine[k])
+            one = x[k : k + 1].copy()
+            one["component"] = x_of[k]
+            at = np.flatnonzero(_likely(one, y, need)[0] & (100 * np.minimum(n, size) >= percent * np.maximum(n, size)))
+            if not len(at):
+                continue
+            take = np.repeat(start[at] - np.cumsum(size[at]) + size[at], size[at]) + np.arange(size[at].sum())
+            values = all_[take]
+            hit = own[np.minimum(np.searchsorted(own, values), n - 1)] == values
+            both = np.bincount(np.repeat(np.arange(len(at)), size[at]), hit, len(at)).astype(np.int64)
+            for m in at[100 * both >= percent * (n + size[at] - both)]:
+                a, b = x_of[k], y["component"][m]
+                if a != b:
+                    links.append((x["node"][k], y["node"][m]))
+                    low = min(a, b)
+                    for c in (x_of, y["component"]):
+                        c[(c == a) | (c == b)] = low
+        a, b = np.array(links, np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return settle
+
+
+def _setter(size: int):
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingles(t, size).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["node", "own"])
+
+    return collect
+
+
 def _confirmer(size: int, threshold: float):
     percent = round(threshold * 100)
 
@@ -302,17 +375,14 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: float = 0.8) -
     small_batches(spark)
     rows = id_text(docs)
     signed = materialise(rows.mapInArrow(_signer(size), schema(SIGNED)), "signed")
-    nodes = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "signature")).alias("m"))
-    nodes = materialise(nodes.select("set_key", F.col("m.doc_id").alias("node"), F.col("m.signature").alias("signature")), "nodes")
+    nodes = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "signature", "n_shingles")).alias("m"))
+    nodes = materialise(nodes.select("set_key", F.col("m.doc_id").alias("node"), F.col("m.signature").alias("signature"), F.col("m.n_shingles").alias("shingles")), "nodes")
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def likely_pairs(own: DataFrame, walker) -> DataFrame:
-        return materialise(own.mapInArrow(walker, schema(PAIRS)).groupBy("a", "b").agg(F.max("likeness").alias("likeness")), "likely")
-
     forest = nodes.select("node", "signature").mapInArrow(_plant, schema("record binary")).repartitionByRange(n, "record").sortWithinPartitions("record")
-    met = likely_pairs(forest, _walker(threshold - MARGIN))
-    dense = met.where("a = b").select(F.col("a").alias("node"))
+    met = materialise(forest.mapInArrow(_walker(threshold - MARGIN), schema(PAIRS)).groupBy("a", "b").agg(F.max("likeness").alias("likeness")), "likely")
+    crowd = nodes.join(met.where("a = b").select(F.col("a").alias("node")), "node", "left_semi").select("node", "signature", "shingles")
+    crowd = materialise(crowd, "crowd")
     likely = met.where("a < b")
 
     ends = met.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -331,40 +401,33 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: float = 0.8) -
         return pairs.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
     sides = likely.select(F.col("a").alias("s"), "a", "b", "likeness").union(likely.select("b", "a", "b", "likeness"))
-    best = sides.withColumn("k", F.row_number().over(Window.partitionBy("s").orderBy(F.desc("likeness"), "a", "b")))  # a node has at most TREES * 2 * DENSE pairs
+    best = sides.withColumn("k", F.row_number().over(Window.partitionBy("s").orderBy(F.desc("likeness"), "a", "b")))  # a row names KEEP pairs per tree, and few name it
     first = materialise(best.where(F.col("k") <= FIRST).select("a", "b").distinct(), "first")
     links = confirmed(first)
     known = components(links)
     links = links.unionByName(confirmed(still_apart(likely, known).join(first, ["a", "b"], "left_anti")))
     known = components(links)
 
-    crowd = materialise(nodes.join(dense, "node", "left_semi").select("node", "signature"), "crowd")
-
-    def remainder(known: DataFrame, keep: int) -> DataFrame:
-        """Likely pairs of different components in one region, at most ``keep`` of a row and block."""
-        own = crowd.join(known, "node", "left").select("node", "signature", F.coalesce("component", "node").alias("component"))
-        members = materialise(own.mapInArrow(_members, schema("head long, node long, component long, record binary")), "members")
-        kinds = members.groupBy("head", "component").agg(F.count(F.lit(1)).alias("n"))
-        regions = kinds.groupBy("head").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.max(F.struct("n", "component"))["component"].alias("main")).where("kinds > 1")
-        regions = regions.select("head", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        placed = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(regions, ["head", "salt"])
-        placed = placed.withColumn("block", F.pmod(F.xxhash64("head", "node"), F.col("blocks")).cast("int"))
-        rows = placed.groupBy("head", "main", "blocks", "block").agg(F.collect_list(F.when(F.col("component") != F.col("main"), F.col("record"))).alias("strays"), F.collect_list("record").alias("rows"))
-        rows = materialise(rows, "blocks")
-        left = rows.where(F.size("strays") > 0).select("head", "main", F.col("block").alias("i"), "strays", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-        both = left.join(rows.select("head", F.col("block").alias("j"), "rows"), ["head", "j"]).repartition(n, "head", "i", "j")
-        return likely_pairs(both.select("i", "j", "main", "strays", "rows"), _block_walker(threshold - MARGIN, keep))
-
-    tested, keep = likely.select("a", "b"), FIRST
-    while True:
-        met = remainder(known, keep)
-        fresh = materialise(met.where("a < b").select("a", "b").join(tested, ["a", "b"], "left_anti"), "fresh")
-        if not fresh.isEmpty():
-            links = known.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(confirmed(fresh))
-            known, tested = components(links), tested.unionByName(fresh)
-        if met.where("a = b").isEmpty():
-            break
-        keep *= MORE
+    own = crowd.join(known, "node", "left").select("node", "signature", F.coalesce("component", "node").alias("component"), "shingles")
+    members = materialise(own.mapInArrow(_members, schema(MEMBERS)), "members")
+    kinds = members.groupBy("head", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("size"))
+    regions = kinds.groupBy("head").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("kinds"), F.max(F.struct("n", "component"))["component"].alias("main")).where("kinds > 1")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int")
+    regions = regions.select("head", "main", blocks.alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    placed = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(regions, ["head", "salt"])
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("head", "node"), F.col("blocks")).cast("int"))
+    dealt = placed.groupBy("head", "main", "blocks", "block").agg(F.collect_list(F.when(F.col("component") != F.col("main"), F.col("record"))).alias("strays"), F.collect_list("record").alias("rows"))
+    dealt = materialise(dealt, "blocks")
+    left = dealt.where(F.size("strays") > 0).select("head", "main", F.col("block").alias("i"), "strays", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    both = left.join(dealt.select("head", F.col("block").alias("j"), "rows"), ["head", "j"]).repartition(n, "head", "i", "j")
+    pairs = materialise(both.select("head", "i", "j", "main", "strays", "rows").mapInArrow(_block_walker(threshold - MARGIN), schema(MET)), "met")
+    ids = pairs.select(F.col("node").alias("doc_id")).distinct()
+    # Rows that share an id are one node by the set that the node stands for, in each of its texts.
+    sets = materialise(texts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_setter(size), schema("node long, own binary")), "sets")
+    settled = pairs.join(sets, "node").groupBy("head", "i", "j").applyInArrow(_settler(threshold - MARGIN, threshold), schema("a long, b long"))
+    fresh = materialise(settled, "settled")
+    if not fresh.isEmpty():
+        known = components(known.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(fresh))
 
     classes = materialise(nodes.select("set_key", "node").join(known, "node", "left").select("set_key", F.coalesce("component", "node").alias("component")), "classes")
     out = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
