@@ -7,9 +7,11 @@ last token before each of them, and how many tokens each lies back; a transition
 with the change in the number of tokens. States are compiled when text first reaches them.
 
 Pre-tokens start in one known state, so each is a chunk whose state map is needed at one point
-only. A pre-token longer than ``CHUNK`` bytes is cut: every chunk starts from a guess (the state
-its neighbour's last bytes lead to), and a scan composes the chunks' maps, evaluating a map
-anew only where a guess was wrong. All chunks of a batch step through the table together.
+only. A pre-token longer than ``CHUNK`` bytes is cut: a chunk's map is first known at one state
+(the one that its neighbour's last bytes lead to), and the maps compose pairwise, level by level,
+as in the up-sweep of a parallel prefix scan; where a left map ends in a state at which the right
+one isn't known yet, the right one is evaluated there. All chunks of a batch step through the
+table together. A long text takes a number of levels logarithmic in its length.
 """
 
 from __future__ import annotations
@@ -228,10 +230,23 @@ class CountTransducer:
         later = np.flatnonzero(k > 0)
         entry[later] = self.run(data, at[later] - WARM, np.full(len(later), WARM), np.zeros(len(later), np.int64))[0]
         state, found = self.run(data, at, length, entry)
-        while len(wrong := later[entry[later] != state[later - 1]]):  # compose: where a guess was wrong, evaluate the map there
-            entry[wrong] = state[wrong - 1]
-            state[wrong], found[wrong] = self.run(data, at[wrong], length[wrong], entry[wrong])
-        return np.bincount(owner, found, len(size)).astype(np.int64)
+        return self.compose(data, owner, k, at, length, entry, state, found)
+
+    def compose(self, data, owner, k, at, length, entry, state, found) -> np.ndarray:
+        """Tokens of each pre-token from its chunks' maps, in order: (start, length, entry, exit, change in count)."""
+        while k.max(initial=0):
+            right = np.flatnonzero(k & 1)
+            left = right - 1
+            wrong = right[entry[right] != state[left]]
+            if len(wrong):
+                entry[wrong] = state[wrong - 1]
+                state[wrong], found[wrong] = self.run(data, at[wrong], length[wrong], entry[wrong])
+            state[left] = state[right]
+            found[left] += found[right]
+            length[left] += length[right]
+            kept = np.flatnonzero((k & 1) == 0)
+            owner, k, at, length, entry, state, found = owner[kept], k[kept] >> 1, at[kept], length[kept], entry[kept], state[kept], found[kept]
+        return found.astype(np.int64)
 
 
 _LOADED: dict[str, CountTransducer] = {}
@@ -279,7 +294,8 @@ def _counter(path: str):
 def count_tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every row of ``docs(doc_id, text)``; null text counts as empty.
 
-    A map without a shuffle. Rows that repeat are counted each; other columns are ignored.
+    A map without a shuffle. Rows that repeat are counted each, whatever their ids; a text of any
+    length is cut into chunks that are stepped through together; other columns are ignored.
     """
     small_batches(docs.sparkSession)
     return id_text(docs).mapInArrow(_counter(tokenizer), schema(ROWS))
