@@ -8,6 +8,7 @@ are in the ledger too: they are not scanned again.
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,13 +16,14 @@ from pyspark.sql import functions as F
 
 from .common import new_path, table
 
-RULES_VERSION = "1"
 #: Fixed patterns, in the order in which kinds are listed: (kind, pattern, group that must be so long, least length).
 RULES = (
     ("assign", "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
     ("access", "AKIA[A-Z0-9]+", 0, 20),
     ("hex", "[0-9a-f]{24,}", 0, 24),
 )
+#: Rules that change have another version, so blobs are scanned again.
+RULES_VERSION = hashlib.sha256(repr(RULES).encode()).hexdigest()[:16]
 SPANS = "array<struct<start:int,ord:int,kind:string,last:int>>"
 LEDGER = "blob string, rules string, spans array<struct<start:int,ord:int,kind:string,last:int>>"
 
@@ -65,13 +67,18 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 def scan_new(versions: DataFrame, ledger_path: str, rules: str = RULES_VERSION) -> DataFrame:
     """Scan the blobs of ``versions(blob, text)`` that the ledger lacks under these rules; returns the ledger.
 
+    The ledger is partitioned by rules version, so a run reads the blobs of its own rules alone.
     Copies of a blob meet in one row by partial aggregation before the shuffle, so a blob that a
     third of all paths share costs one row per map task.
     """
     spark = versions.sparkSession
     known = read_ledger(spark, ledger_path).where(F.col("rules") == rules).select("blob")
-    unseen = versions.join(known, "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text"))
-    unseen.select("blob", F.lit(rules).alias("rules"), secret_spans(F.col("text")).alias("spans")).write.mode("append").parquet(ledger_path)
+    if not known.isEmpty():  # ids go first, so that texts of known blobs stay where they are
+        fresh = versions.select("blob").distinct().join(known, "blob", "left_anti")
+        versions = versions.join(fresh, "blob", "left_semi")
+    unseen = versions.groupBy("blob").agg(F.first("text").alias("text"))
+    scanned = unseen.select("blob", F.lit(rules).alias("rules"), secret_spans(F.col("text")).alias("spans"))
+    scanned.write.mode("append").partitionBy("rules").parquet(ledger_path)
     return read_ledger(spark, ledger_path).where(F.col("rules") == rules)
 
 
@@ -93,19 +100,23 @@ def spans_text(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, ledger_path: str, mask: str = "[SECRET]", rules: str = RULES_VERSION) -> DataFrame:
-    """``docs`` (all its columns) with every secret replaced by ``mask``; overlapping spans become one mask."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    ledger = scan_new(docs.select(F.sha2(text, 256).alias("blob"), text.alias("text")), ledger_path, rules)
-    hits = ledger.where(F.size("spans") > 0).groupBy(F.col("blob").alias("_blob")).agg(F.first("spans").alias("_spans"))
+    """``docs`` (all its columns, of any names) with every secret replaced by ``mask``.
+
+    Overlapping spans become one mask. Null texts stay null, and rows that repeat stay.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = rows.withColumn("blob", F.sha2("text", 256))
+    ledger = scan_new(rows.select("blob", "text"), ledger_path, rules)
+    hits = ledger.where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans"))
 
     def add(state, x):
         fresh = x["start"] >= state["at"]
         piece = F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, x["start"] - state["at"]), F.lit(mask))
         return F.struct(F.greatest(state["at"], x["last"]).alias("at"), F.when(fresh, piece).otherwise(state["out"]).alias("out"))
 
-    masked = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length(F.col("text")))))
-    joined = docs.join(hits, F.sha2(text, 256) == F.col("_blob"), "left")
-    return joined.select(*(F.when(F.col("_spans").isNotNull(), masked).otherwise(F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns))
+    masked = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length(F.col("text")))))
+    joined = rows.join(hits, "blob", "left").withColumn("masked", F.when(F.col("spans").isNotNull(), masked).otherwise(F.col("row")["text"]))
+    return joined.select(*((F.col("masked") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
