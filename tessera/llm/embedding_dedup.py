@@ -26,7 +26,8 @@ BITS, NEAR = 64, 64
 PASSES, MISS = 12, 0.01
 #: How far the cosine of rounded vectors may lie from the exact one.
 SLACK = 0.03
-BLOCK = 1024
+#: Vectors of a component's block on average; two blocks meet in one task.
+BLOCK = 512
 
 
 def n_passes(n: int, threshold: float) -> int:
@@ -45,7 +46,13 @@ def _record(dim: int) -> np.dtype:
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.array(column.flatten(), dtype=np.float64).reshape(-1, dim)
+    return unit(np.array(column.flatten(), dtype=np.float64).reshape(-1, dim))
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length one; scaled by their largest part first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _projector(dim: int, passes: int):
@@ -58,7 +65,6 @@ def _projector(dim: int, passes: int):
             if not batch.num_rows:
                 continue
             x = _matrix(batch.column(1), dim)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
             out = np.zeros((passes, len(x)), kind)
             out["node"] = batch.column(0).to_numpy(zero_copy_only=False)
             out["rounded"] = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 127)
@@ -120,8 +126,7 @@ def _confirmer(threshold: float):
                 continue
             dim = len(batch.column(2)[0])
             x, y = (_matrix(batch.column(k), dim) for k in (2, 3))
-            cosine = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
-            yield batch.select(["a", "b"]).filter(pa.array(cosine >= threshold))
+            yield batch.select(["a", "b"]).filter(pa.array(np.einsum("ij,ij->i", x, y) >= threshold))
 
     return confirm
 
@@ -130,8 +135,7 @@ def _linker(threshold: float):
     """Counts links between (or inside) two blocks of one component."""
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf["embedding"].tolist(), np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = unit(np.array(pdf["embedding"].tolist(), np.float64))
         left, right = ((pdf["block"] == pdf[c]).to_numpy() for c in ("i", "j"))
         weight = pdf["copies"].to_numpy(np.int64)
         linked = x[left] @ x[right].T >= threshold
