@@ -9,7 +9,7 @@ each, so neither the driver nor a task ever holds more than a shard.
 
 from __future__ import annotations
 
-import hashlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -35,99 +35,127 @@ def fold(text: str) -> bytes:
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton over word numbers of ``(item_id, text)`` rows."""
+    """Generalised suffix automaton over word numbers of ``(item_id, text)`` rows.
+
+    Most states have one transition: it stands in two arrays, and a table has the others.
+    """
 
     def __init__(self, items: list[tuple[object, str]], window: int):
         self.window = window
         self.words: dict[bytes, int] = {}
-        self.step: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        ends: list[tuple[str, int, int]] = []
+        self.word, self.to = array("i", [0]), array("i", [0])
+        self.more: dict[int, int] = {}  # state << 32 | word: state
+        self.link, self.length = array("i", [-1]), array("i", [0])
         self.shortest = window
-        here: list[list[str]] = [[]]  # items of which the state's strings end at some place
+        others: dict[int, list[int]] = defaultdict(list)  # words of a state in ``more``
+        ends: list[tuple[int, int, int]] = []
+        here: dict[int, list[int]] = defaultdict(list)  # items of which the state's strings end at some place
+        self.items: list[str] = []
         for item, text in items:
             words = [self.words.setdefault(w, len(self.words) + 1) for w in fold(text).split()]
             if not words:
                 continue
-            last = 0
+            last, number = 0, len(self.items)
+            self.items.append(str(item))
             for w in words:
-                last = self._extend(last, w)
-                while len(here) < len(self.step):
-                    here.append([])
-                if len(words) >= window and (not here[last] or here[last][-1] != str(item)):
-                    here[last].append(str(item))
+                last = self._extend(last, w, others)
+                if len(words) >= window and here[last][-1:] != [number]:
+                    here[last].append(number)
             if len(words) < window:
                 self.shortest = min(self.shortest, len(words))
-                ends.append((str(item), len(words), last))
-        order = sorted(range(1, len(self.step)), key=lambda s: -self.length[s])
-        #: States of window length: the items that hold such a window.
-        self.holders: dict[int, set[str]] = defaultdict(set)
-        up: dict[int, set[str]] = {s: set(x) for s, x in enumerate(here) if x}
-        for s in order:
+                ends.append((number, len(words), last))
+        order = np.argsort(np.frombuffer(self.length, np.int32), kind="stable")
+        #: States of window length: the items that hold such a window, as a place in ``groups``.
+        self.groups: list[tuple[int, ...]] = []
+        self.holder: dict[int, int] = {}
+        place: dict[tuple[int, ...], int] = {}
+        up: dict[int, set[int]] = {s: set(x) for s, x in here.items() if x}
+        for s in order[::-1].tolist():
             if self.length[s] < window:
-                continue
+                break
             mine = up.pop(s, set())
             parent = self.link[s]
-            if self.length[parent] < window:
-                self.holders[s] = mine
-            else:
+            if self.length[parent] >= window:
                 up.setdefault(parent, set()).update(mine)
+                continue
+            group = tuple(sorted(mine))
+            if group not in place:
+                place[group] = len(self.groups)
+                self.groups.append(group)
+            self.holder[s] = place[group]
         #: Per state: short items that are suffixes of its longest string, shortest first.
-        short: dict[int, list[tuple[int, str]]] = defaultdict(list)
+        own: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for item, n, state in ends:
-            short[state].append((n, item))
-        self.short: list[tuple[tuple[int, str], ...]] = [()] * len(self.step)
-        for s in reversed(order):
-            above, own = self.short[self.link[s]], short.get(s)
-            self.short[s] = (*above, *sorted(own)) if own else above
-
-    def _extend(self, last: int, w: int) -> int:
-        if w in self.step[last]:
-            q = self.step[last][w]
-            return q if self.length[q] == self.length[last] + 1 else self._clone(last, w, q)
-        made = len(self.step)
-        self.step.append({})
-        self.length.append(self.length[last] + 1)
-        self.link.append(0)
+            own[state].append((n, item))
+        self.short: dict[int, tuple[tuple[int, int], ...]] = {}
+        for s in order[1:].tolist() if own else ():
+            above = self.short.get(self.link[s], ())
+            if s in own:
+                above = (*above, *sorted(own[s]))
+            if above:
+                self.short[s] = above
+
+    def _get(self, state: int, w: int) -> int:
+        """Where a word leads; 0: nowhere (nothing leads to the root)."""
+        return self.to[state] if self.word[state] == w else self.more.get(state << 32 | w, 0)
+
+    def _set(self, state: int, w: int, to: int, others: dict[int, list[int]]) -> None:
+        if self.word[state] in (0, w):
+            self.word[state], self.to[state] = w, to
+        else:
+            key = state << 32 | w
+            if key not in self.more:
+                others[state].append(w)
+            self.more[key] = to
+
+    def _add(self, length: int, link: int) -> int:
+        for column, value in ((self.word, 0), (self.to, 0), (self.length, length), (self.link, link)):
+            column.append(value)
+        return len(self.link) - 1
+
+    def _extend(self, last: int, w: int, others: dict[int, list[int]]) -> int:
+        if q := self._get(last, w):
+            return q if self.length[q] == self.length[last] + 1 else self._clone(last, w, q, others)
+        made = self._add(self.length[last] + 1, 0)
         p = last
-        while p >= 0 and w not in self.step[p]:
-            self.step[p][w] = made
+        while p >= 0 and not self._get(p, w):
+            self._set(p, w, made, others)
             p = self.link[p]
         if p >= 0:
-            q = self.step[p][w]
-            self.link[made] = q if self.length[q] == self.length[p] + 1 else self._clone(p, w, q)
+            q = self._get(p, w)
+            self.link[made] = q if self.length[q] == self.length[p] + 1 else self._clone(p, w, q, others)
         return made
 
-    def _clone(self, p: int, w: int, q: int) -> int:
-        made = len(self.step)
-        self.step.append(dict(self.step[q]))
-        self.length.append(self.length[p] + 1)
-        self.link.append(self.link[q])
+    def _clone(self, p: int, w: int, q: int, others: dict[int, list[int]]) -> int:
+        made = self._add(self.length[p] + 1, self.link[q])
+        self.word[made], self.to[made] = self.word[q], self.to[q]
+        for v in others.get(q, ()):
+            self._set(made, v, self.more[q << 32 | v], others)
         self.link[q] = made
-        while p >= 0 and self.step[p].get(w) == q:
-            self.step[p][w] = made
+        while p >= 0 and self._get(p, w) == q:
+            self._set(p, w, made, others)
             p = self.link[p]
         return made
 
-    def stream(self, words: list[int], offset: int, spans: list[tuple[int, int]], items: set[str]) -> None:
-        """Matches of a run of known words; adds hit spans [first, last) and items."""
-        step, link, length, window = self.step, self.link, self.length, self.window
+    def stream(self, words: list[int], offset: int, spans: list[tuple[int, int]], items: set[int]) -> None:
+        """Matches of a run of known words; adds hit spans [first, last) and numbers of items."""
+        word, to, more, link, length, window, short = self.word, self.to, self.more, self.link, self.length, self.window, self.short
         state = matched = 0
         for k, w in enumerate(words, offset + 1):
-            while state and w not in step[state]:
+            while not (step := to[state] if word[state] == w else more.get(state << 32 | w, 0)) and state:
                 state = link[state]
                 matched = length[state]
-            if w in step[state]:
-                state = step[state][w]
+            if step:
+                state = step
                 matched += 1
             if matched >= window:
                 top = state
                 while length[link[top]] >= window:
                     top = link[top]
-                items |= self.holders[top]
+                items.update(self.groups[self.holder[top]])
                 spans.append((k - window, k))
-            if self.short[state]:
-                for n, item in self.short[state]:
+            if state in short:
+                for n, item in short[state]:
                     if n <= matched:
                         items.add(item)
                         spans.append((k - n, k))
@@ -135,14 +163,14 @@ class SuffixAutomaton:
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Disjoint hit spans, ascending, and the items met."""
         spans: list[tuple[int, int]] = []
-        items: set[str] = set()
+        items: set[int] = set()
         get = self.words.get
         ids = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
         edge = np.flatnonzero(np.diff(np.concatenate([[0], ids != 0, [0]])))
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
             if b - a >= self.shortest:
                 self.stream(ids[a:b].tolist(), a, spans, items)
-        return merge(spans), items
+        return merge(spans), {self.items[k] for k in items}
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -157,9 +185,9 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def shards(items: DataFrame, shard_bytes: int = SHARD_BYTES) -> Iterator[list[tuple[object, str]]]:
-    """Item rows in lists of at most ``shard_bytes`` of text (or one longer item), one list at a time."""
+    """Item rows with an id in lists of at most ``shard_bytes`` of text (or one longer item), one list at a time."""
     rows, size = [], 0
-    for r in items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).toLocalIterator(prefetchPartitions=False):
+    for r in items.where("item_id is not null").select("item_id", F.coalesce("text", F.lit("")).alias("text")).toLocalIterator(prefetchPartitions=False):
         n = len(r.text.encode("utf-8", "surrogatepass"))
         if rows and size + n > shard_bytes:
             yield rows
@@ -304,7 +332,7 @@ WITH d AS (
 ), w AS (
     SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM d
 ), b AS (
-    SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM benchmark
+    SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM benchmark WHERE item_id IS NOT NULL
 ), windows AS (
     SELECT DISTINCT item_id, least(10, len(words)) AS n, array_to_string(words[k : k + least(10, len(words)) - 1], ' ') AS key
     FROM (SELECT item_id, words, unnest(range(1, len(words) - least(10, len(words)) + 2)) AS k FROM b WHERE len(words) > 0)
