@@ -4,19 +4,24 @@ A page is a stream of block tags and texts. Repeats inside it fold into groups;
 of one host are aligned one after another into one wrapper, a union-free regular expression:
 what only some pages have becomes optional, adjacent likenesses become repeated groups, and
 texts that differ become slots. Tasks infer wrappers of the pages they hold, and wrappers of one
-host are aligned with each other in two rounds (spread over salts first, so a host with a third
-of all pages meets in small parts). The wrapper then says which slots belong to the article, and
-every page is read through the wrapper of its host.
+host are aligned with each other in rounds, ``FAN`` tasks' at a time, so a host with a third of
+all pages meets in small parts. The wrapper counts on how many pages each of its texts stands. A
+text that all pages of a host share is furniture: it can't make an element the article's place,
+and where no element names the article, slots are the article, and shared texts and links aren't.
+Every page is read through the wrapper of its host.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +31,13 @@ from .common import materialise, schema, small_batches, table
 
 #: Longest repeat, in tokens, that folds into a group.
 PERIOD = 24
-SALTS = 16
+#: Wrappers of one host that a round aligns in a task; parts in which the pages of a common host meet its wrapper.
+FAN, SALTS = 16, 16
+#: Products of lengths up to which streams are aligned by the longest common blocks; longer ones are parted at tokens that both hold once.
+SMALL, PIECE = 40_000, 200
 #: Wrappers of all hosts are broadcast up to so many bytes; beyond that they are joined by host and salt.
 BROADCAST_BYTES = 32 << 20
-WRAPPERS = "host string, salt int, pages long, wrapper string"
+WRAPPERS = "host string, salt long, pages long, wrapper string"
 
 #: Elements that break lines, of which some end where a sibling starts.
 BLOCKS = set(
@@ -56,7 +64,7 @@ _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _DIGITS = re.compile(r"\d+")
 _WORDS = re.compile(r"[a-z]+")
-SIG, UNIT, OPTIONAL, CONSTANT, CHARS, LINKED, AT = range(7)
+SIG, UNIT, OPTIONAL, CONSTANT, CHARS, LINKED, PAGES, AT = range(8)
 
 
 def _signature(name: str, attributes: str) -> str:
@@ -81,7 +89,7 @@ def page_stream(source: str | None) -> tuple[list[list], list[str]]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            items.append(["#", None, False, zlib.crc32(text.encode("utf-8", "surrogatepass")), len(text), min(linked, len(text)), [len(texts)]])
+            items.append(["#", None, False, zlib.crc32(text.encode("utf-8", "surrogatepass")), len(text), min(linked, len(text)), 1, [len(texts)]])
             texts.append(text)
         parts.clear()
         linked = 0
@@ -106,9 +114,9 @@ def page_stream(source: str | None) -> tuple[list[list], list[str]]:
             flush()
             if name in SILENT or closing and name in OPEN_ENDED:
                 if closing and name in OPEN_ENDED and name != "hr":
-                    items.append(["/" + name, None, False, None, 0, 0, []])
+                    items.append(["/" + name, None, False, None, 0, 0, 1, []])
                 continue
-            items.append(["/" + name if closing else _signature(name, m[4] or ""), None, False, None, 0, 0, []])
+            items.append(["/" + name if closing else _signature(name, m[4] or ""), None, False, None, 0, 0, 1, []])
     flush()
     # An end tag that a sibling's start implies carries nothing.
     kept = [x for x in items if not (x[SIG][0] == "/" and x[SIG][1:] in OPEN_ENDED and x[SIG] not in ("/td", "/th"))]
@@ -130,10 +138,11 @@ def _balanced(unit: list[list]) -> bool:
     return not stack
 
 
-def _join(a: list, b: list) -> list:
-    """Two items of one signature as one."""
-    unit = None if a[UNIT] is None else [_join(x, y) for x, y in zip(a[UNIT], b[UNIT], strict=True)]
-    return [a[SIG], unit, a[OPTIONAL] or b[OPTIONAL], a[CONSTANT] if a[CONSTANT] == b[CONSTANT] else None, a[CHARS] + b[CHARS], a[LINKED] + b[LINKED], a[AT] + b[AT]]
+def _join(a: list, b: list, apart: bool = False) -> list:
+    """Two items of one signature as one; ``apart``: they stand on different pages."""
+    unit = None if a[UNIT] is None else [_join(x, y, apart) for x, y in zip(a[UNIT], b[UNIT], strict=True)]
+    pages = a[PAGES] + b[PAGES] if apart else max(a[PAGES], b[PAGES])
+    return [a[SIG], unit, a[OPTIONAL] or b[OPTIONAL], a[CONSTANT] if a[CONSTANT] == b[CONSTANT] else None, a[CHARS] + b[CHARS], a[LINKED] + b[LINKED], pages, a[AT] + b[AT]]
 
 
 def _group(units: list[list[list]]) -> list:
@@ -141,7 +150,7 @@ def _group(units: list[list[list]]) -> list:
     unit = [list(x) for x in units[0]]
     for more in units[1:]:
         unit = [_join(x, y) for x, y in zip(unit, more, strict=True)]
-    return ["(" + " ; ".join(x[SIG] for x in unit) + ")+", unit, False, None, 0, 0, []]
+    return ["(" + " ; ".join(x[SIG] for x in unit) + ")+", unit, False, None, 0, 0, max(x[PAGES] for x in unit), []]
 
 
 def fold(items: list[list]) -> list[list]:
@@ -203,19 +212,72 @@ def regroup(items: list[list], units: dict[tuple[str, ...], None]) -> list[list]
     return fold(items)
 
 
+def _anchors(left: list[str], right: list[str]) -> list[tuple[int, int]]:
+    """Places of tokens that stand once on both sides, rising on both."""
+    once = [{x: k for k, x in enumerate(side)} for side in (left, right)]
+    counts = [Counter(side) for side in (left, right)]
+    both = [(k, once[1][x]) for x, k in once[0].items() if counts[0][x] == 1 and counts[1].get(x) == 1]
+    both.sort()
+    tops: list[int] = []  # the longest rising run: patience
+    last: list[int] = []
+    before: list[int] = []
+    for n, (_, j) in enumerate(both):
+        at = bisect.bisect_left(tops, j)
+        before.append(last[at - 1] if at else -1)
+        tops[at : at + 1], last[at : at + 1] = [j], [n]
+    out, n = [], last[-1] if last else -1
+    while n >= 0:
+        out.append(both[n])
+        n = before[n]
+    return out[::-1]
+
+
+def matches(left: list[str], right: list[str]) -> list[tuple[int, int]]:
+    """Pairs of places that an alignment of two streams matches, rising; in time near linear."""
+    out: list[tuple[int, int]] = []
+    open_ = [(0, len(left), 0, len(right))]
+    while open_:
+        i, j, k, m = open_.pop()
+        while i < j and k < m and left[i] == right[k]:
+            out.append((i, k))
+            i, k = i + 1, k + 1
+        while i < j and k < m and left[j - 1] == right[m - 1]:
+            j, m = j - 1, m - 1
+            out.append((j, m))
+        if i == j or k == m:
+            continue
+        if (j - i) * (m - k) <= SMALL:
+            out += [(i + a + d, k + b + d) for a, b, n in SequenceMatcher(None, left[i:j], right[k:m], autojunk=False).get_matching_blocks() for d in range(n)]
+            continue
+        anchors = _anchors(left[i:j], right[k:m])
+        if not anchors:  # nothing stands once: parts of equal shares
+            parts = max(-(-(j - i) // PIECE), -(-(m - k) // PIECE), 2)
+            cuts = [(i + (j - i) * p // parts, k + (m - k) * p // parts) for p in range(parts + 1)]
+            open_ += [(a, c, b, d) for (a, b), (c, d) in pairwise(cuts)]
+            continue
+        a, b = i, k
+        for x, y in anchors:
+            out.append((i + x, k + y))
+            open_.append((a, i + x, b, k + y))
+            a, b = i + x + 1, k + y + 1
+        open_.append((a, j, b, m))
+    return sorted(out)
+
+
 def align(wrapper: list[list], other: list[list]) -> list[list]:
     """The wrapper of both: mismatches become optional, differing texts become slots."""
     units = _units(wrapper) | _units(other)
     a, b = regroup(wrapper, units), regroup(other, units)
     left, right = [x[SIG] for x in a], [x[SIG] for x in b]
     if left == right:
-        return [_join(x, y) for x, y in zip(a, b, strict=True)]
+        return [_join(x, y, True) for x, y in zip(a, b, strict=True)]
     out: list[list] = []
-    for _, i, j, k, m in SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
-        if left[i:j] == right[k:m]:
-            out += [_join(x, y) for x, y in zip(a[i:j], b[k:m], strict=True)]
-        else:
-            out += [[*x[:OPTIONAL], True, *x[CONSTANT:]] for x in (*a[i:j], *b[k:m])]
+    i = k = 0
+    for j, m in [*matches(left, right), (len(a), len(b))]:
+        out += [[*x[:OPTIONAL], True, *x[CONSTANT:]] for x in (*a[i:j], *b[k:m])]
+        if j < len(a):
+            out.append(_join(a[j], b[m], True))
+        i, k = j + 1, m + 1
     return fold(out)
 
 
@@ -277,23 +339,28 @@ def _place(path: tuple[str, ...]) -> tuple[bool, int, bool]:
     return dropped, region, bool(path) and bool(re.match("h[1-6]", path[-1]))
 
 
-def best_region(items: list[list]) -> int:
-    """The most telling kind of region that holds text."""
-    return min((region for x, path in _paths(items) for dropped, region, _ in [_place(path)] if not dropped and x[CHARS]), default=9)
+def is_fixed(item: list, pages: int) -> bool:
+    """Whether all pages of a host show this one text there."""
+    return pages > 0 and item[CONSTANT] is not None and item[PAGES] >= pages
+
+
+def best_region(items: list[list], pages: int) -> int:
+    """The most telling kind of region that holds text of the pages' own."""
+    return min((region for x, path in _paths(items) for dropped, region, _ in [_place(path)] if not dropped and x[CHARS] and not is_fixed(x, pages)), default=9)
 
 
 def is_main(item: list, path: tuple[str, ...], region: int, pages: int) -> bool:
     """Whether a slot belongs to the article, in a host whose articles stand in ``region``.
 
-    Where no element names the article, links and texts that all pages of the host share are none.
+    Where no element names the article, links and texts that all ``pages`` of the host share are
+    none (0: too few different pages to tell).
     """
     dropped, own, heading = _place(path)
     if dropped or own > region:
         return False
     if region < 9:
         return True
-    fixed = item[CONSTANT] is not None and pages > 2 and not heading
-    return not fixed and 2 * item[LINKED] <= item[CHARS]
+    return (heading or not is_fixed(item, pages)) and 2 * item[LINKED] <= item[CHARS]
 
 
 class Wrapper:
@@ -302,7 +369,7 @@ class Wrapper:
     def __init__(self, text: str | None, pages: int):
         self.pages = pages
         self.items = json.loads(text) if text else []
-        self.region = best_region(self.items)
+        self.region = best_region(self.items, pages)
         self.units = _units(self.items)
         self.known: dict[tuple[str, ...], list[tuple[int, int]]] = {}
         self.sigs = [x[SIG] for x in self.items]
@@ -325,10 +392,9 @@ class Wrapper:
         if sigs not in self.known:
             if len(self.known) > 4096:
                 self.known.clear()
-            pairs = [(i + d, j + d) for i, j, n in SequenceMatcher(None, self.sigs, sigs, autojunk=False).get_matching_blocks() for d in range(n)]
-            self.known[sigs] = pairs
+            self.known[sigs] = matches(self.sigs, list(sigs))
         met = {j: i for i, j in self.known[sigs]}
-        own = self._flags(items)
+        own = self._flags(items) if len(met) < len(items) else ()
         keep: list[int] = []
 
         def places(x: list) -> list[list[int]]:
@@ -338,49 +404,59 @@ class Wrapper:
             flags = self.flags[met[j]] if j in met else own[j]
             keep += [k for at, flag in zip(places(x), flags, strict=True) if flag for k in at]
         if not keep:  # a page of another kind than its host's: read alone
-            main = {k for x, path in _paths(stream) if is_main(x, path, best_region(stream), 1) for k in x[AT]}
+            main = {k for x, path in _paths(stream) if is_main(x, path, best_region(stream, 0), 0) for k in x[AT]}
             keep = list(main)
         return "\n".join(texts[k] for k in sorted(keep))
 
 
 def _inferrer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Wrappers of the hosts in a task's pages: a row per host and salt."""
+    """Wrappers of the hosts in a task's pages."""
     found: dict[str, tuple[list[list], int]] = {}
-    salt = None
+    salt = 0
     for batch in batches:
-        for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for host, source, salt in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "salt")), strict=True):  # noqa: B007
             items = _bare(fold(page_stream(source)[0]))
             old = found.get(host)
             found[host] = (items, 1) if old is None else (align(old[0], items), old[1] + 1)
-            salt = zlib.crc32((source or "")[:64].encode("utf-8", "surrogatepass")) % SALTS if salt is None else salt
-    yield from _wrapper_rows(found, salt or 0)
+    for host, (items, pages) in found.items():
+        yield _wrapper_row(host, salt, pages, items)
 
 
-def _wrapper_rows(found: dict[str, tuple[list[list], int]], salt: int) -> Iterator[pa.RecordBatch]:
-    hosts = list(found)
-    yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([salt] * len(hosts), pa.int32()), pa.array([found[h][1] for h in hosts], pa.int64()), pa.array([json.dumps(found[h][0]) for h in hosts], pa.string())], ["host", "salt", "pages", "wrapper"])
+def _wrapper_row(host: str, salt: int, pages: int, items: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([salt], pa.int64()), pa.array([pages], pa.int64()), pa.array([json.dumps(items)], pa.string())], ["host", "salt", "pages", "wrapper"])
 
 
 def _merger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Aligns the wrappers of each host, which stand side by side."""
-    host, items, pages, open_ = None, [], 0, False
+    """Aligns the wrappers of each host and salt, which stand side by side."""
+    key, items, pages = None, [], 0
     for batch in batches:
-        for h, n, text in zip(*(batch.column(c).to_pylist() for c in ("host", "pages", "wrapper")), strict=True):
-            if open_ and h == host:
+        for host, salt, n, text in zip(*(batch.column(c).to_pylist() for c in ("host", "salt", "pages", "wrapper")), strict=True):
+            if key == (host, salt):
                 items, pages = align(items, json.loads(text)), pages + n
                 continue
-            if open_:
-                yield from _wrapper_rows({host: (items, pages)}, 0)
-            host, items, pages, open_ = h, json.loads(text), n, True
-    if open_:
-        yield from _wrapper_rows({host: (items, pages)}, 0)
+            if key is not None:
+                yield _wrapper_row(*key, pages, items)
+            key, items, pages = (host, salt), json.loads(text), n
+    if key is not None:
+        yield _wrapper_row(*key, pages, items)
 
 
 def host_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, salt, pages, wrapper) for each host of ``pages(host, html)``, over all its pages."""
-    parts = pages.select("host", "html").mapInArrow(_inferrer, schema(WRAPPERS))
-    once = parts.repartition("host", "salt").sortWithinPartitions("host", "salt", "wrapper").mapInArrow(_merger, schema(WRAPPERS))
-    return materialise(once.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_merger, schema(WRAPPERS)), "wrappers")
+    """(host, pages, wrapper) for each host of ``pages(host, html)``, over all its pages.
+
+    ``pages`` is 0 where a host has no more than two different pages, so that none can tell
+    furniture from text. Rounds go on until one task's share holds all of a host's wrappers.
+    """
+    # A task's number is its salt: the parts of a host are as many as tasks that met it.
+    parts = pages.select("host", "html", F.spark_partition_id().cast("long").alias("salt")).mapInArrow(_inferrer, schema(WRAPPERS))
+    parts, last = materialise(parts, "wrappers"), False
+    while not last:
+        last = (parts.agg(F.max("salt")).head()[0] or 0) < FAN
+        dealt = parts.withColumn("salt", F.floor(F.col("salt") / FAN)).repartition("host", "salt").sortWithinPartitions("host", "salt", "wrapper")
+        parts = materialise(dealt.mapInArrow(_merger, schema(WRAPPERS)), "wrappers")
+    kinds = pages.groupBy(F.col("host").alias("of"), F.xxhash64("html").alias("kind")).agg(F.lit(1).alias("one")).groupBy("of").agg(F.sum("one").alias("kinds"))
+    found = parts.join(kinds, F.col("host") == F.col("of"))
+    return materialise(found.select("host", F.when(F.col("kinds") > 2, F.col("pages")).otherwise(F.lit(0)).alias("pages"), "wrapper"), "wrappers")
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,19 +472,20 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(page_id, url, text) of every row of ``pages(page_id, url, html)``.
 
     ``text``: the blocks of the article, one a line; empty for a null, empty or wordless page.
-    Pages without a host share one wrapper. Rows that repeat stay; other columns are ignored.
+    Pages without a host share one wrapper. Rows that repeat stay, and copies of a page count as
+    one when furniture is told from text; other columns are ignored. A page of any length is
+    aligned in near-linear time.
     """
-    spark = pages.sparkSession
-    small_batches(spark)
+    small_batches(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", host.alias("host"))
     wrappers = host_wrappers(rows)
     size = wrappers.agg(F.coalesce(F.sum(F.octet_length("wrapper") + F.octet_length("host")), F.lit(0))).head()[0]
-    if size <= BROADCAST_BYTES:
+    if size <= broadcast_bytes:
         joined = rows.join(F.broadcast(wrappers.select("host", "pages", "wrapper")), "host", "left")
     else:
         salted = wrappers.select("host", "pages", "wrapper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
