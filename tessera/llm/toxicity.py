@@ -1,11 +1,13 @@
 """Toxicity by weak supervision (operator 10).
 
-Many voters mark a text or abstain: words and word beginnings of a lexicon, some given and the
-rest mined from labelled rows, and patterns such as how many lexicon words occur and how dense
-they are. A generative label model holds each voter's firing rates in toxic and clean texts,
-fitted by expectation maximisation, and discounts voters by their correlations within a class,
-so that voters which repeat each other count once; the given labels are one more, noisy voter. A
-linear classifier is trained on the posterior labels and scores all documents.
+Many voters call a text toxic, clean, or abstain: words and word beginnings of a lexicon, some
+given and the rest mined from labelled rows, and patterns such as how many lexicon words occur and
+how dense they are. A generative label model holds each voter's chances of its three votes in
+toxic and clean texts (its accuracy) and, along a tree of the most dependent pairs within the
+classes, how they depend on another voter's vote (their correlations), so that voters which repeat
+each other count once. It is fitted by expectation maximisation; the given labels are one more
+voter, whose accuracy is estimated too. A linear classifier is trained on the posterior labels
+and scores all documents.
 """
 
 from __future__ import annotations
@@ -69,6 +71,20 @@ class Voters:
         self.known: dict[bytes, tuple[int, ...]] = {}
         self.size = len(self.marks) + 9
 
+    def votes(self, fired: np.ndarray) -> np.ndarray:
+        """Votes of rows of fired marks: 1 toxic, -1 clean (no mark at all; marks that are sparse), 0 abstains."""
+        out = (fired > 0).astype(np.int8)
+        n = len(self.marks)
+        out[:, n] = np.where(fired[:, n] > 0, 1, -1)
+        out[:, n + 6] = np.where(fired[:, n + 6] > 0, 1, np.where(fired[:, n] > 0, 0, -1))
+        return out
+
+    def plain_weights(self) -> np.ndarray:
+        """Weights where nothing is known but the given lexicon: texts without its words score 0.05."""
+        w = np.zeros(self.size + 1)
+        w[: len(INSULTS)], w[-1] = 1.5, np.log(0.05 / 0.95)
+        return w
+
     def of_word(self, word: bytes) -> tuple[int, ...]:
         hit = self.known.get(word)
         if hit is None:
@@ -109,40 +125,72 @@ def _firer(voters):
 
 
 class LabelModel:
-    """Firing rates of voters in both classes, by expectation maximisation, and their correlations."""
+    """Accuracies and correlations of voters (votes -1, 0, 1), by expectation maximisation.
 
-    def __init__(self, votes: np.ndarray, labels: np.ndarray, rounds: int = 25):
-        share = np.clip(labels.mean() if len(labels) else 0.1, 0.01, 0.99)
-        post = np.where(labels == 1, 0.95, 0.05)  # the labels are a voter too: a noisy one
-        hit, miss = 0.95, 0.02
-        self.weight = np.ones(votes.shape[1])
+    ``gold``: given labels (0 or 1), or None to go by the voters alone. ``posterior``: how likely
+    each text is toxic; ``accuracy``: how often a voter is right where it doesn't abstain;
+    ``parent``: the voter on which each depends (-1: none), with the strength in ``tie``.
+    """
+
+    #: Rows that the priors weigh: of a voter's chances, of its chances given another's vote, of the labels' accuracy.
+    WEIGHT, TIED, GOLD = 2.0, 5.0, 50.0
+
+    def __init__(self, votes: np.ndarray, gold: np.ndarray | None, rounds: int = 20):
+        n, m = votes.shape
+        self.accuracy, self.parent, self.tie = np.full(m, 0.5), np.full(m, -1), np.zeros(m)
+        self.posterior = np.zeros(n)
+        if not n:
+            return
+        state = votes.astype(np.int64) + 1
+        base = np.stack([np.bincount(state[:, j], minlength=3) for j in range(m)]) / n
+        self.posterior = post = np.where(votes.sum(axis=1) > 0, 0.9, 0.05) if gold is None else np.where(gold == 1, 0.9, 0.05)
         for r in range(rounds):
-            self.rate = np.stack([((1 - post) @ votes + 0.5 * votes.mean(axis=0)) / ((1 - post).sum() + 0.5), (post @ votes + 0.5 * votes.mean(axis=0)) / (post.sum() + 0.5)]).clip(1e-4, 1 - 1e-4)
+            share = (post.sum() + 1) / (n + 10)
+            both = np.stack([1 - post, post])
+            chance = np.stack([[np.bincount(state[:, j], w, 3) for j in range(m)] for w in both])
+            chance = (chance + self.WEIGHT * base) / (both.sum(axis=1)[:, None, None] + self.WEIGHT)
+            chance = np.maximum(chance, 1e-6)
             if r in (0, rounds // 2):
-                self.weight = self._discounts(votes, post)
-            share = np.clip(post.mean(), 0.01, 0.99)
-            hit = np.clip((post @ labels) / max(post.sum(), 1e-9), 0.8, 0.98)
-            miss = np.clip(((1 - post) @ labels) / max((1 - post).sum(), 1e-9), 0.005, 0.1)
-            odds = np.log(share / (1 - share)) + self.evidence(votes) + np.where(labels == 1, np.log(hit / miss), np.log((1 - hit) / (1 - miss)))
+                self._ties(votes > 0, post)
+            odds = np.full(n, np.log(share / (1 - share)))
+            for j in range(m):
+                if (k := self.parent[j]) < 0:
+                    odds += np.log(chance[1, j] / chance[0, j])[state[:, j]]
+                    continue
+                cell = state[:, k] * 3 + state[:, j]
+                met = np.stack([np.bincount(cell, w, 9).reshape(3, 3) for w in both])
+                given = (met + self.TIED * chance[:, j, None]) / (met.sum(axis=2, keepdims=True) + self.TIED)
+                odds += np.log(given[1] / given[0]).ravel()[cell]
+            if gold is not None:
+                hit = [(w @ gold + self.GOLD * prior) / (w.sum() + self.GOLD) for w, prior in zip(both, (0.02, 0.95), strict=True)]
+                odds += np.where(gold == 1, np.log(hit[1] / hit[0]), np.log((1 - hit[1]) / (1 - hit[0])))
             post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        right = chance[1, :, 2] * share + chance[0, :, 0] * (1 - share)
+        self.accuracy = right / (right + chance[0, :, 2] * (1 - share) + chance[1, :, 0] * share)
         self.posterior = post
 
-    def evidence(self, votes: np.ndarray) -> np.ndarray:
-        fire = np.log(self.rate[1] / self.rate[0]) * self.weight
-        rest = np.log((1 - self.rate[1]) / (1 - self.rate[0])) * self.weight
-        return votes @ (fire - rest) + rest.sum()
-
-    def _discounts(self, votes: np.ndarray, post: np.ndarray) -> np.ndarray:
-        """1 / (1 + sum of a voter's correlations with others within the classes)."""
-        spread = np.zeros((votes.shape[1],) * 2)
-        for k, p in enumerate((1 - post, post)):
-            z = votes - self.rate[k]
-            spread += (z * p[:, None]).T @ z
-        scale = np.sqrt(np.diag(spread)) + 1e-9
-        tie = np.abs(spread / np.outer(scale, scale))
-        np.fill_diagonal(tie, 0)
-        tie[tie < 0.1] = 0
-        return 1 / (1 + tie.sum(axis=1))
+    def _ties(self, fired: np.ndarray, post: np.ndarray) -> None:
+        """The forest of voters with the largest mutual information within the classes."""
+        n, m = fired.shape
+        x = fired.astype(np.float32)
+        info = np.zeros((m, m))
+        for w in (1 - post, post):
+            total = w.sum() + 1e-9
+            on = (w @ x) / total
+            pair = (x * w[:, None].astype(np.float32)).T @ x / total
+            cells = ((pair, on[:, None], on[None]), (on[:, None] - pair, on[:, None], 1 - on[None]), (on[None] - pair, 1 - on[:, None], on[None]), (1 - on[:, None] - on[None] + pair, 1 - on[:, None], 1 - on[None]))
+            for p, a, b in cells:
+                p = np.maximum(p, 1e-12)
+                info += total / n * p * np.log(p / np.maximum(a * b, 1e-12))
+        np.fill_diagonal(info, 0)
+        best, parent, done = np.full(m, -np.inf), np.full(m, -1), np.zeros(m, bool)
+        for _ in range(m):
+            j = int(np.argmax(np.where(done, -np.inf, np.maximum(best, 0))))
+            done[j] = True
+            closer = ~done & (info[j] > best)
+            best[closer], parent[closer] = info[j][closer], j
+        firm = 2 * n * best > 30  # far beyond chance for a pair
+        self.parent, self.tie = np.where(firm, parent, -1), np.where(firm, best, 0.0)
 
 
 def fit_linear(votes: np.ndarray, target: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -173,24 +221,30 @@ def _scorer(model):
     return score
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held_out: int = 2) -> tuple[Voters, np.ndarray]:
-    """(voters, linear weights), learnt from a bounded sample of labelled documents."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held_out: int = 2, gold: bool = True) -> tuple[Voters, np.ndarray]:
+    """(voters, linear weights), learnt from a bounded sample of labelled documents.
+
+    Without ``gold`` the labels serve to mine the lexicon only, and the voters alone label the sample.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     sample = materialise(labelled_sample(docs, labels, "toxic", folds, held_out).select("doc_id", "label", "text"), "sample")
     voters = Voters(mine_marks(sample))
     shared = spark.sparkContext.broadcast(voters)
     rows = sorted(tuple(r) for r in sample.mapInArrow(_firer(shared), schema("doc_id long, label int, votes binary")).collect())
-    votes = np.stack([np.unpackbits(np.frombuffer(r[2], np.uint8))[: voters.size] for r in rows]).astype(np.float64) if rows else np.zeros((0, voters.size))
-    given = np.array([r[1] for r in rows], np.float64)
-    return voters, fit_linear(votes, LabelModel(votes, given).posterior)
+    if not rows:
+        return voters, voters.plain_weights()
+    fired = np.stack([np.unpackbits(np.frombuffer(r[2], np.uint8))[: voters.size] for r in rows]).astype(np.float64)
+    labels_ = np.array([r[1] for r in rows], np.float64)
+    return voters, fit_linear(fired, LabelModel(voters.votes(fired), labels_ if gold else None).posterior)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, **fit) -> DataFrame:
     """(doc_id, score) of every row of ``docs(doc_id, text)``: how likely ``labels.toxic`` is 1.
 
-    One pass over all texts and three over the sample. Null texts score as empty ones; without
-    labels the given lexicon alone has no weight and scores are one half.
+    One pass over all texts and three over the sample. Null texts score as empty ones, texts of
+    any length are read whole, and rows that repeat or share an id score each; without labels the
+    given lexicon alone decides, and texts without its words score 0.05.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, **fit))
     return id_text(docs).mapInArrow(_scorer(model), schema("doc_id long, score double"))
@@ -201,14 +255,16 @@ def _filterer(model, threshold: float):
         voters, w = model.value
         for batch in batches:
             if batch.num_rows:
-                x = np.stack([voters.fire(t) for t in batch.column("text").to_pylist()])
-                yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))) < threshold))
+                text = batch.column("text")
+                x = np.stack([voters.fire(t) for t in text.to_pylist()])
+                clean = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))) < threshold
+                yield batch.filter(pa.array(clean | text.is_null().to_numpy(zero_copy_only=False)))
 
     return keep
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **fit) -> DataFrame:
-    """``docs`` (all its columns) without the rows that score ``threshold`` or more."""
+    """``docs`` (all its columns) without the rows that score ``threshold`` or more; null texts stay."""
     model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, **fit))
     return docs.mapInArrow(_filterer(model, threshold), docs.schema)
 
