@@ -24,6 +24,8 @@ from .labelled import fold_of, labelled_sample
 
 BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 32, 4, 2
 HIDDEN, EPOCHS = 48, 60
+#: Words of a text that are pooled at once.
+BLOCK = 4096
 KNOWN_WORDS = 500_000
 VECTORS = "bucket int, n long, vector binary"
 _WORD = re.compile(r"\w+|[^\w\s]+")
@@ -120,11 +122,15 @@ def pool(text: str | None, unit: np.ndarray, weight: np.ndarray) -> np.ndarray:
     ids = words(text)
     if not len(ids):
         return np.zeros(4 * DIM + 2, np.float32)
-    v, w = unit[ids], weight[ids, None]
-    mean = v.mean(axis=0)
-    close = (v[1:] * v[:-1]).mean(axis=0) if len(ids) > 1 else np.zeros(DIM, np.float32)
-    rare = (v * w).sum(axis=0) / w.sum()
-    return np.concatenate([mean, v.std(axis=0), close * 4, rare, [np.log1p(len(ids)) / 10, len(np.unique(ids)) / len(ids)]]).astype(np.float32)
+    n, sums, total = len(ids), np.zeros((4, DIM)), 0.0
+    for k in range(0, n, BLOCK):  # a long text's vectors are never all at hand
+        v, w = unit[ids[k : k + BLOCK + 1]], weight[ids[k : k + BLOCK], None]
+        own = v[:BLOCK]
+        sums += own.sum(axis=0), np.einsum("ij,ij->j", own, own), np.einsum("ij,ij->j", v[1:], v[:-1]), (own * w).sum(axis=0)
+        total += w.sum()
+    mean = sums[0] / n
+    spread = np.sqrt(np.maximum(sums[1] / n - mean * mean, 0))
+    return np.concatenate([mean, spread, sums[2] / max(1, n - 1) * 4, sums[3] / total, [np.log1p(n) / 10, len(np.unique(ids)) / n]]).astype(np.float32)
 
 
 def _pooler(tables):
@@ -203,7 +209,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_ou
     """(doc_id, score) of every row of ``docs(doc_id, text)``: how likely ``labels.quality`` is 1.
 
     Two passes over all texts, one for word vectors and one for scores, and one over the labelled
-    sample. Null texts score as empty ones; without labels every score is one half.
+    sample. Null texts score as empty ones, texts of any length are pooled whole, block by block,
+    and rows that repeat or share an id score each; without labels every score is one half.
     """
     spark = docs.sparkSession
     small_batches(spark)
