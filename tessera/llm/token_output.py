@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import tempfile
 import uuid
 import zlib
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import id_text, local_path, new_path, open_store, schema, small_batches, table
 from .encoder import encoder
 
+#: The least 64-bit number: a null doc_id in the files.
+NO_ID = -(1 << 63)
 META = "shard long, n_docs long, n_tokens long, name string"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -45,9 +48,11 @@ def _writer(uri: str, path: str, keeps_space: bool, end_id: int, width: str):
                 continue
             out = out or store.open_output_stream(f"{folder}/{name}.bin")
             ids = [x + end for x in code.encode(batch.column(1).to_pylist())]
+            if width == "<u2" and max(np.frombuffer(x, "<u4").max() for x in ids) >= 1 << 16:
+                raise ValueError("an id needs more than 16 bits: give the tokenizer's vocabulary size")
             sizes = np.fromiter(map(len, ids), "<u8", len(ids)) // 4
             offsets.append(total + np.cumsum(sizes, dtype="<u8"))
-            docs.append(batch.column(0).to_numpy(zero_copy_only=False).astype("<i8"))
+            docs.append(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8"))
             total, rows = total + int(sizes.sum()), rows + len(ids)
             out.write(np.frombuffer(b"".join(ids), "<u4").astype(width).tobytes())
         if not rows:
@@ -65,12 +70,13 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, *, keeps_space: bool
     """Write the ids of all ``docs(doc_id, text)`` in ascending doc_id order; returns the index.
 
     Null texts count as empty, each document ends with ``end_id``, rows with one doc_id stay side
-    by side (in the order of their texts), null ids are an error of the input and are left out.
+    by side (in the order of their texts), and rows with a null id come first (``NO_ID`` stands
+    for it in the files). ``vocab`` sets the width of an id; an id that doesn't fit is an error.
     Only one row per shard comes to the driver.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = id_text(docs).where("doc_id is not null")
+    rows = id_text(docs)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     width = "<u2" if vocab <= 1 << 16 else "<u4"
     done = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(_writer(uri, tokenizer, keeps_space, end_id, width), schema(META))
@@ -92,9 +98,12 @@ def read_index(uri: str) -> list[dict]:
 
 
 def map_shard(uri: str, entry: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Memory-mapped (ids, offsets, doc ids) of a shard; one from another store is fetched first."""
+    """Memory-mapped (ids, offsets, doc ids) of a shard; one from another store is fetched first.
+
+    The copy's files are unlinked once they are mapped, so they go with the arrays.
+    """
     names = [f"{entry['name']}.{s}" for s in ("bin", "off", "doc")]
-    folder = local_path(uri)
+    folder = fetched = local_path(uri)
     if folder is None:
         store, far = open_store(uri)
         folder = tempfile.mkdtemp(prefix="shard-")
@@ -103,7 +112,10 @@ def map_shard(uri: str, entry: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray
                 while block := src.read(1 << 22):
                     dst.write(block)
     kinds = (entry["dtype"], "<u8", "<i8")
-    return tuple(np.memmap(f"{folder}/{x}", d, "r") if os.path.getsize(f"{folder}/{x}") else np.zeros(0, d) for x, d in zip(names, kinds, strict=True))
+    out = tuple(np.memmap(f"{folder}/{x}", d, "r") if os.path.getsize(f"{folder}/{x}") else np.zeros(0, d) for x, d in zip(names, kinds, strict=True))
+    if fetched is None:
+        shutil.rmtree(folder)
+    return out
 
 
 def _reader(uri: str):
@@ -114,7 +126,8 @@ def _reader(uri: str):
                 for a in range(0, len(docs), 4096):
                     part = off[a : a + 4097].astype(np.int64)
                     sums = [zlib.crc32(ids[x:y].astype("<u4").tobytes()) for x, y in zip(part, part[1:], strict=False)]
-                    yield pa.RecordBatch.from_arrays([pa.array(docs[a : a + 4096]), pa.array(part[:-1] + entry["first_token"]), pa.array(np.diff(part)), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    own = np.asarray(docs[a : a + 4096])
+                    yield pa.RecordBatch.from_arrays([pa.array(own, mask=own == NO_ID), pa.array(part[:-1] + entry["first_token"]), pa.array(np.diff(part)), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return read
 
