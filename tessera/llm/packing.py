@@ -94,18 +94,20 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
     return plan
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = 256) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = 50_000) -> DataFrame:
     """Adds sequence_id and offset to ``pieces(doc_id, piece, ..., length)``.
 
     ``pieces`` is read three times: give a written table. The driver gets the histogram (at most
     ``capacity`` counts); the counts per (length, bucket) stay distributed.
     """
     spark = pieces.sparkSession
+    counts = {r[0]: r[1] for r in pieces.groupBy("length").agg(F.count(F.lit(1))).collect()}
+    # Pieces of one length are ranked bucket by bucket, so the most common length is split too.
+    buckets = max(256, max(counts.values(), default=0) // bucket_rows)
     rows = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
     cells = rows.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # at most `buckets` rows a length
-    counts = {r[0]: r[1] for r in pieces.groupBy("length").agg(F.count(F.lit(1))).collect()}
     plan = spark.createDataFrame(best_fit_plan(counts, capacity), PLAN).withColumnRenamed("length", "_length")
     order = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = rows.withColumn("_k", F.row_number().over(order) - 1).join(cells, ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_k"))
@@ -120,7 +122,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = 256) -> Dat
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, keeps_space: bool = False, end_id: int = 0) -> DataFrame:
-    """Pieces of all ``docs`` with their places; null text: the end id alone; an empty table: no rows."""
+    """Pieces of all ``docs`` with their places; null text: the end id alone; an empty table: no rows.
+
+    Rows that repeat or share an id are packed each; a text of any length is cut into pieces.
+    """
     return pack(materialise(token_pieces(docs, tokenizer, keeps_space=keeps_space, end_id=end_id, capacity=capacity), "pieces"), capacity)
 
 
