@@ -18,10 +18,14 @@ BATCH_ROWS = 512
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Where the setting is absent (tests, one machine) a local temporary folder stands in.
+    Where the setting is absent and Spark runs in one process (tests), a local temporary folder
+    stands in; on a cluster, whose executors don't see such a folder, that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,7 +44,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, so that batches of long texts fit in a worker."""
+    """Bound the rows of an Arrow batch, so that batches of long texts fit in a worker.
+
+    Spark bounds a batch's bytes itself (``spark.sql.execution.arrow.maxBytesPerBatch``). Maps run
+    after the operator has returned, so the setting stays in the session; smaller ones are kept.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
