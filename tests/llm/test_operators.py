@@ -326,3 +326,147 @@ def test_decontamination_judges_all_shards_at_once(spark):
     for size in (1, 1 << 20):
         got = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, items, shard_bytes=size).collect()}
         assert set(got) == {2, 3} and got[2].split() == f"{z} {z} {z}".split() and got[3] is None
+
+
+def test_redaction_whatever_the_columns(spark):
+    """Columns named like the operator's own, and a second rules version."""
+    docs = spark.createDataFrame([(1, "password: hunter22", "a", "b", [1], "c"), (1, "password: hunter22", "a", "b", [1], "c"), (2, None, "a", None, None, None), (3, "", None, None, None, "d")], "doc_id long, text string, _blob string, _spans string, spans array<int>, row string")
+    docs = docs.withColumn("blob", F.lit(1)).withColumn("masked", F.lit(2))
+    ledger = common.new_path(spark, "ledger")
+    got = secrets.redact(docs, ledger)
+    assert got.columns == docs.columns and sorted(str(r.text) for r in got.collect()) == ["", "None", "[SECRET]", "[SECRET]"]
+    assert [tuple(r) for r in got.drop("text").where("doc_id = 1").distinct().collect()] == [(1, "a", "b", [1], "c", 1, 2)]
+    n = secrets.read_ledger(spark, ledger).count()
+    changed = docs.unionByName(docs.where("doc_id = 1").limit(1).withColumn("text", F.lit("a later version, token=abcdef")))
+    assert secrets.scan_paths(changed, ledger).where("size(spans) > 0").count() == 3
+    assert secrets.read_ledger(spark, ledger).count() == n + 1  # only the new version was scanned
+    assert secrets.scan_paths(changed, ledger, rules="other").count() == 5 and secrets.read_ledger(spark, ledger).count() == 2 * n + 2
+
+
+def test_chunk_maps_compose(spark):
+    """Pre-tokens of many chunks, with places where a guess is wrong."""
+    rng = np.random.default_rng(4)
+    code = library(BYTES)
+    texts = ["".join(rng.choice(list("abehinorst"), n)) for n in (257, 511, 5_000, 40_001)] + ["ab" * 3000, "the" * 2000 + "x", "=" * 9999]
+    machine = token_counts.CountTransducer(public_tokenizers.path(BYTES))
+    before = token_counts.CHUNK, token_counts.WARM
+    try:
+        for token_counts.CHUNK, token_counts.WARM in ((256, 32), (32, 1)):  # hardly any context: many wrong guesses
+            assert token_counts.count_texts(texts, machine)[1].tolist() == [len(code.encode(t, add_special_tokens=False).ids) for t in texts]
+    finally:
+        token_counts.CHUNK, token_counts.WARM = before
+
+
+def test_embedding_norms_beyond_the_range_of_squares(spark):
+    rows = [(1, [1e200, 2e200]), (2, [1e-200, 2e-200]), (3, [1.0, 2.0]), (4, [-1e300, 1e300]), (5, [-1e-320, 1e-320])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4)}
+
+
+def test_items_without_an_id_give_no_window(spark):
+    docs = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "one two"), ("a", "three")], "item_id string, text string")
+    assert [(r["items"], [tuple(s) for s in r.spans]) for r in decontaminate.find_contamination(docs, items).collect()] == [(["a"], [(2, 3)])]
+
+
+def test_token_files_with_null_ids_and_narrow_widths(spark):
+    docs = spark.createDataFrame([(None, "a b"), (5, "c"), (None, "a b")], "doc_id long, text string")
+    uri = common.new_path(spark, "t")
+    token_output.write_tokens(docs, uri, public_tokenizers.path(BYTES))
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_output.read_tokens(spark, uri).collect())
+    assert got == [(0, None, 3), (3, None, 3), (6, 5, 2)]
+    with pytest.raises(Exception, match="16 bits"):
+        token_output.write_tokens(docs, common.new_path(spark, "t"), public_tokenizers.path(BYTES), end_id=70_000)
+
+
+def bare_page(k, lead="", more=""):
+    """Class names tell nothing; furniture is told by what all pages of the host share."""
+    return f"<html><body><div class=a><p>The same words on every page of this site.</p></div>{lead}<div class=b><p>Story {k} tells of thing {k}.</p>{more}</div><div class=c><p>Contact us at the usual place.</p></div></body></html>"
+
+
+def test_wrappers_decide_where_names_tell_nothing(spark):
+    lone = "<blockquote>Only this page quotes.</blockquote>"
+    fake = "<div class=content><p>All pages show this teaser.</p></div>"
+    rows = [(k, f"http://bare.example/{k}", bare_page(k)) for k in range(5)] + [(9, "http://bare.example/9", bare_page(9, more=lone))]
+    rows += [(10 + k, "http://copies.example/", bare_page(1)) for k in range(3)]
+    rows += [(20 + k, f"http://fake.example/{k}", bare_page(k, lead=fake)) for k in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = "The same words on every page of this site.\nStory 1 tells of thing 1.\nContact us at the usual place."
+    expected = {k: f"Story {k} tells of thing {k}." for k in range(5)} | {9: "Story 9 tells of thing 9.\nOnly this page quotes."}
+    expected |= {10 + k: whole for k in range(3)} | {20 + k: f"Story {k} tells of thing {k}." for k in range(4)}
+    for limit in (1 << 20, 0):  # wrappers broadcast, and joined by host and salt
+        assert {r.page_id: r.text for r in html_wrappers.extract(pages, broadcast_bytes=limit).collect()} == expected
+    alone = html_wrappers.Wrapper(None, 0)
+    assert sum(alone.read(h) != expected[i] for i, _, h in rows) == 10  # pages that the wrappers change
+
+
+def test_a_host_over_many_tasks(spark):
+    pages = spark.createDataFrame([(k, "http://bare.example/", bare_page(k)) for k in range(80)], "page_id long, url string, html string").repartition(40)
+    found = html_wrappers.extract(pages).collect()
+    assert sorted(r.text for r in found) == sorted(f"Story {k} tells of thing {k}." for k in range(80))
+
+
+def test_long_pages_align_in_time():
+    import time
+
+    rng = np.random.default_rng(8)
+    long = lambda c: "".join(f"<{t}>{c}{k}" for k, t in enumerate(rng.choice(["p", "h2", "pre", "blockquote", "h3"], 4000)))
+    streams = [html_wrappers._bare(html_wrappers.fold(html_wrappers.page_stream(long(c))[0])) for c in "xy"]
+    began = time.monotonic()
+    html_wrappers.align(*streams)
+    assert time.monotonic() - began < 20
+    for a, b in (("abcxdef", "abydef"), ("aaaa", "aa"), ("", "a"), ("xyz" * 200, "xzy" * 200)):
+        pairs = html_wrappers.matches(list(a), list(b))
+        assert all(a[i] == b[j] for i, j in pairs) and all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:], strict=False))
+
+
+def test_label_model_recovers_planted_voters():
+    rng = np.random.default_rng(10)
+    n = 6000
+    truth = rng.random(n) < 0.3
+    right = np.array([0.95, 0.9, 0.85, 0.8, 0.75, 0.9])
+    votes = np.where((rng.random((n, 6)) < right) == truth[:, None], 1, -1)
+    votes[:, :5][rng.random((n, 5)) < 0.3] = 0
+    votes = np.concatenate([votes, votes[:, 5:], votes[:, 5:]], axis=1)  # two copies of the last
+    model = toxicity.LabelModel(votes, None)
+    assert np.mean((model.posterior >= 0.5) == truth) > 0.95
+    assert np.allclose(model.accuracy[:6], right, atol=0.07)
+    last = {5, 6, 7}
+    copies = [j for j in last if model.parent[j] in last]
+    assert len(copies) == 2 and model.tie[:5].max() < 0.1 * model.tie[copies].min()  # what is left between the others is weak
+    gold = np.where(rng.random(n) < 0.97, truth, ~truth).astype(float)
+    assert np.mean((toxicity.LabelModel(votes, gold).posterior >= 0.5) == truth) >= np.mean((model.posterior >= 0.5) == truth)
+
+
+def test_networks_and_pooling_against_plain_forms():
+    rng = np.random.default_rng(7)
+    unit, weight = rng.normal(size=(quality.BUCKETS, quality.DIM)).astype(np.float32), rng.random(quality.BUCKETS).astype(np.float32) + 0.1
+    text = " ".join(f"w{k % 777}" for k in range(9001))
+    ids = quality.words(text)
+    v, w = unit[ids].astype(float), weight[ids, None].astype(float)
+    plain = np.concatenate([v.mean(axis=0), v.std(axis=0), (v[1:] * v[:-1]).mean(axis=0) * 4, (v * w).sum(axis=0) / w.sum()])
+    assert np.allclose(quality.pool(text, unit, weight)[:-2], plain, atol=1e-3)
+    x = rng.normal(size=(6000, 4))
+    y = (x[:, 0] * x[:, 1] > 0).astype(int)
+    network = quality.Network(4).fit(x, y)
+    assert np.mean((network.scores(x) >= 0.5) == y) > 0.8
+    assert np.allclose(network.scores(x[:3]), 1 / (1 + np.exp(-network.logits(x[:3]) / network.temperature)))
+
+
+def test_stages_with_nulls_repeats_and_no_rows(spark, small, docs):
+    import corpus_pipeline as P
+
+    plain = docs.withColumn("n_chars", F.length("text")).withColumn("source", F.lit("s"))
+    odd = plain.unionByName(plain).unionByName(plain.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    for given in (odd, plain.limit(0)):
+        rows = given.count()
+        for name, stage in P.STAGES:
+            out = stage(spark, given, small)
+            if name == "packing":
+                assert out.count() >= rows
+                continue
+            assert out.columns == given.columns and out.count() <= rows
+            if name != "near_dedup" and rows:
+                assert out.where("text is null").count() == given.where("text is null").count()
+    none = common.table(spark, small, "labels").limit(0)
+    assert toxicity.drop_toxic(plain, none, P.TOXIC).count() == plain.count()
