@@ -21,29 +21,34 @@ TOXIC = 0.3
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under ``TOXIC``."""
+    """Documents that score under ``TOXIC``, repeated rows as often as they come; null texts stay, and without labels the given lexicon decides."""
     return drop_toxic(docs, table(spark, sf_dir, "labels"), TOXIC)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (five-word shingles, 0.8)."""
+    """The document with the smallest id of each group of near copies (five-word shingles, 0.8).
+
+    A group is a component of links, so a near copy under 0.8 of every other text stays. Documents
+    without words and those with a null id stay. Rows that share a kept id are one document, and
+    all stay.
+    """
     found = near_duplicates(docs)
     keep = found.where((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept"]), "left_semi")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of benchmark items; those that are mostly such passages go."""
+    """Documents without passages of benchmark items; those that are mostly such passages go. Null texts and repeated rows stay."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with secrets masked, through a ledger in the shared folder."""
+    """Documents with secrets masked, through a ledger in the shared folder. Null texts and repeated rows stay."""
     return redact(docs, new_path(spark, "ledger"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces in sequences of 2048 tokens."""
+    """Places of all pieces in sequences of 2048 tokens; a null or empty text is one piece of its end id."""
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
