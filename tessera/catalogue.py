@@ -74,8 +74,7 @@ def pseudobulk_baf(spark: SparkSession, d: str) -> DataFrame:
 @query(B.with_views("sites", "SELECT line, number, feature, spot, ad, dp, oth, CASE WHEN ad = dp THEN '1/1' WHEN ad > 0 AND dp - ad > 0 THEN '0/1' ELSE '0/0' END AS gt FROM sites WHERE dp > 0 AND ((ad >= 2 AND dp - ad >= 2 AND ad >= 0.1 * dp AND ad <= 0.9 * dp) OR (dp >= 10 AND (ad = dp OR ad = 0)))"))
 def info_parse_genotype(spark: SparkSession, d: str) -> DataFrame:
     """Informative sites from INFO strings, with genotypes."""
-    ad, dp, oth = C.info_fields(F.col("info"))
-    rows = B.site_counts(spark, d).select("line", "number", "feature", "spot", ad.alias("ad"), dp.alias("dp"), oth.alias("oth"))
+    rows = B.site_counts(spark, d).select("line", "number", "feature", "spot", C.info_fields(F.col("info")))
     return rows.where(C.informative_snp(F.col("ad"), F.col("dp"))).withColumn("gt", C.genotype(F.col("ad"), F.col("dp")))
 
 
@@ -339,12 +338,6 @@ def kernel_graph(spark: SparkSession, d: str) -> DataFrame:
     return X.weighted_adjacency(B.spots(spark, d), 36.0).withColumn("weight", F.round("weight", 6))
 
 
-@query()
-def adaptive_graph(spark: SparkSession, d: str) -> DataFrame:
-    """Pooling and coupling edges with radii chosen from the spots."""
-    pool, couple = X.adaptive_graph(B.spots(spark, d))
-    return pool.select("src", "dst", F.lit("pool").alias("kind"), F.lit(1.0).alias("weight")).unionByName(couple.select("src", "dst", F.lit("couple").alias("kind"), "weight"))
-
 
 @query("SELECT src, dst, d2 FROM (SELECT a.s_suppkey AS src, b.s_suppkey AS dst, (a.s_suppkey % 10 - b.s_suppkey % 10) ** 2.0 + (a.s_suppkey // 10 - b.s_suppkey // 10) ** 2.0 AS d2, row_number() OVER (PARTITION BY a.s_suppkey, b.s_nationkey ORDER BY (a.s_suppkey % 10 - b.s_suppkey % 10) ** 2.0 + (a.s_suppkey // 10 - b.s_suppkey // 10) ** 2.0, b.s_suppkey) AS r FROM supplier a JOIN supplier b ON abs(a.s_nationkey - b.s_nationkey) = 1 WHERE (a.s_suppkey % 10 - b.s_suppkey % 10) ** 2.0 + (a.s_suppkey // 10 - b.s_suppkey // 10) ** 2.0 <= 16) WHERE r <= 2")
 def slice_knn(spark: SparkSession, d: str) -> DataFrame:
@@ -454,12 +447,6 @@ def forward_llf(spark: SparkSession, d: str) -> DataFrame:
     return H.forward_llf(_observed(spark, d).withColumn("em", H.emission(THREE)), THREE, ["chain"]).withColumn("llf", F.round("llf", 4))
 
 
-@query()
-def posterior_decode(spark: SparkSession, d: str) -> DataFrame:
-    """Posterior state of every row."""
-    post = H.posteriors(_observed(spark, d).withColumn("em", H.emission(THREE)), THREE, ["chain"])
-    return post.select("chain", "t", "state", F.round(F.exp(F.array_max("log_gamma")), 6).alias("posterior"))
-
 
 @query()
 def phased_lattice(spark: SparkSession, d: str) -> DataFrame:
@@ -468,20 +455,6 @@ def phased_lattice(spark: SparkSession, d: str) -> DataFrame:
     return H.posteriors(rows, THREE, ["chain"], switch="switch").select("chain", "t", "state", "phase")
 
 
-@query()
-def transition_update(spark: SparkSession, d: str) -> DataFrame:
-    """Expected transitions, normalised, free and with a tied diagonal."""
-    post = H.posteriors(_observed(spark, d).withColumn("em", H.emission(THREE)), THREE, ["chain"]).persist()
-    rows = [(kind, i, j, float(v)) for kind, tied in (("free", False), ("tied", True)) for i, row in enumerate(H.transition_update(post, 3, tied)) for j, v in enumerate(row)]
-    post.unpersist()
-    return spark.createDataFrame(rows, "kind string, i int, j int, log_p double").withColumn("log_p", F.round("log_p", 6))
-
-
-@query()
-def startprob_update(spark: SparkSession, d: str) -> DataFrame:
-    """Posterior start probabilities."""
-    post = H.posteriors(_observed(spark, d).withColumn("em", H.emission(THREE)), THREE, ["chain"])
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(H.start_update(post, 3))], "state int, log_p double").withColumn("log_p", F.round("log_p", 6))
 
 
 def _fitted(spark: SparkSession, kind: str, found) -> DataFrame:
@@ -615,12 +588,6 @@ def reindex_normal(spark: SparkSession, d: str) -> DataFrame:
     return R.reindex_normal(spots.select("spot", F.col("clone").alias("label")), shares).select("spot", F.col("label").cast("long").alias("label"))
 
 
-@query()
-def near_normal_spots(spark: SparkSession, d: str) -> DataFrame:
-    """Spots whose counts vary least over bins, enough of them."""
-    bins = _in_blocks(spark, d).groupBy("spot", F.col("chr").alias("bin")).agg(F.sum("umi").alias("umi"))
-    return R.near_normal_spots(A.dispersion_over_bins(bins, 22), bins.groupBy("spot").agg(F.sum("umi").alias("n")), 200 * 22)
-
 
 @query()
 def bin_filter_bb(spark: SparkSession, d: str) -> DataFrame:
@@ -635,11 +602,6 @@ def diffexp_filter(spark: SparkSession, d: str) -> DataFrame:
     return R.differential_genes(B.counts(spark, d), B.spots(spark, d).where("clone = 0").select("spot"))
 
 
-@query()
-def lof_outliers(spark: SparkSession, d: str) -> DataFrame:
-    """Local outlier factor of genes' totals."""
-    return R.outlier_features(B.counts(spark, d).groupBy("feature").agg(F.sum("umi").alias("n")))
-
 
 _STATES_SQL = "sx AS (SELECT chain % 4 AS clone, CAST(t % 3 AS INTEGER) AS state, count(*) AS bins, CAST((avg(n) - 50) / 200 AS DOUBLE) AS log_mu, CAST(sum(k) / sum(n) AS DOUBLE) AS p FROM chains GROUP BY ALL)"
 
@@ -690,11 +652,6 @@ def potts_energy(spark: SparkSession, d: str) -> DataFrame:
     return X.potts_energy(edges, labels, 2.0, field).select(F.round("energy", 6).alias("energy"))
 
 
-@query()
-def adjacency_lists(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbour list of every spot."""
-    return X.adjacency_lists(X.weighted_adjacency(B.spots(spark, d), 36.0)).select("src", F.size("neighbours").alias("degree"), F.transform("neighbours", lambda n: n["dst"]).alias("neighbours"))
-
 
 @query()
 def metropolis(spark: SparkSession, d: str) -> DataFrame:
@@ -743,3 +700,6 @@ def cnv_report(spark: SparkSession, d: str) -> DataFrame:
 def inferred_clones(spark: SparkSession, d: str) -> DataFrame:
     """The whole inference on simulated spots: clone, truth and copies of each spot's segments."""
     return P.round_trip(spark, B.spots(spark, d), segments=40, seed=3)
+
+
+from . import catalogue_more  # noqa: E402, F401  registers its queries

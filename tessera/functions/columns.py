@@ -20,14 +20,29 @@ FLOOR = 1e-20
 
 def lgamma(x: Column) -> Column:
     """Log gamma of x > 0: shifted by 8, then Stirling's series."""
-    z = x + F.lit(8.0)
-    shift = x
-    for k in range(1, 8):
-        shift = shift * (x + F.lit(float(k)))
-    r = F.lit(1.0) / z
-    r2 = r * r
-    series = r * (F.lit(1 / 12) - r2 * (F.lit(1 / 360) - r2 * (F.lit(1 / 1260) - r2 * (F.lit(1 / 1680) - r2 * F.lit(1 / 1188)))))
-    return (z - 0.5) * F.log(z) - z + F.lit(0.5 * math.log(2 * math.pi)) + series - F.log(shift)
+    return lgamma_sum([x])
+
+
+def lgamma_sum(plus: list[Column], minus: list[Column] = ()) -> Column:
+    """Sum of the log gammas of ``plus`` less those of ``minus``.
+
+    The series stands once, as a function of a bound variable: written out for each argument, the
+    generated method would grow past what the JVM compiles.
+    """
+
+    def of(x: Column) -> Column:
+        z = x + F.lit(8.0)
+        shift = x
+        for k in range(1, 8):
+            shift = shift * (x + F.lit(float(k)))
+        r2 = F.lit(1.0) / (z * z)
+        series = (F.lit(1 / 12) - r2 * (F.lit(1 / 360) - r2 * (F.lit(1 / 1260) - r2 * (F.lit(1 / 1680) - r2 * F.lit(1 / 1188))))) / z
+        return (z - 0.5) * F.log(z) - z + F.lit(0.5 * math.log(2 * math.pi)) + series - F.log(shift)
+
+    def total(xs: list[Column]) -> Column:
+        return F.aggregate(F.array(*(x.cast("double") for x in xs)), F.lit(0.0), lambda s, x: s + of(x))
+
+    return total(plus) - total(minus) if len(minus) else total(plus)
 
 
 def nb_params(mean: Column, std: Column) -> tuple[Column, Column]:
@@ -39,28 +54,19 @@ def nb_params(mean: Column, std: Column) -> tuple[Column, Column]:
 def nb_logpmf(k: Column, n: Column, p: Column) -> Column:
     """Negative binomial log-probability; 0 where a parameter is out of range."""
     ok = (p > 0) & (p < 1) & (n > 0) & (k >= 0)
-    return F.when(ok, lgamma(k + n) - lgamma(n) - lgamma(k + 1.0) + n * F.log(p) + k * F.log(1 - p)).otherwise(F.lit(0.0))
+    return F.when(ok, lgamma_sum([k + n], [n, k + 1.0]) + n * F.log(p) + k * F.log(1 - p)).otherwise(F.lit(0.0))
 
 
 def bb_logpmf(k: Column, n: Column, a: Column, b: Column) -> Column:
     """Beta-binomial log-probability; 0 where a parameter is out of range."""
     ok = (a > 0) & (b > 0) & (n >= 0) & (k >= 0) & (k <= n)
-    return F.when(ok, bb_zero_point(k, n) + bb_core(k, n, a, b)).otherwise(F.lit(0.0))
-
-
-def bb_zero_point(k: Column, n: Column) -> Column:
-    """The part of the beta-binomial that no parameter enters: log of n choose k."""
-    return lgamma(n + 1.0) - lgamma(k + 1.0) - lgamma(n - k + 1.0)
-
-
-def bb_core(k: Column, n: Column, a: Column, b: Column) -> Column:
-    """The part of the beta-binomial that depends on a and b."""
-    return lgamma(k + a) + lgamma(n - k + b) - lgamma(n + a + b) + lgamma(a + b) - lgamma(a) - lgamma(b)
+    # The first three terms are log of n choose k, which no parameter enters.
+    return F.when(ok, lgamma_sum([n + 1.0, k + a, n - k + b, a + b], [k + 1.0, n - k + 1.0, n + a + b, a, b])).otherwise(F.lit(0.0))
 
 
 def bb_switched(original: Column, k: Column, n: Column, a: Column, b: Column) -> Column:
     """Log-probability under (b, a) from that under (a, b): four terms change."""
-    return original - lgamma(k + a) - lgamma(n - k + b) + lgamma(k + b) + lgamma(n - k + a)
+    return original + lgamma_sum([k + b, n - k + a], [k + a, n - k + b])
 
 
 def nb_emission(count: Column, base: Column, log_mu: Column, alpha: Column, purity: Column | None = None) -> Column:
@@ -72,7 +78,7 @@ def nb_emission(count: Column, base: Column, log_mu: Column, alpha: Column, puri
     grown = alpha * base * rate
     k, n = count.cast("double"), 1 / alpha
     # With variance mean + alpha mean^2 the parameters are 1 / alpha and 1 / (1 + alpha mean).
-    found = lgamma(k + n) - lgamma(n) - lgamma(k + 1.0) + k * F.log(grown) - (k + n) * F.log1p(grown)
+    found = lgamma_sum([k + n], [n, k + 1.0]) + k * F.log(grown) - (k + n) * F.log1p(grown)
     return F.when((base > 0) & (count >= 0), found).otherwise(F.lit(0.0))
 
 
@@ -86,7 +92,7 @@ def nb_state(count: Column, base: Column, log_mu: float, alpha: float, purity: C
     """``nb_emission`` under one state's parameters: what no row enters is a literal."""
     rate = F.lit(math.exp(log_mu)) if purity is None else purity * F.lit(math.exp(log_mu) - 1) + 1.0
     k, n, grown = count.cast("double"), 1 / alpha, F.lit(alpha) * base * rate
-    found = lgamma(k + F.lit(n)) - F.lit(math.lgamma(n)) - lgamma(k + 1.0) + k * F.log(grown) - (k + F.lit(n)) * F.log1p(grown)
+    found = lgamma_sum([k + F.lit(n)], [k + 1.0]) - F.lit(math.lgamma(n)) + k * F.log(grown) - (k + F.lit(n)) * F.log1p(grown)
     return F.when((base > 0) & (count >= 0), found).otherwise(F.lit(0.0))
 
 
@@ -95,13 +101,13 @@ def bb_state(count: Column, depth: Column, p: float, tau: float, purity: Column
     k, n = count.cast("double"), depth.cast("double")
     if purity is None:
         a, b = p * tau, (1 - p) * tau
-        fixed = F.lit(math.lgamma(tau) - math.lgamma(a) - math.lgamma(b))
+        own, fixed = [], F.lit(math.lgamma(tau) - math.lgamma(a) - math.lgamma(b))
         a, b = F.lit(a), F.lit(b)
     else:
         a = purity * F.lit((p - 0.5) * tau) + F.lit(0.5 * tau)
         b = F.lit(tau) - a
-        fixed = F.lit(math.lgamma(tau)) - lgamma(a) - lgamma(b)
-    found = bb_zero_point(k, n) + lgamma(k + a) + lgamma(n - k + b) - lgamma(n + F.lit(float(tau))) + fixed
+        own, fixed = [a, b], F.lit(math.lgamma(tau))
+    found = lgamma_sum([n + 1.0, k + a, n - k + b], [k + 1.0, n - k + 1.0, n + F.lit(float(tau)), *own]) + fixed
     return F.when((depth > 0) & (count >= 0) & (count <= depth), found).otherwise(F.lit(0.0))
 
 
@@ -156,10 +162,11 @@ def copy_colour(major: Column, minor: Column) -> Column:
     return out
 
 
-def info_fields(info: Column) -> tuple[Column, Column, Column]:
-    """AD, DP and OTH of an INFO string, by position."""
+def info_fields(info: Column) -> Column:
+    """Columns ad, dp and oth of an INFO string, by position; a generator, so that a filter on them doesn't parse again."""
     parts = F.split(info, ";")
-    return tuple(F.element_at(F.split(F.element_at(parts, k), "="), -1).cast("long") for k in (1, 2, 3))
+    held = (F.substring_index(parts[k], "=", -1).cast("long").alias(name) for k, name in enumerate(("ad", "dp", "oth")))
+    return F.inline(F.array(F.struct(*held)))
 
 
 def informative_snp(ad: Column, dp: Column, vaf: float = 0.1) -> Column:
@@ -187,14 +194,27 @@ def ellipse_holds(x: Column, y: Column, cx: Column, cy: Column, l11: Column, l12
 
 
 def ellipses_overlap(first: dict[str, Column], second: dict[str, Column], resolution: int = 1000) -> Column:
-    """Whether a boundary point of the first ellipse lies in the second (columns cx, cy, l11, l12, l21, l22)."""
-    def inside(k: Column) -> Column:
-        t = k * F.lit(2 * math.pi / resolution)
-        x = first["cx"] + first["l11"] * F.cos(t) + first["l12"] * F.sin(t)
-        y = first["cy"] + first["l21"] * F.cos(t) + first["l22"] * F.sin(t)
-        return ellipse_holds(x, y, *(second[c] for c in ("cx", "cy", "l11", "l12", "l21", "l22")))
-
-    return F.exists(F.sequence(F.lit(0), F.lit(resolution - 1)), inside)
+    """Whether a boundary point of either ellipse lies in the other (columns cx, cy, l11, l12, l21, l22)."""
+    def inside(one: dict[str, Column], other: dict[str, Column]):
+        def at(k: Column) -> Column:
+            t = k * F.lit(2 * math.pi / resolution)
+            x = one["cx"] + one["l11"] * F.cos(t) + one["l12"] * F.sin(t)
+            y = one["cy"] + one["l21"] * F.cos(t) + one["l22"] * F.sin(t)
+            return ellipse_holds(x, y, *(other[c] for c in ("cx", "cy", "l11", "l12", "l21", "l22")))
+
+        return at
+
+    steps = F.sequence(F.lit(0), F.lit(resolution - 1))
+    return F.exists(steps, inside(first, second)) | F.exists(steps, inside(second, first))
+
+
+def daughter(cx: Column, cy: Column, l: tuple[Column, Column, Column, Column], factor: float, u: Column, v: Column) -> tuple[Column, ...]:
+    """(cx, cy, l11, l12, l21, l22) of an ellipse that grows out of another; u and v are uniform draws.
+
+    Its size is ``factor`` plus up to 0.05, squared; it is moved along x and turned by up to an eighth of a circle.
+    """
+    size = F.lit(factor) + F.lit(0.05) * u
+    return size - 1 + cx, cy, *(size * size * x for x in rotated(l, F.lit(math.pi / 4) * v))
 
 
 def rotated(l: tuple[Column, Column, Column, Column], theta: Column) -> tuple[Column, Column, Column, Column]:

@@ -29,16 +29,27 @@ def bin_phase_sums(blocks: DataFrame, phase: DataFrame, keys: Sequence[str]) ->
     return spans.join(sums, list(keys))
 
 
-def pseudobulk(counts: DataFrame, clones: DataFrame, keys: Sequence[str], least_purity: float | None = None) -> DataFrame:
+def pseudobulk(counts: DataFrame, clones: DataFrame, keys: Sequence[str], least_purity: float | None = None, every: DataFrame | None = None) -> DataFrame:
     """(clone, keys, umi, a, b, n_spots, purity): sums over the spots of each clone.
 
     ``clones``: (spot, clone, tumour); with ``least_purity`` only spots above it count. Clones and
-    keys that never meet have no row (read as zeros).
+    keys that never meet have no row (read as zeros) or, with ``every(clone)``, a row of zeros.
     """
     held = clones if least_purity is None else clones.where(F.col("tumour") > least_purity)
     sizes = held.groupBy("clone").agg(F.count(F.lit(1)).alias("n_spots"), F.avg("tumour").alias("purity"))
     sums = counts.join(held.select("spot", "clone"), "spot").groupBy("clone", *keys).agg(*(F.sum(c).alias(c) for c in ("umi", "a", "b")))
-    return sums.join(sizes, "clone")
+    if every is None:
+        return sums.join(sizes, "clone")
+    grid = counts.select(*keys).distinct().join(F.broadcast(every.select("clone")), how="cross")  # clones are a dimension; the answer has one row for each
+    return grid.join(sums, ["clone", *keys], "left").join(F.broadcast(sizes), "clone", "left").fillna(0, ["umi", "a", "b", "n_spots"])
+
+
+def ordered_by(rows: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
+    """``rows`` with their ``place`` in a list of names, in that order; rows that aren't in the list come last."""
+    spark = rows.sparkSession
+    listed = spark.createDataFrame([(list(names),)], "names array<string>").select(F.posexplode("names").alias("place", key))
+    listed = listed.groupBy(key).agg(F.min("place").alias("place"))
+    return rows.join(listed, key, "left").orderBy(F.col("place").asc_nulls_last(), key)
 
 
 def pooled(counts: DataFrame, edges: DataFrame, keys: Sequence[str], values: Sequence[str] = ("umi", "a", "b")) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -114,3 +114,23 @@ def integer_copies(states: DataFrame, *, most_ploidy: int = 4, diploid: DataFram
     tried = grid.repartition("clone", "ploidy", "restart").mapInPandas(search, RESULT)
     best = tried.groupBy("clone").agg(F.min(F.struct("loss", "ploidy", "restart")).alias("m")).select("clone", F.col("m.ploidy").alias("ploidy"), F.col("m.restart").alias("restart"))
     return tried.join(best, ["clone", "ploidy", "restart"]).select("clone", "ploidy", "restart", "loss", "state", "a", "b")
+
+
+def segment_copies(decoded: DataFrame, copies: DataFrame, bins: DataFrame) -> DataFrame:
+    """(chr, start, end, clone, state, a, b): copies of every bin of every clone, ``bins``: (bin, chr, start, end)."""
+    return decoded.join(copies.select("clone", "state", "a", "b"), ["clone", "state"]).join(bins, "bin").select("chr", "start", "end", "clone", "state", "a", "b")
+
+
+def gene_copies(segments: DataFrame, genes: DataFrame) -> DataFrame:
+    """(gene, clone, a, b) of ``genes(gene, chr, start, …)``: copies of the segment that holds a gene's start."""
+    held = (F.col("g.start") >= F.col("s.start")) & (F.col("g.start") < F.col("s.end"))
+    return genes.alias("g").join(segments.alias("s"), (F.col("g.chr") == F.col("s.chr")) & held).select("g.gene", "s.clone", "s.a", "s.b")
+
+
+def state_copies(copies: DataFrame, clones: Sequence[int]) -> DataFrame:
+    """(state, a_<clone>, b_<clone>, …): clones side by side, for states that all of them have."""
+    out = None
+    for c in clones:
+        own = copies.where(F.col("clone") == c).select("state", F.col("a").alias(f"a_{c}"), F.col("b").alias(f"b_{c}"))
+        out = own if out is None else out.join(own, "state")
+    return out

@@ -23,6 +23,21 @@ if TYPE_CHECKING:
 POINTS, ROUNDS, ZOOM = 9, 7, 0.3
 
 
+#: The settings that each solver takes.
+SOLVERS = {"BFGS": ("xrtol", "disp"), "L-BFGS-B": ("maxiter", "ftol", "disp"), "Nelder-Mead": ("maxiter", "xtol", "ftol", "disp")}
+
+
+def solver_settings(config) -> dict[str, float]:
+    """The settings ``em_<name>`` of ``config.hmm`` that its ``solver`` takes, by name; an error for another solver.
+
+    Fits here search grids: of these settings ``maximise`` takes a round for each of ``maxiter``, up to ``ROUNDS``.
+    """
+    solver = config.hmm.solver
+    if solver not in SOLVERS:
+        raise ValueError(f"no solver {solver!r}; one of {', '.join(SOLVERS)}")
+    return {name: float(getattr(config.hmm, f"em_{name}")) for name in SOLVERS[solver]}
+
+
 def np_lgamma(x: np.ndarray) -> np.ndarray:
     """Log gamma of x > 0."""
     shift = np.zeros_like(x)
@@ -85,7 +100,7 @@ def compressed(obs: DataFrame, x: Column, n: Column, weights: Column, k: int, de
     return summed.select(*names, F.array(*(F.col(f"_{s}") for s in range(k))).alias("w"))
 
 
-def maximise(stats: DataFrame, kind: str, start: np.ndarray, *, shared: bool, fixed: bool = False) -> np.ndarray:
+def maximise(stats: DataFrame, kind: str, start: np.ndarray, *, shared: bool, fixed: bool = False, settings: dict[str, float] | None = None) -> np.ndarray:
     """[state, (location, dispersion)] of the largest likelihood, from ``start`` of the same shape.
 
     Locations are log means (nb, within ±10) or shares (bb, within 1e-6 of 0 and 1), dispersions lie within 1e-6 and
@@ -99,7 +114,7 @@ def maximise(stats: DataFrame, kind: str, start: np.ndarray, *, shared: bool, fi
     disp = np.log(start[:, 1])
     wide_loc, wide_disp = (2.5, 4.0) if kind == "nb" else (4.0, 4.0)
     centre_loc, centre_disp = np.zeros(states), np.full(states, np.log(0.1) if kind == "nb" else np.log(30.0))
-    for r in range(ROUNDS):
+    for _ in range(min(ROUNDS, int((settings or {}).get("maxiter", ROUNDS)))):
         side = np.linspace(-1, 1, POINTS)
         grid_loc = np.concatenate([centre_loc[:, None] + wide_loc * side, loc[:, None]], axis=1)
         common = centre_disp if not shared else np.full(states, centre_disp.mean())

@@ -135,6 +135,19 @@ def upsert_edges(edges: DataFrame, slack: float = 1e-12) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.min("weight").alias("weight"), (F.max("weight") - F.min("weight") > slack).alias("conflict"))
 
 
+def with_links(edges: DataFrame, more: DataFrame | None) -> DataFrame:
+    """(src, dst, weight): the graphs of all samples stacked, and links between slices beside them; weights of one pair add up."""
+    both = edges.select("src", "dst", "weight")
+    if more is not None:
+        both = both.unionByName(more.select("src", "dst", "weight"))
+    return both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+
+
+def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, dst, weight) of the listed ``nodes(node)`` alone."""
+    return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi")
+
+
 def adjacency_lists(edges: DataFrame) -> DataFrame:
     """(src, neighbours): sorted (dst, weight) pairs; spots have few neighbours."""
     return edges.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", "weight"))).alias("neighbours"))

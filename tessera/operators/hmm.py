@@ -43,21 +43,25 @@ def default_states(k: int, t: float = 0.99999) -> States:
     return States(tuple(np.linspace(0.05, 0.45, k)), (30.0,) * k, tuple(np.linspace(-0.1, 0.1, k)), (0.1,) * k, (float(-np.log(k)),) * k, trans)
 
 
-def emission(states: States, *, phased: bool = False, reads: bool = True, purity: Column | None = None) -> Column:
-    """Array of log-emissions of a row (umi, base, k, depth): K entries, or 2K with the alleles flipped in the second half."""
+def emission(states: States, *, phased: bool = False, reads: bool = True, purity: Column | None = None, shift: Column | None = None) -> Column:
+    """Array of log-emissions of a row (umi, base, k, depth): K entries, or 2K with the alleles flipped in the second half.
+
+    ``shift`` (a clone's log mean over its genome) weighs purity, where alleles are concerned, by
+    how many copies a tumour cell has of the state's bins.
+    """
     rdr = [nb_state(F.col("umi"), F.col("base"), m, a, purity) if reads and states.log_mu else F.lit(0.0) for m, a in zip(states.log_mu or states.p, states.alpha or states.p, strict=True)]
-    baf = [bb_state(F.col("k"), F.col("depth"), p, t, purity) for p, t in zip(states.p, states.tau, strict=True)]
+    pure = [purity] * states.k if shift is None else [adjusted_purity(purity, F.exp(F.lit(m) - shift)) for m in states.log_mu]
+    baf = [bb_state(F.col("k"), F.col("depth"), p, t, q) for p, t, q in zip(states.p, states.tau, pure, strict=True)]
     out = [r + b for r, b in zip(rdr, baf, strict=True)]
     if phased:
-        flipped = [bb_state(F.col("depth") - F.col("k"), F.col("depth"), p, t, purity) for p, t in zip(states.p, states.tau, strict=True)]
+        flipped = [bb_state(F.col("depth") - F.col("k"), F.col("depth"), p, t, q) for p, t, q in zip(states.p, states.tau, pure, strict=True)]
         out += [r + b for r, b in zip(rdr, flipped, strict=True)]
     return F.array(*out)
 
 
-def adjusted_purity(tumour: Column, weight: Column | None = None, shift: float = 0.0) -> Column:
+def adjusted_purity(tumour: Column, weight: Column) -> Column:
     """Purity weighted by how much a tumour cell's total differs from a normal cell's."""
-    factor = F.exp(F.lit(shift)) if weight is None else weight * F.exp(F.lit(shift))
-    return tumour * factor / (tumour * factor + 1 - tumour)
+    return tumour * weight / (tumour * weight + 1 - tumour)
 
 
 def decode_independent(em: Column) -> Column:

@@ -8,16 +8,16 @@ first, so no table of states x bins x spots exists. Label updates are sequential
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import bb_emission, nb_emission
-from .aggregate import adjusted_rand, pooled, pseudobulk
-from .fit import fit_normal_shares
+from ..functions.columns import bb_emission, logsumexp, nb_emission
+from .aggregate import adjusted_rand, pooled
+from .fit import fit_normal_shares, np_bb
 from .hmm import States, fit_chains
 
 
@@ -46,6 +46,38 @@ def spot_llf(counts: DataFrame, edges: DataFrame, decoded: DataFrame, states: Da
     return rows.select("spot", "clone", (weight * (ratio * rdr + baf)).alias("v")).groupBy("spot", "clone").agg(F.sum("v").alias("llf"))
 
 
+def posterior_spot_llf(counts: DataFrame, edges: DataFrame, posterior: DataFrame, states: DataFrame, key: str = "bin", purity: str | None = None) -> DataFrame:
+    """(spot, clone, llf) of pooled counts with a clone's state summed out by its posterior.
+
+    ``posterior``: (clone, bin, state, log_gamma). Read and allele parts are summed out apart; read
+    parts are scaled by how many allele observations the spot itself has for one read observation.
+    """
+    sums = pooled(counts, edges, [key], ("umi", "base", "k", "depth"))
+    own = counts.groupBy("spot").agg(F.count_if(F.col("depth") > 0).alias("nd"), F.count_if(F.col("base") > 0).alias("nb"))
+    ratio = F.when((F.col("nd") > 0) & (F.col("nb") > 0), F.col("nd") / F.col("nb")).otherwise(F.lit(1.0))
+    rows = sums.join(posterior.join(F.broadcast(states), "state"), key).join(own, "spot", "left")  # K rows of states
+    if purity:
+        met = edges.join(counts, edges["dst"] == counts["spot"]).groupBy(F.col("src").alias("spot")).agg(F.avg(purity).alias("_pure"))
+        rows = rows.join(met, "spot")
+    pure = F.col("_pure") if purity else None
+    rdr = nb_emission(F.col("umi"), F.col("base"), F.col("log_mu"), F.col("alpha"), pure) + F.col("log_gamma")
+    baf = bb_emission(F.col("k"), F.col("depth"), F.col("p"), F.col("tau"), pure) + F.col("log_gamma")
+    per = rows.select("spot", "clone", key, ratio.alias("ratio"), rdr.alias("r"), baf.alias("b")).groupBy("spot", "clone", key).agg(F.first("ratio").alias("ratio"), F.array_agg("r").alias("r"), F.array_agg("b").alias("b"))
+    return per.groupBy("spot", "clone").agg(F.sum(F.col("ratio") * logsumexp(F.col("r")) + logsumexp(F.col("b"))).alias("llf"))
+
+
+def final_labels(counts: DataFrame, pooling: DataFrame, coupling: DataFrame, labels: DataFrame, paths: DataFrame, states: DataFrame, *, weight: float = 1.0, log_prior: DataFrame | None = None, purity: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """((sample, spot, label, posterior), (llf)): one sweep of labels under fixed models.
+
+    ``paths``: decoded states (clone, bin, state), or posteriors with a ``log_gamma``; with or
+    without ``purity``: four forms.
+    """
+    score = posterior_spot_llf if "log_gamma" in paths.columns else spot_llf
+    llf = score(counts, pooling, paths, states, purity=purity)
+    found = icm(llf, coupling, labels, weight=weight, sweeps=1, log_prior=log_prior)
+    return found, total_llf(found.select("spot", "label"), llf, coupling, weight)
+
+
 def icm(llf: DataFrame, edges: DataFrame, labels: DataFrame, *, weight: float = 1.0, tol: float = 0.1, sweeps: int = 100, log_prior: DataFrame | None = None) -> DataFrame:
     """(sample, spot, label, posterior): iterated conditional modes on every sample.
 
@@ -57,36 +89,38 @@ def icm(llf: DataFrame, edges: DataFrame, labels: DataFrame, *, weight: float =
     if log_prior is not None:
         scores = scores.join(log_prior, ["sample", "clone"], "left").withColumn("llf", F.col("llf") + F.coalesce("log_weight", F.lit(0.0)))
     scores = scores.select("sample", "spot", "label", "clone", "llf")
-    near = edges.join(labels.select(F.col("spot").alias("src"), "sample"), "src").select(F.col("sample").alias("part"), "src", "dst", F.col("weight").alias("w"))
+    near = edges.select("src", "dst", "weight").join(labels.select(F.col("spot").alias("src"), "sample"), "src").select(F.col("sample").alias("part"), "src", "dst", F.col("weight").alias("w"))
 
     def run(own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         if own.empty:
             return pd.DataFrame({"sample": [], "spot": [], "label": [], "posterior": []})
         table = own.pivot(index="spot", columns="clone", values="llf").sort_index().sort_index(axis=1).fillna(-1e300)
-        clones, at = table.columns.to_numpy(), {s: i for i, s in enumerate(table.index)}
-        code = {c: j for j, c in enumerate(clones)}
-        first = own.drop_duplicates("spot").set_index("spot")["label"]
-        now = np.array([code.get(first[s], 0) for s in table.index])
-        links = links[links["src"] != links["dst"]]
-        ties = [[] for _ in now]
-        for s, d, w in zip(links["src"], links["dst"], links["w"], strict=True):
-            if s in at and d in at:
-                ties[at[s]].append((at[d], w))
-        node, cost = table.to_numpy(), table.to_numpy().copy()
+        clones, spots = table.columns.to_numpy(), table.index.to_numpy()
+        first = own.drop_duplicates("spot").set_index("spot")["label"].reindex(spots).to_numpy()
+        now = np.searchsorted(clones, first).clip(0, len(clones) - 1)
+        now[clones[now] != first] = 0
+        # Neighbours as a compressed table of rows: sorted by source, with where each source's begin.
+        at = [np.searchsorted(spots, links[c].to_numpy()).clip(0, len(spots) - 1) for c in ("src", "dst")]
+        held = (spots[at[0]] == links["src"].to_numpy()) & (spots[at[1]] == links["dst"].to_numpy()) & (at[0] != at[1])
+        src, dst, w = at[0][held], at[1][held], weight * links["w"].to_numpy(float)[held]
+        order = np.argsort(src, kind="stable")
+        dst, w = dst[order], w[order]
+        begin = np.searchsorted(src[order], np.arange(len(spots) + 1))
+        node = table.to_numpy()
+        cost = node.copy()
         for _ in range(sweeps):
             edits = 0
             for i in range(len(now)):
-                c = node[i].copy()
-                for j, w in ties[i]:
-                    c[now[j]] += weight * w
-                cost[i], best = c, int(c.argmax())
+                lo, hi = begin[i], begin[i + 1]
+                cost[i] = node[i] + np.bincount(now[dst[lo:hi]], w[lo:hi], len(clones)) if hi > lo else node[i]
+                best = int(cost[i].argmax())
                 edits += best != now[i]
                 now[i] = best
             if edits < tol * len(now):
                 break
         soft = np.exp(cost - cost.max(axis=1, keepdims=True))
         soft /= soft.sum(axis=1, keepdims=True)
-        return pd.DataFrame({"sample": own["sample"].iloc[0], "spot": table.index, "label": clones[now], "posterior": list(soft)})
+        return pd.DataFrame({"sample": own["sample"].iloc[0], "spot": spots, "label": clones[now], "posterior": list(soft)})
 
     return scores.groupBy("sample").cogroup(near.groupBy("part")).applyInPandas(run, "sample int, spot long, label int, posterior array<double>")
 
@@ -121,24 +155,39 @@ def hmrf_loop(counts: DataFrame, pooling: DataFrame, coupling: DataFrame, labels
 
             prior = clone_log_weights(labels.select("sample", F.col("label").alias("clone")), labels.select(F.col("label").alias("clone")).distinct())
         new = icm(llf, coupling, labels, weight=weight, log_prior=prior).select("sample", "spot", "label")
+        held = labels if trail else None
         new = new.checkpoint() if spark.sparkContext.getCheckpointDir() else new.persist()
         both = labels.select("spot", F.col("label").alias("old")).join(new, "spot")
         trail.append(float(adjusted_rand(both, "old", "label").head()[0]))
         labels = new
+        if held is not None:
+            held.unpersist()
         if trail[-1] > 0.99 or labels.select("label").distinct().count() <= 1:
             break
     return labels, states, trail
 
 
-def similarity_statistics(clone_llf: DataFrame, decoded: DataFrame, key: str = "bin") -> DataFrame:
+def similarity_statistics(clone_llf: DataFrame, decoded: DataFrame, key: str = "bin", shares: Sequence[float] | None = None) -> DataFrame:
     """(c1, c2, s1, s2, n, t): for bins where two clones differ, the mean gain of own states over swapped ones.
 
-    ``clone_llf``: (clone, bin, state, llf) of every state; ``decoded``: (clone, bin, state).
+    ``clone_llf``: (clone, bin, state, llf) of every state; ``decoded``: (clone, bin, state). With
+    ``shares`` (one of K states) there are 2K states, the second half of them in the other phase:
+    a swapped state keeps its clone's phase, or turns it where the two shares lie on either side
+    of one half.
     """
     own = decoded.join(clone_llf, ["clone", key, "state"]).select("clone", key, "state", F.col("llf").alias("own"))
-    pairs = own.select(key, F.col("clone").alias("c1"), F.col("state").alias("s1"), F.col("own").alias("o1")).join(own.select(key, F.col("clone").alias("c2"), F.col("state").alias("s2"), F.col("own").alias("o2")), key).where((F.col("c1") < F.col("c2")) & (F.col("s1") != F.col("s2")))
-    swapped = pairs.join(clone_llf.select(F.col("clone").alias("c1"), key, F.col("state").alias("s2"), F.col("llf").alias("w1")), ["c1", key, "s2"]).join(clone_llf.select(F.col("clone").alias("c2"), key, F.col("state").alias("s1"), F.col("llf").alias("w2")), ["c2", key, "s1"])
-    gain = (F.col("o1") - F.col("w1") + F.col("o2") - F.col("w2")) / 2
+    pairs = own.select(key, F.col("clone").alias("c1"), F.col("state").alias("f1"), F.col("own").alias("o1")).join(own.select(key, F.col("clone").alias("c2"), F.col("state").alias("f2"), F.col("own").alias("o2")), key).where(F.col("c1") < F.col("c2"))
+    if shares is None:
+        pairs = pairs.withColumns({"s1": F.col("f1"), "s2": F.col("f2"), "w1": F.col("f2"), "w2": F.col("f1")})
+    else:
+        k, high = len(shares), F.array(*(F.lit(bool(p > 0.5)) for p in shares))
+        pairs = pairs.withColumns({"s1": F.col("f1") % k, "s2": F.col("f2") % k})
+        turn = high[F.col("s1")] != high[F.col("s2")]
+        pairs = pairs.withColumns({f"w{i}": F.when((F.col(f"f{i}") >= k) != turn, F.lit(k)).otherwise(F.lit(0)) + F.col(f"s{j}") for i, j in ((1, 2), (2, 1))})
+    pairs = pairs.where(F.col("s1") != F.col("s2"))
+    one, two = (clone_llf.select(F.col("clone").alias(f"c{i}"), key, F.col("state").alias(f"w{i}"), F.col("llf").alias(f"v{i}")) for i in (1, 2))
+    swapped = pairs.join(one, ["c1", key, "w1"]).join(two, ["c2", key, "w2"])
+    gain = (F.col("o1") - F.col("v1") + F.col("o2") - F.col("v2")) / 2
     return swapped.groupBy("c1", "c2", "s1", "s2").agg(F.count(F.lit(1)).alias("n"), F.avg(gain).alias("t"))
 
 
@@ -220,34 +269,105 @@ def near_normal_spots(deviation: DataFrame, totals: DataFrame, need: float) -> D
     return rows.where(F.col("std") <= F.lit(cut)).select("spot")
 
 
-def normal_bins(obs: DataFrame, key: str = "bin", low: float = 0.05, high: float = 0.95) -> DataFrame:
+def _balanced_bounds(tau: float, low: float, high: float):
+    """Quantiles of the balanced beta-binomial of each depth, its probabilities summed in pieces up to the upper one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for n in pdf["depth"].to_numpy():
+                n, half = int(n), tau / 2
+                # Each probability follows from the one before it.
+                log_p, total, lo, hi = float(np_bb(np.zeros(1), np.full(1, n), np.array(0.5), np.array(tau))[0]), 0.0, None, n
+                for first in range(0, n + 1, 65_536):
+                    x = np.arange(first, min(n + 1, first + 65_536), dtype=float)
+                    step = np.log(n - x[:-1]) - np.log(x[:-1] + 1) + np.log(x[:-1] + half) - np.log(n - x[:-1] - 1 + half)
+                    logs = log_p + np.concatenate([[0.0], np.cumsum(step)])
+                    cdf = total + np.cumsum(np.exp(logs))
+                    total, y = cdf[-1], x[-1]
+                    if y < n:
+                        log_p = logs[-1] + np.log(n - y) - np.log(y + 1) + np.log(y + half) - np.log(n - y - 1 + half)
+                    if lo is None and total >= low:
+                        lo = first + int(np.searchsorted(cdf, low))
+                    if total >= high:
+                        hi = first + int(np.searchsorted(cdf, high))
+                        break
+                out.append((n, hi if lo is None else lo, hi))
+            yield pd.DataFrame(out, columns=["depth", "lo", "hi"])
+
+    return run
+
+
+def normal_bins(obs: DataFrame, key: str = "bin", low: float = 0.05, high: float = 0.95, tau: float | None = None) -> DataFrame:
     """(bin, k, depth, kept, renumbered) of normal spots' pooled ``obs(bin, k, depth)``.
 
     A bin stays if k lies between the quantiles of a balanced beta-binomial with the fitted
-    dispersion. Quantiles come from one table row per distinct depth: a sum over 0 to n.
+    (or given) dispersion; quantiles are found once for each distinct depth.
     """
-    from ..functions.columns import bb_logpmf
-
-    _, tau = fit_normal_shares(obs)
-    half = F.lit(tau / 2)
-    terms = obs.select("depth").distinct().where("depth > 0").select("depth", F.explode(F.sequence(F.lit(0).cast("long"), "depth")).alias("x"))
-    up = Window.partitionBy("depth").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    cdf = terms.withColumn("cdf", F.sum(F.exp(bb_logpmf(F.col("x").cast("double"), F.col("depth").cast("double"), half, half))).over(up))
-    bounds = cdf.groupBy("depth").agg(F.min(F.when(F.col("cdf") >= low, F.col("x"))).alias("lo"), F.min(F.when(F.col("cdf") >= high, F.col("x"))).alias("hi"))
-    judged = obs.join(bounds, "depth", "left").withColumn("kept", F.coalesce((F.col("k") >= F.col("lo")) & (F.col("k") <= F.coalesce("hi", "depth")), F.lit(True)))
+    tau = fit_normal_shares(obs)[1] if tau is None else tau
+    depths = obs.select(F.col("depth").cast("long").alias("depth")).distinct().where("depth > 0")
+    bounds = depths.mapInPandas(_balanced_bounds(tau, low, high), "depth long, lo long, hi long")
+    judged = obs.join(bounds, "depth", "left").withColumn("kept", F.coalesce((F.col("k") >= F.col("lo")) & (F.col("k") <= F.col("hi")), F.lit(True)))
     order = judged.where("kept").select(key, (F.dense_rank().over(Window.orderBy(key)) - 1).alias("renumbered"))  # bins of one genome
     return judged.join(order, key, "left").select(key, "k", "depth", "kept", "renumbered")
 
 
-def differential_genes(counts: DataFrame, candidates: DataFrame, *, least_cells: int = 10, parts: int = 4, limit_unsure: float = 2.0, limit_tumour: float = 4.0, seed: int = 0, features: int = 200) -> DataFrame:
+def main_components(cells: DataFrame, parts: int = 4, rounds: int = 6, seed: int = 0) -> DataFrame:
+    """(spot, scores): principal components of the long table ``cells(spot, feature, v)``, absent cells being zero.
+
+    Subspace iteration: in each round the spots' vectors are summed over each feature and these
+    over each spot, centred by the features' means; only ``parts`` x ``parts`` sums come to the
+    driver, whatever the number of features.
+    """
+    spark = cells.sparkSession
+    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
+    cells = keep(cells.select("spot", "feature", "v"))
+    spots = cells.select("spot").distinct()
+    n = spots.count()
+    mean = keep(cells.groupBy("feature").agg((F.sum("v") / F.lit(max(n, 1))).alias("mean")))
+    part = range(parts)
+    # Fixed draws in (-1, 1), one for each spot and part.
+    q = spots.select("spot", *((F.pmod(F.xxhash64("spot", F.lit(seed * parts + i)), F.lit(2_000_003)) / 1_000_001.5 - 1).alias(f"q{i}") for i in part))
+    q = keep(q)
+
+    def sums(df: DataFrame, *pairs: tuple) -> np.ndarray:
+        return np.array([x or 0.0 for x in df.agg(*(F.sum(a * b) for a, b in pairs)).head()])
+
+    def times(df: DataFrame, by: np.ndarray, names: str) -> DataFrame:
+        return df.select("spot", *(sum((F.col(f"q{i}") * float(by[i, j]) for i in part), F.lit(0.0)).alias(f"{names}{j}") for j in part))
+
+    def gram(df: DataFrame) -> np.ndarray:
+        return sums(df, *((F.col(f"q{i}"), F.col(f"q{j}")) for i in part for j in part)).reshape(parts, parts)
+
+    def unit(df: DataFrame) -> DataFrame:
+        values, vectors = np.linalg.eigh(gram(df))
+        return keep(times(df, vectors / np.sqrt(np.maximum(values, 1e-12)), "q"))
+
+    q = unit(q)
+    one = F.lit(1.0)
+    for r in range(rounds + 1):
+        total = sums(q, *((F.col(f"q{i}"), one) for i in part))
+        down = cells.join(q, "spot").groupBy("feature").agg(*(F.sum(F.col("v") * F.col(f"q{i}")).alias(f"f{i}") for i in part))
+        down = down.join(mean, "feature").select("feature", "mean", *((F.col(f"f{i}") - F.col("mean") * float(total[i])).alias(f"f{i}") for i in part))
+        if r == rounds:
+            break
+        down = keep(down)
+        shift = sums(down, *((F.col(f"f{i}"), F.col("mean")) for i in part))
+        up = cells.join(down, "feature").groupBy("spot").agg(*(F.sum(F.col("v") * F.col(f"f{i}")).alias(f"f{i}") for i in part))
+        q = unit(up.select("spot", *((F.col(f"f{i}") - float(shift[i])).alias(f"q{i}") for i in part)))
+    small = sums(down, *((F.col(f"f{i}"), F.col(f"f{j}")) for i in part for j in part)).reshape(parts, parts)
+    values, vectors = np.linalg.eigh(small)
+    turn = vectors[:, ::-1] * np.sqrt(np.maximum(values[::-1], 0))
+    return times(q, turn, "s").select("spot", F.array(*(F.col(f"s{j}") for j in part)).alias("scores"))
+
+
+def differential_genes(counts: DataFrame, candidates: DataFrame, *, least_cells: int = 10, parts: int = 4, limit_unsure: float = 2.0, limit_tumour: float = 4.0, seed: int = 0) -> DataFrame:
     """(feature, lfc_unsure, lfc_tumour, umi, dropped): genes that differ between normal-like spots and the others of one sample.
 
-    Spots are normalised, projected on their main components and split in two clusters; the one
-    with most of ``candidates(spot)`` is normal-like. Components come from a hashed profile of
-    ``features`` entries a spot, so a spot's vector has one size for any number of genes.
+    Spots are normalised, projected on their main components over all genes and split in two
+    clusters; the one with most of ``candidates(spot)`` is normal-like.
     """
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
 
     from .aggregate import fold_changes
@@ -256,11 +376,8 @@ def differential_genes(counts: DataFrame, candidates: DataFrame, *, least_cells:
     kept = counts.join(held.where(F.col("n") >= least_cells).select("feature"), "feature", "left_semi")
     totals = kept.groupBy("spot").agg(F.sum("umi").alias("total"))
     middle = totals.agg(F.median("total").alias("median"))
-    scaled = kept.join(totals, "spot").join(F.broadcast(middle)).withColumn("v", F.log1p(F.col("umi") * F.col("median") / F.nullif("total", F.lit(0))))
-    cell = scaled.groupBy("spot", F.pmod(F.xxhash64("feature"), F.lit(features)).cast("int").alias("i")).agg(F.sum("v").alias("v"))
-    rows = cell.groupBy("spot").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"))
-    vectors = rows.select("spot", array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(features - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))).alias("raw"))
-    low = PCA(k=parts, inputCol="raw", outputCol="features").fit(vectors).transform(vectors)
+    scaled = kept.join(totals, "spot").join(F.broadcast(middle)).withColumn("v", F.coalesce(F.log1p(F.col("umi") * F.col("median") / F.nullif("total", F.lit(0))), F.lit(0.0)))  # one row
+    low = main_components(scaled, parts, seed=seed).select("spot", array_to_vector("scores").alias("features"))
     split = KMeans(k=2, seed=seed, maxIter=20).fit(low).transform(low).select("spot", "prediction")
     marked = split.join(candidates.select("spot", F.lit(True).alias("c")), "spot", "left").fillna(False, ["c"]).persist()
     home = marked.groupBy("prediction").agg(F.count_if("c").alias("n")).orderBy(F.desc("n"), "prediction").head()
@@ -271,37 +388,53 @@ def differential_genes(counts: DataFrame, candidates: DataFrame, *, least_cells:
         out = out.join(fold_changes(kept, groups).select("feature", F.col("log_fc").alias(f"lfc_{name}")), "feature", "left")
     bar = held.agg(F.percentile("umi", F.lit(0.8)).alias("p80"))
     drop = ((F.abs("lfc_unsure") > limit_unsure) | (F.abs("lfc_tumour") > limit_tumour)) & (F.col("umi") > F.col("p80"))
-    return out.join(F.broadcast(bar)).select("feature", "lfc_unsure", "lfc_tumour", "umi", F.coalesce(drop, F.lit(False)).alias("dropped"))
+    return out.join(F.broadcast(bar)).select("feature", "lfc_unsure", "lfc_tumour", "umi", F.coalesce(drop, F.lit(False)).alias("dropped"))  # one row
 
 
-def outlier_features(totals: DataFrame, k: int = 200, factor: float = 1.5) -> DataFrame:
+def outlier_features(totals: DataFrame, k: int = 200, factor: float = 1.5, stretch: int = 20_000) -> DataFrame:
     """(feature, n, lof, outlier): local outlier factor of ``totals(feature, n)`` on the line.
 
-    On a line the k nearest of a value lie within k places of it in sorted order, so a gene table
-    (one row a gene) is one sorted group.
+    On a line the k nearest of a value lie within k places of it in sorted order, so a factor
+    depends on the 3k places to either side: values are numbered in order, and stretches of
+    ``stretch`` numbers are computed apart, each with 3k more at both ends. Of values equally far
+    the one of the lower place counts as nearer.
     """
+    spark = totals.sparkSession
+    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
+    # A sorted partition knows its rows' places once the sizes of those before it are known.
+    dealt = totals.select("feature", "n").repartitionByRange("n", "feature").sortWithinPartitions("n", "feature")
+    dealt = keep(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()))
+    sizes = sorted(tuple(r) for r in dealt.groupBy("_part").agg(F.min("_id"), F.count(F.lit(1))).collect())
+    size = sum(s for _, _, s in sizes)
+    if not size:
+        return totals.select(F.col("feature").cast("long").alias("feature"), F.col("n").cast("long").alias("n"), F.lit(1.0).alias("lof"), F.lit(False).alias("outlier"))
+    begin, starts = 0, []
+    for part, first, count in sizes:
+        starts.append((part, begin - first))
+        begin += count
+    places = dealt.join(F.broadcast(spark.createDataFrame(starts, "_part int, _shift long")), "_part").select("feature", "n", (F.col("_id") + F.col("_shift")).alias("place"))  # a row for each partition
+    reach = 3 * k
+    first, last = F.floor((F.col("place") - reach) / stretch), F.floor((F.col("place") + reach) / stretch)
+    met = places.withColumn("part", F.explode(F.sequence(F.greatest(first, F.lit(0).cast("long")), F.least(last, F.lit((size - 1) // stretch).cast("long")))))
 
     def lof(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "feature"])
-        x = pdf["n"].to_numpy(float)
-        size = len(x)
+        pdf = pdf.sort_values("place")
+        x, place = pdf["n"].to_numpy(float), pdf["place"].to_numpy()
+        own = place // stretch == pdf["part"].iloc[0]
         m = min(k, size - 1)
         if m < 1:
-            return pdf.assign(lof=1.0, outlier=False)
-        near = np.empty((size, m), np.int64)
-        for i in range(size):
-            lo, hi = max(0, i - m), min(size, i + m + 1)
-            other = np.delete(np.arange(lo, hi), i - lo)
-            near[i] = other[np.argsort(np.abs(x[other] - x[i]), kind="stable")[:m]]
+            return pd.DataFrame({"feature": pdf["feature"], "n": pdf["n"], "lof": 1.0, "outlier": False})[own]
+        steps = np.concatenate([np.arange(-m, 0), np.arange(1, m + 1)])
+        near = np.empty((len(x), m), np.int64)
+        for lo in range(0, len(x), 1024):
+            at = np.arange(lo, min(lo + 1024, len(x)))[:, None] + steps
+            far = np.abs(x[at.clip(0, len(x) - 1)] - x[lo : lo + 1024, None])
+            far[(at < 0) | (at >= len(x))] = np.inf
+            near[lo : lo + 1024] = np.take_along_axis(at, np.argsort(far, axis=1, kind="stable")[:, :m], axis=1)
+        near = near.clip(0, len(x) - 1)
         dist = np.abs(x[near] - x[:, None])
-        reach = np.maximum(dist, dist[near, -1])
-        density = 1 / (reach.mean(axis=1) + 1e-10)
+        density = 1 / (np.maximum(dist, dist[near, -1]).mean(axis=1) + 1e-10)
         score = density[near].mean(axis=1) / density
-        return pdf.assign(lof=score, outlier=score > factor)
-
-    return totals.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda pdf: lof(pdf[["feature", "n"]]), "feature long, n long, lof double, outlier boolean")
-
+        return pd.DataFrame({"feature": pdf["feature"], "n": pdf["n"], "lof": score, "outlier": score > factor})[own]
 
-def clone_bulk(counts: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pseudobulk of labelled spots."""
-    return pseudobulk(counts, labels.select("spot", F.col("label").alias("clone"), F.lit(None).cast("double").alias("tumour")), ["bin"])
+    return met.groupBy("part").applyInPandas(lof, "feature long, n long, lof double, outlier boolean")

@@ -14,27 +14,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def random_rectangles(spots: DataFrame, n_clones: int, seed: int = 0, tries: int = 20) -> DataFrame:
+def random_rectangles(spots: DataFrame, n_clones: int, seed: int = 0, tries: int = 256) -> DataFrame:
     """Adds ``clone``: a random grid over the inner 5 to 95 percentiles, its cells dealt to clones at random.
 
     Widths are Dirichlet(10) draws; a draw counts once every clone has over a fifth of its even
-    share of spots. Only cell counts come to the driver.
+    share of spots; an error if none of ``tries`` draws does. Sixteen draws are judged in one
+    pass, and only their counts come to the driver.
     """
+    from ..functions.columns import digitize
+
     rng = np.random.default_rng(seed)
     p = int(np.ceil(np.sqrt(n_clones)))
     lo_x, hi_x, lo_y, hi_y, n = spots.agg(F.percentile("x", F.lit(0.05)), F.percentile("x", F.lit(0.95)), F.percentile("y", F.lit(0.05)), F.percentile("y", F.lit(0.95)), F.count(F.lit(1))).head()
-    from ..functions.columns import digitize
-
-    for _ in range(tries):
-        cut_x, cut_y = ((lo + (hi - lo) * np.cumsum(rng.dirichlet([10.0] * p))[:-1]).tolist() for lo, hi in ((lo_x, hi_x), (lo_y, hi_y)))
-        deal = np.concatenate([np.arange(n_clones), rng.integers(0, n_clones, p * p - n_clones)])
-        rng.shuffle(deal)
-        cell = digitize(F.col("x"), cut_x) * p + digitize(F.col("y"), cut_y)
-        out = spots.withColumn("clone", F.array(*(F.lit(int(c)) for c in deal))[cell])
-        sizes = [r[0] for r in out.groupBy("clone").agg(F.count(F.lit(1))).select("count(1)").collect()]
-        if len(sizes) == n_clones and min(sizes) > 0.2 * n / n_clones:
-            break
-    return out
+    if not n:
+        return spots.withColumn("clone", F.lit(0))
+    for _ in range(0, tries, 16):
+        draws = []
+        for _ in range(16):
+            cut_x, cut_y = ((lo + (hi - lo) * np.cumsum(rng.dirichlet([10.0] * p))[:-1]).tolist() for lo, hi in ((lo_x, hi_x), (lo_y, hi_y)))
+            deal = np.concatenate([np.arange(n_clones), rng.integers(0, n_clones, p * p - n_clones)])
+            rng.shuffle(deal)
+            draws.append(F.array(*(F.lit(int(c)) for c in deal))[digitize(F.col("x"), cut_x) * p + digitize(F.col("y"), cut_y)])
+        tagged = spots.select(F.array(*draws).alias("d")).select(F.posexplode("d").alias("draw", "clone")).groupBy("draw", "clone").agg(F.count(F.lit(1)).alias("n"))
+        sizes = tagged.groupBy("draw").agg(F.count(F.lit(1)).alias("clones"), F.min("n").alias("least")).collect()
+        good = sorted(r.draw for r in sizes if r.clones == n_clones and r.least > 0.2 * n / n_clones)
+        if good:
+            return spots.withColumn("clone", draws[good[0]])
+    raise ValueError(f"no draw gives {n_clones} clones enough of {n} spots")
 
 
 def _sweeper(kind: str, coupling: float, value: float, most: int, sweeps: int, seed: int):
@@ -47,7 +53,16 @@ def _sweeper(kind: str, coupling: float, value: float, most: int, sweeps: int, s
         for s, d, w in zip(links["src"], links["dst"], links["weight"], strict=True):
             if s in at and d in at and s != d:
                 ties[at[s]].append((at[d], w))
-        label, field = own["label"].to_numpy().copy(), [np.asarray(h, float) for h in own["h"]]
+        label, field = own["label"].to_numpy().copy(), np.array(own["h"].tolist(), float).reshape(len(own), most)
+        src = np.array([i for i, t in enumerate(ties) for _ in t], np.int64)
+        dst, weight = (np.array([x[c] for t in ties for x in t]) for c in (0, 1))
+
+        def energy() -> float:
+            unlike = weight[label[src] != label[dst.astype(np.int64)]].sum() / 2 if len(src) else 0.0
+            return coupling * unlike - field[np.arange(len(label)), label].sum()
+
+        other = lambda now: (now + 1 + int(rng.integers(most - 1))) % most if most > 1 else now  # noqa: E731  always another label
+        before = energy() if len(label) else 0.0
         for t in range(1, sweeps + 1):
             changed = 0
             for i in range(len(label)):
@@ -55,14 +70,16 @@ def _sweeper(kind: str, coupling: float, value: float, most: int, sweeps: int, s
                 for j, w in ties[i]:
                     cost = cost + coupling * w * (np.arange(most) != label[j])
                 if kind == "icm":
-                    new = int(rng.integers(most)) if rng.random() < value / t else int(cost.argmin())
+                    new = other(label[i]) if rng.random() < value / t else int(cost.argmin())
                 else:
-                    trial = int(rng.integers(most))
+                    trial = other(label[i])
                     new = trial if rng.random() < np.exp(min(0.0, -value * (cost[trial] - cost[label[i]]))) else label[i]
                 changed += new != label[i]
                 label[i] = new
-            if kind == "icm" and not changed:
+            now = energy() if len(label) else 0.0
+            if kind == "icm" and (not changed or abs(now - before) < 1e-12):
                 break
+            before = now
         return pd.DataFrame({"sample": own["sample"], "node": own["node"], "label": label})
 
     return run
@@ -74,7 +91,9 @@ def _swept(nodes: DataFrame, edges: DataFrame, run) -> DataFrame:
 
 
 def learn_labels(nodes: DataFrame, edges: DataFrame, most: int, *, coupling: float = 1.0, epsilon: float = 1.0, sweeps: int = 20, seed: int = 0) -> DataFrame:
-    """(sample, node, label): greedy sweeps that draw at random with probability epsilon / t in sweep t.
+    """(sample, node, label): greedy sweeps that draw another label with probability epsilon / t in sweep t.
+
+    Sweeps end where no label changes or the energy stays the same.
 
     ``nodes``: (sample, node, label, h) with one field value per label.
     """
@@ -82,7 +101,7 @@ def learn_labels(nodes: DataFrame, edges: DataFrame, most: int, *, coupling: flo
 
 
 def metropolis(nodes: DataFrame, edges: DataFrame, most: int, *, coupling: float = 1.0, beta: float = 1.0, sweeps: int = 1, seed: int = 0) -> DataFrame:
-    """(sample, node, label) after Metropolis sweeps at inverse temperature ``beta``."""
+    """(sample, node, label) after Metropolis sweeps at inverse temperature ``beta``; a proposal is always another label."""
     return _swept(nodes, edges, _sweeper("metropolis", coupling, beta, most, sweeps, seed))
 
 
@@ -186,13 +205,24 @@ def grow_tree(steps: int = 4, *, segments: int = 2181, size: int = 500, parsimon
 
 
 def lineages(spark: SparkSession, nodes: DataFrame) -> DataFrame:
-    """(leaf, ancestor, depth) of ``nodes(id, parent)`` by a recursive query."""
-    nodes.createOrReplaceTempView("_tree_nodes")
-    return spark.sql("""
-        WITH RECURSIVE up(leaf, ancestor, depth) AS (
-            SELECT id, id, 0 FROM _tree_nodes WHERE id NOT IN (SELECT parent FROM _tree_nodes WHERE parent IS NOT NULL)
-            UNION ALL SELECT up.leaf, n.parent, up.depth + 1 FROM up JOIN _tree_nodes n ON n.id = up.ancestor WHERE n.parent IS NOT NULL
-        ) SELECT leaf, ancestor, depth FROM up""")
+    """(leaf, ancestor, depth) of ``nodes(id, parent)``, by path doubling.
+
+    Each round joins the known paths with those of the largest length, so rounds grow with the
+    logarithm of the tree's depth.
+    """
+    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
+    parents = nodes.where("parent is not null").select(F.col("id").cast("long").alias("id"), F.col("parent").cast("long").alias("ancestor"))
+    paths, length = keep(parents.withColumn("depth", F.lit(1))), 1
+    while True:
+        longest = paths.where(F.col("depth") == length)
+        if longest.isEmpty():
+            break
+        more = longest.alias("a").join(paths.alias("b"), F.col("a.ancestor") == F.col("b.id")).select("a.id", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
+        paths, length = keep(paths.unionByName(more)), 2 * length
+    own = nodes.select(F.col("id").cast("long").alias("id")).withColumn("ancestor", F.col("id")).withColumn("depth", F.lit(0))
+    leaves = own.join(parents.select(F.col("ancestor").alias("id")), "id", "left_anti").select(F.col("id").alias("leaf"))
+    every = own.unionByName(paths).withColumnRenamed("id", "leaf")
+    return every.join(leaves, "leaf", "left_semi").select("leaf", "ancestor", "depth")
 
 
 def smallest_ellipse(points: DataFrame, ellipses: DataFrame) -> DataFrame:

@@ -54,6 +54,51 @@ def count_table(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("umi", F.coalesce(F.nanvl(F.col("umi").cast("double"), F.lit(0.0)), F.lit(0.0)).cast("long")).where("umi != 0")
 
 
+def _sparse(batches):
+    """Entries of compressed sparse row (or column) files, one file a row of (path, content)."""
+    import io
+
+    import numpy as np
+    import pandas as pd
+
+    for pdf in batches:
+        for path, content in zip(pdf["path"], pdf["content"], strict=True):
+            with np.load(io.BytesIO(content), allow_pickle=False) as z:
+                kind, major = z["format"].item(), np.repeat(np.arange(len(z["indptr"]) - 1), np.diff(z["indptr"]))
+                kind = kind.decode() if isinstance(kind, bytes) else kind
+                row, col = (major, z["indices"]) if kind == "csr" else (z["indices"], major)
+                for k in range(0, len(row), 1 << 20):
+                    part = slice(k, k + (1 << 20))
+                    yield pd.DataFrame({"file": path, "row": row[part].astype("int64"), "col": col[part].astype("int64"), "value": z["data"][part].astype("float64")})
+
+
+def _dense(batches):
+    """Entries of array files of one or two dimensions; texts as they are, numbers that are zero left out."""
+    import io
+
+    import numpy as np
+    import pandas as pd
+
+    for pdf in batches:
+        for path, content in zip(pdf["path"], pdf["content"], strict=True):
+            x = np.load(io.BytesIO(content), allow_pickle=False)
+            x = x.reshape(len(x), -1)
+            text = x.dtype.kind in "US"
+            row, col = (np.indices(x.shape).reshape(2, -1)) if text else np.nonzero(x)
+            held = x[row, col]
+            yield pd.DataFrame({"file": path, "row": row.astype("int64"), "col": col.astype("int64"), "value": np.zeros(len(row)) if text else held.astype("float64"), "text": held.astype(str) if text else None})
+
+
+def sparse_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row, col, value) of ``.npz`` files of sparse allele counts (a glob); each file is read by one task."""
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_sparse, "file string, row long, col long, value double")
+
+
+def dense_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row, col, value, text) of ``.npy`` files such as SNP ids and slice alignments (a glob)."""
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_dense, "file string, row long, col long, value double, text string")
+
+
 def matrix_market(spark: SparkSession, path: str) -> DataFrame:
     """(row, col, value) of a coordinate file, indices from 0.
 
@@ -123,8 +168,9 @@ def filter_ranges(spark: SparkSession, path: str) -> DataFrame:
 
 
 def alignment(spark: SparkSession, path: str, first: int, second: int) -> DataFrame:
-    """(src, dst, value) of a dense slice alignment of ``first`` by ``second`` spots, from a long Parquet table; spots of the second slice follow those of the first."""
-    return spark.read.parquet(path).select(F.col("row").alias("src"), (F.col("col") + first).alias("dst"), "value").where((F.col("src") < first) & (F.col("dst") < first + second))
+    """(src, dst, value) of a dense slice alignment of ``first`` by ``second`` spots, from an array file or a long Parquet table; spots of the second slice follow those of the first."""
+    rows = dense_arrays(spark, path) if path.endswith(".npy") else spark.read.parquet(path)
+    return rows.select(F.col("row").alias("src"), (F.col("col") + first).alias("dst"), "value").where((F.col("src") < first) & (F.col("dst") < first + second))
 
 
 def commented_table(spark: SparkSession, path: str) -> DataFrame:

@@ -11,6 +11,7 @@ def write_vcf(sites: DataFrame, path: str) -> None:
 
     Each chromosome is one file: header lines and rows are lines of one sorted task.
     """
+    # The format's header lines and column names.
     cols = ["CHR", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", "GT"]
     line = F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit(".")) for c in cols))
     rows = sites.select("CHR", F.col("POS").cast("long").alias("_pos"), line.alias("value"))
@@ -33,3 +34,17 @@ def write_commented(df: DataFrame, path: str) -> None:
 def append_metrics(spark, path: str, rows: list[tuple], schema: str = "model string, size long, states int, start string, runtime double, rounds int, llf double") -> None:
     """Telemetry of fits, appended to a table."""
     spark.createDataFrame(rows, schema).write.mode("append").parquet(path)
+
+
+def write_clone_labels(labels: DataFrame, spots: DataFrame, path: str) -> None:
+    """Tab-separated (barcode, x, y, [tumor_proportion], clone_label) of every spot, as many files as partitions."""
+    more = [F.col("tumour").alias("tumor_proportion")] if "tumour" in spots.columns else []
+    rows = spots.join(labels.select("spot", F.col("label").alias("clone_label")), "spot", "left")
+    rows.select(F.col("spot").alias("barcode"), "x", "y", *more, "clone_label").write.mode("overwrite").csv(path, sep="\t", header=True)
+
+
+def write_copies(folder: str, *, segments: DataFrame, genes: DataFrame, states: DataFrame, labels: DataFrame, spots: DataFrame) -> None:
+    """The tables of a finished inference: copies of segments, genes and states, and labels of spots."""
+    for name, df in (("cnv_seglevel", segments), ("cnv_genelevel", genes), ("cnv_perstate", states)):
+        df.write.mode("overwrite").csv(f"{folder}/{name}", sep="\t", header=True)
+    write_clone_labels(labels, spots, f"{folder}/clone_labels")
