@@ -43,7 +43,7 @@ MARGIN = 0.16
 #: Partners that each document confirms first.
 FIRST = 3
 #: Rows and shingles of a crowded region's block at most, on average; the parts in which the rows of a common region meet its figures.
-BLOCK, BLOCK_SHINGLES, SALTS = 2048, 1 << 20, 32
+BLOCK, BLOCK_SHINGLES, SALTS = 512, 1 << 19, 32
 KNOWN_WORDS = 500_000
 
 SIGNED = "doc_id long, n_shingles long, set_key binary, signature binary"
