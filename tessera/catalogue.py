@@ -490,8 +490,8 @@ def nb_fit(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def baum_welch(spark: SparkSession, d: str) -> DataFrame:
-    """Parameters of three states after two rounds."""
-    states, trail = H.baum_welch(_observed(spark, d), THREE, ["chain"], rounds=2)
+    """Parameters of three states after six rounds (a fit takes up to thirty)."""
+    states, trail = H.baum_welch(_observed(spark, d), THREE, ["chain"], rounds=6)
     return spark.createDataFrame([(i, states.log_mu[i], states.alpha[i], states.p[i], states.tau[i], trail[-1]) for i in range(3)], "state int, log_mu double, alpha double, p double, tau double, llf double")
 
 
@@ -505,7 +505,7 @@ def gmm_init(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def initial_phase(spark: SparkSession, d: str) -> DataFrame:
     """Phase and segments of blocks from a first fit of each clone."""
-    return P.initial_phase(P.clone_observations(_in_blocks(spark, d), B.spots(spark, d)), k=3, rounds=2, least=200)
+    return P.initial_phase(P.clone_observations(_in_blocks(spark, d), B.spots(spark, d)), k=3, rounds=6, least=200)
 
 
 @query(B.with_views("counts genome spots", "SELECT src AS spot, clone, round(sum(llf), 3) AS llf FROM (SELECT q.src, st.clone, q.ratio * " + _nb_sql("q.umi", "(m * pp / (1 - pp))", "pp") + " + CASE WHEN q.depth > 0 THEN " + _bb_sql("q.k", "q.depth", "(q.p * 30.0)", "((1 - q.p) * 30.0)") + " ELSE 0 END AS llf FROM (SELECT q.*, st.clone, st.p, base * st.rate AS m, (base * st.rate) / (base * st.rate + 0.1 * base * st.rate * base * st.rate) AS pp FROM pooled q JOIN paths st USING (bin)) q JOIN (SELECT DISTINCT clone FROM paths) st ON st.clone = q.clone) GROUP BY src, clone", _IN_BLOCKS + ", cb AS (SELECT spot, chr AS bin, CAST(sum(umi) AS BIGINT) AS umi, CAST(sum(b) AS BIGINT) AS k, CAST(sum(a + b) AS BIGINT) AS depth, CAST(10 + chr AS DOUBLE) AS base FROM cells GROUP BY spot, chr), ed AS (SELECT a.spot AS src, b.spot AS dst FROM spots a JOIN spots b ON a.sample = b.sample AND 9 * (a.x - b.x) * (a.x - b.x) + 3 * (a.y - b.y) * (a.y - b.y) <= 12), pooled AS (SELECT src, bin, sum(umi) AS umi, sum(base) AS base, sum(k) AS k, sum(depth) AS depth, any_value(ratio) AS ratio FROM ed JOIN cb ON cb.spot = ed.dst JOIN (SELECT src, CASE WHEN count(*) FILTER (depth > 0) > 0 THEN count(*) FILTER (depth > 0) / CAST(count(*) AS DOUBLE) ELSE 1.0 END AS ratio FROM ed JOIN cb ON cb.spot = ed.dst GROUP BY src) USING (src) GROUP BY src, bin), paths AS (SELECT clone, bin, CAST([0.5, 0.3, 0.15][1 + (clone + bin) % 3] AS DOUBLE) AS p, CAST([1.0, 1.3498588075760032, 0.6703200460356393][1 + (clone + bin) % 3] AS DOUBLE) AS rate FROM (SELECT unnest([0, 1, 2]) AS clone), (SELECT DISTINCT bin FROM cb))"))
@@ -538,11 +538,11 @@ def icm_labels(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hmrf_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Labels after one round of model and labelling."""
+    """Labels after two rounds of model and labelling (an inference takes more)."""
     counts = P.bins_with_baseline(_in_blocks(spark, d), B.spots(spark, d))
     spots = B.spots(spark, d)
     pool, couple = X.adaptive_graph(spots)
-    labels, _, _ = R.hmrf_loop(counts, pool, couple, spots.select("sample", "spot", F.col("clone").alias("label")), k=3, rounds=1, em_rounds=1)
+    labels, _, _ = R.hmrf_loop(counts, pool, couple, spots.select("sample", "spot", F.col("clone").alias("label")), k=3, rounds=2, em_rounds=2)
     return labels
 
 
@@ -622,7 +622,7 @@ def integer_copy(spark: SparkSession, d: str) -> DataFrame:
     rows = _state_rows(spark, d)
     rows = N.adjusted_log_mu(rows, rows.select("clone", "state", F.col("bins").cast("double").alias("weight")))
     free = N.integer_copies(rows).withColumn("kind", F.lit("free"))
-    fixed = N.integer_copies(rows, diploid=N.diploid_state(rows), restarts=5).withColumn("kind", F.lit("fixed"))
+    fixed = N.integer_copies(rows, diploid=N.diploid_state(rows), restarts=20).withColumn("kind", F.lit("fixed"))
     return free.unionByName(fixed).withColumn("colour", C.copy_colour(F.col("a"), F.col("b")))
 
 

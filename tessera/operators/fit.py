@@ -20,7 +20,7 @@ if TYPE_CHECKING:
     from .hmm import States
 
 #: Grid points a side, rounds, and how much narrower each round's grid is.
-POINTS, ROUNDS, ZOOM = 9, 7, 0.3
+POINTS, ROUNDS, NEAR_ROUNDS, ZOOM = 9, 7, 2, 0.3
 
 
 #: The settings that each solver takes.
@@ -100,12 +100,13 @@ def compressed(obs: DataFrame, x: Column, n: Column, weights: Column, k: int, de
     return summed.select(*names, F.array(*(F.col(f"_{s}") for s in range(k))).alias("w"))
 
 
-def maximise(stats: DataFrame, kind: str, start: np.ndarray, *, shared: bool, fixed: bool = False, settings: dict[str, float] | None = None) -> np.ndarray:
+def maximise(stats: DataFrame, kind: str, start: np.ndarray, *, shared: bool, fixed: bool = False, settings: dict[str, float] | None = None, near: bool = False) -> np.ndarray:
     """[state, (location, dispersion)] of the largest likelihood, from ``start`` of the same shape.
 
     Locations are log means (nb, within ±10) or shares (bb, within 1e-6 of 0 and 1), dispersions lie within 1e-6 and
     1e6. ``shared``: one dispersion for all states; ``fixed``: dispersions stay. The first grid
-    spans all plausible values and holds the start too, so neither start is preferred.
+    spans all plausible values and holds the start too, so neither start is preferred; with
+    ``near`` it is a narrow one around the start, for starts that come from an earlier fit.
     """
     to = (lambda v: v) if kind == "nb" else (lambda v: np.log(v / (1 - v)))
     back = (lambda v: np.clip(v, -10, 10)) if kind == "nb" else (lambda v: np.clip(1 / (1 + np.exp(-v)), 1e-6, 1 - 1e-6))
@@ -114,7 +115,10 @@ def maximise(stats: DataFrame, kind: str, start: np.ndarray, *, shared: bool, fi
     disp = np.log(start[:, 1])
     wide_loc, wide_disp = (2.5, 4.0) if kind == "nb" else (4.0, 4.0)
     centre_loc, centre_disp = np.zeros(states), np.full(states, np.log(0.1) if kind == "nb" else np.log(30.0))
-    for _ in range(min(ROUNDS, int((settings or {}).get("maxiter", ROUNDS)))):
+    rounds = min(NEAR_ROUNDS if near else ROUNDS, int((settings or {}).get("maxiter", ROUNDS)))
+    if near:
+        centre_loc, centre_disp, wide_loc, wide_disp = loc.copy(), disp.copy(), 0.3, 0.6
+    for _ in range(rounds):
         side = np.linspace(-1, 1, POINTS)
         grid_loc = np.concatenate([centre_loc[:, None] + wide_loc * side, loc[:, None]], axis=1)
         common = centre_disp if not shared else np.full(states, centre_disp.mean())
@@ -133,18 +137,17 @@ def maximise(stats: DataFrame, kind: str, start: np.ndarray, *, shared: bool, fi
     return np.stack([back(loc), np.clip(np.exp(disp), 1e-6, 1e6)], axis=1)
 
 
-def fit_states(rows: DataFrame, states: States, *, means: bool, shares: bool, shared: bool = True, fixed: bool = False, least: float = 0.1, purity: str | None = None) -> States:
+def fit_states(rows: DataFrame, states: States, *, means: bool, shares: bool, phased: bool = False, shared: bool = True, fixed: bool = False, least: float = 0.1, purity: str | None = None, near: bool = False) -> States:
     """States refitted to ``rows(umi, base, k, depth, log_gamma)``; states of less than ``least`` weight stay.
 
-    With 2K posteriors the second half counts reads of the other allele.
+    ``phased``: there are 2K posteriors, the second half of which counts reads of the other allele.
     """
     k = states.k
     gamma = F.transform("log_gamma", lambda g: F.exp(g))
-    phased = len(rows.select("log_gamma").head(1)) and len(rows.select("log_gamma").head()[0]) == 2 * k
     both = F.array(*(gamma[s] + gamma[s + k] for s in range(k))) if phased else gamma
     if means and states.log_mu:
         stats = compressed(rows.where(F.col("base") > 0), F.col("umi").cast("double"), F.col("base"), both, k, purity=purity).persist()
-        fitted = maximise(stats, "nb", np.stack([states.log_mu, states.alpha], axis=1), shared=shared, fixed=fixed)
+        fitted = maximise(stats, "nb", np.stack([states.log_mu, states.alpha], axis=1), shared=shared, fixed=fixed, near=near)
         weight = _weights(stats, k)
         stats.unpersist()
         keep = weight < least
@@ -159,7 +162,7 @@ def fit_states(rows: DataFrame, states: States, *, means: bool, shares: bool, sh
         else:
             weights = gamma
         stats = compressed(held, F.col("k").cast("double"), F.col("depth"), weights, k, purity=purity).persist()
-        fitted = maximise(stats, "bb", np.stack([states.p, states.tau], axis=1), shared=shared, fixed=fixed)
+        fitted = maximise(stats, "bb", np.stack([states.p, states.tau], axis=1), shared=shared, fixed=fixed, near=near)
         weight = _weights(stats, k)
         stats.unpersist()
         keep = weight < least

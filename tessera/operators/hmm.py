@@ -163,25 +163,33 @@ def posteriors(obs: DataFrame, states: States, keys: Sequence[str], order: str =
     return needed.groupBy(*keys).applyInPandas(run, f"{kinds}, log_gamma array<double>, state int, phase boolean, xi array<double>, llf double")
 
 
-def transition_update(posterior: DataFrame, k: int, diagonal: bool = False) -> tuple[tuple[float, ...], ...]:
+def expected_sums(posterior: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(expected transitions [K, K], first rows' posteriors [K], log-likelihood) over all chains, in one pass."""
+    rows = posterior.where("xi is not null")
+    xi = (F.sum(F.col("xi")[i]) for i in range(k * k))
+    # With 2K posteriors both phases of a state count; beyond the array's end there is nothing.
+    start = (F.sum(F.exp(F.col("log_gamma")[i]) + F.coalesce(F.exp(F.get("log_gamma", F.lit(i + k))), F.lit(0.0))) for i in range(k))
+    found = np.array([x or 0.0 for x in rows.agg(*xi, *start, F.sum("llf")).head()], float)
+    return found[: k * k].reshape(k, k), found[k * k : -1], float(found[-1])
+
+
+def normalised_transitions(m: np.ndarray, diagonal: bool = False) -> tuple[tuple[float, ...], ...]:
     """Log transitions from expected ones; ``diagonal`` ties them to one stay and one leave value."""
-    sums = posterior.where("xi is not null").select(F.posexplode("xi").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
-    m = np.full(k * k, 1e-300)
-    for r in sums:
-        m[r.i] += r.x
-    m = m.reshape(k, k)
+    k, m = len(m), m + 1e-300
     if diagonal and k > 1:
         stay = np.trace(m) / m.sum()
         m = np.where(np.eye(k, dtype=bool), stay, (1 - stay) / (k - 1)) + 1e-300
     return tuple(map(tuple, np.log(m / m.sum(axis=1, keepdims=True))))
 
 
+def transition_update(posterior: DataFrame, k: int, diagonal: bool = False) -> tuple[tuple[float, ...], ...]:
+    """Log transitions from the expected ones of all chains."""
+    return normalised_transitions(expected_sums(posterior, k)[0], diagonal)
+
+
 def start_update(posterior: DataFrame, k: int) -> tuple[float, ...]:
     """Log start probabilities: the mean posterior of first rows, both phases together."""
-    rows = posterior.where("xi is not null").select(F.posexplode("log_gamma").alias("i", "g")).groupBy((F.col("i") % k).alias("i")).agg(F.sum(F.exp("g")).alias("g")).collect()
-    m = np.full(k, 1e-300)
-    for r in rows:
-        m[r.i] += r.g
+    m = expected_sums(posterior, k)[1] + 1e-300
     return tuple(np.log(m / m.sum()))
 
 
@@ -198,14 +206,15 @@ def baum_welch(obs: DataFrame, states: States, keys: Sequence[str], *, update: s
         em = emission(states, phased=switch is not None, reads=reads, purity=F.col(purity) if purity else None)
         rows = obs.withColumn("em", em)
         post = posteriors(rows, states, keys, switch=switch).persist()
-        trail.append(float(post.agg(F.sum("llf")).head()[0] or 0.0))
+        moves, starts, llf = expected_sums(post, states.k)
+        trail.append(llf)
         new = states
         if "s" in update:
-            new = replace(new, log_start=start_update(post, states.k))
+            new = replace(new, log_start=tuple(np.log((starts + 1e-300) / (starts + 1e-300).sum())))
         if "t" in update:
-            new = replace(new, log_trans=transition_update(post, states.k, diagonal))
+            new = replace(new, log_trans=normalised_transitions(moves, diagonal))
         joined = obs.join(post.select(*keys, "t", "log_gamma"), [*keys, "t"])
-        new = fit_states(joined, new, means=reads, shares="p" in update, shared=shared, purity=purity)
+        new = fit_states(joined, new, phased=switch is not None, means=reads, shares="p" in update, shared=shared, purity=purity, near=len(trail) > 1)
         post.unpersist()
         change = [np.abs(np.exp(new.log_trans) - np.exp(states.log_trans)).mean(), np.abs(np.subtract(new.p, states.p)).mean()]
         change.append(np.abs(np.subtract(new.log_mu, states.log_mu)).mean() if reads else 0.0)
@@ -244,8 +253,8 @@ def spread_states(obs: DataFrame, k: int, seed: int = 0) -> States:
     return replace(default_states(k), log_mu=tuple(np.clip(found[:, 0], -2, 2)), p=tuple(np.clip(found[:, 1], 0.01, 0.99)))
 
 
-def fit_chains(obs: DataFrame, keys: Sequence[str], k: int, *, switch: str | None = None, rounds: int = 30, update: str = "stmp", seed: int = 0) -> tuple[States, list[float], DataFrame]:
-    """(states, likelihoods, posterior rows): mixture start, Baum-Welch, then the final lattice."""
-    states, trail = baum_welch(obs, gmm_states(obs, k, seed), keys, update=update, rounds=rounds, switch=switch)
-    em = emission(states, phased=switch is not None, reads="m" in update)
+def fit_chains(obs: DataFrame, keys: Sequence[str], k: int, *, switch: str | None = None, rounds: int = 30, update: str = "stmp", seed: int = 0, purity: str | None = None) -> tuple[States, list[float], DataFrame]:
+    """(states, likelihoods, posterior rows): mixture start, Baum-Welch, then the final lattice; ``purity``: a column of ``obs``."""
+    states, trail = baum_welch(obs, gmm_states(obs, k, seed), keys, update=update, rounds=rounds, switch=switch, purity=purity)
+    em = emission(states, phased=switch is not None, reads="m" in update, purity=F.col(purity) if purity else None)
     return states, trail, posteriors(obs.withColumn("em", em), states, keys, switch=switch)

@@ -6,6 +6,7 @@ stand and a lost executor's spots come out the same again.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,9 @@ def random_rectangles(spots: DataFrame, n_clones: int, seed: int = 0, tries: int
     """Adds ``clone``: a random grid over the inner 5 to 95 percentiles, its cells dealt to clones at random.
 
     Widths are Dirichlet(10) draws; a draw counts once every clone has over a fifth of its even
-    share of spots; an error if none of ``tries`` draws does. Sixteen draws are judged in one
-    pass, and only their counts come to the driver.
+    share of spots. Sixteen draws are judged in one pass, and only their counts come to the
+    driver. If none of ``tries`` draws counts (spots too few, or on a line), a warning says so and
+    the one whose clones are most even is taken.
     """
     from ..functions.columns import digitize
 
@@ -28,6 +30,7 @@ def random_rectangles(spots: DataFrame, n_clones: int, seed: int = 0, tries: int
     lo_x, hi_x, lo_y, hi_y, n = spots.agg(F.percentile("x", F.lit(0.05)), F.percentile("x", F.lit(0.95)), F.percentile("y", F.lit(0.05)), F.percentile("y", F.lit(0.95)), F.count(F.lit(1))).head()
     if not n:
         return spots.withColumn("clone", F.lit(0))
+    best = (-1, -1, F.lit(0))
     for _ in range(0, tries, 16):
         draws = []
         for _ in range(16):
@@ -37,10 +40,12 @@ def random_rectangles(spots: DataFrame, n_clones: int, seed: int = 0, tries: int
             draws.append(F.array(*(F.lit(int(c)) for c in deal))[digitize(F.col("x"), cut_x) * p + digitize(F.col("y"), cut_y)])
         tagged = spots.select(F.array(*draws).alias("d")).select(F.posexplode("d").alias("draw", "clone")).groupBy("draw", "clone").agg(F.count(F.lit(1)).alias("n"))
         sizes = tagged.groupBy("draw").agg(F.count(F.lit(1)).alias("clones"), F.min("n").alias("least")).collect()
-        good = sorted(r.draw for r in sizes if r.clones == n_clones and r.least > 0.2 * n / n_clones)
-        if good:
-            return spots.withColumn("clone", draws[good[0]])
-    raise ValueError(f"no draw gives {n_clones} clones enough of {n} spots")
+        top = max(sizes, key=lambda r: (r.clones, r.least, -r.draw))
+        best = max(best, (top.clones, top.least, draws[top.draw]), key=lambda t: t[:2])
+        if best[0] == n_clones and best[1] > 0.2 * n / n_clones:
+            return spots.withColumn("clone", best[2])
+    warnings.warn(f"no draw gives {n_clones} clones enough of {n} spots; the most even one is taken", stacklevel=2)
+    return spots.withColumn("clone", best[2])
 
 
 def _sweeper(kind: str, coupling: float, value: float, most: int, sweeps: int, seed: int):

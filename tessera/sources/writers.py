@@ -27,8 +27,9 @@ def write_table(df: DataFrame, path: str, *, partition_by: tuple[str, ...] = ())
 
 def write_commented(df: DataFrame, path: str) -> None:
     """Gzipped tab-separated files, the names in a first line after a ``#`` (one per part)."""
+    # With another sign for comments the ``#`` isn't quoted.
     first, *rest = df.columns
-    df.withColumnRenamed(first, f"#{first}").write.mode("overwrite").csv(path, sep="\t", header=True, compression="gzip")
+    df.withColumnRenamed(first, f"#{first}").write.mode("overwrite").option("comment", "\x01").csv(path, sep="\t", header=True, compression="gzip")
 
 
 def append_metrics(spark, path: str, rows: list[tuple], schema: str = "model string, size long, states int, start string, runtime double, rounds int, llf double") -> None:
