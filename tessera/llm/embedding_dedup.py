@@ -184,7 +184,8 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFram
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", "node", "embedding", "copies", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    counted = met.groupBy("component", "i", "j").applyInPandas(_linker(threshold), schema("node long, n long")).groupBy("node").agg(F.sum("n").alias("n"))
+    # Dealt anew: else all pairs of blocks of a component would stay where its join brought them.
+    counted = met.repartition(n, "component", "i", "j").groupBy("component", "i", "j").applyInPandas(_linker(threshold), schema("node long, n long")).groupBy("node").agg(F.sum("n").alias("n"))
     classes = nodes.join(known, "node", "left").join(counted, "node", "left")
     classes = materialise(classes.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")), "classes")
     return keyed.select("vec_id", "key").join(classes, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
