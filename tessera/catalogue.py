@@ -525,15 +525,57 @@ def _field(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     return counts, edges, decoded
 
 
-@query()
-def icm_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Clone labels of spots after conditional-mode sweeps."""
+def icm_sql(edges: str, final: str, tol: float = 0.1) -> str:
+    """DuckDB query that visits spot after spot until a sweep changes too few; ``edges``: rows (src, dst, w), ``final``: columns of the last state."""
+    prior = "cw AS (SELECT sample, clone, CASE WHEN n > 0 THEN ln(n / sum(n) OVER (PARTITION BY sample)) ELSE -50.0 END AS w FROM (SELECT sample, c.clone, (SELECT count(*) FROM spots z WHERE z.sample = s.sample AND z.clone = c.clone) AS n FROM (SELECT DISTINCT sample FROM spots) s, (SELECT unnest([0, 1, 2]) AS clone) c))"
+    return B.with_views("spots", f"SELECT {final} FROM last, ix ORDER BY ix.spot", (
+        f"raw AS ({ORACLE['spot_llf'].replace('round(sum(llf), 3)', 'sum(llf)')}), {_PAIRS}, ed AS ({edges}), {prior}"
+        ", sc AS (SELECT spot, sample, any_value(s.clone) AS label, list(llf + w - lse ORDER BY raw.clone) AS score FROM raw JOIN spots s USING (spot) JOIN cw USING (sample) JOIN (SELECT sample, ln(sum(exp(w))) AS lse FROM cw GROUP BY sample) USING (sample) WHERE cw.clone = raw.clone GROUP BY spot, sample)"
+        ", ix AS MATERIALIZED (SELECT row_number() OVER (ORDER BY spot) AS i, * FROM sc), nn AS (SELECT count(*) AS n FROM ix)"
+        ", nb AS MATERIALIZED (SELECT a.i, list({'j': b.i, 'w': w}) AS near FROM ed JOIN ix a ON a.spot = src JOIN ix b ON b.spot = dst WHERE src <> dst GROUP BY a.i)"
+        ", r AS (SELECT 0 AS step, 0::BIGINT AS i, (SELECT list(label + 1 ORDER BY i) FROM ix) AS l, 0::BIGINT AS edits"
+        " UNION ALL SELECT step + 1, k, list_transform(l, lambda x, q: CASE WHEN q = k THEN new ELSE x END), CASE WHEN k = 1 THEN 0 ELSE edits END + CASE WHEN l[k] <> new THEN 1 ELSE 0 END FROM"
+        " (SELECT step, k, l, edits, list_position(cost, list_max(cost)) AS new FROM (SELECT step, ix.i AS k, l, edits, list_transform(score, lambda v, c: v + coalesce(list_sum(list_transform(near, lambda m: CASE WHEN l[m.j] = c THEN m.w ELSE 0.0 END)), 0.0)) AS cost"
+        f" FROM r, nn JOIN ix ON ix.i = r.i % nn.n + 1 LEFT JOIN nb ON nb.i = ix.i WHERE NOT (r.i = nn.n AND edits < {tol} * nn.n))))"
+        ", last AS (SELECT arg_max(l, step) AS l FROM r)"
+    ), recursive=True)
+
+
+_NEAR = "SELECT src, dst, exp(-power(d2 / 36, 5)) AS w FROM p WHERE exp(-power(d2 / 36, 5)) > 1e-4"
+_LABEL = "ix.sample, ix.spot, CAST(l[ix.i] - 1 AS INTEGER) AS label"
+
+
+def _fixed_field(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Spot likelihoods under fixed paths, present labels, and log shares of clones."""
     counts, edges, decoded = _field(spark, d)
     spots = B.spots(spark, d)
     llf = R.spot_llf(counts, edges, decoded, R.states_table(spark, THREE))
-    labels = spots.select("sample", "spot", F.col("clone").alias("label"))
     prior = A.clone_log_weights(spots, spark.range(3).select(F.col("id").cast("int").alias("clone")))
-    return R.icm(llf, X.weighted_adjacency(spots, 36.0).select("src", "dst", "weight"), labels, log_prior=prior).select("sample", "spot", "label")
+    return llf, spots.select("sample", "spot", F.col("clone").alias("label")), prior
+
+
+@query(icm_sql(_NEAR, _LABEL))
+def icm_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Clone labels of spots after conditional-mode sweeps."""
+    llf, labels, prior = _fixed_field(spark, d)
+    return R.icm(llf, X.weighted_adjacency(B.spots(spark, d), 36.0), labels, log_prior=prior).select("sample", "spot", "label")
+
+
+def slice_links(spots: DataFrame) -> DataFrame:
+    """(src, dst, weight): links both ways between spots a row apart, samples aside."""
+    up = spots.alias("a").join(spots.alias("b"), (F.col("a.x") == F.col("b.x")) & (F.col("a.y") + 1 == F.col("b.y"))).select(F.col("a.spot").alias("src"), F.col("b.spot").alias("dst"), F.lit(0.25).alias("weight"))
+    return up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+
+
+_LINKS = "SELECT src, dst, sum(w) AS w FROM (" + _NEAR + " UNION ALL SELECT a.spot, b.spot, 0.25 FROM spots a JOIN spots b ON a.x = b.x AND a.y + 1 = b.y UNION ALL SELECT b.spot, a.spot, 0.25 FROM spots a JOIN spots b ON a.x = b.x AND a.y + 1 = b.y) GROUP BY src, dst"
+
+
+@query(icm_sql(_LINKS, _LABEL, 1e-9))
+def icm_slices(spark: SparkSession, d: str) -> DataFrame:
+    """Clone labels where links between samples count like those within, swept until nothing changes."""
+    llf, labels, prior = _fixed_field(spark, d)
+    spots = B.spots(spark, d)
+    return R.icm(llf, X.with_links(X.weighted_adjacency(spots, 36.0), slice_links(spots)), labels, tol=1e-9, log_prior=prior).select("sample", "spot", "label")
 
 
 @query()

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import _CLONE_LLF, _IN_BLOCKS, _OBSERVED, _PAIRS, BLOCK, THREE, _bb_sql, _blocks, _field, _in_blocks, _nb_sql, _observed, _step_sql, query
+from .catalogue import _CLONE_LLF, _IN_BLOCKS, _OBSERVED, _PAIRS, BLOCK, THREE, _bb_sql, _blocks, _field, _in_blocks, _nb_sql, _observed, _step_sql, query, slice_links
 from .functions import columns as C
 from .operators import aggregate as A
 from .operators import copynumber as N
@@ -333,9 +333,7 @@ def log_sum_exp(spark: SparkSession, d: str) -> DataFrame:
 def stacked_graph(spark: SparkSession, d: str) -> DataFrame:
     """The graphs of all samples with links between slices beside them."""
     s = B.spots(spark, d)
-    up = s.alias("a").join(s.alias("b"), (F.col("a.x") == F.col("b.x")) & (F.col("a.y") + 1 == F.col("b.y"))).select(F.col("a.spot").alias("src"), F.col("b.spot").alias("dst"), F.lit(0.25).alias("weight"))
-    across = up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    return X.with_links(X.weighted_adjacency(s, 36.0), across).withColumn("weight", F.round("weight", 6))
+    return X.with_links(X.weighted_adjacency(s, 36.0), slice_links(s)).withColumn("weight", F.round("weight", 6))
 
 
 @query(B.with_views("spots", "SELECT src, dst, round(exp(-power(d2 / 36, 5)), 6) AS weight FROM p WHERE exp(-power(d2 / 36, 5)) > 1e-4 AND src IN (SELECT spot FROM spots WHERE clone = 1)", _PAIRS))

@@ -119,6 +119,19 @@ def digitize(x: Column, edges: list[float]) -> Column:
     return out
 
 
+def constant_longs(values: list[int]) -> Column:
+    """A constant array of longs, however many, as one expression."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def rank_among(bounds: list[int], key: Column) -> Column:
+    """How many of the ascending ``bounds`` lie below ``key``, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    steps, given = [1 << b for b in reversed(range(len(bounds).bit_length()))], constant_longs(bounds)
+    return F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & (F.get(given, at + step - 1) < key), at + step).otherwise(at))
+
+
 def logsumexp(xs: Column) -> Column:
     """log(sum(exp)) of an array of doubles."""
     top = F.array_max(xs)

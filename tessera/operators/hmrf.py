@@ -1,8 +1,8 @@
 """Clones as a hidden Markov random field over spots.
 
 The emission of a spot under a clone is that of the clone's decoded path only: predictions join
-first, so no table of states x bins x spots exists. Label updates are sequential inside a sample
-(each uses its neighbours' newest labels), so a sample is one Arrow group of spots.
+first, so no table of states x bins x spots exists. Label updates are sequential (each uses its
+neighbours' newest labels) over all samples and the links between them, tile by tile (``sweep``).
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from ..functions.columns import bb_emission, logsumexp, nb_emission
 from .aggregate import adjusted_rand, pooled
 from .fit import fit_normal_shares, np_bb
 from .hmm import States, fit_chains
+from .storage import keep
+from .sweep import TILE, Field
 
 
 def states_table(spark, states: States) -> DataFrame:
@@ -78,51 +80,30 @@ def final_labels(counts: DataFrame, pooling: DataFrame, coupling: DataFrame, lab
     return found, total_llf(found.select("spot", "label"), llf, coupling, weight)
 
 
-def icm(llf: DataFrame, edges: DataFrame, labels: DataFrame, *, weight: float = 1.0, tol: float = 0.1, sweeps: int = 100, log_prior: DataFrame | None = None) -> DataFrame:
-    """(sample, spot, label, posterior): iterated conditional modes on every sample.
+def icm(llf: DataFrame, edges: DataFrame, labels: DataFrame, *, weight: float = 1.0, tol: float = 0.1, sweeps: int = 100, log_prior: DataFrame | None = None, tile: int = TILE) -> DataFrame:
+    """(sample, spot, label, posterior): iterated conditional modes on all samples as one graph.
 
-    ``llf``: (spot, clone, llf); ``edges``: (src, dst, weight) within samples; ``labels``: (sample,
-    spot, label). Spots are visited in order of their ids; a sweep that changes less than ``tol``
-    of them is the last. Ties go to the first clone. ``log_prior``: (sample, clone, log_weight).
+    ``llf``: (spot, clone, llf), of a few clones; ``edges``: (src, dst, weight), within samples and
+    between them; ``labels``: (sample, spot, label). Spots are visited in order of their ids; a sweep
+    that changes less than ``tol`` of them is the last. Ties go to the first clone; a spot without a
+    clone's likelihood doesn't take that clone. ``log_prior``: (sample, clone, log_weight).
     """
     scores = labels.join(llf, "spot")
     if log_prior is not None:
         scores = scores.join(log_prior, ["sample", "clone"], "left").withColumn("llf", F.col("llf") + F.coalesce("log_weight", F.lit(0.0)))
-    scores = scores.select("sample", "spot", "label", "clone", "llf")
-    near = edges.select("src", "dst", "weight").join(labels.select(F.col("spot").alias("src"), "sample"), "src").select(F.col("sample").alias("part"), "src", "dst", F.col("weight").alias("w"))
-
-    def run(own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        if own.empty:
-            return pd.DataFrame({"sample": [], "spot": [], "label": [], "posterior": []})
-        table = own.pivot(index="spot", columns="clone", values="llf").sort_index().sort_index(axis=1).fillna(-1e300)
-        clones, spots = table.columns.to_numpy(), table.index.to_numpy()
-        first = own.drop_duplicates("spot").set_index("spot")["label"].reindex(spots).to_numpy()
-        now = np.searchsorted(clones, first).clip(0, len(clones) - 1)
-        now[clones[now] != first] = 0
-        # Neighbours as a compressed table of rows: sorted by source, with where each source's begin.
-        at = [np.searchsorted(spots, links[c].to_numpy()).clip(0, len(spots) - 1) for c in ("src", "dst")]
-        held = (spots[at[0]] == links["src"].to_numpy()) & (spots[at[1]] == links["dst"].to_numpy()) & (at[0] != at[1])
-        src, dst, w = at[0][held], at[1][held], weight * links["w"].to_numpy(float)[held]
-        order = np.argsort(src, kind="stable")
-        dst, w = dst[order], w[order]
-        begin = np.searchsorted(src[order], np.arange(len(spots) + 1))
-        node = table.to_numpy()
-        cost = node.copy()
-        for _ in range(sweeps):
-            edits = 0
-            for i in range(len(now)):
-                lo, hi = begin[i], begin[i + 1]
-                cost[i] = node[i] + np.bincount(now[dst[lo:hi]], w[lo:hi], len(clones)) if hi > lo else node[i]
-                best = int(cost[i].argmax())
-                edits += best != now[i]
-                now[i] = best
-            if edits < tol * len(now):
-                break
-        soft = np.exp(cost - cost.max(axis=1, keepdims=True))
-        soft /= soft.sum(axis=1, keepdims=True)
-        return pd.DataFrame({"sample": own["sample"].iloc[0], "spot": spots, "label": clones[now], "posterior": list(soft)})
-
-    return scores.groupBy("sample").cogroup(near.groupBy("part")).applyInPandas(run, "sample int, spot long, label int, posterior array<double>")
+    clones = sorted(r[0] for r in llf.select("clone").distinct().collect())
+    each = F.array(*(F.coalesce(F.max(F.when(F.col("clone") == c, F.col("llf"))), F.lit(-1e300)) for c in clones))
+    field = Field(scores.groupBy(F.col("spot").alias("node")).agg(each.alias("score")), edges, weight, tile)
+    number = F.array(*(F.lit(c) for c in clones))
+    state = field.start(labels.select(F.col("spot").alias("node"), (F.array_position(number, F.col("label")) - 1).alias("label")).where("label >= 0"))
+    for _ in range(sweeps):
+        state, edits = field.sweep(state)
+        if not edits or edits < tol * field.size:
+            break
+    parts = F.transform("cost", lambda x: F.exp(x - F.array_max("cost")))
+    soft = F.transform(parts, lambda x: x / F.aggregate(parts, F.lit(0.0), lambda s, y: s + y))
+    found = state.select(F.col("node").alias("spot"), number[F.col("now")].alias("label"), soft.alias("posterior"))
+    return labels.select("sample", "spot").join(found, "spot").select("sample", "spot", "label", "posterior")
 
 
 def total_llf(labelled: DataFrame, llf: DataFrame, edges: DataFrame, weight: float = 1.0) -> DataFrame:
@@ -141,7 +122,6 @@ def hmrf_loop(counts: DataFrame, pooling: DataFrame, coupling: DataFrame, labels
     left; clones without spots drop out by themselves. Labels are a checkpointed table of one row
     a spot in every round, so plans don't grow.
     """
-    spark = counts.sparkSession
     trail: list[float] = []
     for _ in range(rounds):
         bulk = counts.join(labels.select("spot", F.col("label").alias("clone")), "spot").groupBy("clone", "chr", "bin").agg(*(F.sum(c).alias(c) for c in ("umi", "base", "k", "depth")))
@@ -155,13 +135,10 @@ def hmrf_loop(counts: DataFrame, pooling: DataFrame, coupling: DataFrame, labels
 
             prior = clone_log_weights(labels.select("sample", F.col("label").alias("clone")), labels.select(F.col("label").alias("clone")).distinct())
         new = icm(llf, coupling, labels, weight=weight, log_prior=prior).select("sample", "spot", "label")
-        held = labels if trail else None
-        new = new.checkpoint() if spark.sparkContext.getCheckpointDir() else new.persist()
+        new = keep(new)
         both = labels.select("spot", F.col("label").alias("old")).join(new, "spot")
         trail.append(float(adjusted_rand(both, "old", "label").head()[0]))
         labels = new
-        if held is not None:
-            held.unpersist()
         if trail[-1] > 0.99 or labels.select("label").distinct().count() <= 1:
             break
     return labels, states, trail
@@ -319,8 +296,6 @@ def main_components(cells: DataFrame, parts: int = 4, rounds: int = 6, seed: int
     over each spot, centred by the features' means; only ``parts`` x ``parts`` sums come to the
     driver, whatever the number of features.
     """
-    spark = cells.sparkSession
-    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
     cells = keep(cells.select("spot", "feature", "v"))
     spots = cells.select("spot").distinct()
     n = spots.count()
@@ -400,7 +375,6 @@ def outlier_features(totals: DataFrame, k: int = 200, factor: float = 1.5, stret
     the one of the lower place counts as nearer.
     """
     spark = totals.sparkSession
-    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
     # A sorted partition knows its rows' places once the sizes of those before it are known.
     dealt = totals.select("feature", "n").repartitionByRange("n", "feature").sortWithinPartitions("n", "feature")
     dealt = keep(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()))

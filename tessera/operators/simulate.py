@@ -14,6 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .graph import potts_energy
+from .storage import keep
+from .sweep import Field
+
 
 def random_rectangles(spots: DataFrame, n_clones: int, seed: int = 0, tries: int = 256) -> DataFrame:
     """Adds ``clone``: a random grid over the inner 5 to 95 percentiles, its cells dealt to clones at random.
@@ -48,66 +52,55 @@ def random_rectangles(spots: DataFrame, n_clones: int, seed: int = 0, tries: int
     return spots.withColumn("clone", best[2])
 
 
-def _sweeper(kind: str, coupling: float, value: float, most: int, sweeps: int, seed: int):
-    def run(own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("node")
-        group = int(own["sample"].iloc[0]) if len(own) else 0
-        rng = np.random.default_rng((seed, group))
-        at = {n: i for i, n in enumerate(own["node"])}
-        ties = [[] for _ in at]
-        for s, d, w in zip(links["src"], links["dst"], links["weight"], strict=True):
-            if s in at and d in at and s != d:
-                ties[at[s]].append((at[d], w))
-        label, field = own["label"].to_numpy().copy(), np.array(own["h"].tolist(), float).reshape(len(own), most)
-        src = np.array([i for i, t in enumerate(ties) for _ in t], np.int64)
-        dst, weight = (np.array([x[c] for t in ties for x in t]) for c in (0, 1))
-
-        def energy() -> float:
-            unlike = weight[label[src] != label[dst.astype(np.int64)]].sum() / 2 if len(src) else 0.0
-            return coupling * unlike - field[np.arange(len(label)), label].sum()
-
-        other = lambda now: (now + 1 + int(rng.integers(most - 1))) % most if most > 1 else now  # noqa: E731  always another label
-        before = energy() if len(label) else 0.0
-        for t in range(1, sweeps + 1):
-            changed = 0
-            for i in range(len(label)):
-                cost = -field[i]
-                for j, w in ties[i]:
-                    cost = cost + coupling * w * (np.arange(most) != label[j])
-                if kind == "icm":
-                    new = other(label[i]) if rng.random() < value / t else int(cost.argmin())
-                else:
-                    trial = other(label[i])
-                    new = trial if rng.random() < np.exp(min(0.0, -value * (cost[trial] - cost[label[i]]))) else label[i]
-                changed += new != label[i]
-                label[i] = new
-            now = energy() if len(label) else 0.0
-            if kind == "icm" and (not changed or abs(now - before) < 1e-12):
-                break
-            before = now
-        return pd.DataFrame({"sample": own["sample"], "node": own["node"], "label": label})
-
-    return run
-
-
-def _swept(nodes: DataFrame, edges: DataFrame, run) -> DataFrame:
-    links = edges.join(nodes.select(F.col("node").alias("src"), F.col("sample").alias("part")), "src").select("part", "src", "dst", "weight")
-    return nodes.groupBy("sample").cogroup(links.groupBy("part")).applyInPandas(run, "sample int, node long, label int")
+def _other(label: int, most: int, draw: float) -> int:
+    """Another label at random, if there is one."""
+    return (label + 1 + int(draw * (most - 1))) % most if most > 1 else label
+
+
+def _field(nodes: DataFrame, edges: DataFrame, coupling: float) -> tuple[Field, DataFrame]:
+    field = Field(nodes.select("node", F.col("h").alias("score")), edges, coupling)
+    return field, field.start(nodes.select("node", "label"))
 
 
 def learn_labels(nodes: DataFrame, edges: DataFrame, most: int, *, coupling: float = 1.0, epsilon: float = 1.0, sweeps: int = 20, seed: int = 0) -> DataFrame:
     """(sample, node, label): greedy sweeps that draw another label with probability epsilon / t in sweep t.
 
-    Sweeps end where no label changes or the energy stays the same.
+    Sweeps end where no label changes or the energy stays the same. Draws hang on seed, sweep and
+    node alone, so every run gives the same labels.
 
     ``nodes``: (sample, node, label, h) with one field value per label.
     """
-    return _swept(nodes, edges, _sweeper("icm", coupling, epsilon, most, sweeps, seed))
+
+    def choose(cost: np.ndarray, label: int, draws: np.ndarray, sweep: int) -> int:
+        return _other(label, most, draws[1]) if draws[0] < epsilon / sweep else int(cost.argmax())
+
+    held = nodes.select("node", F.posexplode("h").alias("label", "h"))
+
+    def energy(state: DataFrame) -> float:
+        return float(potts_energy(edges, state.select("node", F.col("now").alias("label")), coupling, held).first()[0])
+
+    field, state = _field(nodes, edges, coupling)
+    before = energy(state)
+    for t in range(1, sweeps + 1):
+        state, edits = field.sweep(state, choose, t, seed)
+        now = energy(state)
+        if not edits or abs(now - before) < 1e-12:
+            break
+        before = now
+    return nodes.select("sample", "node").join(state.select("node", F.col("now").alias("label")), "node").select("sample", "node", "label")
 
 
 def metropolis(nodes: DataFrame, edges: DataFrame, most: int, *, coupling: float = 1.0, beta: float = 1.0, sweeps: int = 1, seed: int = 0) -> DataFrame:
     """(sample, node, label) after Metropolis sweeps at inverse temperature ``beta``; a proposal is always another label."""
-    return _swept(nodes, edges, _sweeper("metropolis", coupling, beta, most, sweeps, seed))
+
+    def choose(cost: np.ndarray, label: int, draws: np.ndarray, sweep: int) -> int:
+        trial = _other(label, most, draws[1])
+        return trial if draws[0] < np.exp(min(0.0, beta * (cost[trial] - cost[label]))) else label
+
+    field, state = _field(nodes, edges, coupling)
+    for t in range(1, sweeps + 1):
+        state, _ = field.sweep(state, choose, t, seed)
+    return nodes.select("sample", "node").join(state.select("node", F.col("now").alias("label")), "node").select("sample", "node", "label")
 
 
 def poisson_baseline(spark: SparkSession, segments: int, rate: float, seed: int = 0) -> DataFrame:
@@ -215,7 +208,6 @@ def lineages(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     Each round joins the known paths with those of the largest length, so rounds grow with the
     logarithm of the tree's depth.
     """
-    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
     parents = nodes.where("parent is not null").select(F.col("id").cast("long").alias("id"), F.col("parent").cast("long").alias("ancestor"))
     paths, length = keep(parents.withColumn("depth", F.lit(1))), 1
     while True:
