@@ -45,6 +45,30 @@ def lgamma_sum(plus: list[Column], minus: list[Column] = ()) -> Column:
     return total(plus) - total(minus) if len(minus) else total(plus)
 
 
+def digamma(x: Column) -> Column:
+    """Derivative of log gamma at x > 0: shifted by 8, then its asymptotic series."""
+
+    def of(x: Column) -> Column:
+        r = F.lit(1.0) / (x + 8.0)
+        r2 = r * r
+        series = F.log(x + 8.0) - r / 2 - r2 * (F.lit(1 / 12) - r2 * (F.lit(1 / 120) - r2 * (F.lit(1 / 252) - r2 * (F.lit(1 / 240) - r2 * F.lit(1 / 132)))))
+        return series - sum((F.lit(1.0) / (x + float(k)) for k in range(1, 8)), F.lit(1.0) / x)
+
+    return F.transform(F.array(x.cast("double")), of)[0]
+
+
+def trigamma(x: Column) -> Column:
+    """Second derivative of log gamma at x > 0."""
+
+    def of(x: Column) -> Column:
+        r = F.lit(1.0) / (x + 8.0)
+        r2 = r * r
+        series = r + r2 / 2 + r * r2 * (F.lit(1 / 6) - r2 * (F.lit(1 / 30) - r2 * (F.lit(1 / 42) - r2 * (F.lit(1 / 30) - r2 * F.lit(5 / 66)))))
+        return series + sum((F.lit(1.0) / ((x + float(k)) * (x + float(k))) for k in range(1, 8)), F.lit(1.0) / (x * x))
+
+    return F.transform(F.array(x.cast("double")), of)[0]
+
+
 def nb_params(mean: Column, std: Column) -> tuple[Column, Column]:
     """(n, p) of a negative binomial from its mean and standard deviation."""
     p = mean / (std * std)

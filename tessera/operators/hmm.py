@@ -1,23 +1,25 @@
 """Hidden Markov models of copy-number states along chromosomes.
 
 Emissions are columns (an array per row, one entry a state), the forward likelihood is a fold
-inside generated code, and the full lattices run as one Arrow group per chain: a chain is one
-chromosome of one clone, so a group is bounded by the bins of a chromosome. Only sums over all
-chains (K x K transitions, K starts) come to the driver.
+inside generated code, and full lattices run over batches of chains at once (``lattice``); longer
+chains can be cut into blocks. Many models are fitted together: their number is a column. Only sums
+over all chains of a model (K x K transitions, K starts) come to the driver.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.columns import bb_state, nb_state
-from .fit import fit_states
+from ..functions.columns import bb_emission, bb_state, nb_emission, nb_state
+from .fit import fit_models
+from .lattice import finisher, multiplier, scanner
+from .storage import keep
 
 
 @dataclass(frozen=True)
@@ -51,12 +53,31 @@ def emission(states: States, *, phased: bool = False, reads: bool = True, purity
     """
     rdr = [nb_state(F.col("umi"), F.col("base"), m, a, purity) if reads and states.log_mu else F.lit(0.0) for m, a in zip(states.log_mu or states.p, states.alpha or states.p, strict=True)]
     pure = [purity] * states.k if shift is None else [adjusted_purity(purity, F.exp(F.lit(m) - shift)) for m in states.log_mu]
-    baf = [bb_state(F.col("k"), F.col("depth"), p, t, q) for p, t, q in zip(states.p, states.tau, pure, strict=True)]
-    out = [r + b for r, b in zip(rdr, baf, strict=True)]
-    if phased:
-        flipped = [bb_state(F.col("depth") - F.col("k"), F.col("depth"), p, t, q) for p, t, q in zip(states.p, states.tau, pure, strict=True)]
-        out += [r + b for r, b in zip(rdr, flipped, strict=True)]
-    return F.array(*out)
+
+    def shares(count: Column) -> list[Column]:
+        return [r + bb_state(count, F.col("depth"), p, t, q) for r, p, t, q in zip(rdr, states.p, states.tau, pure, strict=True)]
+
+    return F.array(*shares(F.col("k")), *(shares(F.col("depth") - F.col("k")) if phased else []))
+
+
+#: Parameters of a row's model, as columns.
+PARAMETERS = ("_p", "_tau", "_log_mu", "_alpha")
+
+
+def with_parameters(obs: DataFrame, models: Sequence[States], model: str) -> DataFrame:
+    """``obs`` with the ``PARAMETERS`` of the model that its column ``model`` numbers: a row for each model is broadcast."""
+    rows = [(i, list(m.p), list(m.tau), list(m.log_mu), list(m.alpha)) for i, m in enumerate(models)]
+    table = obs.sparkSession.createDataFrame(rows, f"`{model}` int, " + ", ".join(f"{c} array<double>" for c in PARAMETERS))
+    return obs.join(F.broadcast(table), model)
+
+
+def emission_by_model(k: int, *, phased: bool = False, reads: bool = True, purity: Column | None = None) -> Column:
+    """``emission`` of K states whose parameters are columns: one expression for all models and rounds."""
+    p, tau, log_mu, alpha = (F.col(c) for c in PARAMETERS)
+    rdr = [nb_emission(F.col("umi"), F.col("base"), log_mu[i], alpha[i], purity) if reads else F.lit(0.0) for i in range(k)]
+    kept = [rdr[i] + bb_emission(F.col("k"), F.col("depth"), p[i], tau[i], purity) for i in range(k)]
+    turned = [rdr[i] + bb_emission(F.col("depth") - F.col("k"), F.col("depth"), p[i], tau[i], purity) for i in range(k)] if phased else []
+    return F.array(*kept, *turned)
 
 
 def adjusted_purity(tumour: Column, weight: Column) -> Column:
@@ -96,81 +117,58 @@ def forward_llf(obs: DataFrame, states: States, keys: Sequence[str], order: str
     return rows.select(*keys, F.aggregate(rest, first, step, finish).alias("llf"))
 
 
-def _lse(a: np.ndarray, axis: int) -> np.ndarray:
-    top = a.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(a - top).sum(axis=axis))
-
+def _starts(models: Sequence[States], phased: bool) -> np.ndarray:
+    start = np.array([m.log_start for m in models])
+    return np.concatenate([start, start], axis=1) + np.log(0.5) if phased else start
 
-def site_matrices(log_trans: np.ndarray, log_switch: np.ndarray | None) -> np.ndarray:
-    """Transition into each next row: the states' own, or with phase switches twice as many states."""
-    if log_switch is None:
-        return log_trans[None]
-    s = np.clip(log_switch[:, None, None], -700, np.log(0.5))
-    keep = np.log1p(-np.exp(s))
-    top = np.concatenate([keep + log_trans, s + log_trans], axis=2)
-    low = np.concatenate([s + log_trans, keep + log_trans], axis=2)
-    return np.concatenate([top, low], axis=1)
 
-
-def lattice(em: np.ndarray, log_start: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """(log posteriors [T, K], expected transitions [K, K], log-likelihood) of one chain.
-
-    ``trans``: one matrix for all steps, or one for each of the T - 1 steps.
-    """
-    n, k = em.shape
-    alpha, beta = np.empty((n, k)), np.zeros((n, k))
-    at = (lambda i: trans[0]) if len(trans) == 1 else (lambda i: trans[i])
-    alpha[0] = log_start + em[0]
-    for i in range(1, n):
-        alpha[i] = em[i] + _lse(alpha[i - 1][:, None] + at(i - 1), 0)
-    for i in range(n - 2, -1, -1):
-        beta[i] = _lse(at(i) + (em[i + 1] + beta[i + 1])[None, :], 1)
-    llf = float(_lse(alpha[-1], 0))
-    if not np.isfinite(llf):
-        raise ValueError("a chain has no possible path: all posteriors of a row are zero")
-    xi = np.zeros((k, k))
-    for i in range(n - 1):
-        xi += np.exp(alpha[i][:, None] + at(i) + (em[i + 1] + beta[i + 1])[None, :] - llf)
-    return alpha + beta - llf, xi, llf
-
-
-def posteriors(obs: DataFrame, states: States, keys: Sequence[str], order: str = "t", switch: str | None = None) -> DataFrame:
-    """(keys, order, log_gamma, state, phase, xi, llf): posterior of each row of ``obs(…, em)``.
+def posteriors(obs: DataFrame, states: States | Sequence[States], keys: Sequence[str], order: str = "t", switch: str | None = None, *, model: str | None = None, cut: Column | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """(keys, order, log_gamma, state, phase, xi, llf, carry): posterior of each row of ``obs(…, em)``, with the columns ``carry``.
 
     With ``switch`` (log probability of a phase switch before the next row) the chain has 2K
     states. A chain's first row has its expected transitions (flattened) and its likelihood.
+
+    ``model``: a column that numbers the model of each chain in the list ``states``. ``cut``: a
+    column that never falls along a chain; rows of one value are a block, blocks are swept apart
+    and joined by a scan over their products, and each block's first row has its transitions.
+    Without it a chain is one block.
     """
-    k, start, trans = states.k, np.array(states.log_start), np.array(states.log_trans)
-    cols = [*keys, order]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        em = np.array(pdf["em"].tolist(), float)
-        if switch is None:
-            gamma, xi, llf = lattice(em, start, site_matrices(trans, None))
-        else:
-            own = np.concatenate([start, start]) + np.log(0.5)
-            gamma, xi, llf = lattice(em, own, site_matrices(trans, pdf[switch].to_numpy(float)[:-1]) if len(em) > 1 else np.zeros((1, 2 * k, 2 * k)))
-            xi = xi[:k, :k] + xi[:k, k:] + xi[k:, :k] + xi[k:, k:]
-        best = gamma.argmax(axis=1)
-        out = pdf[cols].copy()
-        out["log_gamma"], out["state"], out["phase"] = list(gamma), (best % k).astype("int32"), best < k
-        out["xi"], out["llf"] = [xi.ravel().tolist()] + [None] * (len(out) - 1), [llf] + [None] * (len(out) - 1)
-        return out
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in obs.select(*cols).schema)
-    needed = obs.select(*cols, "em", *([switch] if switch else []))
-    return needed.groupBy(*keys).applyInPandas(run, f"{kinds}, log_gamma array<double>, state int, phase boolean, xi array<double>, llf double")
-
-
-def expected_sums(posterior: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """(expected transitions [K, K], first rows' posteriors [K], log-likelihood) over all chains, in one pass."""
+    models = [states] if isinstance(states, States) else list(states)
+    phased = switch is not None
+    start, trans = _starts(models, phased), np.array([m.log_trans for m in models])
+    names = [*keys, "_cut"] if cut is not None else list(keys)
+    more = ({"switch": F.col(switch).cast("double")} if switch else {}) | {c: F.col(c) for c in carry}
+    row = F.struct(F.col(order).alias("t"), F.col("em").alias("em"), *(c.alias(n) for n, c in more.items()))
+    needed = obs.select(*keys, *([cut.alias("_cut")] if cut is not None else []), (F.col(model) if model else F.lit(0)).cast("int").alias("_model"), row.alias("_row"))
+    blocks = needed.groupBy(*names).agg(F.first("_model").alias("_model"), F.array_sort(F.collect_list("_row")).alias("_rows"))
+    arrays = [F.col(f"_rows.{n}").alias(n) for n in ("t", "em", *more)]
+    blocks = blocks.select(*keys, *([F.col("_cut").alias("cut")] if cut is not None else []), "_model", *arrays)
+    kinds = {f.name: f.dataType.simpleString() for f in obs.select(*dict.fromkeys([*keys, order, *carry])).schema}
+    own = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
+    found = f"{own}{', ' if own else ''}`{order}` {kinds[order]}, log_gamma array<double>, state int, phase boolean, xi array<double>, llf double" + "".join(f", `{c}` {kinds[c]}" for c in carry)
+    if cut is not None:
+        at = blocks.schema["cut"].dataType.simpleString()
+        blocks = keep(blocks)  # read twice
+        products = blocks.mapInArrow(multiplier(list(keys), trans, phased), f"{own}, _model int, cut {at}, product array<double>, switch double")
+        chains = products.groupBy(*keys).agg(F.first("_model").alias("_model"), F.array_sort(F.collect_list(F.struct("cut", "product", "switch"))).alias("b"))
+        chains = chains.select(*keys, "_model", *(F.col(f"b.{n}").alias(alias) for n, alias in (("cut", "cuts"), ("product", "products"), ("switch", "switches"))))
+        between = chains.mapInArrow(scanner(list(keys), start, trans, phased), f"{own}, cut {at}, entry array<double>, after array<double>, llf double, first boolean")
+        blocks = blocks.join(between, [*keys, "cut"])
+    return blocks.mapInArrow(finisher(list(keys), order, start, trans, phased, cut is not None, list(carry)), found)
+
+
+def expected_sums(posterior: DataFrame, k: int, model: str | None = None) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """Of each model (0 without a column for it): expected transitions [K, K], first rows' posteriors [K], log-likelihood over all chains, in one pass."""
     rows = posterior.where("xi is not null")
     xi = (F.sum(F.col("xi")[i]) for i in range(k * k))
     # With 2K posteriors both phases of a state count; beyond the array's end there is nothing.
-    start = (F.sum(F.exp(F.col("log_gamma")[i]) + F.coalesce(F.exp(F.get("log_gamma", F.lit(i + k))), F.lit(0.0))) for i in range(k))
-    found = np.array([x or 0.0 for x in rows.agg(*xi, *start, F.sum("llf")).head()], float)
-    return found[: k * k].reshape(k, k), found[k * k : -1], float(found[-1])
+    first = F.col("llf").isNotNull()
+    start = (F.sum(F.when(first, F.exp(F.col("log_gamma")[i]) + F.coalesce(F.exp(F.get("log_gamma", F.lit(i + k))), F.lit(0.0)))) for i in range(k))
+    out = {}
+    for r in rows.groupBy((F.col(model) if model else F.lit(0)).alias("_model")).agg(*xi, *start, F.sum("llf")).collect():
+        found = np.array([x or 0.0 for x in r[1:]], float)
+        out[r[0]] = found[: k * k].reshape(k, k), found[k * k : -1], float(found[-1])
+    return out
 
 
 def normalised_transitions(m: np.ndarray, diagonal: bool = False) -> tuple[tuple[float, ...], ...]:
@@ -184,44 +182,65 @@ def normalised_transitions(m: np.ndarray, diagonal: bool = False) -> tuple[tuple
 
 def transition_update(posterior: DataFrame, k: int, diagonal: bool = False) -> tuple[tuple[float, ...], ...]:
     """Log transitions from the expected ones of all chains."""
-    return normalised_transitions(expected_sums(posterior, k)[0], diagonal)
+    return normalised_transitions(expected_sums(posterior, k)[0][0], diagonal)
 
 
 def start_update(posterior: DataFrame, k: int) -> tuple[float, ...]:
     """Log start probabilities: the mean posterior of first rows, both phases together."""
-    m = expected_sums(posterior, k)[1] + 1e-300
+    m = expected_sums(posterior, k)[0][1] + 1e-300
     return tuple(np.log(m / m.sum()))
 
 
-def baum_welch(obs: DataFrame, states: States, keys: Sequence[str], *, update: str = "stmp", rounds: int = 30, tol: float = 1e-3, switch: str | None = None, diagonal: bool = False, shared: bool = True, purity: str | None = None) -> tuple[States, list[float]]:
-    """(fitted states, log-likelihoods) of ``obs(keys, t, umi, base, k, depth)``.
+def fit_together(obs: DataFrame, models: Sequence[States], keys: Sequence[str], *, model: str = "model", update: str = "stmp", rounds: int = 30, tol: float = 1e-3, switch: str | None = None, diagonal: bool = False, shared: bool = True, purity: str | None = None, settings: dict[str, float] | None = None, telemetry: str | None = None) -> tuple[list[States], list[list[float]]]:
+    """(fitted models, their log-likelihoods) of ``obs(model, keys, t, umi, base, k, depth)``: Baum-Welch of many models in one job a step.
 
-    ``update`` names what each round fits: s start, t transitions, m means, p shares. It stops
-    when transitions, means and shares all change by less than ``tol`` on average. Each round is
-    one pass over the data for the posteriors, kept while the fits read its compressed pairs.
+    ``update`` names what each round fits: s start, t transitions, m means, p shares. A model is
+    done when its transitions, means and shares all change by less than ``tol`` on average; its
+    rows are left out of later rounds. Each round is one pass over the data for the posteriors,
+    kept while the fits read its compressed pairs. ``keys`` hold ``model`` or tell its chains apart.
+    ``telemetry``: a table that takes a row for each model and round, with what the pass itself observed.
     """
-    trail: list[float] = []
-    reads = "m" in update
-    for _ in range(rounds):
-        em = emission(states, phased=switch is not None, reads=reads, purity=F.col(purity) if purity else None)
-        rows = obs.withColumn("em", em)
-        post = posteriors(rows, states, keys, switch=switch).persist()
-        moves, starts, llf = expected_sums(post, states.k)
-        trail.append(llf)
-        new = states
-        if "s" in update:
-            new = replace(new, log_start=tuple(np.log((starts + 1e-300) / (starts + 1e-300).sum())))
-        if "t" in update:
-            new = replace(new, log_trans=normalised_transitions(moves, diagonal))
-        joined = obs.join(post.select(*keys, "t", "log_gamma"), [*keys, "t"])
-        new = fit_states(joined, new, phased=switch is not None, means=reads, shares="p" in update, shared=shared, purity=purity, near=len(trail) > 1)
+    models, trails = list(models), [[] for _ in models]
+    keys, k = [model, *(c for c in keys if c != model)], models[0].k
+    reads, going = "m" in update, list(range(len(models)))
+    em = emission_by_model(k, phased=switch is not None, reads=reads and bool(models[0].log_mu), purity=F.col(purity) if purity else None)
+    for number in range(1, rounds + 1):
+        began = time.monotonic()
+        own = with_parameters(obs.where(F.col(model).isin(going)), models, model)
+        seen = Observation()
+        post = posteriors(own.withColumn("em", em), models, keys, switch=switch, model=model, carry=("umi", "base", "k", "depth", *([purity] if purity else []))).observe(seen, F.count(F.lit(1)).alias("rows"), F.sum("llf").alias("llf"))
+        post = post.persist()
+        sums = expected_sums(post, k, model)
+        fresh, before = list(models), list(models)
+        for m in going:
+            moves, starts, llf = sums.get(m, (np.zeros((k, k)), np.zeros(k), 0.0))
+            trails[m].append(llf)
+            if "s" in update and starts.sum():
+                fresh[m] = replace(fresh[m], log_start=tuple(np.log((starts + 1e-300) / (starts + 1e-300).sum())))
+            if "t" in update and moves.sum():
+                fresh[m] = replace(fresh[m], log_trans=normalised_transitions(moves, diagonal))
+        models = fit_models(post.withColumn("model", F.col(model)), fresh, phased=switch is not None, means=reads, shares="p" in update, shared=shared, purity=purity, near=number > 1, settings=settings)
         post.unpersist()
-        change = [np.abs(np.exp(new.log_trans) - np.exp(states.log_trans)).mean(), np.abs(np.subtract(new.p, states.p)).mean()]
-        change.append(np.abs(np.subtract(new.log_mu, states.log_mu)).mean() if reads else 0.0)
-        states = new
-        if max(change) < tol:
+        if telemetry:
+            from ..sources.writers import append_metrics
+
+            append_metrics(obs.sparkSession, telemetry, [("+".join(keys), int(seen.get["rows"]), k, update, time.monotonic() - began, number, float(trails[m][-1])) for m in going])
+
+        def change(m: int) -> float:
+            a, b = models[m], before[m]  # noqa: B023
+            parts = [np.abs(np.exp(a.log_trans) - np.exp(b.log_trans)).mean(), np.abs(np.subtract(a.p, b.p)).mean()]
+            return max([*parts, np.abs(np.subtract(a.log_mu, b.log_mu)).mean() if reads else 0.0])
+
+        going = [m for m in going if change(m) >= tol]
+        if not going:
             break
-    return states, trail
+    return models, trails
+
+
+def baum_welch(obs: DataFrame, states: States, keys: Sequence[str], **how) -> tuple[States, list[float]]:
+    """``fit_together`` of one model: (fitted states, log-likelihoods) of ``obs(keys, t, umi, base, k, depth)``."""
+    (found,), (trail,) = fit_together(obs.withColumn("_one", F.lit(0)), [states], keys, model="_one", **how)
+    return found, trail
 
 
 def gmm_states(obs: DataFrame, k: int, seed: int = 0, mirror: bool = False) -> States:

@@ -37,27 +37,6 @@ def test_state_emissions_equal_the_general_ones(spark):
             assert r[0] == pytest.approx(r[1], abs=1e-9) and r[2] == pytest.approx(r[3], abs=1e-9)
 
 
-@pytest.mark.parametrize("phased", [False, True])
-def test_lattice_against_all_paths(phased):
-    rng = np.random.default_rng(1)
-    n, k = 5, 2
-    trans = np.log(rng.dirichlet([1.0] * k, k))
-    start = np.log([0.3, 0.7])
-    if phased:
-        mats, start, k = hmm.site_matrices(trans, np.log(rng.uniform(0.01, 0.4, n - 1))), np.concatenate([start, start]) + np.log(0.5), 4
-    else:
-        mats = hmm.site_matrices(trans, None)
-    em = rng.normal(size=(n, k))
-    at = lambda i: mats[0] if len(mats) == 1 else mats[i]
-    weight = {p: start[p[0]] + em[0, p[0]] + sum(at(i)[p[i], p[i + 1]] + em[i + 1, p[i + 1]] for i in range(n - 1)) for p in itertools.product(range(k), repeat=n)}
-    total = np.logaddexp.reduce(list(weight.values()))
-    gamma, xi, llf = hmm.lattice(em, start, mats)
-    assert llf == pytest.approx(total)
-    for t, s in itertools.product(range(n), range(k)):
-        assert np.exp(gamma[t, s]) == pytest.approx(sum(np.exp(w - total) for p, w in weight.items() if p[t] == s))
-    assert xi[0, 1] == pytest.approx(sum(np.exp(w - total) * sum(p[i : i + 2] == (0, 1) for i in range(n - 1)) for p, w in weight.items()))
-
-
 def test_fits_recover_planted_parameters(spark):
     rng = np.random.default_rng(2)
     n = 60 + rng.poisson(40, 3000)
