@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -407,8 +408,6 @@ def _observed(spark: SparkSession, d: str) -> DataFrame:
 
 def _emission_sql(i: int, purity: str | None = None) -> str:
     """DuckDB log-emission of a state of ``THREE``; columns k, depth, umi, base."""
-    import math
-
     rate = repr(math.exp(THREE.log_mu[i])) if purity is None else f"({purity} * {math.exp(THREE.log_mu[i])!r} + 1 - {purity})"
     share = repr(THREE.p[i]) if purity is None else f"({THREE.p[i]} * {purity} + 0.5 * (1 - {purity}))"
     mu = f"(base * {rate})"
@@ -448,20 +447,97 @@ def forward_llf(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-@query()
+_SIX = range(6)
+
+
+def _phased_step(terms: list[str]) -> str:
+    top = f"greatest({', '.join(terms)})"
+    return f"({top} + ln({' + '.join(f'exp({t} - {top})' for t in terms)}))"
+
+
+def _phased_move(i: int, j: int, at: str) -> str:
+    """Log transition between states of ``THREE`` in two phases, out of a row of table ``at``."""
+    return f"({THREE.log_trans[i % 3][j % 3]!r} + {at}.{'stay' if i // 3 == j // 3 else 'turn'})"
+
+
+_PHASED = (
+    _OBSERVED.split(", e AS")[0]
+    + ", oo AS (SELECT chain, t, k, depth, umi, base, false AS flip FROM o UNION ALL SELECT chain, t, depth - k, depth, umi, base, true FROM o)"
+    + ", fe AS (SELECT chain, t, flip, " + ", ".join(f"{_emission_sql(i)} AS e{i}" for i in range(3)) + " FROM oo)"
+    + ", pe AS (SELECT x.chain, x.t, ln(0.01 * (1 + x.t % 5)) AS turn, ln(1 - 0.01 * (1 + x.t % 5)) AS stay, x.e0, x.e1, x.e2, y.e0 AS e3, y.e1 AS e4, y.e2 AS e5 FROM fe x JOIN fe y ON y.chain = x.chain AND y.t = x.t AND y.flip WHERE NOT x.flip)"
+    + ", pf AS (SELECT chain, t, turn, stay, " + ", ".join(f"e{j} + {THREE.log_start[j % 3]!r} + ln(0.5) AS a{j}" for j in _SIX) + " FROM pe WHERE t = 1"
+    + " UNION ALL SELECT pe.chain, pe.t, pe.turn, pe.stay, " + ", ".join(f"pe.e{j} + " + _phased_step([f"(pf.a{i} + {_phased_move(i, j, 'pf')})" for i in _SIX]) for j in _SIX) + " FROM pf JOIN pe ON pe.chain = pf.chain AND pe.t = pf.t + 1)"
+    + ", pm AS (SELECT chain, max(t) AS m FROM pe GROUP BY chain)"
+    + ", pw AS (SELECT pe.*, " + ", ".join(f"0.0::DOUBLE AS b{j}" for j in _SIX) + " FROM pe JOIN pm ON pm.chain = pe.chain AND m = t"
+    + " UNION ALL SELECT pe.*, " + ", ".join(_phased_step([f"({_phased_move(i, j, 'pe')} + pw.e{j} + pw.b{j})" for j in _SIX]) for i in _SIX) + " FROM pw JOIN pe ON pe.chain = pw.chain AND pe.t = pw.t - 1)"
+    + ", pt AS (SELECT pf.chain, " + _phased_step([f"a{j}" for j in _SIX]) + " AS llf FROM pf JOIN pm ON pm.chain = pf.chain AND m = t)"
+    + ", pg AS (SELECT pf.chain, pf.t, " + ", ".join(f"exp(a{j} + b{j} - llf) AS g{j}" for j in _SIX) + " FROM pf JOIN pw USING (chain, t) JOIN pt USING (chain))"
+)
+_PHASED_OUT = "SELECT chain, t, CAST(list_position([g0 + g3, g1 + g4, g2 + g5], greatest(g0 + g3, g1 + g4, g2 + g5)) - 1 AS INTEGER) AS state, round(g0 + g1 + g2, 5) AS in_phase FROM pg"
+
+
+def _phases(spark: SparkSession, d: str, cut=None) -> DataFrame:
+    """State with both phases together, and the probability of the first phase."""
+    rows = _observed(spark, d).withColumn("em", H.emission(THREE, phased=True)).withColumn("switch", F.log(F.lit(0.01) * (1 + F.col("t") % 5)))
+    g = F.transform("log_gamma", lambda x: F.exp(x))
+    both = F.array(*(g[i] + g[i + 3] for i in range(3)))
+    found = H.posteriors(rows, THREE, ["chain"], switch="switch", cut=cut)
+    return found.select("chain", F.col("t").cast("long").alias("t"), (F.array_position(both, F.array_max(both)) - 1).cast("int").alias("state"), F.round(g[0] + g[1] + g[2], 5).alias("in_phase"))
+
+
+@query(B.with_views("chains", _PHASED_OUT, _PHASED, recursive=True))
 def phased_lattice(spark: SparkSession, d: str) -> DataFrame:
     """Posterior state and phase where the phase may switch between rows."""
-    rows = _observed(spark, d).withColumn("em", H.emission(THREE, phased=True)).withColumn("switch", F.log(F.lit(0.01) * (1 + F.col("t") % 5)))
-    return H.posteriors(rows, THREE, ["chain"], switch="switch").select("chain", "t", "state", "phase")
+    return _phases(spark, d)
 
 
+@query(B.with_views("chains", _PHASED_OUT, _PHASED, recursive=True))
+def blocked_lattice(spark: SparkSession, d: str) -> DataFrame:
+    """The same with every chain cut into blocks that a scan joins."""
+    return _phases(spark, d, F.floor(F.col("t") / 16))
 
 
 def _fitted(spark: SparkSession, kind: str, found) -> DataFrame:
-    return spark.createDataFrame([(kind, i, float(a), float(b)) for i, (a, b) in enumerate(found)], "kind string, state int, location double, dispersion double")
+    rows = spark.createDataFrame([(kind, i, float(a), float(b)) for i, (a, b) in enumerate(found)], "kind string, state int, location double, dispersion double")
+    return rows.select("kind", "state", F.round("location", 4).alias("location"), F.round("dispersion", 3).alias("dispersion"))
+
+
+def _psi(x: str) -> str:
+    z = f"({x} + 8)"
+    return f"(ln({z}) - 0.5 / {z} - 1 / ({z} * {z}) * (1 / 12.0 - 1 / ({z} * {z}) * (1 / 120.0 - 1 / ({z} * {z}) * (1 / 252.0 - 1 / ({z} * {z}) / 240.0))) - " + " - ".join(f"1 / ({x} + {k})" for k in range(8)) + ")"
+
+
+def _psi1(x: str) -> str:
+    z = f"({x} + 8)"
+    return f"(1 / {z} + 0.5 / ({z} * {z}) + 1 / ({z} * {z} * {z}) * (1 / 6.0 - 1 / ({z} * {z}) * (1 / 30.0 - 1 / ({z} * {z}) * (1 / 42.0 - 1 / ({z} * {z}) / 30.0))) + " + " + ".join(f"1 / (({x} + {k}) * ({x} + {k}))" for k in range(8)) + ")"
+
+
+#: Rows of one step of a fit in SQL, with columns l, d (logit or log mean, log dispersion), x, n, w: gradient gl, gd and curvature ll, ld, dd.
+_BB_ROWS = (
+    "SELECT *, t * f * (a1 - b1) AS gl, a * a1 + b * b1 + t * t1 AS gd, t * f * t * f * (a2 + b2) + t * f * (1 - 2 * p) * (a1 - b1) AS ll, t * f * (a * a2 - b * b2 + a1 - b1) AS ld, a * a * a2 + b * b * b2 + t * t * t2 + a * a1 + b * b1 + t * t1 AS dd FROM ("
+    f"SELECT *, {_psi('(x + a)')} - {_psi('a')} AS a1, {_psi('(n - x + b)')} - {_psi('b')} AS b1, {_psi('t')} - {_psi('(n + t)')} AS t1, {_psi1('(x + a)')} - {_psi1('a')} AS a2, {_psi1('(n - x + b)')} - {_psi1('b')} AS b2, {_psi1('t')} - {_psi1('(n + t)')} AS t2 FROM ("
+    "SELECT *, p * (1 - p) AS f, p * t AS a, (1 - p) * t AS b FROM (SELECT *, 1 / (1 + exp(-l)) AS p, exp(d) AS t FROM r JOIN st USING (state) WHERE it < 60)))"
+)
+_NB_ROWS = (
+    "SELECT *, m1 * m AS gl, -r * r1 AS gd, m2 * m * m + m1 * m AS ll, -r * c * m AS ld, r * r * r2 + r * r1 AS dd FROM ("
+    f"SELECT *, x / m - (x + r) / (r + m) AS m1, {_psi('(x + r)')} - {_psi('r')} + ln(r / (r + m)) + 1 - (x + r) / (r + m) AS r1, -x / (m * m) + (x + r) / ((r + m) * (r + m)) AS m2, -1 / (r + m) + (x + r) / ((r + m) * (r + m)) AS c, {_psi1('(x + r)')} - {_psi1('r')} + 1 / r - 2 / (r + m) + (x + r) / ((r + m) * (r + m)) AS r2 FROM ("
+    "SELECT *, n * exp(l) AS m, exp(-d) AS r FROM r JOIN st USING (state) WHERE it < 60))"
+)
+
+
+def _newton_sql(source: str, views: str, more: str, rows: str, kinds: list[str], start: tuple[float, float], back: str) -> str:
+    """Parameters after sixty plain Newton steps in SQL; ``source``: rows (state, x, n, w). Curvatures count as negative, steps as one at most."""
+    step = lambda v: f"greatest(-1, least(1, {v}))"
+    blocks = " UNION ALL ".join(f"SELECT '{k}' AS kind, state, {'state' if k == 'free' else '0'} AS block FROM (SELECT unnest([0, 1]) AS state)" for k in kinds)
+    return B.with_views(views, f"SELECT kind, CAST(state AS INTEGER) AS state, round({back}, 4) AS location, round(exp(d), 3) AS dispersion FROM r WHERE it = 60", (
+        f"{more}st AS MATERIALIZED ({source}), r AS (SELECT 0 AS it, kind, state, block, {start[0]!r}::DOUBLE AS l, {start[1]!r}::DOUBLE AS d FROM ({blocks})"
+        f" UNION ALL SELECT it + 1, kind, state, block, l + {step('-(gl + ld * dd) / ll')}, d + dd FROM ("
+        f"SELECT it, kind, state, block, l, d, gl, ll, ld, {step('-sum(gd - ld * gl / ll) OVER w / (-abs(sum(dd - ld * ld / ll) OVER w))')} AS dd FROM ("
+        f"SELECT it, kind, state, block, l, d, sum(w * gl) AS gl, sum(w * gd) AS gd, -abs(sum(w * ll)) AS ll, sum(w * ld) AS ld, sum(w * dd) AS dd FROM ({rows}) GROUP BY it, kind, state, block, l, d) WINDOW w AS (PARTITION BY it, kind, block)))"
+    ), recursive=True)
 
 
-@query()
+@query(_newton_sql("SELECT chain % 2 AS odd, 1 - chain % 2 AS state, CAST(k AS DOUBLE) AS x, CAST(n AS DOUBLE) AS n, CAST(count(*) AS DOUBLE) AS w FROM chains GROUP BY ALL", "chains", "", _BB_ROWS, ["free", "shared"], (0.0, 3.0), "1 / (1 + exp(-l))"))
 def bb_fit(spark: SparkSession, d: str) -> DataFrame:
     """Beta-binomial parameters of two weightings, dispersion free and shared."""
     rows = B.chains(spark, d)
@@ -475,7 +551,7 @@ def bb_fit(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query()
+@query(_newton_sql("SELECT 1 - chain % 2 AS state, CAST(umi AS DOUBLE) AS x, base AS n, CAST(count(*) AS DOUBLE) AS w FROM o GROUP BY ALL", "chains", _OBSERVED.split(", e AS")[0] + ", ", _NB_ROWS, ["free"], (0.5, -2.0), "l"))
 def nb_fit(spark: SparkSession, d: str) -> DataFrame:
     """Negative binomial parameters of two weightings."""
     rows = _observed(spark, d)
@@ -488,10 +564,23 @@ def nb_fit(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query(B.with_views("chains", "SELECT CAST(t % 3 AS INTEGER) AS part, " + ", ".join(f"round(sum({c}), 3) AS {c}" for c in ("gl", "gd", "ll", "ld", "dd")) + " FROM (" + _BB_ROWS + ") GROUP BY t_ % 3", "st AS (SELECT 0 AS state, t AS t_, CAST(k AS DOUBLE) AS x, CAST(n AS DOUBLE) AS n FROM chains), r AS (SELECT 0 AS it, 0 AS state, -0.5::DOUBLE AS l, 1.5::DOUBLE AS d)").replace("CAST(t % 3 AS INTEGER) AS part", "CAST(t_ % 3 AS INTEGER) AS part"))
+def bb_gradient(spark: SparkSession, d: str) -> DataFrame:
+    """Gradient and curvature of beta-binomial likelihoods, by digamma and trigamma as columns."""
+    k, n, p, t = F.col("k").cast("double"), F.col("n").cast("double"), F.lit(1 / (1 + math.exp(0.5))), F.lit(math.exp(1.5))
+    a, b, f = p * t, (1 - p) * t, p * (1 - p)
+    first = {"a1": C.digamma(k + a) - C.digamma(a), "b1": C.digamma(n - k + b) - C.digamma(b), "t1": C.digamma(t) - C.digamma(n + t), "a2": C.trigamma(k + a) - C.trigamma(a), "b2": C.trigamma(n - k + b) - C.trigamma(b), "t2": C.trigamma(t) - C.trigamma(n + t)}
+    rows = B.chains(spark, d).select((F.col("t") % 3).cast("int").alias("part"), *(v.alias(c) for c, v in first.items()))
+    a1, b1, t1, a2, b2, t2 = (F.col(c) for c in first)
+    gd = a * a1 + b * b1 + t * t1
+    terms = {"gl": t * f * (a1 - b1), "gd": gd, "ll": t * f * t * f * (a2 + b2) + t * f * (1 - 2 * p) * (a1 - b1), "ld": t * f * (a * a2 - b * b2 + a1 - b1), "dd": a * a * a2 + b * b * b2 + t * t * t2 + gd}
+    return rows.groupBy("part").agg(*(F.round(F.sum(v), 3).alias(c) for c, v in terms.items()))
+
+
 @query()
 def baum_welch(spark: SparkSession, d: str) -> DataFrame:
-    """Parameters of three states after six rounds (a fit takes up to thirty)."""
-    states, trail = H.baum_welch(_observed(spark, d), THREE, ["chain"], rounds=6)
+    """Parameters of three states after a whole fit."""
+    states, trail = H.baum_welch(_observed(spark, d), THREE, ["chain"])
     return spark.createDataFrame([(i, states.log_mu[i], states.alpha[i], states.p[i], states.tau[i], trail[-1]) for i in range(3)], "state int, log_mu double, alpha double, p double, tau double, llf double")
 
 
@@ -505,7 +594,7 @@ def gmm_init(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def initial_phase(spark: SparkSession, d: str) -> DataFrame:
     """Phase and segments of blocks from a first fit of each clone."""
-    return P.initial_phase(P.clone_observations(_in_blocks(spark, d), B.spots(spark, d)), k=3, rounds=6, least=200)
+    return P.initial_phase(P.clone_observations(_in_blocks(spark, d), B.spots(spark, d)), k=3, least=200)
 
 
 @query(B.with_views("counts genome spots", "SELECT src AS spot, clone, round(sum(llf), 3) AS llf FROM (SELECT q.src, st.clone, q.ratio * " + _nb_sql("q.umi", "(m * pp / (1 - pp))", "pp") + " + CASE WHEN q.depth > 0 THEN " + _bb_sql("q.k", "q.depth", "(q.p * 30.0)", "((1 - q.p) * 30.0)") + " ELSE 0 END AS llf FROM (SELECT q.*, st.clone, st.p, base * st.rate AS m, (base * st.rate) / (base * st.rate + 0.1 * base * st.rate * base * st.rate) AS pp FROM pooled q JOIN paths st USING (bin)) q JOIN (SELECT DISTINCT clone FROM paths) st ON st.clone = q.clone) GROUP BY src, clone", _IN_BLOCKS + ", cb AS (SELECT spot, chr AS bin, CAST(sum(umi) AS BIGINT) AS umi, CAST(sum(b) AS BIGINT) AS k, CAST(sum(a + b) AS BIGINT) AS depth, CAST(10 + chr AS DOUBLE) AS base FROM cells GROUP BY spot, chr), ed AS (SELECT a.spot AS src, b.spot AS dst FROM spots a JOIN spots b ON a.sample = b.sample AND 9 * (a.x - b.x) * (a.x - b.x) + 3 * (a.y - b.y) * (a.y - b.y) <= 12), pooled AS (SELECT src, bin, sum(umi) AS umi, sum(base) AS base, sum(k) AS k, sum(depth) AS depth, any_value(ratio) AS ratio FROM ed JOIN cb ON cb.spot = ed.dst JOIN (SELECT src, CASE WHEN count(*) FILTER (depth > 0) > 0 THEN count(*) FILTER (depth > 0) / CAST(count(*) AS DOUBLE) ELSE 1.0 END AS ratio FROM ed JOIN cb ON cb.spot = ed.dst GROUP BY src) USING (src) GROUP BY src, bin), paths AS (SELECT clone, bin, CAST([0.5, 0.3, 0.15][1 + (clone + bin) % 3] AS DOUBLE) AS p, CAST([1.0, 1.3498588075760032, 0.6703200460356393][1 + (clone + bin) % 3] AS DOUBLE) AS rate FROM (SELECT unnest([0, 1, 2]) AS clone), (SELECT DISTINCT bin FROM cb))"))
@@ -580,11 +669,11 @@ def icm_slices(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hmrf_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Labels after two rounds of model and labelling (an inference takes more)."""
+    """Labels after rounds of model and labelling, until they agree."""
     counts = P.bins_with_baseline(_in_blocks(spark, d), B.spots(spark, d))
     spots = B.spots(spark, d)
     pool, couple = X.adaptive_graph(spots)
-    labels, _, _ = R.hmrf_loop(counts, pool, couple, spots.select("sample", "spot", F.col("clone").alias("label")), k=3, rounds=2, em_rounds=2)
+    labels, _, _ = R.hmrf_loop(counts, pool, couple, spots.select("sample", "spot", F.col("clone").alias("label")), k=3, rounds=20, em_rounds=30)
     return labels
 
 
@@ -609,7 +698,7 @@ def similar_clone_groups(spark: SparkSession, d: str) -> DataFrame:
     rows, decoded = _clone_llf(spark, d)
     stats = [tuple(r) for r in R.similarity_statistics(rows, decoded).collect()]  # a row for each pair of clones and of states
     depth = {r[0]: r[1] for r in _in_blocks(spark, d).join(B.spots(spark, d), "spot").groupBy("clone").agg(F.sum(F.col("a") + F.col("b"))).collect()}
-    groups = R.merge_groups(stats, sorted(depth), threshold=1e9, least_bins=3)
+    groups = R.merge_groups(stats, sorted(depth), threshold=1.0, least_bins=3)
     merged = spark.createDataFrame([(c, g) for g, members in enumerate(groups) for c in members], "clone int, grp int")
     return R.combine_similar_states(decoded, stats, depth, threshold=0.5).join(F.broadcast(merged), "clone").select("clone", "grp", "bin", "state")
 

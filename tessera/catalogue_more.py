@@ -283,7 +283,7 @@ def cnv_states(spark: SparkSession, d: str) -> DataFrame:
     return N.state_copies(_copies(spark, d)[1], range(3))
 
 
-_ELLIPSE_ROWS = "el AS (SELECT spot, x AS cx, y AS cy, 1 + tumour AS l11, 0.2 AS l12, tumour / 4 AS l21, 0.5 + tumour AS l22 FROM spots WHERE spot <= 40)"
+_ELLIPSE_ROWS = "el AS (SELECT spot, x AS cx, y AS cy, 1 + tumour AS l11, 0.2 AS l12, tumour / 4 AS l21, 0.5 + tumour AS l22 FROM spots)"
 
 
 def _holds_sql(x: str, y: str, e: str) -> str:
@@ -297,9 +297,9 @@ def _meets_sql(one: str, other: str) -> str:
 
 
 def _ellipses(spark: SparkSession, d: str) -> DataFrame:
-    """One ellipse for each of the first forty spots: rows of a report."""
+    """One ellipse for each spot."""
     pure = F.col("tumour")
-    return B.spots(spark, d).where("spot <= 40").select("spot", F.col("x").alias("cx"), F.col("y").alias("cy"), (1 + pure).alias("l11"), F.lit(0.2).alias("l12"), (pure / 4).alias("l21"), (0.5 + pure).alias("l22"))
+    return B.spots(spark, d).select("spot", F.col("x").alias("cx"), F.col("y").alias("cy"), (1 + pure).alias("l11"), F.lit(0.2).alias("l12"), (pure / 4).alias("l21"), (0.5 + pure).alias("l22"))
 
 
 @query(B.with_views("spots", "SELECT p.spot AS one, q.spot AS other, " + _meets_sql("p", "q") + " OR " + _meets_sql("q", "p") + " AS meets FROM el p JOIN el q ON q.spot = p.spot + 1, (SELECT unnest(range(1000)) AS t) GROUP BY p.spot, q.spot", _ELLIPSE_ROWS))
@@ -358,6 +358,4 @@ def haplotype_counts(spark: SparkSession, d: str) -> DataFrame:
 def effective_elements(spark: SparkSession, d: str) -> DataFrame:
     """Observations over which a chain of as many states as a block's markers and one forgets its start."""
     n = B.genetic_map(spark, d).groupBy("chr", F.floor(F.col("pos") / 1000).alias("block")).agg((1 + F.count(F.lit(1))).alias("n"))
-    table = spark.createDataFrame([(k, C.effective_elements(0.9, k)) for k in range(2, 200)], "n long, elements int")
-    return n.join(F.broadcast(table), "n").select("chr", "block", "n", "elements")  # a row for each number of states
-
+    return n.select("chr", "block", "n", C.effective_elements(0.9, F.col("n")).alias("elements"))

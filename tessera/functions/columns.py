@@ -172,9 +172,9 @@ def log_site_transition(probability: Column, shift: float = -2.0) -> Column:
     return F.least(F.lit(math.log(0.5)), F.log(probability) - F.lit(shift))
 
 
-def effective_elements(t: float, k: int) -> int:
-    """Observations over which a chain with self-transition t among k states forgets its start."""
-    return math.ceil(2 / -math.log((t * k - 1) / (k - 1)))
+def effective_elements(t: float, k: Column) -> Column:
+    """Observations over which a chain with self-transition t among k states forgets its start; null for fewer than two states."""
+    return F.when(k > 1, F.ceil(F.lit(2.0) / -F.log((F.lit(t) * k - 1) / (k - 1)))).cast("int")
 
 
 def power_law_field(x: Column, y: Column, k: tuple[float, float], exponent: float, scale: float = 2.0) -> Column:

@@ -66,7 +66,7 @@ PARAMETERS = ("_p", "_tau", "_log_mu", "_alpha")
 
 def with_parameters(obs: DataFrame, models: Sequence[States], model: str) -> DataFrame:
     """``obs`` with the ``PARAMETERS`` of the model that its column ``model`` numbers: a row for each model is broadcast."""
-    rows = [(i, list(m.p), list(m.tau), list(m.log_mu), list(m.alpha)) for i, m in enumerate(models)]
+    rows = [(i, *(list(map(float, v)) for v in (m.p, m.tau, m.log_mu, m.alpha))) for i, m in enumerate(models)]
     table = obs.sparkSession.createDataFrame(rows, f"`{model}` int, " + ", ".join(f"{c} array<double>" for c in PARAMETERS))
     return obs.join(F.broadcast(table), model)
 

@@ -7,18 +7,19 @@ neighbours' newest labels) over all samples and the links between them, tile by
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bb_emission, logsumexp, nb_emission
-from .aggregate import adjusted_rand, pooled
+from .aggregate import adjusted_rand, clone_log_weights, pooled
 from .fit import fit_normal_shares, np_bb
-from .hmm import States, fit_chains
+from .hmm import States, emission_by_model, fit_together, gmm_states, posteriors, with_parameters
 from .storage import keep
 from .sweep import TILE, Field
 
@@ -29,26 +30,45 @@ def states_table(spark, states: States) -> DataFrame:
     return spark.createDataFrame([(i, float(m), float(a), float(p), float(t)) for i, (m, a, p, t) in enumerate(zip(mu, alpha, states.p, states.tau, strict=True))], "state int, log_mu double, alpha double, p double, tau double")
 
 
-def spot_llf(counts: DataFrame, edges: DataFrame, decoded: DataFrame, states: DataFrame, key: str = "bin", purity: str | None = None) -> DataFrame:
+def models_table(spark, models: Sequence[States], model: str = "model") -> DataFrame:
+    """(model, state, log_mu, alpha, p, tau): the states of every model."""
+    rows = [states_table(spark, m).withColumn(model, F.lit(i)) for i, m in enumerate(models)]
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
+def _paths(paths: DataFrame, states: DataFrame) -> DataFrame:
+    """Paths with their states' parameters; ``states`` is keyed by state, or by model and state."""
+    return paths.join(F.broadcast(states), [c for c in ("model", "state") if c in states.columns])  # K rows a model
+
+
+def _meet(sums: DataFrame, path: DataFrame, key: str, groups: DataFrame | None) -> DataFrame:
+    """Spots' sums beside the paths: all of them, or those of each spot's model as ``groups(spot, model)`` tells."""
+    if groups is None:
+        return sums.join(path, key)
+    return sums.join(groups.select("spot", "model"), "spot").join(path, [key, "model"])
+
+
+def spot_llf(counts: DataFrame, edges: DataFrame, decoded: DataFrame, states: DataFrame, key: str = "bin", purity: str | None = None, groups: DataFrame | None = None) -> DataFrame:
     """(spot, clone, llf) of neighbourhood-pooled ``counts(spot, bin, umi, base, k, depth)`` under each clone's path.
 
     ``decoded``: (clone, bin, state) or, weighted by a posterior, with a ``weight``. Read counts
     are scaled by how many allele observations there are for one read observation, both over the
-    neighbourhood. ``purity`` (a column of ``counts``) averages over the neighbourhood.
+    neighbourhood. ``purity`` (a column of ``counts``) averages over the neighbourhood. With
+    ``groups(spot, model)``, paths and states carry a ``model``, and a spot meets its own model's clones.
     """
     sums = pooled(counts, edges, [key], ("umi", "base", "k", "depth"))
     met = edges.join(counts, edges["dst"] == counts["spot"]).groupBy(F.col("src").alias("spot")).agg(F.count_if(F.col("depth") > 0).alias("nd"), F.count_if(F.col("base") > 0).alias("nb"), F.avg(purity).alias("purity") if purity else F.lit(None).cast("double").alias("purity"))
     ratio = F.when((F.col("nd") > 0) & (F.col("nb") > 0), F.col("nd") / F.col("nb")).otherwise(F.lit(1.0))
-    path = decoded.join(F.broadcast(states), "state")  # K rows
+    path = _paths(decoded, states)
     weight = F.col("weight") if "weight" in decoded.columns else F.lit(1.0)
     pure = F.col("purity") if purity else None
-    rows = sums.join(path, key).join(met, "spot")
+    rows = _meet(sums, path, key, groups).join(met, "spot")
     rdr = nb_emission(F.col("umi"), F.col("base"), F.col("log_mu"), F.col("alpha"), pure)
     baf = bb_emission(F.col("k"), F.col("depth"), F.col("p"), F.col("tau"), pure)
     return rows.select("spot", "clone", (weight * (ratio * rdr + baf)).alias("v")).groupBy("spot", "clone").agg(F.sum("v").alias("llf"))
 
 
-def posterior_spot_llf(counts: DataFrame, edges: DataFrame, posterior: DataFrame, states: DataFrame, key: str = "bin", purity: str | None = None) -> DataFrame:
+def posterior_spot_llf(counts: DataFrame, edges: DataFrame, posterior: DataFrame, states: DataFrame, key: str = "bin", purity: str | None = None, groups: DataFrame | None = None) -> DataFrame:
     """(spot, clone, llf) of pooled counts with a clone's state summed out by its posterior.
 
     ``posterior``: (clone, bin, state, log_gamma). Read and allele parts are summed out apart; read
@@ -57,7 +77,7 @@ def posterior_spot_llf(counts: DataFrame, edges: DataFrame, posterior: DataFrame
     sums = pooled(counts, edges, [key], ("umi", "base", "k", "depth"))
     own = counts.groupBy("spot").agg(F.count_if(F.col("depth") > 0).alias("nd"), F.count_if(F.col("base") > 0).alias("nb"))
     ratio = F.when((F.col("nd") > 0) & (F.col("nb") > 0), F.col("nd") / F.col("nb")).otherwise(F.lit(1.0))
-    rows = sums.join(posterior.join(F.broadcast(states), "state"), key).join(own, "spot", "left")  # K rows of states
+    rows = _meet(sums, _paths(posterior, states), key, groups).join(own, "spot", "left")
     if purity:
         met = edges.join(counts, edges["dst"] == counts["spot"]).groupBy(F.col("src").alias("spot")).agg(F.avg(purity).alias("_pure"))
         rows = rows.join(met, "spot")
@@ -114,34 +134,61 @@ def total_llf(labelled: DataFrame, llf: DataFrame, edges: DataFrame, weight: flo
     return node.join(like).select((F.col("node") + weight * F.col("n")).alias("llf"))  # one row each
 
 
-def hmrf_loop(counts: DataFrame, pooling: DataFrame, coupling: DataFrame, labels: DataFrame, *, k: int = 3, rounds: int = 3, em_rounds: int = 4, weight: float = 1.0, update: str = "sp", inertia: bool = False) -> tuple[DataFrame, States, list[float]]:
-    """(labels, states, agreements): alternate a model of the clones' pseudobulks with a labelling of the spots.
+def clone_paths(post: DataFrame, nodes: str = "max") -> DataFrame:
+    """(model, clone, bin, state, [log_gamma]) of lattice rows (model, clone, t, …): each bin's state, or all states with their posteriors.
+
+    ``nodes``: "max" or "weighted_sum", how a spot's likelihood takes a clone's states.
+    """
+    if nodes == "max":
+        return post.select("model", "clone", F.col("t").alias("bin"), "state")
+    if nodes != "weighted_sum":
+        raise ValueError(f"no node potential {nodes!r}: max or weighted_sum")
+    return post.select("model", "clone", F.col("t").alias("bin"), F.posexplode("log_gamma").alias("state", "log_gamma"))
+
+
+def clone_bulk(counts: DataFrame, labels: DataFrame) -> DataFrame:
+    """(model, clone, chr, bin, t, umi, base, k, depth) of the spots of each label (sample, spot, model, label)."""
+    bulk = counts.join(labels.select("spot", "model", F.col("label").alias("clone")), "spot").groupBy("model", "clone", "chr", "bin").agg(*(F.sum(c).alias(c) for c in ("umi", "base", "k", "depth")))
+    return bulk.withColumn("t", F.col("bin"))
+
 
-    ``counts``: (spot, chr, bin, umi, base, k, depth); ``labels``: (sample, spot, label). Stops
-    where the labelling agrees with the one before (adjusted Rand index over 0.99) or one clone is
-    left; clones without spots drop out by themselves. Labels are a checkpointed table of one row
-    a spot in every round, so plans don't grow.
+def field_loop(counts: DataFrame, pooling: DataFrame, coupling: DataFrame, labels: DataFrame, start: Sequence[States], *, rounds: int = 3, em_rounds: int = 4, weight: float = 1.0, update: str = "sp", inertia: bool = False, nodes: str = "max", telemetry: str | None = None) -> tuple[DataFrame, list[States], list[float]]:
+    """(labels, models, agreements): alternate models of the clones' pseudobulks with a labelling of the spots, for many models in one job a step.
+
+    ``counts``: (spot, chr, bin, umi, base, k, depth); ``labels``: (sample, spot, model, label), where
+    a label is one of its model's clones; ``start``: a start for each model. Models share no spots
+    and no clones: links between spots of different models don't count. Stops where the labelling
+    agrees with the one before (adjusted Rand index over 0.99) or each model has one clone;
+    clones without spots drop out by themselves. Labels are a checkpointed table of one row a spot
+    in every round, so plans don't grow.
     """
-    trail: list[float] = []
+    spark, models, trail = counts.sparkSession, list(start), []
+    groups = keep(labels.select("spot", "model"))
+    a, b = (groups.select(F.col("spot").alias(c), F.col("model").alias(f"_{c}")) for c in ("src", "dst"))
+    own = keep(coupling.select("src", "dst", "weight").join(a, "src").join(b, "dst").where("_src = _dst").select("src", "dst", "weight"))
     for _ in range(rounds):
-        bulk = counts.join(labels.select("spot", F.col("label").alias("clone")), "spot").groupBy("clone", "chr", "bin").agg(*(F.sum(c).alias(c) for c in ("umi", "base", "k", "depth")))
-        obs = bulk.withColumn("t", F.col("bin"))
-        states, _, post = fit_chains(obs, ["clone", "chr"], k, rounds=em_rounds, update=update)
-        decoded = post.select("clone", F.col("t").alias("bin"), "state")
-        llf = spot_llf(counts, pooling, decoded, states_table(spark, states))
-        prior = None
-        if inertia:
-            from .aggregate import clone_log_weights
-
-            prior = clone_log_weights(labels.select("sample", F.col("label").alias("clone")), labels.select(F.col("label").alias("clone")).distinct())
-        new = icm(llf, coupling, labels, weight=weight, log_prior=prior).select("sample", "spot", "label")
-        new = keep(new)
+        obs = keep(clone_bulk(counts, labels))
+        models, _ = fit_together(obs, models, ["model", "clone", "chr"], rounds=em_rounds, update=update, telemetry=telemetry)
+        em = emission_by_model(models[0].k, reads="m" in update and bool(models[0].log_mu))
+        post = posteriors(with_parameters(obs, models, "model").withColumn("em", em), models, ["model", "clone", "chr"], model="model")
+        score = spot_llf if nodes == "max" else posterior_spot_llf
+        llf = score(counts, pooling, clone_paths(post, nodes), models_table(spark, models), groups=groups)
+        prior = clone_log_weights(labels.select("sample", F.col("label").alias("clone")), labels.select(F.col("label").alias("clone")).distinct()) if inertia else None
+        new = keep(icm(llf, own, labels.select("sample", "spot", "label"), weight=weight, log_prior=prior).select("sample", "spot", "label").join(groups, "spot"))
         both = labels.select("spot", F.col("label").alias("old")).join(new, "spot")
         trail.append(float(adjusted_rand(both, "old", "label").head()[0]))
-        labels = new
-        if trail[-1] > 0.99 or labels.select("label").distinct().count() <= 1:
+        labels = new.select("sample", "spot", "model", "label")
+        if trail[-1] > 0.99 or labels.select("model", "label").distinct().count() <= len(models):
             break
-    return labels, states, trail
+    return labels, models, trail
+
+
+def hmrf_loop(counts: DataFrame, pooling: DataFrame, coupling: DataFrame, labels: DataFrame, *, k: int = 3, update: str = "sp", **how) -> tuple[DataFrame, States, list[float]]:
+    """``field_loop`` of one model of k states from a mixture start: (labels, states, agreements) of ``labels(sample, spot, label)``."""
+    marked = labels.withColumn("model", F.lit(0))
+    start = gmm_states(clone_bulk(counts, marked), k)
+    found, (states,), trail = field_loop(counts, pooling, coupling, marked, [start], update=update, **how)
+    return found.drop("model"), states, trail
 
 
 def similarity_statistics(clone_llf: DataFrame, decoded: DataFrame, key: str = "bin", shares: Sequence[float] | None = None) -> DataFrame:
@@ -205,13 +252,23 @@ def merge_groups(statistics: list[tuple], clones: Sequence[int], threshold: floa
 def combine_similar_states(decoded: DataFrame, statistics: list[tuple], depths: dict[int, int], threshold: float = 0.1, key: str = "bin") -> DataFrame:
     """``decoded`` with states of shallower clones copied from deeper ones where swapping them costs under ``threshold``.
 
-    Pairs apply in order (c1, c2, s1, s2); there are few clones and states.
+    Pairs apply in order (c1, c2, s1, s2) to the states of all clones at a bin, in one pass; there
+    are few clones and states.
     """
+    rules = []
     for c1, c2, s1, s2, _, t in sorted(r for r in statistics if r[5] < threshold):
-        (keep, ks), (turn, ts) = ((c1, s1), (c2, s2)) if depths.get(c1, 0) >= depths.get(c2, 0) else ((c2, s2), (c1, s1))
-        place = decoded.where((F.col("clone") == keep) & (F.col("state") == ks)).select(key, F.lit(True).alias("_hit"))
-        decoded = decoded.join(place, key, "left").withColumn("state", F.when((F.col("clone") == turn) & (F.col("state") == ts) & F.col("_hit"), F.lit(ks)).otherwise(F.col("state"))).drop("_hit")
-    return decoded
+        (keep_, ks), (turn, ts) = ((c1, s1), (c2, s2)) if depths.get(c1, 0) >= depths.get(c2, 0) else ((c2, s2), (c1, s1))
+        rules.append(f"({keep_}, {ks}, {turn}, {ts})")
+    if not rules:
+        return decoded.select("clone", key, "state")
+    given = F.expr("transform(array(" + ", ".join(rules) + "), r -> named_struct('keep', r.col1, 'ks', r.col2, 'turn', r.col3, 'ts', r.col4))")
+    at = decoded.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("clone").cast("int"), F.col("state").cast("int")))).alias("states"))
+
+    def turned(states: Column, rule: Column) -> Column:
+        hit = (F.try_element_at(states, rule["keep"]) == rule["ks"]) & (F.try_element_at(states, rule["turn"]) == rule["ts"])
+        return F.when(hit, F.transform_values(states, lambda c, s: F.when(c == rule["turn"], rule["ks"]).otherwise(s))).otherwise(states)
+
+    return at.select(key, F.explode(F.aggregate(given, F.col("states"), turned)).alias("clone", "state")).select("clone", key, "state")
 
 
 def merge_small_clones(labels: DataFrame, totals: DataFrame, least_spots: int, least_umi: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from ..operators import graph as X
 from ..operators import hmm as H
 from ..operators import hmrf as R
 from ..operators import simulate as S
-from ..operators.aggregate import normal_baseline, weighted_share
+from ..operators.aggregate import clone_log_weights, dispersion_over_bins, normal_baseline, pooled, weighted_share
+from ..operators.storage import keep
 
 
 def clone_observations(cells: DataFrame, spots: DataFrame) -> DataFrame:
@@ -96,6 +99,142 @@ def infer_clones(counts: DataFrame, spots: DataFrame, *, k: int = 3, rounds: int
     return merged, decoded, N.integer_copies(rows)
 
 
+@dataclass(frozen=True)
+class Staged:
+    """What a staged inference leaves: labels of spots, models of the allele clones, paths and states of all clones."""
+
+    allele_labels: DataFrame
+    labels: DataFrame
+    models: list
+    paths: DataFrame
+    states: DataFrame
+    llf: float
+
+
+def merged_clones(obs: DataFrame, models: list, paths: DataFrame, labels: DataFrame, *, reads: bool, threshold: float, least_bins: int, least_spots: int, least_depth: int) -> DataFrame:
+    """(sample, spot, model, label): clones of each model that are alike become one, then small ones join the deepest of their model.
+
+    ``obs``: pseudobulks (model, clone, chr, bin, …); ``paths``: (model, clone, bin, state). Clones are
+    few: only statistics of their pairs come to the driver.
+    """
+    em = H.emission_by_model(models[0].k, reads=reads)
+    rows = H.with_parameters(obs, models, "model").select("model", "clone", "bin", F.posexplode(em).alias("state", "llf"))
+    of = {r.clone: r.model for r in obs.select("model", "clone").distinct().collect()}
+    found = [tuple(r) for r in R.similarity_statistics(rows, paths).collect() if of[r.c1] == of[r.c2]]
+    new = {}
+    for m in set(of.values()):
+        for group in R.merge_groups([r for r in found if of[r[0]] == m], [c for c in of if of[c] == m], threshold, least_bins):
+            new |= dict.fromkeys(group, min(group))
+    table = obs.sparkSession.createDataFrame(list(new.items()), "label int, into int")
+    merged = labels.join(F.broadcast(table), "label").select("sample", "spot", "model", F.col("into").alias("label"))  # a row for each clone
+    depth = obs.groupBy(F.col("clone").alias("label")).agg(F.sum("depth").alias("n")).join(F.broadcast(table), "label").groupBy(F.col("into").alias("label")).agg(F.sum("n").alias("n"))
+    sizes = merged.groupBy("model", "label").agg(F.count(F.lit(1)).alias("spots")).join(depth, "label")
+    sizes = sizes.withColumn("ok", (F.col("spots") >= least_spots) & (F.col("n") >= least_depth))
+    target = sizes.groupBy("model").agg(F.max_by("label", F.struct("ok", "n", -F.col("label"))).alias("target"))
+    to = sizes.join(target, "model").select("label", F.when(F.col("ok"), F.col("label")).otherwise(F.col("target")).alias("into"))
+    return merged.join(F.broadcast(to), "label").select("sample", "spot", "model", F.col("into").alias("label"))
+
+
+def with_normal_baseline(counts: DataFrame, shares: DataFrame, labels: DataFrame, pooling: DataFrame, *, need: int = 200) -> DataFrame:
+    """``counts`` with ``base``: what the profile of near-normal spots lets expect, and reads of bins where that is too thin at zero.
+
+    The clone whose allele shares lie nearest one half is normal-like (``shares``: clone, bin, baf);
+    of its spots those count whose pooled reads vary least over bins. Bins whose allele share in
+    those spots doesn't fit a balanced genome go.
+    """
+    off = shares.groupBy("clone").agg(F.sum(F.greatest(F.abs(F.col("baf") - 0.5) - 0.05, F.lit(0.0))).alias("off"))
+    clone = off.orderBy("off", "clone").first()["clone"]
+    own = labels.where(F.col("label") == clone).select("spot")
+    bins = counts.select("bin").distinct().count()
+    smooth = pooled(counts.select("spot", "bin", "umi"), pooling, ["bin"], ("umi",)).join(own, "spot", "left_semi")
+    totals = counts.join(own, "spot", "left_semi").groupBy("spot").agg(F.sum("umi").alias("n"))
+    normal = keep(R.near_normal_spots(dispersion_over_bins(smooth, bins), totals, need * bins))
+    even = R.normal_bins(counts.join(normal, "spot", "left_semi").groupBy("bin").agg(F.sum("k").alias("k"), F.sum("depth").alias("depth"))).where("kept").select("bin")
+    held = counts.join(even, "bin", "left_semi")
+    base = normal_baseline(held, normal, ["chr", "bin"]).select("spot", "chr", "bin", "base")
+    rows = held.drop("base").join(base, ["spot", "chr", "bin"])
+    return rows.withColumn("umi", F.when(F.col("base") > 0, F.col("umi")).otherwise(0))
+
+
+def staged_clones(counts: DataFrame, spots: DataFrame, *, clones: int = 3, parts: int = 2, k: int = 5, rounds: int = 20, em_rounds: int = 30, weight: float = 1.0, threshold: float = 1.0, least_bins: int = 10, least_spots: int = 3, least_depth: int = 1, nodes: str = "max", baseline: bool = True, links: DataFrame | None = None, seed: int = 0, telemetry: str | None = None) -> Staged:
+    """Clones from allele shares, their merging, refinement of all of them with reads in one job a step, and a last labelling over all.
+
+    ``counts``: (spot, chr, bin, umi, base, k, depth); ``spots``: (spot, sample, x, y); ``links``:
+    (src, dst, weight) between samples. ``baseline``: take ``base`` from near-normal spots of the
+    first stage rather than from ``counts``. An allele clone with fewer than 20 allele reads a bin
+    isn't split. ``nodes``: how a spot's likelihood takes a clone's states, "max" or "weighted_sum".
+    Dispersions of the last labelling are the largest of reads and the smallest concentration of
+    alleles over all models.
+    """
+    spark = counts.sparkSession
+    counts = keep(counts.select("spot", "chr", "bin", "umi", "base", "k", "depth"))
+    spots = keep(spots.select("spot", "sample", "x", "y"))
+    pool, couple = X.adaptive_graph(spots)
+    pool, couple = keep(pool), keep(X.with_links(couple, links))
+
+    def lattices(obs: DataFrame, models: list, reads: bool) -> DataFrame:
+        em = H.emission_by_model(models[0].k, reads=reads)
+        return keep(H.posteriors(H.with_parameters(obs, models, "model").withColumn("em", em), models, ["model", "clone", "chr"], model="model"))
+
+    # Clones by allele shares alone.
+    alleles = counts.withColumn("umi", F.lit(0).cast("long")).withColumn("base", F.lit(0.0))
+    first = S.random_rectangles(spots, clones, seed).select("sample", "spot", F.lit(0).alias("model"), F.col("clone").alias("label"))
+    start = H.gmm_states(R.clone_bulk(alleles, first), k, seed)
+    how = {"rounds": rounds, "em_rounds": em_rounds, "weight": weight, "nodes": nodes, "telemetry": telemetry}
+    labels, models, _ = R.field_loop(alleles, pool, couple, first, [start], update="sp", **how)
+    obs = keep(R.clone_bulk(alleles, labels))
+    paths = R.clone_paths(lattices(obs, models, False))
+    limits = {"threshold": threshold, "least_bins": least_bins, "least_spots": least_spots, "least_depth": least_depth}
+    merged = keep(merged_clones(obs, models, paths.drop("model"), labels, reads=False, **limits))
+    ids = sorted(r[0] for r in merged.select("label").distinct().collect())
+    number = F.array_position(F.lit(ids), F.col("label")).cast("int") - 1
+    allele = keep(merged.select("sample", "spot", number.alias("label")))
+
+    # Reads come back, and every allele clone is split, all together.
+    if baseline:
+        shares = R.clone_bulk(counts, allele.withColumn("model", F.lit(0))).select("clone", "bin", (F.col("k") / F.nullif("depth", F.lit(0))).alias("baf")).where("baf is not null")
+        counts = keep(with_normal_baseline(counts, shares, allele, pool))
+    depth = counts.join(allele.select("spot", "label"), "spot").groupBy("label").agg(F.sum("depth").alias("n"))
+    bins = counts.select("bin").distinct().count()
+    deep = [r.label for r in depth.where(F.col("n") >= 20 * bins).collect()]
+    placed = spots.join(allele.select("spot", F.col("label").alias("model")), "spot")
+    begun = None
+    for m in range(len(ids)):  # the rectangles of each clone
+        own = placed.where(F.col("model") == m)
+        own = S.random_rectangles(own, parts, seed) if m in deep else own.withColumn("clone", F.lit(0))
+        own = own.select("sample", "spot", "model", (F.col("model") * parts + F.col("clone")).cast("int").alias("label"))
+        begun = own if begun is None else begun.unionByName(own)
+    begun = keep(begun)
+    start = H.gmm_states(R.clone_bulk(counts, begun), k, seed)
+    labels, models, _ = R.field_loop(counts, pool, couple, begun, [start] * len(ids), update="smp", **how)
+
+    # Merge again, fit once more, and join states that are alike.
+    obs = keep(R.clone_bulk(counts, labels))
+    paths = R.clone_paths(lattices(obs, models, True))
+    labels = keep(merged_clones(obs, models, paths.drop("model"), labels, reads=True, **limits))
+    obs = keep(R.clone_bulk(counts, labels))
+    models, _ = H.fit_together(obs, models, ["model", "clone", "chr"], rounds=em_rounds, update="smp", telemetry=telemetry)
+    post = lattices(obs, models, True)
+    em = H.emission_by_model(k)
+    rows = H.with_parameters(obs, models, "model").select("clone", "bin", F.posexplode(em).alias("state", "llf"))
+    of = {r.clone: (r.model, r.n) for r in obs.groupBy("model", "clone").agg(F.sum("depth").alias("n")).collect()}
+    paths = R.clone_paths(post)
+    same = [tuple(r) for r in R.similarity_statistics(rows, paths.drop("model")).collect() if of[r.c1][0] == of[r.c2][0]]
+    joined = R.combine_similar_states(paths.drop("model"), same, {c: n for c, (_, n) in of.items()})
+    model = F.get(F.array(*(F.lit(of[c][0] if c in of else None).cast("int") for c in range(max(of) + 1))), F.col("clone"))
+    paths = keep(joined.withColumn("model", model))
+
+    # One labelling over the clones of all models.
+    alpha, tau = max(max(m.alpha) for m in models), min(min(m.tau) for m in models)
+    states = keep(R.models_table(spark, models).withColumn("alpha", F.lit(alpha)).withColumn("tau", F.lit(tau)))
+    given = paths if nodes == "max" else R.clone_paths(post, nodes)
+    llf = keep((R.spot_llf if nodes == "max" else R.posterior_spot_llf)(counts, pool, given, states))
+    prior = clone_log_weights(labels.select("sample", F.col("label").alias("clone")), labels.select(F.col("label").alias("clone")).distinct())
+    last = keep(R.icm(llf, couple, labels.select("sample", "spot", "label"), weight=weight, log_prior=prior))
+    total = R.total_llf(last.select("spot", "label"), llf, couple, weight).first()[0]
+    return Staged(allele, last, models, paths, states, float(total))
+
+
 def round_trip(spark: SparkSession, spots: DataFrame, *, segments: int = 40, seed: int = 0) -> DataFrame:
     """(spot, truth, label): clones planted in simulated spots beside those inferred from their counts."""
     size = 500
