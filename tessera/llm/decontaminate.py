@@ -9,6 +9,8 @@ each, so neither the driver nor a task ever holds more than a shard.
 
 from __future__ import annotations
 
+import functools
+import uuid
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
@@ -266,11 +268,13 @@ def _remover(longest: int, coverage: float, automaton=None):
                 batch = batch.select(list(range(batch.num_columns - 1)))
             keep, texts = [], []
             for k, text in enumerate(batch.column(at).to_pylist()):
-                if text:
-                    spans = automaton.value.find(fold(text).split())[0] if automaton else [(s["first"], s["last"]) for s in given[k] or ()]
-                    cut = cut_spans(text, spans, longest, coverage)
-                else:
-                    cut = text
+                cut, again = text, bool(text)
+                while again:
+                    before = cut
+                    spans = automaton.value.find(fold(cut).split())[0] if automaton else [(s["first"], s["last"]) for s in given[k] or ()]
+                    cut = cut_spans(before, spans, longest, coverage)
+                    # What a cut leaves may join to an item anew; without the automaton the caller looks again.
+                    again = automaton is not None and cut is not None and cut != before
                 if cut is not None or text is None:
                     keep.append(k)
                     texts.append(cut)
@@ -302,8 +306,12 @@ def cut_spans(text: str, spans: list[tuple[int, int]], longest: int, coverage: f
 def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, longest: int = WINDOW, coverage: float = 0.5, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` (all its columns) without contaminated spans, and without documents that they dominate.
 
-    Hit spans of at least ``longest`` words are cut out of the text; a document of whose words they cover more than ``coverage`` goes. Null texts stay. Spans of
-    all shards of items are found on the untouched text and united before they are judged.
+    Hit spans of at least ``longest`` words are cut out of the text; a document of whose words they
+    cover more than ``coverage`` goes. What a cut leaves may join to an item anew, so a text that was
+    cut is looked through again, until nothing is found. Null texts stay, as do rows with a null id;
+    repeated rows are judged each alike. Spans of all shards of items are found on the same text and
+    united before they are judged; of several shards, only the texts that were cut are looked through
+    again, in a pass of their own.
     """
     small_batches(docs.sparkSession)
     parts = shards(items, shard_bytes)
@@ -313,10 +321,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, lo
     if next(parts, None) is None:
         automaton = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(first, window))
         return docs.mapInArrow(_remover(longest, coverage, automaton), docs.schema)
-    hits = find_contamination(docs, items, window=window, shard_bytes=shard_bytes).where(F.size("spans") > 0).dropDuplicates(["doc_id", "row_key"])
-    hits = hits.select(F.col("doc_id").alias("_hit_doc"), F.col("row_key").alias("_hit_row"), F.col("spans").alias("_hit_spans"))
-    same = docs["doc_id"].cast("long").eqNullSafe(hits["_hit_doc"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == hits["_hit_row"])
-    return docs.join(hits, same, "left").drop("_hit_doc", "_hit_row").mapInArrow(_remover(longest, coverage), docs.schema)
+    mark = f"_{uuid.uuid4().hex}"  # beside columns of any name
+    left, found = docs, []
+    while True:
+        hits = find_contamination(left, items, window=window, shard_bytes=shard_bytes).where(F.exists("spans", lambda s: s["last"] - s["first"] >= longest)).dropDuplicates(["doc_id", "row_key"])
+        hits = hits.select(F.col("doc_id").alias(f"{mark}_doc"), F.col("row_key").alias(f"{mark}_row"), F.col("spans").alias(f"{mark}_spans"))
+        same = left["doc_id"].cast("long").eqNullSafe(hits[f"{mark}_doc"]) & (F.xxhash64(F.coalesce(left["text"], F.lit(""))) == hits[f"{mark}_row"])
+        judged = materialise(left.join(hits, same, "left").drop(f"{mark}_doc", f"{mark}_row"), "judged")
+        found.append(judged.where(F.col(f"{mark}_spans").isNull()).drop(f"{mark}_spans"))
+        cut = judged.where(F.col(f"{mark}_spans").isNotNull())
+        if cut.isEmpty():
+            return functools.reduce(DataFrame.unionByName, found)
+        left = materialise(cut.mapInArrow(_remover(longest, coverage), docs.schema), "cut")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,10 @@
 A pass gives each vector the signs of ``BITS`` random projections, sorts all vectors
 lexicographically by them (dealt out by ranges of the sort key, so that equal keys spread) and
 compares each with the ``NEAR`` vectors before it. Likely pairs, judged on vectors rounded to 8
-bits, are confirmed in double precision; links of all passes unite into components. Inside a component
-links are then counted exactly, block against block, so that the window bounds no one's links.
+bits, are confirmed in double precision. Where a window ends among near ones (a topic whose vectors
+are all alike), links can lie beyond it: such crowded vectors are chained to their neighbours too.
+Links and chains of all passes unite into regions, and inside a region links are found and counted
+exactly, block against block, so that the window bounds no one's links.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ BITS, NEAR = 64, 64
 PASSES, MISS = 12, 0.01
 #: How far the cosine of rounded vectors may lie from the exact one.
 SLACK = 0.03
-#: Vectors of a component's block on average; two blocks meet in one task.
+#: Vectors of a region's block on average; two blocks meet in one task.
 BLOCK = 512
+#: A vector is crowded if so many of its window's vectors have at least this cosine with it: there a window ends among near ones.
+CROWD, LOOSE = NEAR * 3 // 4, 0.5
 
 
 def n_passes(n: int, threshold: float) -> int:
@@ -78,12 +82,13 @@ def _projector(dim: int, passes: int):
 
 
 def _walker(dim: int, threshold: float):
-    """Likely pairs among neighbours of the sorted records.
+    """Likely pairs (a, b, chain) among neighbours of the sorted records, and chains between crowded ones.
 
-    A pair is left out only where pairs that are links beyond rounding join its two vectors anyway:
-    pairs serve to find components; all links inside are counted later.
+    A pair is left out only where pairs that are links beyond rounding, or chains, join its two
+    vectors anyway: pairs serve to find regions; all links inside are found later.
     """
     least, sure = threshold - SLACK, threshold + SLACK
+    loose = min(LOOSE, least)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = _record(dim)
@@ -97,15 +102,22 @@ def _walker(dim: int, threshold: float):
                 skip = lo - max(0, lo - NEAR)
                 x = part["rounded"].astype(np.float32)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                sets, found = UnionFind(), []
+                sets, found, close, loosely = UnionFind(), [], np.zeros(len(part), np.int64), []
                 for w in range(1, min(NEAR, len(part) - 1) + 1):
                     i = np.arange(max(w, skip), len(part))
                     cosine = np.einsum("ij,ij->i", x[i], x[i - w])
-                    ok = (cosine >= least) & (part["order"][i] == part["order"][i - w])
+                    same = part["order"][i] == part["order"][i - w]
+                    ok, near = (cosine >= least) & same, (cosine >= loose) & same
+                    close[i] += near
                     if ok.any():
-                        found.append(np.stack([i[ok], i[ok] - w, cosine[ok] >= sure]))
+                        found.append(np.stack([i[ok], i[ok] - w, cosine[ok] >= sure, np.zeros(ok.sum())]))
+                    if w <= 4 and near.any():
+                        loosely.append(np.stack([i[near], i[near] - w, np.ones(near.sum()), np.ones(near.sum())]))
+                if loosely:
+                    chains = np.concatenate(loosely, axis=1)
+                    found.append(chains[:, close[chains[0].astype(np.int64)] >= CROWD])
                 if found:
-                    i, j, firm = np.concatenate(found, axis=1)
+                    i, j, firm, chain = np.concatenate(found, axis=1).astype(np.int64)
                     keep = np.ones(len(i), bool)
                     for k in (*np.flatnonzero(firm), *np.flatnonzero(firm == 0)):
                         a, b = sets.find(int(i[k])), sets.find(int(j[k]))
@@ -113,7 +125,7 @@ def _walker(dim: int, threshold: float):
                         if firm[k]:
                             sets.union(a, b)
                     ab = np.stack([part["node"][i[keep]], part["node"][j[keep]]])
-                    yield pa.RecordBatch.from_arrays([pa.array(ab.min(axis=0)), pa.array(ab.max(axis=0))], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ab.min(axis=0)), pa.array(ab.max(axis=0)), pa.array(chain[keep] > 0)], ["a", "b", "chain"])
             tail = rows[-NEAR:].copy()
 
     return walk
@@ -132,21 +144,29 @@ def _confirmer(threshold: float):
 
 
 def _linker(threshold: float):
-    """Counts links between (or inside) two blocks of one component."""
+    """Links between (or inside) two blocks of one region: their number for each vector, and pairs that join the same vectors."""
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         x = unit(np.array(pdf["embedding"].tolist(), np.float64))
-        left, right = ((pdf["block"] == pdf[c]).to_numpy() for c in ("i", "j"))
-        weight = pdf["copies"].to_numpy(np.int64)
+        node, weight = pdf["node"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64)
+        left, right = (np.flatnonzero(pdf["block"] == pdf[c]) for c in ("i", "j"))
         linked = x[left] @ x[right].T >= threshold
-        out = np.zeros(len(pdf), np.int64)
-        if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
+        out, top = np.zeros(len(pdf), np.int64), np.arange(len(pdf))
+        same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        if same:
             np.fill_diagonal(linked, False)
-            out[left] = linked @ weight[right]
-        else:
-            out[left] = linked @ weight[right]
+        out[left] = linked @ weight[right]
+        if not same:
             out[right] = weight[left] @ linked
-        return pd.DataFrame({"node": pdf["node"], "n": out})
+        # Every vector learns the first one that it is joined to here, by whatever path.
+        while linked.any():
+            before = top.copy()
+            top[left] = np.minimum(top[left], np.where(linked, top[right], len(pdf)).min(axis=1))
+            top[right] = np.minimum(top[right], np.where(linked, top[left][:, None], len(pdf)).min(axis=0))
+            if (top == before).all():
+                break
+        held = np.flatnonzero(out)
+        return pd.DataFrame({"node": node[held], "n": out[held], "joined": node[top[held]]})
 
     return count
 
@@ -171,21 +191,25 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFram
     for dim, rows_ in sorted(nodes.groupBy(F.size("embedding")).count().collect()):
         own = nodes.where(F.size("embedding") == dim).select("node", "embedding")
         sorted_ = own.mapInArrow(_projector(dim, n_passes(rows_, threshold)), schema("record binary")).repartitionByRange(n, "record").sortWithinPartitions("record")
-        pairs = sorted_.mapInArrow(_walker(dim, threshold), schema("a long, b long"))
+        pairs = sorted_.mapInArrow(_walker(dim, threshold), schema("a long, b long, chain boolean"))
         likely = pairs if likely is None else likely.unionByName(pairs)
     if likely is None:
         return keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     x, y = (nodes.select(F.col("node").alias(c), F.col("embedding").alias(f"e_{c}")) for c in "ab")
-    links = likely.where("a < b").distinct().join(x, "a").join(y, "b").where(F.size("e_a") == F.size("e_b")).select("a", "b", "e_a", "e_b").mapInArrow(_confirmer(threshold), schema("a long, b long"))
-    known = components(links)
-    members = known.unionByName(known.select(F.col("component").alias("node"), "component").distinct())
+    likely = materialise(likely.where("a < b").groupBy("a", "b").agg(F.max("chain").alias("chain")), "likely")
+    links = likely.where("not chain").join(x, "a").join(y, "b").where(F.size("e_a") == F.size("e_b")).select("a", "b", "e_a", "e_b").mapInArrow(_confirmer(threshold), schema("a long, b long"))
+    regions = components(links.unionByName(likely.where("chain").select("a", "b")))
+    members = regions.unionByName(regions.select(F.col("component").alias("node"), "component").distinct())
     members = materialise(members.join(nodes, "node"), "members")
 
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", "node", "embedding", "copies", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    # Dealt anew: else all pairs of blocks of a component would stay where its join brought them.
-    counted = met.repartition(n, "component", "i", "j").groupBy("component", "i", "j").applyInPandas(_linker(threshold), schema("node long, n long")).groupBy("node").agg(F.sum("n").alias("n"))
+    # Dealt anew: else all pairs of blocks of a region would stay where its join brought them.
+    found = met.repartition(n, "component", "i", "j").groupBy("component", "i", "j").applyInPandas(_linker(threshold), schema("node long, n long, joined long"))
+    found = materialise(found, "found")
+    counted = found.groupBy("node").agg(F.sum("n").alias("n"))
+    known = components(found.where("node <> joined").select(F.least("node", "joined").alias("a"), F.greatest("node", "joined").alias("b")).distinct())
     classes = nodes.join(known, "node", "left").join(counted, "node", "left")
     classes = materialise(classes.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")), "classes")
     return keyed.select("vec_id", "key").join(classes, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
