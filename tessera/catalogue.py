@@ -347,6 +347,13 @@ def slice_knn(spark: SparkSession, d: str) -> DataFrame:
     return X.slice_neighbours(s, 2, 4.0)
 
 
+@query("SELECT src, dst, d2 FROM (SELECT a.s_suppkey AS src, b.s_suppkey AS dst, (a.s_suppkey % 10 - b.s_suppkey % 10) ** 2.0 + (a.s_suppkey // 10 - b.s_suppkey // 10) ** 2.0 AS d2, row_number() OVER (PARTITION BY a.s_suppkey, b.s_nationkey ORDER BY (a.s_suppkey % 10 - b.s_suppkey % 10) ** 2.0 + (a.s_suppkey // 10 - b.s_suppkey // 10) ** 2.0, b.s_suppkey) AS r FROM supplier a JOIN supplier b ON abs(a.s_nationkey - b.s_nationkey) = 1) WHERE r <= 2")
+def slice_knn_any(spark: SparkSession, d: str) -> DataFrame:
+    """The same however far they are."""
+    s = B.read(spark, d, "supplier").select(F.col("s_suppkey").alias("spot"), F.col("s_nationkey").alias("z"), (F.col("s_suppkey") % 10).cast("double").alias("x"), F.expr("cast(s_suppkey div 10 as double)").alias("y"))
+    return X.slice_neighbours(s, 2)
+
+
 @query(B.with_views("counts spots", "SELECT src, dst, round(weight, 6) AS weight FROM (SELECT src, dst, weight FROM k UNION ALL SELECT dst, src, weight FROM k)", "pi AS (SELECT feature AS src, 1000000 + spot AS dst, umi / 1000.0 AS value FROM counts), t AS (SELECT *, max(value) OVER (PARTITION BY src) AS m FROM pi QUALIFY m > 1e-6 AND value >= m - 1e-6), k AS (SELECT src, dst, value / greatest(sum(value) OVER (PARTITION BY src), sum(value) OVER (PARTITION BY dst)) AS weight FROM t)"))
 def align_argmax(spark: SparkSession, d: str) -> DataFrame:
     """Best matches of features among spots, both ways."""

@@ -29,15 +29,49 @@ def merge_intervals(df: DataFrame, keys: Sequence[str] = ("chr",)) -> DataFrame:
     return numbered.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n"))
 
 
-def _buckets(start: Column, end: Column, width: int) -> Column:
-    return F.explode(F.sequence(F.floor(start / width).cast("long"), F.floor((end - 1) / width).cast("long")))
+#: Widths of bins, each eight of the level below; the last level is one bin.
+WIDTHS = tuple(1024 * 8**i for i in range(8))
 
 
-def range_anti(points: DataFrame, ranges: DataFrame, pos: str = "start", width: int = 1000) -> DataFrame:
-    """Points in no ``start <= pos < end`` range of their chromosome: an equi-join on buckets of ``width``."""
-    held = ranges.where(F.col("end") > F.col("start")).select(F.col("chr").alias("_c"), F.col("start").alias("_s"), F.col("end").alias("_e"), _buckets(F.col("start"), F.col("end"), width).alias("_b"))
-    same = (F.col("chr") == F.col("_c")) & (F.floor(F.col(pos) / width) == F.col("_b"))
-    return points.join(held, same & (F.col(pos) >= F.col("_s")) & (F.col(pos) < F.col("_e")), "left_anti")
+def _bin(pos: Column, level: Column | int) -> Column:
+    """Number of the bin around a position on a level."""
+    if isinstance(level, int):
+        return F.floor(pos / WIDTHS[level]).cast("long") if level < len(WIDTHS) else F.lit(0).cast("long")
+    out = F.lit(0).cast("long")
+    for i, w in enumerate(WIDTHS):
+        out = F.when(level == i, F.floor(pos / w).cast("long")).otherwise(out)
+    return out
+
+
+def interval_level(start: Column, end: Column) -> Column:
+    """The lowest level on which [start, end) lies in one bin."""
+    out = F.lit(len(WIDTHS))
+    for i in reversed(range(len(WIDTHS))):
+        out = F.when(_bin(start, i) == _bin(end - 1, i), F.lit(i)).otherwise(out)
+    return out
+
+
+def _binned(df: DataFrame, start: Column, end: Column) -> DataFrame:
+    """``df`` with the level and bin of each interval: one row each, however long."""
+    return df.withColumn("_level", interval_level(start, end)).withColumn("_bin", _bin(start, F.col("_level")))
+
+
+def _asking(df: DataFrame, pos: Column, least: Column) -> DataFrame:
+    """``df`` with a row for each level from ``least`` up and the bin around ``pos`` there: at most nine rows."""
+    levels = F.filter(F.array(*(F.struct(F.lit(i).alias("l"), _bin(pos, i).alias("b")) for i in range(len(WIDTHS) + 1))), lambda x: x["l"] >= least)
+    return df.withColumn("_ask", F.explode(levels)).select("*", F.col("_ask.l").alias("_level"), F.col("_ask.b").alias("_bin")).drop("_ask")
+
+
+def range_anti(points: DataFrame, ranges: DataFrame, pos: str = "start") -> DataFrame:
+    """Points in no ``start <= pos < end`` range of their chromosome.
+
+    A range stands in one bin of the level that holds it, a position asks one bin a level: an
+    equi-join of few rows each, however long ranges are.
+    """
+    held = _binned(ranges.where(F.col("end") > F.col("start")), F.col("start"), F.col("end")).select(F.col("chr").alias("_c"), F.col("start").alias("_s"), F.col("end").alias("_e"), "_level", "_bin")
+    at = points.select(F.col("chr").alias("_c"), F.col(pos).alias("_p")).where("_c is not null and _p is not null").distinct()
+    met = _asking(at, F.col("_p"), F.lit(0)).join(held, ["_c", "_level", "_bin"]).where((F.col("_p") >= F.col("_s")) & (F.col("_p") < F.col("_e"))).select("_c", "_p").distinct()
+    return points.join(met, (F.col("chr") == F.col("_c")) & (F.col(pos) == F.col("_p")), "left_anti")
 
 
 def look_back(df: DataFrame, depth: int = 50, keys: Sequence[str] = ("chr",)) -> DataFrame:
@@ -52,13 +86,20 @@ def look_back(df: DataFrame, depth: int = 50, keys: Sequence[str] = ("chr",)) ->
     return near.withColumn("gene", F.try_element_at(holds, F.lit(-1))["gene"]).drop("_near").where("gene is not null")
 
 
-def overlap_join(rows: DataFrame, islands: DataFrame, width: int = 1000) -> DataFrame:
-    """Rows with every island of their chromosome that they overlap (``max(start) < min(end)``), once each."""
-    a = rows.where(F.col("end") > F.col("start")).withColumn("_b", _buckets(F.col("start"), F.col("end"), width))
-    b = islands.select("chr", "island", F.col("start").alias("_s"), F.col("end").alias("_e"), _buckets(F.col("start"), F.col("end"), width).alias("_b"))
-    met = a.join(b, ["chr", "_b"]).where(F.greatest("start", "_s") < F.least("end", "_e"))
-    # Both sides span several buckets: the pair counts in the first they share.
-    return met.where(F.col("_b") == F.floor(F.greatest("start", "_s") / width)).drop("_b", "_s", "_e")
+def overlap_join(rows: DataFrame, islands: DataFrame) -> DataFrame:
+    """Rows with every island of their chromosome that they overlap (``max(start) < min(end)``), once each.
+
+    Of two intervals that overlap, the one on the lower level lies in the other's bin: it asks the
+    bins above it, and either side may be the lower one.
+    """
+    a = rows.where(F.col("end") > F.col("start"))
+    b = islands.where(F.col("end") > F.col("start")).select("chr", "island", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    own, other = _binned(a, F.col("start"), F.col("end")), _binned(b, F.col("_s"), F.col("_e"))
+    keys = ["chr", "_level", "_bin"]
+    up = _asking(a.withColumn("_own", interval_level(F.col("start"), F.col("end"))), F.col("start"), F.col("_own")).drop("_own").join(other, keys)
+    down = own.join(_asking(b.withColumn("_own", interval_level(F.col("_s"), F.col("_e")) + 1), F.col("_s"), F.col("_own")).drop("_own"), keys)
+    met = up.unionByName(down).where(F.greatest("start", "_s") < F.least("end", "_e"))
+    return met.drop("_level", "_bin", "_s", "_e")
 
 
 def greedy_blocks(df: DataFrame, value: str = "u", least: int = 15, keys: Sequence[str] = ("chr",), order: str = "rn") -> DataFrame:

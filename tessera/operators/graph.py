@@ -6,12 +6,14 @@ eight neighbours, so that no pair beyond them is ever formed.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import digitize
+from .storage import keep
 
 #: Squared distance between neighbours in a hexagonal array with these units.
 UNIT = 12.0
@@ -74,23 +76,39 @@ def adaptive_graph(spots: DataFrame, most: int = 7, least_weight: float = 6.0) -
     return pool.unionByName(itself), couple.select("src", "dst", "weight")
 
 
-def slice_neighbours(positions: DataFrame, k: int = 1, most: float = math.inf, width: float = 4.0) -> DataFrame:
+def slice_neighbours(positions: DataFrame, k: int = 1, most: float = math.inf, width: float | None = None) -> DataFrame:
     """(src, dst, d2): the k nearest spots of the slices next to each spot's own, within ``most``.
 
-    With a bound on the distance the join is on grid cells of that width; without one each spot
-    meets the whole next slice, as the question asks.
+    Spots ask the grid cells around their own. Who finds k spots no farther than a cell's width is
+    done, as nothing nearer can lie beyond; the others ask again on a grid of twice the width,
+    until cells are as wide as the slices or ``most``. ``width`` of the first cells: by default such
+    that a cell holds about 2k spots. Each round's table has at most nine cells' spots a row.
     """
     a = positions.select(F.col("z").alias("z1"), F.col("spot").alias("src"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.explode(F.array(F.col("z") - 1, F.col("z") + 1)).alias("z"))
     b = positions.select("z", F.col("spot").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    keys = ["z"]
-    if math.isfinite(most):
-        w = max(most, 1e-9)
-        a = a.withColumn("cell", F.explode(F.array(*(F.struct((F.floor(F.col("x1") / w) + i).alias("i"), (F.floor(F.col("y1") / w) + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))))
-        b = b.withColumn("cell", F.struct(F.floor(F.col("x2") / w).alias("i"), F.floor(F.col("y2") / w).alias("j")))
-        keys = ["z", "cell"]
-    met = a.join(b, keys).withColumn("d2", squared_distance(1.0, 1.0)).where(F.col("d2") <= most * most)
-    rank = F.row_number().over(Window.partitionBy("src", "z").orderBy("d2", "dst"))
-    return met.withColumn("_r", rank).where(F.col("_r") <= k).select("src", "dst", "d2")
+    n, slices, wide, high = positions.agg(F.count(F.lit(1)), F.countDistinct("z"), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    extent = max(wide or 0.0, high or 0.0, 1e-9)
+    area = max(wide or 0.0, extent * 1e-3) * max(high or 0.0, extent * 1e-3)
+    w = width or math.sqrt(2 * k * area * max(slices, 1) / max(n, 1))
+    pending, found = a.join(b.select("z").distinct(), "z", "left_semi"), []
+    while True:
+        w = min(w, max(most, 1e-9))
+        last = w >= min(extent, most)
+        around = F.array(*(F.struct((F.floor(F.col("x1") / w) + i).alias("i"), (F.floor(F.col("y1") / w) + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+        cells = b.withColumn("cell", F.struct(F.floor(F.col("x2") / w).alias("i"), F.floor(F.col("y2") / w).alias("j")))
+        met = pending.withColumn("cell", F.explode(around)).join(cells, ["z", "cell"]).withColumn("d2", squared_distance(1.0, 1.0)).where(F.col("d2") <= most * most)
+        rank = F.row_number().over(Window.partitionBy("src", "z").orderBy("d2", "dst"))
+        near = keep(met.withColumn("_r", rank).where(F.col("_r") <= k).select("src", "z", "dst", "d2"))
+        if last:
+            found.append(near)
+            break
+        done = near.where(F.col("d2") <= w * w).groupBy("src", "z").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("src", "z")
+        found.append(near.join(done, ["src", "z"], "left_semi"))
+        pending = keep(pending.join(done, ["src", "z"], "left_anti"))
+        if pending.isEmpty():
+            break
+        w *= 2
+    return functools.reduce(DataFrame.unionByName, found).select("src", "dst", "d2")
 
 
 def best_matches(pi: DataFrame, slack: float = 1e-6) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bb_emission, logsumexp, nb_emission
-from .aggregate import adjusted_rand, clone_log_weights, pooled
+from .aggregate import adjusted_rand, clone_log_weights, order_statistics, pooled
 from .fit import fit_normal_shares, np_bb
 from .hmm import States, emission_by_model, fit_together, gmm_states, posteriors, with_parameters
 from .storage import keep
@@ -297,7 +297,7 @@ def reindex_normal(labels: DataFrame, shares: DataFrame, slack: float = 0.05) ->
 def near_normal_spots(deviation: DataFrame, totals: DataFrame, need: float) -> DataFrame:
     """(spot) with the smallest deviation: the 40th percentile, or the first ten more at which their counts exceed ``need``."""
     rows = deviation.join(totals, "spot")
-    cuts = rows.agg(*(F.percentile("std", F.lit(q / 100)) for q in range(40, 101, 10))).head()
+    (cuts,) = order_statistics(rows, "std", [q / 100 for q in range(40, 101, 10)])
     sums = rows.agg(*(F.sum(F.when(F.col("std") <= c, F.col("n"))) for c in cuts)).head() if cuts[0] is not None else []
     cut = next((c for c, s in zip(cuts, sums, strict=False) if (s or 0) > need), cuts[-1])
     return rows.where(F.col("std") <= F.lit(cut)).select("spot")
