@@ -598,6 +598,27 @@ def gmm_init(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, state int, log_mu double, p double")
 
 
+_STEP = (
+    _OBSERVED.split(", e AS")[0]
+    + ", cl AS (SELECT round(least(umi / base, 20.0) / 0.05) * 0.05 AS rdr, round(least(greatest(k / depth, 0.1), 0.9) / 0.01) * 0.01 AS baf, count(*) AS n FROM o GROUP BY ALL)"
+    ", g0 AS (SELECT unnest([0, 1, 2]) AS state, unnest([1.0, 3.0, 5.0]) AS mx, unnest([0.5, 0.3, 0.7]) AS my)"
+    ", lg AS (SELECT rdr, baf, n, state, exp(-0.5 * (power(rdr - mx, 2) / 2.0 + power(baf - my, 2) / 0.05)) AS d FROM cl, g0)"
+    ", rs AS (SELECT *, n * d / sum(d) OVER (PARTITION BY rdr, baf) AS h FROM lg)"
+)
+
+
+@query(B.with_views("chains", "SELECT CAST(state AS INTEGER) AS state, round(sum(h) / (SELECT sum(n) FROM cl), 6) AS weight, round(sum(h * rdr) / sum(h), 5) AS rdr, round(sum(h * baf) / sum(h), 6) AS baf, round(sum(h * rdr * rdr) / sum(h) - power(sum(h * rdr) / sum(h), 2) + 0.0001, 4) AS spread_rdr, round(sum(h * rdr * baf) / sum(h) - sum(h * rdr) / sum(h) * sum(h * baf) / sum(h), 5) AS spread_both FROM rs GROUP BY state", _STEP))
+def mixture_step(spark: SparkSession, d: str) -> DataFrame:
+    """One step of a Gaussian mixture over cells, from a fixed start."""
+    import numpy as np
+
+    cells = np.array([tuple(r) for r in H.mixture_cells(_observed(spark, d)).orderBy("rdr", "baf").collect()], float)  # a bounded grid
+    weight, mean, cov, _ = H.mixture_step(cells[:, :2], cells[:, 2], np.full(3, 1 / 3), np.array([[1.0, 0.5], [3.0, 0.3], [5.0, 0.7]]), np.array([np.diag([2.0, 0.05])] * 3))
+    rows = [(i, *map(float, (weight[i], *mean[i], cov[i, 0, 0], cov[i, 0, 1]))) for i in range(3)]
+    found = spark.createDataFrame(rows, "state int, weight double, rdr double, baf double, spread_rdr double, spread_both double")
+    return found.select("state", *(F.round(c, n).alias(c) for c, n in (("weight", 6), ("rdr", 5), ("baf", 6), ("spread_rdr", 4), ("spread_both", 5))))
+
+
 @query()
 def initial_phase(spark: SparkSession, d: str) -> DataFrame:
     """Phase and segments of blocks from a first fit of each clone."""

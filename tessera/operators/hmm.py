@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import bb_emission, bb_state, nb_emission, nb_state
 from .fit import fit_models
-from .lattice import finisher, multiplier, scanner
+from .lattice import finisher, lse, multiplier, scanner
 from .storage import keep
 
 
@@ -42,7 +42,8 @@ def default_states(k: int, t: float = 0.99999) -> States:
     """Start values: log means and shares spread evenly, sticky transitions."""
     stay, leave = np.log(t), np.log((1 - t) / max(1, k - 1))
     trans = tuple(tuple(float(stay if i == j else leave) for j in range(k)) for i in range(k))
-    return States(tuple(np.linspace(0.05, 0.45, k)), (30.0,) * k, tuple(np.linspace(-0.1, 0.1, k)), (0.1,) * k, (float(-np.log(k)),) * k, trans)
+    shares, means = (tuple(map(float, np.linspace(a, b, k))) for a, b in ((0.05, 0.45), (-0.1, 0.1)))
+    return States(shares, (30.0,) * k, means, (0.1,) * k, (float(-np.log(k)),) * k, trans)
 
 
 def emission(states: States, *, phased: bool = False, reads: bool = True, purity: Column | None = None, shift: Column | None = None) -> Column:
@@ -243,18 +244,61 @@ def baum_welch(obs: DataFrame, states: States, keys: Sequence[str], **how) -> tu
     return found, trail
 
 
-def gmm_states(obs: DataFrame, k: int, seed: int = 0, mirror: bool = False) -> States:
-    """Start values from a Gaussian mixture over read depth ratios and allele shares (clipped to 0.1 to 0.9)."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import VectorAssembler
+#: Read depth ratios count up to this and in these steps, shares in these: a few ten thousand cells at most.
+MOST_RATIO, RATIO_STEP, SHARE_STEP = 20.0, 0.05, 0.01
 
+
+def mixture_cells(obs: DataFrame, mirror: bool = False) -> DataFrame:
+    """(rdr, baf, n): how many rows of ``obs`` lie in each cell of read depth ratio and allele share (clipped to 0.1 to 0.9).
+
+    Where there is no base the ratio is one, where there is no depth the share is one half.
+    """
     share = F.least(F.greatest(F.col("k") / F.nullif("depth", F.lit(0)), F.lit(0.1)), F.lit(0.9))
-    ratio = F.coalesce(F.col("umi") / F.nullif("base", F.lit(0.0)), F.lit(1.0))
-    rows = obs.select(ratio.alias("rdr"), F.coalesce(F.least(share, 1 - share) if mirror else share, F.lit(0.5)).alias("baf"))
-    model = GaussianMixture(k=k, seed=seed, maxIter=50).fit(VectorAssembler(inputCols=["rdr", "baf"], outputCol="features").transform(rows))
-    means = np.array([g.mean.toArray() for g in model.gaussians])
+    ratio = F.least(F.coalesce(F.col("umi") / F.nullif("base", F.lit(0.0)), F.lit(1.0)), F.lit(MOST_RATIO))
+    rows = obs.select((F.round(ratio / RATIO_STEP) * RATIO_STEP).alias("rdr"), (F.round(F.coalesce(F.least(share, 1 - share) if mirror else share, F.lit(0.5)) / SHARE_STEP) * SHARE_STEP).alias("baf"))
+    return rows.groupBy("rdr", "baf").agg(F.count(F.lit(1)).alias("n"))
+
+
+def mixture_step(x: np.ndarray, n: np.ndarray, weight: np.ndarray, mean: np.ndarray, cov: np.ndarray, least: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(weights, means, covariances, log-likelihood) after one step of expectation and maximisation over cells ``x`` with counts ``n``."""
+    off = x[:, None] - mean[None]
+    turned = np.linalg.solve(cov[None], off[..., None])[..., 0]
+    log = np.log(weight) - 0.5 * ((off * turned).sum(axis=2) + np.log(np.linalg.det(cov))) - np.log(2 * np.pi)
+    total = lse(log, 1)
+    held = np.exp(log - total[:, None]) * n[:, None]
+    size = held.sum(axis=0) + 1e-12
+    new = held.T @ x / size[:, None]
+    off = x[:, None] - new[None]
+    spread = np.einsum("ck,cki,ckj->kij", held, off, off) / size[:, None, None] + least * np.eye(2)
+    return size / size.sum(), new, spread, float(n @ total)
+
+
+def gmm_states(obs: DataFrame, k: int, seed: int = 0, mirror: bool = False, rounds: int = 100) -> States:
+    """Start values from a Gaussian mixture over the cells of read depth ratios and allele shares.
+
+    Rows are counted into cells by Spark; the mixture is fitted to the bounded table of cells. Its
+    start is fixed: the cell nearest the mean, then each time the cell whose rows lie farthest, in
+    sum, from the centres before; so the result is the same in every run (``seed`` isn't used).
+    """
+    cells = np.array([tuple(r) for r in mixture_cells(obs, mirror).orderBy("rdr", "baf").collect()], float).reshape(-1, 3)
     base = default_states(k)
-    return replace(base, p=tuple(float(x) for x in np.clip(means[:, 1], 0.01, 0.99)), log_mu=tuple(float(x) for x in np.clip(np.log(np.maximum(means[:, 0], 1e-3)), -2, 2)))
+    if not len(cells):
+        return base
+    x, n = cells[:, :2], cells[:, 2]
+    middle = n @ x / n.sum()
+    centres = [x[((x - middle) ** 2).sum(axis=1).argmin()]]
+    while len(centres) < k:
+        far = np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0) * n
+        centres.append(x[far.argmax()])
+    off = x - middle
+    cov = (off.T * n) @ off / n.sum() / k + 1e-4 * np.eye(2)
+    weight, mean, cov, before = np.full(k, 1 / k), np.array(centres), np.array([cov] * k), -np.inf
+    for _ in range(rounds):
+        weight, mean, cov, value = mixture_step(x, n, weight, mean, cov)
+        if value - before < 1e-6 * (1 + abs(value)):
+            break
+        before = value
+    return replace(base, p=tuple(float(v) for v in np.clip(mean[:, 1], 0.01, 0.99)), log_mu=tuple(float(v) for v in np.clip(np.log(np.maximum(mean[:, 0], 1e-3)), -2, 2)))
 
 
 def spread_states(obs: DataFrame, k: int, seed: int = 0) -> States:

@@ -181,3 +181,13 @@ def test_two_models_together_equal_two_fits(spark, tmp_path):
     runs = spark.read.parquet(str(tmp_path / "runs"))
     assert runs.count() == sum(map(len, trails)) and runs.where("rounds = 1 and size = 480").count() == 2
     assert sorted(runs.where("rounds = 2").select("llf").toPandas()["llf"]) == pytest.approx(sorted(t[1] for t in trails))
+
+
+def test_mixture_start_finds_planted_states_and_repeats(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.poisson(60 * m)), 60.0, int(rng.binomial(80, p)), 80) for m, p in ((1.0, 0.5), (0.5, 0.15), (1.8, 0.66)) for _ in range(300)] + [(5, 0.0, 0, 0)]
+    obs = spark.createDataFrame(rows, "umi int, base double, k int, depth int")
+    found = [hmm.gmm_states(obs.repartition(n), 3) for n in (2, 5)]
+    assert found[0] == found[1]
+    assert np.allclose(sorted(zip(found[0].p, np.exp(found[0].log_mu))), sorted([(0.5, 1.0), (0.15, 0.5), (0.66, 1.8)]), atol=0.06)
+    assert hmm.gmm_states(obs.limit(0), 2) == hmm.default_states(2)
