@@ -642,11 +642,12 @@ def _field(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     return counts, edges, decoded
 
 
-def icm_sql(edges: str, final: str, tol: float = 0.1) -> str:
-    """DuckDB query that visits spot after spot until a sweep changes too few; ``edges``: rows (src, dst, w), ``final``: columns of the last state."""
+def icm_sql(edges: str, final: str, tol: float = 0.1, raw: str | None = None) -> str:
+    """DuckDB query that visits spot after spot until a sweep changes too few; ``edges``: rows (src, dst, w), ``final``: columns of the last state, ``raw``: query for (spot, clone, llf)."""
+    raw = raw or ORACLE["spot_llf"].replace("round(sum(llf), 3)", "sum(llf)")
     prior = "cw AS (SELECT sample, clone, CASE WHEN n > 0 THEN ln(n / sum(n) OVER (PARTITION BY sample)) ELSE -50.0 END AS w FROM (SELECT sample, c.clone, (SELECT count(*) FROM spots z WHERE z.sample = s.sample AND z.clone = c.clone) AS n FROM (SELECT DISTINCT sample FROM spots) s, (SELECT unnest([0, 1, 2]) AS clone) c))"
     return B.with_views("spots", f"SELECT {final} FROM last, ix ORDER BY ix.spot", (
-        f"raw AS ({ORACLE['spot_llf'].replace('round(sum(llf), 3)', 'sum(llf)')}), {_PAIRS}, ed AS ({edges}), {prior}"
+        f"raw AS ({raw}), {_PAIRS}, ed AS ({edges}), {prior}"
         ", sc AS (SELECT spot, sample, any_value(s.clone) AS label, list(llf + w - lse ORDER BY raw.clone) AS score FROM raw JOIN spots s USING (spot) JOIN cw USING (sample) JOIN (SELECT sample, ln(sum(exp(w))) AS lse FROM cw GROUP BY sample) USING (sample) WHERE cw.clone = raw.clone GROUP BY spot, sample)"
         ", ix AS MATERIALIZED (SELECT row_number() OVER (ORDER BY spot) AS i, * FROM sc), nn AS (SELECT count(*) AS n FROM ix)"
         ", nb AS MATERIALIZED (SELECT a.i, list({'j': b.i, 'w': w}) AS near FROM ed JOIN ix a ON a.spot = src JOIN ix b ON b.spot = dst WHERE src <> dst GROUP BY a.i)"

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import _CLONE_LLF, _IN_BLOCKS, _OBSERVED, _PAIRS, BLOCK, THREE, _bb_sql, _blocks, _field, _in_blocks, _nb_sql, _observed, _step_sql, query, slice_links
+from .catalogue import _CLONE_LLF, _IN_BLOCKS, _NEAR as NEAR, _OBSERVED, _PAIRS, BLOCK, ORACLE, THREE, _bb_sql, _blocks, _field, _in_blocks, _nb_sql, _observed, _step_sql, icm_sql, query, slice_links
 from .functions import columns as C
 from .operators import aggregate as A
 from .operators import copynumber as N
@@ -251,6 +251,24 @@ def final_labels(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+_ONCE = "ix.sample, ix.spot, CAST(l[ix.i] - 1 AS INTEGER) AS label"
+
+
+@query(" UNION ALL ".join(f"SELECT *, '{name}' AS nodes FROM ({icm_sql(NEAR, _ONCE, 2, raw)})" for name, raw in (("max", None), ("weighted_sum", ORACLE["posterior_spot_llf"].replace("round(llf, 3) AS llf", "llf")))))
+def node_potential(spark: SparkSession, d: str) -> DataFrame:
+    """Labels after one sweep: spots judged by each clone's path, and by its states' posteriors."""
+    spots = B.spots(spark, d)
+    counts, edges, decoded = _field(spark, d)
+    labels = spots.select("sample", "spot", F.col("clone").alias("label"))
+    prior = A.clone_log_weights(spots, spark.range(3).select(F.col("id").cast("int").alias("clone")))
+    out = None
+    for name, paths in (("max", decoded), ("weighted_sum", _posterior_field(spark, d)[2])):
+        found, _ = R.final_labels(counts, edges, X.weighted_adjacency(spots, 36.0), labels, paths, R.states_table(spark, THREE), log_prior=prior)
+        found = found.select("sample", "spot", "label", F.lit(name).alias("nodes"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def _copies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Paths of three clones over blocks, copies of their states, and the blocks."""
     bins = _blocks(spark, d).select("chr", "block").distinct().select((F.col("chr") * 100_000 + F.col("block")).alias("bin"), "chr", (F.col("block") * BLOCK).alias("start"), ((F.col("block") + 1) * BLOCK).alias("end"))
