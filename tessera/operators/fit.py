@@ -105,9 +105,14 @@ def bb_terms(k: np.ndarray, n: np.ndarray, loc: np.ndarray, disp: np.ndarray, pu
 TERMS = {"nb": nb_terms, "bb": bb_terms}
 
 
-def np_bb(k: np.ndarray, n: np.ndarray, p: np.ndarray, tau: np.ndarray) -> np.ndarray:
+def np_nb(k: np.ndarray, base: np.ndarray, log_mu: np.ndarray, alpha: np.ndarray, purity: np.ndarray | None = None) -> np.ndarray:
+    """Negative binomial log-likelihood of log mean and dispersion."""
+    return nb_terms(k, base, log_mu, np.log(alpha), purity)[0]
+
+
+def np_bb(k: np.ndarray, n: np.ndarray, p: np.ndarray, tau: np.ndarray, purity: np.ndarray | None = None) -> np.ndarray:
     """Beta-binomial log-likelihood of share and concentration."""
-    return bb_terms(k, n, np.log(p / (1 - p)), np.log(tau))[0]
+    return bb_terms(k, n, np.log(p / (1 - p)), np.log(tau), purity)[0]
 
 
 def summed_terms(stats: DataFrame, points: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
