@@ -6,13 +6,15 @@ keys the caller names (chromosome, and sample or clone where there are such), ne
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import log_site_transition, phase_switch_probability
+from .storage import keep
 
 
 def ordinal(df: DataFrame, keys: Sequence[str] = ("chr",), tie: Sequence[str] = ("feature",)) -> DataFrame:
@@ -102,46 +104,142 @@ def overlap_join(rows: DataFrame, islands: DataFrame) -> DataFrame:
     return met.drop("_level", "_bin", "_s", "_e")
 
 
-def greedy_blocks(df: DataFrame, value: str = "u", least: int = 15, keys: Sequence[str] = ("chr",), order: str = "rn") -> DataFrame:
-    """Adds ``block``: a new one opens where the current one has ``least``; a short last one joins its neighbour.
+#: Rows of a tile, inside which jumps are followed in arrays.
+TILE = 1024
+#: A place past all rows.
+BEYOND = 1 << 62
+
+
+def _placed(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """(_row, keys, _pos): all columns as one, and the place of the row from 1."""
+    return df.select(F.struct("*").alias("_row"), *keys, F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("long").alias("_pos"))
+
 
-    Each reset depends on the one before, so a chromosome is one sequential fold (an Arrow group).
+def _ahead(keys: Sequence[str]):
+    """All rows up to this one."""
+    return Window.partitionBy(*keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _reaching(df: DataFrame, name: str, reached: str, wanted: Column, keys: Sequence[str]) -> DataFrame:
+    """Adds ``name``: the first place whose ``reached``, which never falls, is at least ``wanted``; null where none is.
+
+    Each row stands twice in one order of values, as what is reached and as what is wanted; the
+    place seen last on the way down is the answer, so a search is one sort and one pass.
     """
+    both = df.withColumn("_asks", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("_value", F.when(F.col("_asks"), wanted).otherwise(F.col(reached)))
+    down = Window.partitionBy(*keys).orderBy(F.desc("_value"), "_asks", F.desc("_pos")).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(name, F.last(F.when(~F.col("_asks"), F.col("_pos")), ignorenulls=True).over(down)).where("_asks").drop("_asks", "_value")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        block, total, out = 0, 0, []
-        for u in pdf[value].tolist():
-            if out and total >= least:
-                block, total = block + 1, 0
-            total += u
-            out.append(block)
-        if block and total < least:
-            out = [min(x, block - 1) for x in out]
-        return pdf.assign(block=out)
 
-    return df.groupBy(*keys).applyInPandas(fold, df.withColumn("block", F.lit(0).cast("long")).schema)
+def _aside(keys: Sequence[str]) -> tuple[list[Column], Column]:
+    """The keys under other names, and whether a row's keys equal these, nulls included."""
+    return [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], reduce(and_, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)))
 
 
-def greedy_bins(df: DataFrame, value: str = "u", length: str = "len", least: int = 300, longest: int = 5_000_000, keys: Sequence[str] = ("chr",), order: str = "rn") -> DataFrame:
-    """Adds ``bin``: a new one opens at ``least`` counts or where the length would reach ``longest``.
+def _entries(tiles: DataFrame, keys: Sequence[str], last: int, tile: int) -> DataFrame:
+    """(keys, _tile, _entry): the place at which the way from each key's first row enters a tile.
 
-    A last bin under half of both joins its neighbour.
+    Only places that some tile's jumps lead to are followed, and each round doubles the tiles that
+    a jump spans.
     """
+    exits = keep(tiles.select(*keys, F.col("_low"), F.posexplode("_exit").alias("_i", "_next")).select(*keys, (F.col("_low") + F.col("_i")).alias("_at"), "_next"))
+    other, same = _aside(keys)
+    met = exits.select(*other, F.col("_next").alias("_met")).distinct()
+    first = exits.where("_at = 1")
+    jumps = keep(exits.join(met, same & (F.col("_at") == F.col("_met")), "left_semi").where("_at > 1").unionByName(first))
+    found = first.select(*keys, "_at")
+    for _ in range(last.bit_length()):
+        to = jumps.select(*other, F.col("_at").alias("_from"), F.col("_next").alias("_then"))
+        step = found.join(to, same & (F.col("_at") == F.col("_from"))).where(F.col("_then") < BEYOND).select(*keys, F.col("_then").alias("_at"))
+        found = keep(found.unionByName(step))
+        jumps = keep(jumps.join(to, same & (F.col("_next") == F.col("_from")), "left").select(*keys, "_at", F.coalesce("_then", "_next").alias("_next")))
+    return found.select(*keys, F.floor((F.col("_at") - 1) / tile).alias("_tile"), F.col("_at").alias("_entry"))
+
+
+def _opened(df: DataFrame, keys: Sequence[str], tile: int) -> DataFrame:
+    """(keys, _row, _pos, _opens) of ``df(keys, _row, _pos, _to)``: whether a row is met on the way from its key's first row.
+
+    ``_to`` is the place a row's jump leads to, past its own; null, or past the last row, leads nowhere. Jumps are composed
+    with themselves, inside tiles of rows, where arrays hold them, and then from tile to tile, so
+    that no step walks row by row and the number of rounds is the logarithm of the rows'.
+    """
+    depth = (tile - 1).bit_length()
+    ends = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    df = df.withColumn("_jump", F.when(F.col("_to") <= ends, F.col("_to")).otherwise(F.lit(BEYOND)))
+    held = F.collect_list(F.struct("_pos", "_jump", "_row"))
+    tiles = df.withColumn("_tile", F.floor((F.col("_pos") - 1) / tile)).groupBy(*keys, "_tile").agg(held.alias("_rows"))
+    tiles = tiles.withColumn("_rows", F.array_sort("_rows", lambda x, y: (x["_pos"] - y["_pos"]).cast("int")))
+    tiles = keep(tiles.withColumn("_low", F.col("_tile") * tile + 1).withColumn("_jumps", F.transform("_rows", lambda x: x["_jump"])))
+    high = F.col("_low") + F.size("_rows")
+
+    def step(jumps: Column) -> Callable[[Column], Column]:
+        """Where jumps lead; places outside the tile stay."""
+        return lambda at: F.when(at >= high, at).otherwise(F.get(jumps, (at - F.col("_low")).cast("int")))
+
+    # Arrays are bound by folds and lambdas, so that no plan evaluates them anew for each element.
+    doublings = F.sequence(F.lit(1), F.lit(depth))
+    last = tiles.agg(F.max("_tile")).first()[0]
+    if last:
+        into = _entries(tiles.withColumn("_exit", F.aggregate(doublings, F.col("_jumps"), lambda j, _: F.transform(j, step(j)))), keys, last, tile)
+        other, same = _aside(keys)
+        into = into.select(*other, F.col("_tile").alias("_at_tile"), "_entry")
+        tiles = tiles.join(into, same & (F.col("_tile") == F.col("_at_tile")), "left")
+    else:
+        tiles = tiles.withColumn("_entry", F.lit(1).cast("long"))
+
+    def lengthen(state: Column, _: Column) -> Column:
+        way = F.concat(state["way"], F.filter(F.transform(state["way"], step(state["jumps"])), lambda x: x < high))
+        return F.struct(F.transform(state["jumps"], step(state["jumps"])).alias("jumps"), way.alias("way"))
+
+    start = F.struct(F.col("_jumps").alias("jumps"), F.filter(F.array("_entry"), lambda x: x.isNotNull()).alias("way"))
+    way = F.aggregate(doublings, start, lengthen, lambda state: state["way"])
+    rows = F.transform(F.array(way), lambda w: F.transform("_rows", lambda x: F.struct(x["_pos"].alias("_pos"), x["_row"].alias("_row"), F.array_contains(w, x["_pos"]).alias("_opens"))))
+    return tiles.select(*keys, F.explode(F.get(rows, 0)).alias("_x")).select(*keys, "_x.*")
+
+
+def _numbered(opened: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Adds ``name``: openings up to the row, from 0."""
+    return opened.withColumn(name, F.sum(F.col("_opens").cast("long")).over(_ahead(keys)) - 1)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        at, total, size, out = 0, 0, 0, []
-        for u, n in zip(pdf[value].tolist(), pdf[length].tolist(), strict=True):
-            if out and (total >= least or size + n >= longest):
-                at, total, size = at + 1, 0, 0
-            total, size = total + u, size + n
-            out.append(at)
-        if at and total < least / 2 and size < longest / 2:
-            out = [min(x, at - 1) for x in out]
-        return pdf.assign(bin=out)
 
-    return df.groupBy(*keys).applyInPandas(fold, df.withColumn("bin", F.lit(0).cast("long")).schema)
+def _tail_joined(df: DataFrame, keys: Sequence[str], name: str, short: Column) -> DataFrame:
+    """Gives rows of each key's last number, where ``short``, the number before."""
+    last = F.max(name).over(Window.partitionBy(*keys))
+    return df.withColumn(name, F.when((F.col(name) > 0) & (F.col(name) == last) & short, F.col(name) - 1).otherwise(F.col(name)))
+
+
+def _with(df: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """The columns of ``df`` from ``rows(_row, name)``, with ``name``."""
+    return rows.select(*(F.col("_row")[c].alias(c) for c in df.columns if c != name), name)
+
+
+def greedy_blocks(df: DataFrame, value: str = "u", least: int = 15, keys: Sequence[str] = ("chr",), order: str = "rn", tile: int = TILE) -> DataFrame:
+    """Adds ``block``: a new one opens where the current one has ``least``; a short last one joins its neighbour.
+
+    ``value`` is never negative; null counts as 0. From the running sum each row knows where a block
+    that opened there would end; following these jumps from the first row tells the real openings.
+    """
+    u = F.coalesce(F.col("_row")[value], F.lit(0))
+    rows = _placed(df, keys, order).withColumn("_sum", F.sum(u).over(_ahead(keys)))
+    rows = _reaching(rows, "_full", "_sum", F.col("_sum") - u + least, keys).withColumn("_to", F.col("_full") + 1)
+    out = _numbered(_opened(rows, keys, tile), keys, "block")
+    return _with(df, _tail_joined(out, keys, "block", F.sum(u).over(Window.partitionBy(*keys, "block")) < least), "block")
+
+
+def greedy_bins(df: DataFrame, value: str = "u", length: str = "len", least: int = 300, longest: int = 5_000_000, keys: Sequence[str] = ("chr",), order: str = "rn", tile: int = TILE) -> DataFrame:
+    """Adds ``bin``: a new one opens at ``least`` counts or where the length would reach ``longest``.
+
+    A last bin under half of both joins its neighbour. Counts and lengths are never negative; null
+    counts as 0. Openings are found as in :func:`greedy_blocks`, by the nearer of the two bounds.
+    """
+    u, n = (F.coalesce(F.col("_row")[c], F.lit(0)) for c in (value, length))
+    rows = _placed(df, keys, order).withColumn("_sum", F.sum(u).over(_ahead(keys))).withColumn("_size", F.sum(n).over(_ahead(keys)))
+    rows = _reaching(rows, "_full", "_sum", F.col("_sum") - u + least, keys)
+    rows = _reaching(rows, "_long", "_size", F.col("_size") - n + longest, keys)
+    long_ = F.when(F.col("_long").isNotNull(), F.greatest(F.col("_long"), F.col("_pos") + 1))
+    out = _numbered(_opened(rows.withColumn("_to", F.least(F.col("_full") + 1, long_)), keys, tile), keys, "bin")
+    whole = Window.partitionBy(*keys, "bin")
+    return _with(df, _tail_joined(out, keys, "bin", (F.sum(u).over(whole) < least / 2) & (F.sum(n).over(whole) < longest / 2)), "bin")
 
 
 def break_points(df: DataFrame, length: str = "len", longest: int = 5_000_000, keys: Sequence[str] = ("chr",), order: str = "rn") -> DataFrame:
@@ -152,21 +250,21 @@ def break_points(df: DataFrame, length: str = "len", longest: int = 5_000_000, k
     return df.withColumn("_cut", cut).withColumn("segment", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
 
 
-def profile_segments(df: DataFrame, profile: str = "bafs", gap: int = 10, jump: float = 0.1, keys: Sequence[str] = ("chain",), order: str = "t") -> DataFrame:
-    """Adds ``segment``: cut where any mirrored share jumps by ``jump``, over ``gap`` rows after the last cut."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        last, segment, out, old = 0, 0, [], None
-        for i, row in enumerate(pdf[profile].tolist()):
-            now = [min(x, 1 - x) for x in row]
-            if old is not None and i > last + gap and any(abs(x - y) > jump for x, y in zip(now, old, strict=True)):
-                last, segment = i, segment + 1
-            out.append(segment)
-            old = now
-        return pdf.assign(segment=out)
+def profile_segments(df: DataFrame, profile: str = "bafs", gap: int = 10, jump: float = 0.1, keys: Sequence[str] = ("chain",), order: str = "t", tile: int = TILE) -> DataFrame:
+    """Adds ``segment``: cut where any mirrored share jumps by ``jump``, over ``gap`` rows after the last cut.
 
-    return df.groupBy(*keys).applyInPandas(fold, df.withColumn("segment", F.lit(0).cast("long")).schema)
+    Whether a row may be a cut doesn't depend on others, so each row knows the next cut after one
+    there; the real cuts are found as the openings of :func:`greedy_blocks`.
+    """
+    rows = _placed(df, keys, order)
+    by_place = Window.partitionBy(*keys).orderBy("_pos")
+    now = F.transform(F.col("_row")[profile], lambda x: F.least(x, 1 - x))
+    rows = rows.withColumn("_now", now).withColumn("_old", F.lag("_now").over(by_place))
+    apart = F.zip_with("_now", "_old", lambda x, y: F.abs(x - y))
+    may = F.coalesce(F.exists(apart, lambda x: (x > jump) & ~F.isnan(x)), F.lit(False))
+    down = Window.partitionBy(*keys).orderBy(F.desc("_pos")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_may", may).withColumn("_near", F.min(F.when(F.col("_may"), F.col("_pos"))).over(down)).withColumn("_to", F.lead("_near", gap + 1).over(by_place))
+    return _with(df, _numbered(_opened(rows, keys, tile), keys, "segment"), "segment")
 
 
 def run_length(df: DataFrame, value: str, keys: Sequence[str], order: str) -> DataFrame:
