@@ -28,23 +28,55 @@ SPANS = "array<struct<start:int,ord:int,kind:string,last:int>>"
 LEDGER = "blob string, rules string, spans array<struct<start:int,ord:int,kind:string,last:int>>"
 
 
+#: Entries of an array that a fold appends to one by one; longer arrays go in runs of so many.
+RUN = 256
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _runs(rows: Column) -> Column:
+    """An array in runs of ``RUN`` entries."""
+    count = F.ceil(F.size(rows) / F.lit(RUN)).cast("int")
+    return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda c: F.slice(rows, c * RUN + 1, F.lit(RUN)))).otherwise(F.array(rows))
+
+
+def _before(values: Column, join) -> Column:
+    """For each integer, those before it joined by ``join`` (0 for the first).
+
+    An array that grows by one entry is copied each time, so runs are folded apart and then their
+    totals: work grows little faster than the array.
+    """
+
+    def fold(xs: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("seen"))
+        return F.aggregate(xs, start, lambda s, x: F.struct(join(s["at"], x).alias("at"), F.concat(s["seen"], F.array(s["at"])).alias("seen")))
+
+    def united(parts: Column) -> Column:
+        bases = fold(F.transform(parts, lambda p: p["at"]))["seen"]
+        return F.flatten(F.zip_with(parts, bases, lambda p, base: F.transform(p["seen"], lambda v: join(v, base))))
+
+    return _bound(values, lambda vs: _bound(F.transform(_runs(vs), fold), united))
+
+
 def _kind_spans(text: Column, ordinal: int, kind: str, pattern: str, group: int, least: int) -> Column:
     """Spans of one kind in code points: the pieces between matches give the matches' places."""
     pat = F.lit(pattern)
-    parts = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, pat, F.lit(0))
     held = F.regexp_extract_all(text, pat, F.lit(group)) if group else whole
     rows = F.zip_with(whole, held, lambda a, b: F.struct(F.length(a).alias("n"), F.length(b).alias("g")))
-    rows = F.zip_with(F.slice(parts, 1, F.size(whole)), rows, lambda p, r: F.struct(F.length(p).alias("gap"), r["n"].alias("n"), r["g"].alias("g")))
+    # One piece more than matches: the last has no match behind it.
+    rows = F.zip_with(F.split(text, pattern, -1), rows, lambda p, r: F.struct(F.length(p).alias("gap"), r["n"].alias("n"), r["g"].alias("g")))
 
-    def add(state, x):
-        start = state["at"] + x["gap"]
-        span = F.struct(start.alias("start"), F.lit(ordinal).alias("ord"), F.lit(kind).alias("kind"), (start + x["n"]).alias("last"))
-        return F.struct((start + x["n"]).alias("at"), F.when(x["g"] >= least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+    def places(found: Column) -> Column:
+        before = _before(F.transform(found, lambda x: x["gap"] + x["n"]), lambda s, x: s + x)
+        spans = F.zip_with(found, before, lambda x, at: F.struct(x["g"].alias("g"), F.struct((at + x["gap"]).alias("start"), F.lit(ordinal).alias("ord"), F.lit(kind).alias("kind"), (at + x["gap"] + x["n"]).alias("last")).alias("span")))
+        return F.transform(F.filter(spans, lambda x: x["g"] >= least), lambda x: x["span"])
 
-    none = F.array().cast(SPANS)
-    folded = F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda s: s["spans"])
-    return F.when(text.rlike(pattern), folded).otherwise(none)
+    found = _bound(F.filter(rows, lambda x: x["n"].isNotNull()), places)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPANS))
 
 
 def secret_spans(text: Column) -> Column:
@@ -99,6 +131,27 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["last"])), ",")
 
 
+def mask_spans(text: Column, spans: Column, mask: str) -> Column:
+    """The text with ``spans``, which come by start, masked; overlapping ones by one mask.
+
+    Text between masks is cut out of one block of text for each run of spans: finding a code point
+    walks from the start, which would make each span cost the whole text.
+    """
+
+    def pieces(gaps: Column) -> Column:
+        low = F.element_at(gaps, 1)["from"]
+        block = F.substring(text, low + 1, F.element_at(gaps, -1)["to"] - low)
+        return _bound(block, lambda b: F.array_join(F.transform(gaps, lambda g: F.substring(b, g["from"] - low + 1, g["to"] - g["from"])), mask))
+
+    def masked(found: Column) -> Column:
+        done = _before(F.transform(found, lambda x: x["last"]), F.greatest)
+        gaps = F.filter(F.zip_with(found, done, lambda x, at: F.struct(at.alias("from"), x["start"].alias("to"))), lambda g: g["to"] >= g["from"])
+        tail = F.substring(text, F.array_max(F.transform(found, lambda x: x["last"])) + 1, F.length(text))
+        return F.concat(_bound(gaps, lambda all_: F.array_join(F.transform(_runs(all_), pieces), mask)), F.lit(mask), tail)
+
+    return F.when(F.size(spans) > 0, _bound(spans, masked)).otherwise(text)
+
+
 def redact(docs: DataFrame, ledger_path: str, mask: str = "[SECRET]", rules: str = RULES_VERSION) -> DataFrame:
     """``docs`` (all its columns, of any names) with every secret replaced by ``mask``.
 
@@ -109,12 +162,7 @@ def redact(docs: DataFrame, ledger_path: str, mask: str = "[SECRET]", rules: str
     ledger = scan_new(rows.select("blob", "text"), ledger_path, rules)
     hits = ledger.where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans"))
 
-    def add(state, x):
-        fresh = x["start"] >= state["at"]
-        piece = F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, x["start"] - state["at"]), F.lit(mask))
-        return F.struct(F.greatest(state["at"], x["last"]).alias("at"), F.when(fresh, piece).otherwise(state["out"]).alias("out"))
-
-    masked = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length(F.col("text")))))
+    masked = mask_spans(F.col("text"), F.col("spans"), mask)
     joined = rows.join(hits, "blob", "left").withColumn("masked", F.when(F.col("spans").isNotNull(), masked).otherwise(F.col("row")["text"]))
     return joined.select(*((F.col("masked") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns))
 
