@@ -67,9 +67,9 @@ class SuffixAutomaton:
                 self.shortest = min(self.shortest, len(words))
                 ends.append((number, len(words), last))
         order = np.argsort(np.frombuffer(self.length, np.int32), kind="stable")
-        #: States of window length: the items that hold such a window, as a place in ``groups``.
+        #: Sets of items that hold a window.
         self.groups: list[tuple[int, ...]] = []
-        self.holder: dict[int, int] = {}
+        held: dict[int, int] = {}
         place: dict[tuple[int, ...], int] = {}
         up: dict[int, set[int]] = {s: set(x) for s, x in here.items() if x}
         for s in order[::-1].tolist():
@@ -84,7 +84,11 @@ class SuffixAutomaton:
             if group not in place:
                 place[group] = len(self.groups)
                 self.groups.append(group)
-            self.holder[s] = place[group]
+            held[s] = place[group]
+        #: For each state beyond window length, the group of the window that its strings end with.
+        self.holder = array("i", bytes(4 * len(self.link)))
+        for s in order[np.searchsorted(np.frombuffer(self.length, np.int32)[order], window) :].tolist():
+            self.holder[s] = held[s] if s in held else self.holder[self.link[s]]
         #: Per state: short items that are suffixes of its longest string, shortest first.
         own: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for item, n, state in ends:
@@ -142,6 +146,7 @@ class SuffixAutomaton:
     def stream(self, words: list[int], offset: int, spans: list[tuple[int, int]], items: set[int]) -> None:
         """Matches of a run of known words; adds hit spans [first, last) and numbers of items."""
         word, to, more, link, length, window, short = self.word, self.to, self.more, self.link, self.length, self.window, self.short
+        holder, groups = self.holder, self.groups
         state = matched = 0
         for k, w in enumerate(words, offset + 1):
             while not (step := to[state] if word[state] == w else more.get(state << 32 | w, 0)) and state:
@@ -151,10 +156,7 @@ class SuffixAutomaton:
                 state = step
                 matched += 1
             if matched >= window:
-                top = state
-                while length[link[top]] >= window:
-                    top = link[top]
-                items.update(self.groups[self.holder[top]])
+                items.update(groups[holder[state]])
                 spans.append((k - window, k))
             if state in short:
                 for n, item in short[state]:
