@@ -14,6 +14,7 @@ Every page is read through the wrapper of its host.
 from __future__ import annotations
 
 import bisect
+import functools
 import html
 import json
 import re
@@ -21,7 +22,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from itertools import pairwise
+from itertools import pairwise, takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,8 +55,14 @@ DROP_WORDS = set(
     "footer header masthead comment comments commentlist disqus respond replies reply cookie cookies consent gdpr notice notices alert popup modal overlay share sharing social related recommended "
     "subscribe subscription newsletter signup login widget widgets toolbar pagination pager skip hidden complementary contentinfo search dialog form".split()
 )
-#: Words that join others to tell what an element is about (``post-ad`` is an advert, ``has-sidebar`` a layout).
+#: Words after which a name tells an element's looks (``has-sidebar`` is a layout, the words before ``with`` still count).
 LAYOUT_WORDS = {"has", "with", "no", "without"}
+#: Words at a name's end that tell its part, kind or place: what stands before them is what the name is about
+#: (``comment-list`` has comments, ``post-ad`` is an advert, but ``related-work`` is work).
+PART_WORDS = set(
+    "area article articles author avatar bar block body bottom box btn button buttons card column container content desktop entry foot form group head heading icon icons image img inner item items label large left "
+    "line link links list main media meta mobile outer page panel post posts primary right row secondary section slot small stories story text thread title to top trail unit wrap wrapper zone".split()
+)
 #: Where an article is, the most telling first.
 REGION_TAGS = ("article", "main")
 REGION_WORDS = {"article", "main", "entry", "post", "story", "content", "articlebody"}
@@ -295,14 +302,27 @@ def infer(streams: Iterator[list[list]]) -> list[list] | None:
     return out
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _names(sig: str) -> tuple[tuple[str, ...], ...]:
+    """Words of each name in class, id and role, up to one that speaks of layout: no name bears on another."""
+    names = ([w for w in re.split(r"[^a-z]+", mark.split("=", 1)[-1]) if w] for mark in sig.split(" ")[1:])
+    return tuple(tuple(takewhile(lambda w: w not in LAYOUT_WORDS, words)) for words in names)
+
+
 def _about(sig: str) -> set[str]:
-    """Words in class, id and role; of an element whose words speak of layout, none."""
-    words = [w for mark in sig.split(" ")[1:] for w in re.split(r"[^a-z]+", mark.split("=", 1)[-1]) if w]
-    return set() if LAYOUT_WORDS & set(words) else set(words)
+    """All words in class, id and role that don't speak of layout."""
+    return {w for words in _names(sig) for w in words}
+
+
+def _topic(words: tuple[str, ...]) -> str:
+    """What a name is about: its last word that doesn't tell a part of something."""
+    return next((w for w in reversed(words) if w not in PART_WORDS), "")
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def _drops(sig: str) -> bool:
-    return sig.split(" ", 1)[0] in DROP_TAGS or bool(_about(sig) & DROP_WORDS)
+    """Whether an element is no article: by its tag, or because some whole name is about furniture."""
+    return sig.split(" ", 1)[0] in DROP_TAGS or any((words and words[-1] in DROP_WORDS) or _topic(words) in DROP_WORDS for words in _names(sig))
 
 
 def _paths(items: list[list], stack: list[str] | None = None) -> Iterator[tuple[list, tuple[str, ...]]]:
