@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import _CLONE_LLF, _IN_BLOCKS, _NEAR as NEAR, _OBSERVED, _PAIRS, BLOCK, ORACLE, THREE, _bb_sql, _blocks, _field, _in_blocks, _nb_sql, _observed, _step_sql, icm_sql, query, slice_links
+from .catalogue import _CLONE_LLF, _IN_BLOCKS, _NEAR as NEAR, _OBSERVED, _PAIRS, _STATES_SQL, _state_rows, BLOCK, ORACLE, THREE, _bb_sql, _blocks, _field, _in_blocks, _nb_sql, _observed, _step_sql, icm_sql, query, slice_links
 from .functions import columns as C
 from .operators import aggregate as A
 from .operators import copynumber as N
@@ -377,3 +377,57 @@ def effective_elements(spark: SparkSession, d: str) -> DataFrame:
     """Observations over which a chain of as many states as a block's markers and one forgets its start."""
     n = B.genetic_map(spark, d).groupBy("chr", F.floor(F.col("pos") / 1000).alias("block")).agg((1 + F.count(F.lit(1))).alias("n"))
     return n.select("chr", "block", "n", C.effective_elements(0.9, F.col("n")).alias("elements"))
+
+
+def _misfit_sql() -> str:
+    """Loss of the copies a0, b0 to a2, b2 beside a clone's bins n, means m, shares p and weights w."""
+    t = [f"(a{i} + b{i})" for i in K]
+    total, points = " + ".join(f"w{i} * {t[i]}" for i in K), " + ".join(f"(n{i} + 0.1)" for i in K)
+    scale = f"(CASE WHEN d < 0 THEN {total} ELSE 2 / md END)"
+    fit = " + ".join(f"(n{i} + 0.1) * (power(0.3 * (m{i} - {t[i]} / {scale}), 2) + power(p{i} - a{i} / {t[i]}, 2))" for i in K)
+    turned = " + ".join(f"2 * CAST(m{i} - m{j} > 0.3 AND {t[i]} < {t[j]} AS INTEGER)" for i in K for j in K if i != j)
+    high = f"CAST({' + '.join(f'(n{i} + 0.1) * {t[i]}' for i in K)} > (ploidy + 0.5) * ({points}) AS INTEGER)"
+    worst = f"greatest(0.05, {', '.join(f'CASE WHEN a{i} = b{i} THEN abs(p{i} - 0.5) ELSE 0 END' for i in K)})"
+    odd = " + ".join(f"CAST(a{i} <> b{i} AND abs(p{i} - 0.5) < {worst} AS INTEGER)" for i in K)
+    return f"{fit} + (n0 + n1 + n2) * ({turned} + {high} + CASE WHEN d < 0 THEN {odd} ELSE 0 END)"
+
+
+def _climb_sql() -> str:
+    """``best``: all four searches over three states, thirty steps of one state each, as plain SQL."""
+    pairs, now = ", ".join(f"a{i}, b{i}" for i in K), ", ".join(f"n{i}, m{i}, p{i}, w{i}" for i in K)
+    wide = ", ".join(f"max({c}) FILTER (state = {i}) AS {x}{i}" for i in K for x, c in (("n", "bins"), ("m", "mu"), ("p", "p"), ("w", "w")))
+    drawn = [f"cd[1 + (v{i} * v{i} % {N.PRIME}) % 25]" for i in K]
+    held = ", ".join(f"CASE WHEN state = {i} THEN 1 ELSE {drawn[i]}.{x} END AS {x}{i}" for i in K for x in "ab")
+    free = ", ".join(f"CAST(ploidy // 2 AS INTEGER) AS a{i}, CAST(ploidy - ploidy // 2 AS INTEGER) AS b{i}" for i in K)
+    moved = ", ".join(f"CASE WHEN c >= 0 AND step % 3 = {i} THEN c{x} ELSE {x}{i} END AS {x}{i}" for i in K for x in "ab")
+    barred = " OR ".join(f"(step % 3 = {i} AND (abs(p{i} - 0.5) > 0.2 OR abs(m{i} - 1) > 0.5))" for i in K)
+    seeds = ", ".join(f"((CAST({i} * 1009 AS BIGINT) + ploidy * 99991 + restart * 7919 + 1) * {N.FACTOR}) % {N.PRIME} AS v{i}" for i in K)
+    most = ", ".join(f"('{k}', {v})" for k, v in N.SEARCHES.items())
+    return (
+        ", st AS (SELECT clone, state, bins, p, log_mu, w / sum(w) OVER (PARTITION BY clone) AS w, exp(log_mu) / (sum(w * exp(log_mu)) OVER (PARTITION BY clone) / sum(w) OVER (PARTITION BY clone)) AS mu FROM sx JOIN ww USING (clone, state))"
+        f", wd AS (SELECT clone, {wide} FROM st GROUP BY clone)"
+        ", dp AS (SELECT clone, state, mu AS md FROM (SELECT *, row_number() OVER (PARTITION BY clone ORDER BY bins < 0.4 * total, log_mu, state) AS rk FROM (SELECT *, sum(bins) OVER (PARTITION BY clone) AS total FROM st) WHERE bins >= 0.02 * total AND abs(p - 0.5) <= 0.05) WHERE rk = 1)"
+        ", cand AS (SELECT CAST(row_number() OVER (ORDER BY ca, cb) - 1 AS INTEGER) AS c, ca, cb FROM (SELECT CAST(unnest(range(6)) AS INTEGER) AS ca), (SELECT CAST(unnest(range(6)) AS INTEGER) AS cb) WHERE ca + cb BETWEEN 1 AND 6)"
+        ", lists AS (SELECT list({'a': ca, 'b': cb} ORDER BY c) AS cd FROM cand)"
+        ", tried AS (SELECT CAST(unnest(range(1, 5)) AS INTEGER) AS ploidy)"
+        f", begun AS (SELECT clone, -1 AS d, NULL::DOUBLE AS md, ploidy, 0 AS restart, {free} FROM wd, tried"
+        f" UNION ALL SELECT clone, state, md, ploidy, restart, {held} FROM (SELECT *, {seeds} FROM dp, tried, (SELECT CAST(unnest(range(20)) AS INTEGER) AS restart)), lists)"
+        f", run AS (SELECT clone, d, md, ploidy, restart, 0 AS step, {pairs}, {now}, {_misfit_sql()} AS loss FROM begun JOIN wd USING (clone)"
+        f" UNION ALL SELECT clone, d, md, ploidy, restart, step + 1, {pairs}, {now}, loss FROM (SELECT *, row_number() OVER (PARTITION BY clone, d, ploidy, restart ORDER BY loss, c) AS rk FROM ("
+        f"SELECT clone, d, md, ploidy, restart, step, c, {pairs}, {now}, CASE WHEN c < 0 THEN old ELSE {_misfit_sql()} END AS loss FROM ("
+        f"SELECT clone, d, md, ploidy, restart, step, c, {moved}, {now}, loss AS old FROM run, (SELECT * FROM cand UNION ALL SELECT -1, 0, 0) WHERE step < 30 AND (c < 0 OR d <> step % 3) AND NOT (c >= 0 AND d >= 0 AND ca = 1 AND cb = 1 AND ({barred}))))) WHERE rk = 1)"
+        f", best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY search, clone ORDER BY loss, ploidy, restart) AS rk FROM run JOIN (VALUES {most}) s(search, most) ON (search = 'fixed') = (d >= 0) AND ploidy <= most WHERE step = 30) WHERE rk = 1)"
+    )
+
+
+_WEIGHTS = ", ww AS (SELECT chain % 4 AS clone, CAST(t % 3 AS INTEGER) AS state, CAST(sum(n) AS DOUBLE) AS w FROM chains GROUP BY ALL)"
+
+
+@query(B.with_views("chains", " UNION ALL ".join(f"SELECT search, CAST(clone AS INTEGER) AS clone, ploidy, restart, CAST({i} AS INTEGER) AS state, a{i} AS a, b{i} AS b, round(loss, 4) AS loss FROM best" for i in K), _STATES_SQL + _WEIGHTS + _climb_sql(), recursive=True))
+def copy_searches(spark: SparkSession, d: str) -> DataFrame:
+    """Integer copies of each clone's states by all four searches, in one job."""
+    rows = _state_rows(spark, d)
+    weights = B.chains(spark, d).groupBy((F.col("chain") % 4).cast("int").alias("clone"), (F.col("t") % 3).cast("int").alias("state")).agg(F.sum("n").cast("double").alias("weight"))
+    rows = N.adjusted_log_mu(rows, weights).join(weights, ["clone", "state"])
+    found = N.copy_solutions(rows, least=0.4, off_balance=0.2, off_diploid=0.5)
+    return found.select("search", "clone", "ploidy", "restart", "state", "a", "b", F.round("loss", 4).alias("loss"))

@@ -11,56 +11,63 @@ from pyspark.sql import functions as F
 
 #: Pairs of copies a state may have: at most five of either, one to six together.
 CANDIDATES = [(a, b) for a in range(6) for b in range(6) if 1 <= a + b <= 6]
+#: Searches of a finished inference and the highest ploidy each starts from; the first holds the diploid state fixed.
+SEARCHES = {"fixed": 4, "diploid": 2, "triploid": 3, "tetraploid": 4}
+#: Modulus and factor of the starts' draws.
+PRIME, FACTOR = 2_147_483_647, 48_271
 RESULT = "clone int, ploidy int, restart int, loss double, state int, a int, b int"
 
 
-def diploid_state(states: DataFrame, least: float = 0.1, slack: float = 0.05) -> DataFrame:
+def diploid_state(states: DataFrame, least: float = 0.1, slack: float = 0.05, retry: float | None = None) -> DataFrame:
     """(clone, state): of the balanced states with at least ``least`` of a clone's bins, the one of the smallest mean.
 
-    ``states``: (clone, state, bins, log_mu, p). A clone without one has no row.
+    ``states``: (clone, state, bins, log_mu, p). With ``retry``, a clone without one takes it from the
+    states that hold at least that share; a clone without any has no row.
     """
     total = states.groupBy("clone").agg(F.sum("bins").alias("total"))
-    fit = states.join(total, "clone").where((F.col("bins") >= least * F.col("total")) & (F.abs(F.col("p") - 0.5) <= slack))
-    return fit.groupBy("clone").agg(F.min_by("state", F.struct("log_mu", "state")).alias("state"))
+    rows = states.join(total, "clone")
+    short = F.col("bins") < least * F.col("total")
+    enough = ~short if retry is None else F.col("bins") >= min(least, retry) * F.col("total")
+    fit = rows.where(enough & (F.abs(F.col("p") - 0.5) <= slack))
+    return fit.groupBy("clone").agg(F.min_by("state", F.struct(short, "log_mu", "state")).alias("state"))
 
 
 def adjusted_log_mu(states: DataFrame, weights: DataFrame) -> DataFrame:
     """``states`` with log means shifted so that each clone's weighted mean of exp is 1.
 
-    ``weights``: (clone, state, weight): the share of the baseline that a state's bins hold.
+    ``weights``: (clone, state, weight): the share of the baseline that a state's bins hold. A clone
+    whose weights are all zero has no baseline, and goes.
     """
-    shift = states.join(weights, ["clone", "state"]).groupBy("clone").agg(F.log(F.sum(F.col("weight") * F.exp("log_mu")) / F.sum("weight")).alias("shift"))
+    shift = states.join(weights.select("clone", "state", "weight"), ["clone", "state"]).groupBy("clone").agg(F.sum("weight").alias("_w"), F.sum(F.col("weight") * F.exp("log_mu")).alias("_m"))
+    shift = shift.where("_w > 0").select("clone", F.log(F.col("_m") / F.col("_w")).alias("shift"))
     return states.join(shift, "clone").withColumn("log_mu", F.col("log_mu") - F.col("shift")).drop("shift")
 
 
-def loss_free(mu: np.ndarray, p: np.ndarray, bins: np.ndarray, copies: np.ndarray, ploidy: int) -> float:
-    """Misfit of copies to means and shares, with penalties for reversed totals, high ploidy and lost balance."""
-    total, n = copies.sum(axis=1), bins.sum()
-    if (total == 0).any():
-        return float(n * 1e6)
-    w = bins + 0.1
-    mean = (bins * total).sum() / n
-    out = (w * (0.3 * (mu - total / mean)) ** 2).sum() + (w * (p - copies[:, 0] / total) ** 2).sum()
-    out += n * _reversed(mu, total) + n * (mean > ploidy + 0.5)
-    even = copies[:, 0] == copies[:, 1]
-    worst = np.abs(p[even] - 0.5).max() if even.any() else 0.0
-    return float(out + n * (~even & (np.abs(p - 0.5) < max(0.05, worst))).sum())
-
-
-def loss_fixed(mu: np.ndarray, p: np.ndarray, bins: np.ndarray, copies: np.ndarray, ploidy: int, diploid: int) -> float:
-    """The same with means measured from the diploid state and no penalty on balance."""
-    total, n = copies.sum(axis=1), bins.sum()
-    if (total == 0).any():
-        return float(n * 1e6)
-    w = bins + 0.1
-    out = (w * (0.3 * (mu - total / (2 / mu[diploid]))) ** 2).sum() + (w * (p - copies[:, 0] / total) ** 2).sum()
-    return float(out + n * _reversed(mu, total) + n * ((bins * total).sum() / n > ploidy + 0.5))
+class Misfit:
+    """How badly copies of a clone's states fit their means and shares.
 
+    ``weight`` is the baseline that each state holds. With ``diploid``, an index, means are measured
+    from that state, and balanced shares bring no penalty.
+    """
 
-def _reversed(mu: np.ndarray, total: np.ndarray) -> int:
-    """Ordered pairs whose means lie 0.3 apart and whose totals say the opposite, counted from both ends."""
-    gap, order = mu[:, None] - mu[None], total[:, None] - total[None]
-    return int(((gap > 0.3) & (order < 0)).sum() + ((gap < -0.3) & (order > 0)).sum())
+    def __init__(self, mu: np.ndarray, p: np.ndarray, bins: np.ndarray, weight: np.ndarray, diploid: int | None = None):
+        self.mu, self.p, self.n, self.points = mu, p, float(bins.sum()), bins + 0.1
+        self.share, self.diploid = weight / weight.sum(), diploid
+        gap = mu[:, None] - mu[None]
+        self.above, self.off = gap > 0.3, np.abs(p - 0.5)
+
+    def __call__(self, copies: np.ndarray, ploidy: int) -> float:
+        total = copies.sum(axis=1)
+        if (total == 0).any():
+            return self.n * 1e6
+        scale = self.share @ total if self.diploid is None else 2 / self.mu[self.diploid]
+        out = self.points @ ((0.3 * (self.mu - total / scale)) ** 2 + (self.p - copies[:, 0] / total) ** 2)
+        # A pair of reversed totals counts from both ends.
+        faults = 2 * (self.above & (total[:, None] < total[None])).sum() + (self.points @ total > (ploidy + 0.5) * self.points.sum())
+        if self.diploid is None:
+            even = copies[:, 0] == copies[:, 1]
+            faults += (~even & (self.off < max(0.05, self.off[even].max(initial=0.0)))).sum()
+        return float(out + self.n * faults)
 
 
 def climb(loss, start: np.ndarray, allowed: list[list[tuple[int, int]]], sweeps: int = 10) -> tuple[np.ndarray, float]:
@@ -80,40 +87,70 @@ def climb(loss, start: np.ndarray, allowed: list[list[tuple[int, int]]], sweeps:
     return now, best
 
 
-def integer_copies(states: DataFrame, *, most_ploidy: int = 4, diploid: DataFrame | None = None, restarts: int = 20, off_balance: float = 0.2, off_diploid: float = 0.5, seed: int = 0) -> DataFrame:
-    """(clone, ploidy, restart, loss, state, a, b): the best copies of each state, per clone.
+def drawn_start(n: int, ploidy: int, restart: int, seed: int = 0) -> np.ndarray:
+    """Copies that a restart begins with: one candidate for each of ``n`` states, by squares of residues."""
+    x = (np.arange(n, dtype=object) * 1009 + ploidy * 99_991 + restart * 7919 + seed + 1) * FACTOR % PRIME
+    return np.array([CANDIDATES[int(v * v % PRIME) % len(CANDIDATES)] for v in x]).reshape(n, 2)
 
-    ``states``: (clone, state, bins, log_mu, p). Without ``diploid`` every ploidy up to ``most_ploidy``
-    starts once, from all states alike; with it (clone, state) that state is (1, 1), states far
-    off are barred from it, and each ploidy starts ``restarts`` times from seeded draws.
-    """
-    rows = F.array_sort(F.collect_list(F.struct("state", "bins", "log_mu", "p"))).alias("rows")
-    per = states.groupBy("clone").agg(rows)
+
+def _tries(states: DataFrame, most_ploidy: int, diploid: DataFrame | None, restarts: int, off_balance: float, off_diploid: float, seed: int) -> DataFrame:
+    """What every search of every clone finds, a row for each state."""
+    weight = F.col("weight" if "weight" in states.columns else "bins").cast("double")
+    rows = states.select("clone", F.struct("state", F.col("bins").cast("double"), "log_mu", "p", weight.alias("weight")).alias("r"))
+    per = rows.groupBy("clone").agg(F.array_sort(F.collect_list("r")).alias("rows"))
     per = per.withColumn("diploid", F.lit(-1)) if diploid is None else per.join(diploid.select("clone", F.col("state").alias("diploid")), "clone")
     tries = F.sequence(F.lit(0), F.lit(0 if diploid is None else restarts - 1))
-    grid = per.select("clone", "rows", "diploid", F.explode(F.sequence(F.lit(1), F.lit(most_ploidy))).alias("ploidy")).select("*", F.explode(tries).alias("restart"))
+    grid = per.select("*", F.explode(F.sequence(F.lit(1), F.lit(most_ploidy))).alias("ploidy")).select("*", F.explode(tries).alias("restart"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                table = [tuple(r.values()) if isinstance(r, dict) else tuple(r) for r in row.rows]
-                ids = [r[0] for r in table]
-                bins, mu, p = np.array([r[1] for r in table], float), np.exp([r[2] for r in table]), np.array([r[3] for r in table], float)
+                ids, bins, log_mu, p, weight = (np.array(v) for v in zip(*(tuple(r.values()) if isinstance(r, dict) else tuple(r) for r in row.rows), strict=True))
+                mu, n = np.exp(log_mu), len(ids)
                 if row.diploid < 0:
-                    start = np.array([(row.ploidy - row.ploidy // 2, row.ploidy // 2)] * len(ids))
-                    found, loss = climb(lambda c: loss_free(mu, p, bins, c, row.ploidy), start, [CANDIDATES] * len(ids))  # noqa: B023
+                    start = np.array([(row.ploidy // 2, row.ploidy - row.ploidy // 2)] * n)
+                    misfit, allowed = Misfit(mu, p, bins, weight), [CANDIDATES] * n
                 else:
-                    at = ids.index(row.diploid)
-                    barred = (np.abs(p - 0.5) > off_balance) | (np.abs(mu / mu[at] - 1) > off_diploid)
-                    allowed = [[(1, 1)] if s == at else [c for c in CANDIDATES if c != (1, 1) or not barred[s]] for s in range(len(ids))]
-                    rng = np.random.default_rng((seed, row.ploidy, row.restart))
-                    start = np.array([options[rng.integers(len(options))] for options in allowed])
-                    found, loss = climb(lambda c: loss_fixed(mu, p, bins, c, row.ploidy, at), start, allowed)  # noqa: B023
+                    at = int(np.flatnonzero(ids == row.diploid)[0])
+                    barred = (np.abs(p - 0.5) > off_balance) | (np.abs(mu - 1) > off_diploid)
+                    misfit, allowed = Misfit(mu, p, bins, weight, at), [[] if s == at else [c for c in CANDIDATES if c != (1, 1) or not barred[s]] for s in range(n)]
+                    start = drawn_start(n, row.ploidy, row.restart, seed)
+                    start[at] = (1, 1)
+                found, loss = climb(lambda c: misfit(c, row.ploidy), start, allowed)  # noqa: B023
                 yield pd.DataFrame({"clone": row.clone, "ploidy": row.ploidy, "restart": row.restart, "loss": loss, "state": ids, "a": found[:, 0], "b": found[:, 1]})
 
-    tried = grid.repartition("clone", "ploidy", "restart").mapInPandas(search, RESULT)
-    best = tried.groupBy("clone").agg(F.min(F.struct("loss", "ploidy", "restart")).alias("m")).select("clone", F.col("m.ploidy").alias("ploidy"), F.col("m.restart").alias("restart"))
-    return tried.join(best, ["clone", "ploidy", "restart"]).select("clone", "ploidy", "restart", "loss", "state", "a", "b")
+    return grid.repartition("clone", "ploidy", "restart").mapInPandas(search, RESULT)
+
+
+def _best(tried: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The search of the smallest loss for each ``keys``, the earliest of equals."""
+    best = tried.groupBy(*keys).agg(F.min(F.struct("loss", "ploidy", "restart")).alias("m")).select(*keys, F.col("m.ploidy").alias("ploidy"), F.col("m.restart").alias("restart"))
+    return tried.join(best, [*keys, "ploidy", "restart"]).select(*keys, "ploidy", "restart", "loss", "state", "a", "b")
+
+
+def integer_copies(states: DataFrame, *, most_ploidy: int = 4, diploid: DataFrame | None = None, restarts: int = 20, off_balance: float = 1.0, off_diploid: float = 10.0, seed: int = 0) -> DataFrame:
+    """(clone, ploidy, restart, loss, state, a, b): the best copies of each state, per clone.
+
+    ``states``: (clone, state, bins, log_mu, p[, weight]); ``weight`` is the baseline that a state's
+    bins hold, without it each bin holds the same. Without ``diploid`` every ploidy up to ``most_ploidy``
+    starts once, from all states alike; with it (clone, state) that state is (1, 1), states far
+    off don't move to (1, 1), and each ploidy starts ``restarts`` times from seeded draws.
+    """
+    return _best(_tries(states, most_ploidy, diploid, restarts, off_balance, off_diploid, seed), ["clone"])
+
+
+def copy_solutions(states: DataFrame, *, least: float = 0.1, retry: float = 0.02, restarts: int = 20, off_balance: float = 1.0, off_diploid: float = 10.0, seed: int = 0) -> DataFrame:
+    """(search, clone, ploidy, restart, loss, state, a, b): all ``SEARCHES`` of all clones in one job.
+
+    ``states`` as in ``integer_copies``. A free search up to a lower ploidy is a part of one up to a
+    higher, so each start is climbed once and the searches only choose among starts. The first search
+    has no rows for a clone without a diploid state, not even among states with ``retry`` of its bins.
+    """
+    held = _tries(states, SEARCHES["fixed"], diploid_state(states, least, retry=retry), restarts, off_balance, off_diploid, seed)
+    free = _tries(states, max(SEARCHES.values()), None, 1, off_balance, off_diploid, seed)
+    names = F.array(*(F.struct(F.lit(k).alias("search"), F.lit(v).alias("most")) for k, v in SEARCHES.items() if k != "fixed"))
+    shared = free.select("*", F.explode(names).alias("s")).where("ploidy <= s.most").select("*", "s.search").drop("s")
+    return _best(shared.unionByName(held.withColumn("search", F.lit("fixed"))), ["search", "clone"])
 
 
 def segment_copies(decoded: DataFrame, copies: DataFrame, bins: DataFrame) -> DataFrame:
