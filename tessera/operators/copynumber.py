@@ -38,7 +38,7 @@ def adjusted_log_mu(states: DataFrame, weights: DataFrame) -> DataFrame:
     ``weights``: (clone, state, weight): the share of the baseline that a state's bins hold. A clone
     whose weights are all zero has no baseline, and goes.
     """
-    shift = states.join(weights.select("clone", "state", "weight"), ["clone", "state"]).groupBy("clone").agg(F.sum("weight").alias("_w"), F.sum(F.col("weight") * F.exp("log_mu")).alias("_m"))
+    shift = states.select("clone", "state", "log_mu").join(weights.select("clone", "state", "weight"), ["clone", "state"]).groupBy("clone").agg(F.sum("weight").alias("_w"), F.sum(F.col("weight") * F.exp("log_mu")).alias("_m"))
     shift = shift.where("_w > 0").select("clone", F.log(F.col("_m") / F.col("_w")).alias("shift"))
     return states.join(shift, "clone").withColumn("log_mu", F.col("log_mu") - F.col("shift")).drop("shift")
 

@@ -94,11 +94,45 @@ def infer_clones(counts: DataFrame, spots: DataFrame, *, k: int = 3, rounds: int
     bulk = counts.join(merged.select("spot", F.col("label").alias("clone")), "spot").groupBy("clone", "chr", F.col("bin").alias("t")).agg(*(F.sum(c).alias(c) for c in ("umi", "base", "k", "depth")))
     post = H.posteriors(bulk.withColumn("em", H.emission(states, reads="m" in update)), states, ["clone", "chr"])
     decoded = post.select("clone", "chr", F.col("t").alias("bin"), "state")
-    table = R.states_table(spark, states)
-    rows = decoded.groupBy("clone", "state").agg(F.count(F.lit(1)).alias("bins")).join(F.broadcast(table), "state").select("clone", "state", "bins", "log_mu", "p")
+    rows = weighted_states(decoded, R.states_table(spark, states), bulk.select("clone", F.col("t").alias("bin"), "base"))
     return merged, decoded, N.integer_copies(rows)
 
 
+def weighted_states(paths: DataFrame, states: DataFrame, bulk: DataFrame) -> DataFrame:
+    """(clone, state, bins, weight, log_mu, p): states along each clone's path, means against its baseline.
+
+    ``paths``: ([model,] clone, bin, state); ``states``: ([model,] state, log_mu, p, …), few rows;
+    ``bulk``: (clone, bin, base). Clones without a baseline go.
+    """
+    by = ["model", "state"] if "model" in states.columns and "model" in paths.columns else ["state"]
+    held = paths.join(bulk.select("clone", "bin", "base"), ["clone", "bin"], "left")
+    rows = held.groupBy("clone", *by).agg(F.count(F.lit(1)).alias("bins"), F.sum(F.coalesce("base", F.lit(0.0))).alias("weight"))
+    rows = rows.join(F.broadcast(states.select(*by, "log_mu", "p")), by).select("clone", "state", "bins", "weight", "log_mu", "p")
+    return N.adjusted_log_mu(rows, rows)
+
+
+def copy_stage(paths: DataFrame, states: DataFrame, counts: DataFrame, labels: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
+    """(copies, segments) of a finished inference: all four searches of every clone, and the copies of each bin.
+
+    ``counts``: (spot, chr, bin, base, …); ``labels``: (spot, label); the rest as in ``weighted_states``.
+    The normal-like clone becomes 0 (its shares lie nearest one half), the others keep their order.
+    ``segments``: (search, clone, chr, bin, state, a, b).
+    """
+    bulk = counts.join(labels.select("spot", F.col("label").alias("clone")), "spot").groupBy("clone", "bin").agg(F.sum("base").alias("base"))
+    by = ["model", "state"] if "model" in states.columns and "model" in paths.columns else ["state"]
+    shares = paths.join(F.broadcast(states.select(*by, "p")), by).select("clone", "bin", F.col("p").alias("baf"))
+    clones = bulk.select("clone").distinct()
+    number = R.reindex_normal(clones.select(F.col("clone").alias("spot"), F.col("clone").alias("label")), shares.join(F.broadcast(clones), "clone"))  # a row for each clone
+    new = keep(number.select(F.col("spot").alias("clone"), F.col("label").alias("number")))
+    rows = weighted_states(paths, states, bulk)
+    copies = keep(N.copy_solutions(keep(rows), **how))
+    copies = copies.join(F.broadcast(new), "clone").withColumn("clone", F.col("number")).drop("number")
+    own = paths.join(F.broadcast(new), "clone").select(F.col("number").alias("clone"), "bin", "state")
+    where = counts.select("chr", "bin").distinct()
+    segments = own.join(F.broadcast(copies.select("search", "clone", "state", "a", "b")), ["clone", "state"]).join(where, "bin")
+    return copies, segments.select("search", "clone", "chr", "bin", "state", "a", "b")
+
+
 @dataclass(frozen=True)
 class Staged:
     """What a staged inference leaves: labels of spots, models of the allele clones, paths and states of all clones."""

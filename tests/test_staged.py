@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import aggregate, hmm, hmrf
+from tessera.operators import aggregate, copynumber, hmm, hmrf
 from tessera.plans import pipeline
 
 
@@ -61,3 +61,41 @@ def test_planted_clones_refined_together_equal_separate_runs(spark):
 def test_unknown_node_potential(spark):
     with pytest.raises(ValueError, match="node potential"):
         hmrf.clone_paths(spark.range(1), "mean")
+
+
+def planted_paths(spark, base):
+    """Two clones of 40 bins: label 5 is normal, label 2 has a gain (2, 1) and a loss (1, 0)."""
+    state = {2: [0] * 20 + [1] * 12 + [2] * 8, 5: [0] * 40}
+    paths = spark.createDataFrame([(c, b, s) for c, row in state.items() for b, s in enumerate(row)], "clone int, bin long, state int")
+    # Means stand a third too high: the baseline's weights set them right.
+    states = spark.createDataFrame([(0, float(np.log(4 / 3)), 0.5), (1, float(np.log(2.0)), 2 / 3), (2, float(np.log(2 / 3)), 1.0)], "state int, log_mu double, p double")
+    counts = spark.createDataFrame([(s, 1 + b // 20, b, base[b]) for s in range(6) for b in range(40)], "spot long, chr int, bin long, base double")
+    labels = spark.createDataFrame([(s, 2 if s < 4 else 5) for s in range(6)], "spot long, label int")
+    return paths, states, counts, labels
+
+
+def test_copies_of_planted_paths(spark):
+    # Weights with which the shift of label 2 is exactly log(4 / 3).
+    base = [2.0] * 20 + [5.0] * 12 + [5.0 * 12 / 8] * 8
+    copies, segments = pipeline.copy_stage(*planted_paths(spark, base))
+    assert {r.search for r in copies.select("search").distinct().collect()} == set(copynumber.SEARCHES)
+    fixed = {(r.clone, r.state): (r.a, r.b) for r in copies.where("search = 'fixed'").collect()}
+    assert fixed == {(0, 0): (1, 1), (1, 0): (1, 1), (1, 1): (2, 1), (1, 2): (1, 0)}  # label 5 becomes clone 0
+    rows = segments.where("search = 'fixed' and clone = 1").collect()
+    assert len(rows) == 40 and all((r.a, r.b) == ((1, 1) if r.bin < 20 else (2, 1) if r.bin < 32 else (1, 0)) and r.chr == 1 + r.bin // 20 for r in rows)
+    assert copies.where("search != 'fixed' and ploidy > 2").where("search = 'diploid'").count() == 0
+
+
+def test_a_clone_without_baseline_or_diploid_state(spark):
+    paths, states, counts, labels = planted_paths(spark, [0.0] * 20 + [1.0] * 20)
+    none = counts.withColumn("base", F.when(F.col("spot") < 4, F.col("base")).otherwise(0.0))
+    assert {r.clone for r in pipeline.copy_stage(paths, states, none, labels)[0].select("clone").distinct().collect()} == {1}
+    odd = states.withColumn("p", F.when(F.col("state") == 0, 0.7).otherwise(F.col("p")))
+    found = pipeline.copy_stage(paths, odd, counts, labels)[0]
+    assert found.where("search = 'fixed'").count() == 0 and found.count() == 3 * (3 + 1)
+
+
+def test_the_diploid_state_among_rare_ones(spark):
+    rows = spark.createDataFrame([(0, 0, 95, 0.4, 0.7), (0, 1, 5, 0.0, 0.5), (1, 0, 90, 0.3, 0.5), (1, 1, 5, 0.0, 0.5), (1, 2, 5, 0.1, 0.9), (2, 0, 99, 0.2, 0.7), (2, 1, 1, 0.0, 0.5)], "clone int, state int, bins int, log_mu double, p double")
+    assert {tuple(r) for r in copynumber.diploid_state(rows).collect()} == {(1, 0)}
+    assert {tuple(r) for r in copynumber.diploid_state(rows, retry=0.02).collect()} == {(0, 1), (1, 0)}
