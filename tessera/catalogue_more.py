@@ -14,6 +14,7 @@ from .operators import copynumber as N
 from .operators import graph as X
 from .operators import hmm as H
 from .operators import hmrf as R
+from .operators import plots as PLOT
 from .plans import bindings as B
 from .sources import readers
 
@@ -431,3 +432,49 @@ def copy_searches(spark: SparkSession, d: str) -> DataFrame:
     rows = N.adjusted_log_mu(rows, weights).join(weights, ["clone", "state"])
     found = N.copy_solutions(rows, least=0.4, off_balance=0.2, off_diploid=0.5)
     return found.select("search", "clone", "ploidy", "restart", "state", "a", "b", F.round("loss", 4).alias("loss"))
+
+
+_PLACES = ", sz AS (SELECT chr, count(*) AS n FROM bins GROUP BY chr), mk AS (SELECT chr, CAST(coalesce(sum(n) OVER (ORDER BY chr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first, n FROM sz), pl AS (SELECT chr, bin, first + row_number() OVER (PARTITION BY chr ORDER BY bin) - 1 AS place FROM bins JOIN mk USING (chr))"
+
+
+@query(B.with_views("genome", "SELECT chr, first, n, round(0.55 * first + 0.45 * (first + n), 6) AS place FROM mk", _COPIES + _PLACES))
+def chromosome_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Where chromosomes begin on a plot's axis, and where their names stand."""
+    return PLOT.chromosome_marks(_copies(spark, d)[2].select("chr", "bin")).withColumn("place", F.round("place", 6))
+
+
+_TRACKS = ", bk AS (SELECT clone, chr, block, CAST(sum(umi) AS BIGINT) AS umi, CAST(sum(b) AS BIGINT) AS k, CAST(sum(a + b) AS BIGINT) AS depth FROM cells JOIN spots USING (spot) GROUP BY ALL), al AS (SELECT chr, block, sum(umi) AS whole FROM bk GROUP BY ALL), cl AS (SELECT clone, sum(umi) / (SELECT sum(umi) FROM bk) AS part FROM bk GROUP BY clone)"
+
+
+@query(B.with_views("counts genome spots", "SELECT bk.clone, bk.chr, bk.chr * 100000 + bk.block AS bin, place, round(umi / nullif(whole * part, 0), 6) AS rdr, round(k / nullif(depth, 0), 6) AS baf, state, greatest(a, b) AS major, least(a, b) AS minor, CASE " + " ".join(f"WHEN greatest(a, b) = {x} AND least(a, b) = {y} THEN '{colour}'" for (x, y), colour in C.PALETTE.items()) + f" END AS colour FROM bk JOIN al USING (chr, block) JOIN cl USING (clone) JOIN pl ON pl.bin = bk.chr * 100000 + bk.block LEFT JOIN sg ON sg.clone = bk.clone AND sg.chr = bk.chr AND sg.start = bk.block * {BLOCK}", _IN_BLOCKS + ", " + _COPIES + _PLACES + _TRACKS))
+def clone_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """Read depth ratio, allele share and copies of each block of each clone, as plots draw them."""
+    decoded, copies, bins = _copies(spark, d)
+    cells = _in_blocks(spark, d).join(B.spots(spark, d).select("spot", "clone"), "spot")
+    bulk = cells.groupBy("clone", "chr", (F.col("chr") * 100_000 + F.col("block")).alias("bin")).agg(F.sum("umi").alias("umi"), F.sum("b").alias("k"), F.sum(F.col("a") + F.col("b")).alias("depth"))
+    whole = bulk.groupBy("chr", "bin").agg(F.sum("umi").alias("whole"))
+    part = bulk.groupBy("clone").agg(F.sum("umi").alias("_u"))
+    part = part.join(F.broadcast(part.agg(F.sum("_u").alias("_t")))).select("clone", (F.col("_u") / F.col("_t")).alias("part"))  # one row
+    bulk = bulk.join(whole, ["chr", "bin"]).join(F.broadcast(part), "clone").withColumn("base", F.col("whole") * F.col("part"))
+    segments = decoded.join(F.broadcast(copies), ["clone", "state"])  # four states a clone
+    found = PLOT.clone_tracks(bulk, PLOT.bin_places(bins.select("chr", "bin")), segments)
+    return found.withColumn("rdr", F.round("rdr", 6)).withColumn("baf", F.round("baf", 6))
+
+
+@query(B.with_views("genome", "SELECT clone, state, first, last + 1 AS \"end\", round(exp(state / 10), 6) AS rdr, round(0.5 - state / 10, 6) AS baf, round(0.5 + state / 10, 6) AS mirrored FROM (SELECT clone, state, min(place) AS first, max(place) AS last FROM (SELECT *, place - row_number() OVER (PARTITION BY clone, state ORDER BY place) AS run FROM (SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS clone, place, bin FROM pl) JOIN (SELECT CAST(unnest(range(4)) AS INTEGER) AS state) ON state = (clone + bin) % 4) GROUP BY clone, state, run)", _COPIES + _PLACES))
+def clone_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Stretches of one state of each clone, at the state's means."""
+    decoded, _, bins = _copies(spark, d)
+    states = spark.range(4).select(F.col("id").cast("int").alias("state"), (F.col("id") / 10).alias("log_mu"), (0.5 - F.col("id") / 10).alias("p"))
+    found = PLOT.clone_lines(decoded, PLOT.bin_places(bins.select("chr", "bin")), states)
+    return found.select("clone", "state", "first", "end", *(F.round(c, 6).alias(c) for c in ("rdr", "baf", "mirrored")))
+
+
+_TINT = "[" + ", ".join(str(list(c)) for c in PLOT.CLONE_COLOURS) + "][1 + (legend - 1) % 8]"
+
+
+@query(B.with_views("spots", "SELECT spot, x + CASE WHEN sample = 1 THEN (SELECT max(x) + 10 FROM spots WHERE sample = 0) ELSE 0 END AS px, -y AS py, clone AS label, clone AS legend, tumour AS shade, printf('#%02x%02x%02x', " + ", ".join(f"CAST(floor(211 + (CASE WHEN clone = 0 THEN 211 ELSE tint[{i}] END - 211) * tumour + 0.5) AS INTEGER)" for i in (1, 2, 3)) + f") AS colour FROM (SELECT *, {_TINT.replace('legend', 'greatest(clone, 1)')} AS tint FROM spots)"))
+def spot_map(spark: SparkSession, d: str) -> DataFrame:
+    """Places and colours of spots, slices side by side."""
+    spots = B.spots(spark, d)
+    return PLOT.spot_map(spots.drop("clone"), spots.select("spot", F.col("clone").alias("label")))
