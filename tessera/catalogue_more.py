@@ -437,7 +437,7 @@ def copy_searches(spark: SparkSession, d: str) -> DataFrame:
 _PLACES = ", sz AS (SELECT chr, count(*) AS n FROM bins GROUP BY chr), mk AS (SELECT chr, CAST(coalesce(sum(n) OVER (ORDER BY chr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first, n FROM sz), pl AS (SELECT chr, bin, first + row_number() OVER (PARTITION BY chr ORDER BY bin) - 1 AS place FROM bins JOIN mk USING (chr))"
 
 
-@query(B.with_views("genome", "SELECT chr, first, n, round(0.55 * first + 0.45 * (first + n), 6) AS place FROM mk", _COPIES + _PLACES))
+@query(B.with_views("genome", "SELECT chr, first, n, round(CAST(0.55 AS DOUBLE) * first + CAST(0.45 AS DOUBLE) * (first + n), 6) AS place FROM mk", _COPIES + _PLACES))
 def chromosome_marks(spark: SparkSession, d: str) -> DataFrame:
     """Where chromosomes begin on a plot's axis, and where their names stand."""
     return PLOT.chromosome_marks(_copies(spark, d)[2].select("chr", "bin")).withColumn("place", F.round("place", 6))
