@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import keep
+
 
 def dedup_sites(sites: DataFrame, key: str = "snp_id", order: Sequence[str] = ("line", "number")) -> DataFrame:
     """One row per site: first chr and position, sums of reads."""
@@ -84,11 +86,13 @@ def order_statistics(df: DataFrame, value: str, at: Sequence[float], keys: Seque
     Selection by refined histograms: a pass counts the values of a rank's range in ``CELLS`` cells,
     the next one looks into the cell that holds the rank, between the smallest and the largest value
     there, until these are one. Nothing is sorted, and no task holds more than counts. Null and NaN
-    aren't values.
+    aren't values. Passes read one kept copy of the values: sums of doubles differ in their last
+    digits from one run to the next, and a rank would be lost between two runs.
     """
     spark, v = df.sparkSession, F.col(value).cast("double")
-    rows = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    groups = df.select(*keys).distinct().collect() if keys else [()]
+    every = keep(df.select(*keys, v.alias("_v")))
+    rows = every.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    groups = every.select(*keys).distinct().collect() if keys else [()]
     ends = {tuple(r[: len(keys)]): tuple(r[len(keys) :]) for r in rows.groupBy(*keys).agg(F.count(F.lit(1)), F.min("_v"), F.max("_v")).collect()}
     ends = {g: e for g, e in ends.items() if e[0]}
     wanted = {(g, r): (r, lo, hi) for g, (n, lo, hi) in ends.items() for q in at for r in {int(q * (n - 1)), min(int(q * (n - 1)) + 1, n - 1)}}

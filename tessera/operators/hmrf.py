@@ -296,7 +296,7 @@ def reindex_normal(labels: DataFrame, shares: DataFrame, slack: float = 0.05) ->
 
 def near_normal_spots(deviation: DataFrame, totals: DataFrame, need: float) -> DataFrame:
     """(spot) with the smallest deviation: the 40th percentile, or the first ten more at which their counts exceed ``need``."""
-    rows = deviation.join(totals, "spot")
+    rows = keep(deviation.join(totals, "spot"))  # a cut is one of these very values
     (cuts,) = order_statistics(rows, "std", [q / 100 for q in range(40, 101, 10)])
     sums = rows.agg(*(F.sum(F.when(F.col("std") <= c, F.col("n"))) for c in cuts)).head() if cuts[0] is not None else []
     cut = next((c for c, s in zip(cuts, sums, strict=False) if (s or 0) > need), cuts[-1])
