@@ -292,9 +292,10 @@ def centimorgans(points: DataFrame, gmap: DataFrame) -> DataFrame:
     marked = both.withColumn("_map", F.col("_p").isNotNull())
     order = Window.partitionBy("chr").orderBy("pos", F.desc("_map"))
     down = order.rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy("chr").orderBy("pos", "_map").rowsBetween(0, Window.unboundedFollowing)
+    # The next map row is the last one seen on the way down from the end: a frame that grows is one pass.
+    up = Window.partitionBy("chr").orderBy(F.desc("pos"), F.desc("_map")).rowsBetween(Window.unboundedPreceding, 0)
     p0, m0 = (F.last(c, ignorenulls=True).over(down) for c in ("_p", "_m"))
-    p1, m1 = (F.first(c, ignorenulls=True).over(up) for c in ("_p", "_m"))
+    p1, m1 = (F.last(c, ignorenulls=True).over(up) for c in ("_p", "_m"))
     seen = marked.select("*", p0.alias("_p0"), m0.alias("_m0"), p1.alias("_p1"), m1.alias("_m1")).where(~F.col("_map"))
     inside = F.when(F.col("_p0") == F.col("_p1"), F.col("_m0")).otherwise(F.col("_m0") + (F.col("_m1") - F.col("_m0")) * (F.col("pos") - F.col("_p0")) / F.nullif(F.col("_p1") - F.col("_p0"), F.lit(0)))
     first = F.when(F.col("_p1") == 0, F.col("_m1")).otherwise(F.col("_m1") * F.col("pos") / F.nullif(F.col("_p1"), F.lit(0)))
