@@ -64,6 +64,11 @@ def _asking(df: DataFrame, pos: Column, least: Column) -> DataFrame:
     return df.withColumn("_ask", F.explode(levels)).select("*", F.col("_ask.l").alias("_level"), F.col("_ask.b").alias("_bin")).drop("_ask")
 
 
+def _met(asking: DataFrame, held: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of both sides in one bin. Both are shuffled: an estimate of a side from its compressed file would broadcast millions of rows."""
+    return asking.join(held.hint("merge"), list(keys))
+
+
 def range_anti(points: DataFrame, ranges: DataFrame, pos: str = "start") -> DataFrame:
     """Points in no ``start <= pos < end`` range of their chromosome.
 
@@ -72,7 +77,7 @@ def range_anti(points: DataFrame, ranges: DataFrame, pos: str = "start") -> Data
     """
     held = _binned(ranges.where(F.col("end") > F.col("start")), F.col("start"), F.col("end")).select(F.col("chr").alias("_c"), F.col("start").alias("_s"), F.col("end").alias("_e"), "_level", "_bin")
     at = points.select(F.col("chr").alias("_c"), F.col(pos).alias("_p")).where("_c is not null and _p is not null").distinct()
-    met = _asking(at, F.col("_p"), F.lit(0)).join(held, ["_c", "_level", "_bin"]).where((F.col("_p") >= F.col("_s")) & (F.col("_p") < F.col("_e"))).select("_c", "_p").distinct()
+    met = _met(_asking(at, F.col("_p"), F.lit(0)), held, ["_c", "_level", "_bin"]).where((F.col("_p") >= F.col("_s")) & (F.col("_p") < F.col("_e"))).select("_c", "_p").distinct()
     return points.join(met, (F.col("chr") == F.col("_c")) & (F.col(pos) == F.col("_p")), "left_anti")
 
 
@@ -98,8 +103,8 @@ def overlap_join(rows: DataFrame, islands: DataFrame) -> DataFrame:
     b = islands.where(F.col("end") > F.col("start")).select("chr", "island", F.col("start").alias("_s"), F.col("end").alias("_e"))
     own, other = _binned(a, F.col("start"), F.col("end")), _binned(b, F.col("_s"), F.col("_e"))
     keys = ["chr", "_level", "_bin"]
-    up = _asking(a.withColumn("_own", interval_level(F.col("start"), F.col("end"))), F.col("start"), F.col("_own")).drop("_own").join(other, keys)
-    down = own.join(_asking(b.withColumn("_own", interval_level(F.col("_s"), F.col("_e")) + 1), F.col("_s"), F.col("_own")).drop("_own"), keys)
+    up = _met(_asking(a.withColumn("_own", interval_level(F.col("start"), F.col("end"))), F.col("start"), F.col("_own")).drop("_own"), other, keys)
+    down = _met(_asking(b.withColumn("_own", interval_level(F.col("_s"), F.col("_e")) + 1), F.col("_s"), F.col("_own")).drop("_own"), own, keys)
     met = up.unionByName(down).where(F.greatest("start", "_s") < F.least("end", "_e"))
     return met.drop("_level", "_bin", "_s", "_e")
 

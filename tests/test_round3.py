@@ -34,3 +34,17 @@ def test_places_on_a_long_chromosome(spark):
     assert time.monotonic() - began < 30
     want = np.interp(found[:, 0], 120.0 * np.arange(n // 30), 2.0 * np.arange(n // 30))
     assert len(found) == n and np.abs(found[:, 1] - want).max() < 1e-9
+
+
+def test_interval_joins_broadcast_no_rows(spark, small):
+    """Both sides of an interval join grow with the genome; broadcast, they filled the driver at 1.2 million rows."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators import genome as G
+    from tessera.plans import bindings as B
+
+    rows = B.genome(spark, small)
+    joined = G.overlap_join(rows.select("feature", "chr", "start", "end"), G.merge_intervals(rows.where("is_interval")))
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    ranges, points = B.ranges(spark, small), rows.where(~F.col("is_interval")).select("feature", "chr", "start")
+    assert G.range_anti(points, ranges)._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") <= 1  # the points found, at their size when run
