@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import bb_emission, bb_state, nb_emission, nb_state
 from .fit import fit_models
-from .lattice import finisher, lse, multiplier, scanner
+from .lattice import emitter, finisher, lse, multiplier, scanner
 from .storage import keep
 
 
@@ -123,6 +123,24 @@ def _starts(models: Sequence[States], phased: bool) -> np.ndarray:
     return np.concatenate([start, start], axis=1) + np.log(0.5) if phased else start
 
 
+def _blocks(obs: DataFrame, keys: Sequence[str], order: str, switch: str | None, *, model: str | None, cut: Column | None = None, carry: Sequence[str]) -> DataFrame:
+    """(keys, [cut], _model, t, carry, [switch]): each chain, or block of it, as arrays in order."""
+    names = [*keys, "_cut"] if cut is not None else list(keys)
+    more = {c: F.col(c) for c in carry} | ({"switch": F.col(switch).cast("double")} if switch else {})
+    row = F.struct(F.col(order).alias("t"), *(c.alias(n) for n, c in more.items()))
+    needed = obs.select(*keys, *([cut.alias("_cut")] if cut is not None else []), (F.col(model) if model else F.lit(0)).cast("int").alias("_model"), row.alias("_row"))
+    blocks = needed.groupBy(*names).agg(F.first("_model").alias("_model"), F.array_sort(F.collect_list("_row")).alias("_rows"))
+    arrays = [F.col(f"_rows.{n}").alias(n) for n in ("t", *more)]
+    return blocks.select(*keys, *([F.col("_cut").alias("cut")] if cut is not None else []), "_model", *arrays)
+
+
+def _schemas(obs: DataFrame, keys: Sequence[str], order: str, carry: Sequence[str]) -> tuple[str, str]:
+    """Schemas of the keys and of rows of posteriors."""
+    kinds = {f.name: f.dataType.simpleString() for f in obs.select(*dict.fromkeys([*keys, order, *carry])).schema}
+    own = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
+    return own, f"{own}{', ' if own else ''}`{order}` {kinds[order]}, log_gamma array<double>, state int, phase boolean, xi array<double>, llf double" + "".join(f", `{c}` {kinds[c]}" for c in carry)
+
+
 def posteriors(obs: DataFrame, states: States | Sequence[States], keys: Sequence[str], order: str = "t", switch: str | None = None, *, model: str | None = None, cut: Column | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """(keys, order, log_gamma, state, phase, xi, llf, carry): posterior of each row of ``obs(…, em)``, with the columns ``carry``.
 
@@ -137,16 +155,8 @@ def posteriors(obs: DataFrame, states: States | Sequence[States], keys: Sequence
     models = [states] if isinstance(states, States) else list(states)
     phased = switch is not None
     start, trans = _starts(models, phased), np.array([m.log_trans for m in models])
-    names = [*keys, "_cut"] if cut is not None else list(keys)
-    more = ({"switch": F.col(switch).cast("double")} if switch else {}) | {c: F.col(c) for c in carry}
-    row = F.struct(F.col(order).alias("t"), F.col("em").alias("em"), *(c.alias(n) for n, c in more.items()))
-    needed = obs.select(*keys, *([cut.alias("_cut")] if cut is not None else []), (F.col(model) if model else F.lit(0)).cast("int").alias("_model"), row.alias("_row"))
-    blocks = needed.groupBy(*names).agg(F.first("_model").alias("_model"), F.array_sort(F.collect_list("_row")).alias("_rows"))
-    arrays = [F.col(f"_rows.{n}").alias(n) for n in ("t", "em", *more)]
-    blocks = blocks.select(*keys, *([F.col("_cut").alias("cut")] if cut is not None else []), "_model", *arrays)
-    kinds = {f.name: f.dataType.simpleString() for f in obs.select(*dict.fromkeys([*keys, order, *carry])).schema}
-    own = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
-    found = f"{own}{', ' if own else ''}`{order}` {kinds[order]}, log_gamma array<double>, state int, phase boolean, xi array<double>, llf double" + "".join(f", `{c}` {kinds[c]}" for c in carry)
+    blocks = _blocks(obs, keys, order, switch, model=model, cut=cut, carry=("em", *carry))
+    own, found = _schemas(obs, keys, order, carry)
     if cut is not None:
         at = blocks.schema["cut"].dataType.simpleString()
         blocks = keep(blocks)  # read twice
@@ -192,24 +202,32 @@ def start_update(posterior: DataFrame, k: int) -> tuple[float, ...]:
     return tuple(np.log(m / m.sum()))
 
 
+def _after(first, then):
+    """One pass through two mappings of Arrow batches."""
+    return lambda batches: then(first(batches))
+
+
 def fit_together(obs: DataFrame, models: Sequence[States], keys: Sequence[str], *, model: str = "model", update: str = "stmp", rounds: int = 30, tol: float = 1e-3, switch: str | None = None, diagonal: bool = False, shared: bool = True, purity: str | None = None, settings: dict[str, float] | None = None, telemetry: str | None = None) -> tuple[list[States], list[list[float]]]:
     """(fitted models, their log-likelihoods) of ``obs(model, keys, t, umi, base, k, depth)``: Baum-Welch of many models in one job a step.
 
     ``update`` names what each round fits: s start, t transitions, m means, p shares. A model is
     done when its transitions, means and shares all change by less than ``tol`` on average; its
-    rows are left out of later rounds. Each round is one pass over the data for the posteriors,
-    kept while the fits read its compressed pairs. ``keys`` hold ``model`` or tell its chains apart.
+    rows are left out of later rounds. Chains are gathered once; each round is one pass over them for
+    emissions and posteriors, kept while the fits read its compressed pairs. ``keys`` hold ``model`` or tell its chains apart.
     ``telemetry``: a table that takes a row for each model and round, with what the pass itself observed.
     """
     models, trails = list(models), [[] for _ in models]
     keys, k = [model, *(c for c in keys if c != model)], models[0].k
-    reads, going = "m" in update, list(range(len(models)))
-    em = emission_by_model(k, phased=switch is not None, reads=reads and bool(models[0].log_mu), purity=F.col(purity) if purity else None)
+    reads, going, phased = "m" in update, list(range(len(models))), switch is not None
+    carry = ("umi", "base", "k", "depth", *([purity] if purity else []))
+    chains, (_, found) = keep(_blocks(obs, keys, "t", switch, model=model, carry=carry)), _schemas(obs, keys, "t", carry)
     for number in range(1, rounds + 1):
         began = time.monotonic()
-        own = with_parameters(obs.where(F.col(model).isin(going)), models, model)
+        p, tau, log_mu, alpha = (np.array([getattr(m, c) for m in models], float) for c in ("p", "tau", "log_mu", "alpha"))
+        emit = emitter(p, tau, log_mu if reads and models[0].log_mu else None, alpha, phased, purity)
+        finish = finisher(keys, "t", _starts(models, phased), np.array([m.log_trans for m in models]), phased, False, list(carry))
         seen = Observation()
-        post = posteriors(own.withColumn("em", em), models, keys, switch=switch, model=model, carry=("umi", "base", "k", "depth", *([purity] if purity else []))).observe(seen, F.count(F.lit(1)).alias("rows"), F.sum("llf").alias("llf"))
+        post = chains.where(F.col(model).isin(going)).mapInArrow(_after(emit, finish), found).observe(seen, F.count(F.lit(1)).alias("rows"), F.sum("llf").alias("llf"))
         post = post.persist()
         sums = expected_sums(post, k, model)
         fresh, before = list(models), list(models)

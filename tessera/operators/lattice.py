@@ -114,6 +114,74 @@ def batches(rows: pa.RecordBatch, trans: np.ndarray, phased: bool) -> Iterator[t
         yield at, Batch(flat[place], sizes[at], trans[model[at]], None if switch is None else switch[place])
 
 
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """Log gamma of x > 0, by the series of ``columns.lgamma``."""
+    z, shift = x + 8.0, x.copy()
+    for k in range(1, 8):
+        shift *= x + k
+    r2 = 1 / (z * z)
+    series = (1 / 12 - r2 * (1 / 360 - r2 * (1 / 1260 - r2 * (1 / 1680 - r2 / 1188)))) / z
+    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + series - np.log(shift)
+
+
+def _where(ok: np.ndarray, found: Callable, *xs: np.ndarray) -> np.ndarray:
+    """``found`` of the rows that are ``ok``, 0 elsewhere."""
+    out = np.zeros(len(ok))
+    out[ok] = found(*(x[ok] for x in xs))
+    return out
+
+
+def _nb(k: np.ndarray, base: np.ndarray, log_mu: np.ndarray, alpha: np.ndarray, purity: np.ndarray | None) -> np.ndarray:
+    """``columns.nb_emission``."""
+
+    def found(k: np.ndarray, grown: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return _lgamma(k + n) - _lgamma(n) - _lgamma(k + 1) + k * np.log(grown) - (k + n) * np.log1p(grown)
+
+    rate = np.exp(log_mu) if purity is None else purity * np.exp(log_mu) + 1 - purity
+    return _where((base > 0) & (k >= 0), found, k, alpha * base * rate, 1 / alpha)
+
+
+def _bb(k: np.ndarray, n: np.ndarray, p: np.ndarray, tau: np.ndarray, purity: np.ndarray | None) -> np.ndarray:
+    """``columns.bb_emission``."""
+
+    def found(k: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        plus = _lgamma(n + 1) + _lgamma(k + a) + _lgamma(n - k + b) + _lgamma(a + b)
+        return plus - _lgamma(k + 1) - _lgamma(n - k + 1) - _lgamma(n + a + b) - _lgamma(a) - _lgamma(b)
+
+    share = p if purity is None else p * purity + 0.5 * (1 - purity)
+    a, b = share * tau, (1 - share) * tau
+    out = _where((n > 0) & (a > 0) & (b > 0) & (k >= 0) & (k <= n), found, k, n, a, b)
+    # Without a purity a row with depth has no emission.
+    return out if purity is None else np.where((n > 0) & np.isnan(purity), np.nan, out)
+
+
+def emitter(p: np.ndarray, tau: np.ndarray, log_mu: np.ndarray | None, alpha: np.ndarray | None, phased: bool, purity: str | None) -> Callable:
+    """Adds ``em``, the log-emissions of each row's states, to rows of blocks (_model, umi, base, k, depth, [purity]).
+
+    Parameters are [model, state]; without ``log_mu`` read counts don't count.
+    """
+
+    def emit(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in given:
+            if not rows.num_rows:
+                continue
+            lists = rows.column("k")
+            flat = {c: np.asarray(rows.column(c).flatten().cast(pa.float64()).fill_null(np.nan)) for c in ("umi", "base", "k", "depth", *([purity] if purity else []))}
+            model, q = np.repeat(rows.column("_model").to_numpy(), np.diff(lists.offsets.to_numpy())), flat[purity] if purity else None
+            kept, turned = [], []
+            for s in range(p.shape[1]):
+                reads = 0.0 if log_mu is None else _nb(flat["umi"], flat["base"], log_mu[model, s], alpha[model, s], q)
+                kept.append(reads + _bb(flat["k"], flat["depth"], p[model, s], tau[model, s], q))
+                if phased:
+                    turned.append(reads + _bb(flat["depth"] - flat["k"], flat["depth"], p[model, s], tau[model, s], q))
+            em = np.stack([*kept, *turned], axis=1)
+            states = pa.ListArray.from_arrays(pa.array(np.arange(len(em) + 1) * em.shape[1], pa.int32()), pa.array(em.ravel()))
+            begin = lists.offsets.to_numpy()
+            yield rows.append_column("em", pa.ListArray.from_arrays(pa.array(begin - begin[0], pa.int32()), states))
+
+    return emit
+
+
 def finisher(keys: list[str], order: str, start: np.ndarray, trans: np.ndarray, phased: bool, scanned: bool, carry: list[str]) -> Callable:
     """Rows of posteriors, with the columns ``carry``, from rows of blocks (keys, _model, t, em, [switch], carried arrays, and where ``scanned`` entry, after, llf, first)."""
 

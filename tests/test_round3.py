@@ -48,3 +48,46 @@ def test_interval_joins_broadcast_no_rows(spark, small):
     assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
     ranges, points = B.ranges(spark, small), rows.where(~F.col("is_interval")).select("feature", "chr", "start")
     assert G.range_anti(points, ranges)._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") <= 1  # the points found, at their size when run
+
+
+def test_emissions_in_the_lattice_pass_equal_the_columns(spark):
+    """A fit gathers its chains once and computes emissions beside the posteriors; the columns tell what they are."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from tessera.operators import hmm as H
+    from tessera.operators.lattice import emitter
+
+    models = [H.States((0.5, 0.2), (30.0, 20.0), (0.0, 0.4), (0.1, 0.2)), H.States((0.45, 0.9), (10.0, 80.0), (-0.3, 0.1), (0.3, 0.05))]
+    data = [(0, 1, 3, 2.5, 4, 9, 0.7), (1, 1, None, 2.0, None, 5, 0.2), (1, 2, 7, 0.0, 12, 10, 0.5), (0, 2, 0, 4.0, 0, 0, 1.0), (1, 3, 40, 30.0, 100, 300, 0.0)]
+    obs = spark.createDataFrame(sorted(data), "model int, t int, umi long, base double, k long, depth long, pure double")
+    of = {c: np.array([getattr(m, c) for m in models]) for c in ("p", "tau", "log_mu", "alpha")}
+    for phased in (False, True):
+        for purity in (None, "pure"):
+            em = H.emission_by_model(2, phased=phased, purity=F.col(purity) if purity else None)
+            want = [r[0] for r in H.with_parameters(obs, models, "model").withColumn("em", em).orderBy("model", "t").select("em").collect()]
+            columns = {c: [[r[c] for r in obs.collect() if r["model"] == m] for m in (0, 1)] for c in ("umi", "base", "k", "depth", "pure")}
+            kinds = {"base": pa.float64(), "pure": pa.float64()}
+            batch = pa.RecordBatch.from_pydict({"_model": pa.array([0, 1], pa.int32())} | {c: pa.array(v, pa.list_(kinds.get(c, pa.int64()))) for c, v in columns.items()})
+            (found,) = emitter(of["p"], of["tau"], of["log_mu"], of["alpha"], phased, purity)(iter([batch]))
+            got = [row for chain in found.column("em").to_pylist() for row in chain]
+            assert np.allclose(np.array(got), np.array(want), rtol=0, atol=1e-9)
+
+
+def test_a_fit_reads_its_observations_once(spark):
+    """Each round once scanned, ordered and gathered all observations anew."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators import hmm as H
+
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            reads.add(len(pdf))
+            yield pdf
+
+    rows = spark.range(60).select((F.col("id") % 6).alias("chain"), F.floor(F.col("id") / 6).alias("t"), (F.col("id") * 7 % 11).alias("umi"), F.lit(5.0).alias("base"), (F.col("id") * 5 % 8).alias("k"), F.lit(8).cast("long").alias("depth"))
+    obs = rows.mapInPandas(count, rows.schema)
+    H.baum_welch(obs, H.default_states(2, 0.9), ["chain"], rounds=3, tol=0.0)
+    assert reads.value == 60
