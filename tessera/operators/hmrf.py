@@ -13,13 +13,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import bb_emission, logsumexp, nb_emission
+from ..functions.columns import logsumexp
 from .aggregate import adjusted_rand, clone_log_weights, order_statistics, pooled
 from .fit import fit_normal_shares, np_bb
 from .hmm import States, emission_by_model, fit_together, gmm_states, posteriors, with_parameters
+from .lattice import bb_emissions, nb_emissions
 from .storage import keep
 from .sweep import TILE, Field
 
@@ -48,6 +50,22 @@ def _meet(sums: DataFrame, path: DataFrame, key: str, groups: DataFrame | None)
     return sums.join(groups.select("spot", "model"), "spot").join(path, [key, "model"])
 
 
+def _emissions(umi: pa.Array, base: pa.Array, log_mu: pa.Array, alpha: pa.Array, k: pa.Array, depth: pa.Array, p: pa.Array, tau: pa.Array, *purity: pa.Array) -> pa.Array:
+    umi, base, log_mu, alpha, k, depth, p, tau, *purity = (np.asarray(x.cast(pa.float64()).fill_null(np.nan)) for x in (umi, base, log_mu, alpha, k, depth, p, tau, *purity))
+    pure = purity[0] if purity else None
+    found = nb_emissions(umi, base, log_mu, alpha, pure), bb_emissions(k, depth, p, tau, pure)
+    return pa.StructArray.from_arrays([pa.array(f, from_pandas=True) for f in found], ["r", "b"])
+
+
+def row_emissions(pure: Column | None = None) -> Column:
+    """(r, b): log-emissions of a row's reads and alleles under its state's parameters, a batch of rows at a time.
+
+    The same as ``columns.nb_emission`` and ``columns.bb_emission``, whose folds Spark interprets row by row.
+    """
+    of = F.arrow_udf(_emissions, "r double, b double")
+    return of(*(F.col(c) for c in ("umi", "base", "log_mu", "alpha", "k", "depth", "p", "tau")), *([] if pure is None else [pure]))
+
+
 def spot_llf(counts: DataFrame, edges: DataFrame, decoded: DataFrame, states: DataFrame, key: str = "bin", purity: str | None = None, groups: DataFrame | None = None) -> DataFrame:
     """(spot, clone, llf) of neighbourhood-pooled ``counts(spot, bin, umi, base, k, depth)`` under each clone's path.
 
@@ -63,9 +81,8 @@ def spot_llf(counts: DataFrame, edges: DataFrame, decoded: DataFrame, states: Da
     weight = F.col("weight") if "weight" in decoded.columns else F.lit(1.0)
     pure = F.col("purity") if purity else None
     rows = _meet(sums, path, key, groups).join(met, "spot")
-    rdr = nb_emission(F.col("umi"), F.col("base"), F.col("log_mu"), F.col("alpha"), pure)
-    baf = bb_emission(F.col("k"), F.col("depth"), F.col("p"), F.col("tau"), pure)
-    return rows.select("spot", "clone", (weight * (ratio * rdr + baf)).alias("v")).groupBy("spot", "clone").agg(F.sum("v").alias("llf"))
+    rows = rows.select("spot", "clone", weight.alias("w"), ratio.alias("ratio"), row_emissions(pure).alias("em"))
+    return rows.select("spot", "clone", (F.col("w") * (F.col("ratio") * F.col("em.r") + F.col("em.b"))).alias("v")).groupBy("spot", "clone").agg(F.sum("v").alias("llf"))
 
 
 def posterior_spot_llf(counts: DataFrame, edges: DataFrame, posterior: DataFrame, states: DataFrame, key: str = "bin", purity: str | None = None, groups: DataFrame | None = None) -> DataFrame:
@@ -82,9 +99,9 @@ def posterior_spot_llf(counts: DataFrame, edges: DataFrame, posterior: DataFrame
         met = edges.join(counts, edges["dst"] == counts["spot"]).groupBy(F.col("src").alias("spot")).agg(F.avg(purity).alias("_pure"))
         rows = rows.join(met, "spot")
     pure = F.col("_pure") if purity else None
-    rdr = nb_emission(F.col("umi"), F.col("base"), F.col("log_mu"), F.col("alpha"), pure) + F.col("log_gamma")
-    baf = bb_emission(F.col("k"), F.col("depth"), F.col("p"), F.col("tau"), pure) + F.col("log_gamma")
-    per = rows.select("spot", "clone", key, ratio.alias("ratio"), rdr.alias("r"), baf.alias("b")).groupBy("spot", "clone", key).agg(F.first("ratio").alias("ratio"), F.array_agg("r").alias("r"), F.array_agg("b").alias("b"))
+    rows = rows.select("spot", "clone", key, ratio.alias("ratio"), "log_gamma", row_emissions(pure).alias("em"))
+    rdr, baf = F.col("em.r") + F.col("log_gamma"), F.col("em.b") + F.col("log_gamma")
+    per = rows.select("spot", "clone", key, "ratio", rdr.alias("r"), baf.alias("b")).groupBy("spot", "clone", key).agg(F.first("ratio").alias("ratio"), F.array_agg("r").alias("r"), F.array_agg("b").alias("b"))
     return per.groupBy("spot", "clone").agg(F.sum(F.col("ratio") * logsumexp(F.col("r")) + logsumexp(F.col("b"))).alias("llf"))
 
 
@@ -163,6 +180,7 @@ def field_loop(counts: DataFrame, pooling: DataFrame, coupling: DataFrame, label
     in every round, so plans don't grow.
     """
     spark, models, trail = counts.sparkSession, list(start), []
+    counts, pooling = keep(counts), keep(pooling)  # read in every round
     groups = keep(labels.select("spot", "model"))
     a, b = (groups.select(F.col("spot").alias(c), F.col("model").alias(f"_{c}")) for c in ("src", "dst"))
     own = keep(coupling.select("src", "dst", "weight").join(a, "src").join(b, "dst").where("_src = _dst").select("src", "dst", "weight"))

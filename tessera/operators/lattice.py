@@ -131,7 +131,7 @@ def _where(ok: np.ndarray, found: Callable, *xs: np.ndarray) -> np.ndarray:
     return out
 
 
-def _nb(k: np.ndarray, base: np.ndarray, log_mu: np.ndarray, alpha: np.ndarray, purity: np.ndarray | None) -> np.ndarray:
+def nb_emissions(k: np.ndarray, base: np.ndarray, log_mu: np.ndarray, alpha: np.ndarray, purity: np.ndarray | None) -> np.ndarray:
     """``columns.nb_emission``."""
 
     def found(k: np.ndarray, grown: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -141,7 +141,7 @@ def _nb(k: np.ndarray, base: np.ndarray, log_mu: np.ndarray, alpha: np.ndarray,
     return _where((base > 0) & (k >= 0), found, k, alpha * base * rate, 1 / alpha)
 
 
-def _bb(k: np.ndarray, n: np.ndarray, p: np.ndarray, tau: np.ndarray, purity: np.ndarray | None) -> np.ndarray:
+def bb_emissions(k: np.ndarray, n: np.ndarray, p: np.ndarray, tau: np.ndarray, purity: np.ndarray | None) -> np.ndarray:
     """``columns.bb_emission``."""
 
     def found(k: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -150,9 +150,7 @@ def _bb(k: np.ndarray, n: np.ndarray, p: np.ndarray, tau: np.ndarray, purity: np
 
     share = p if purity is None else p * purity + 0.5 * (1 - purity)
     a, b = share * tau, (1 - share) * tau
-    out = _where((n > 0) & (a > 0) & (b > 0) & (k >= 0) & (k <= n), found, k, n, a, b)
-    # Without a purity a row with depth has no emission.
-    return out if purity is None else np.where((n > 0) & np.isnan(purity), np.nan, out)
+    return _where((n > 0) & (a > 0) & (b > 0) & (k >= 0) & (k <= n), found, k, n, a, b)
 
 
 def emitter(p: np.ndarray, tau: np.ndarray, log_mu: np.ndarray | None, alpha: np.ndarray | None, phased: bool, purity: str | None) -> Callable:
@@ -170,10 +168,10 @@ def emitter(p: np.ndarray, tau: np.ndarray, log_mu: np.ndarray | None, alpha: np
             model, q = np.repeat(rows.column("_model").to_numpy(), np.diff(lists.offsets.to_numpy())), flat[purity] if purity else None
             kept, turned = [], []
             for s in range(p.shape[1]):
-                reads = 0.0 if log_mu is None else _nb(flat["umi"], flat["base"], log_mu[model, s], alpha[model, s], q)
-                kept.append(reads + _bb(flat["k"], flat["depth"], p[model, s], tau[model, s], q))
+                reads = 0.0 if log_mu is None else nb_emissions(flat["umi"], flat["base"], log_mu[model, s], alpha[model, s], q)
+                kept.append(reads + bb_emissions(flat["k"], flat["depth"], p[model, s], tau[model, s], q))
                 if phased:
-                    turned.append(reads + _bb(flat["depth"] - flat["k"], flat["depth"], p[model, s], tau[model, s], q))
+                    turned.append(reads + bb_emissions(flat["depth"] - flat["k"], flat["depth"], p[model, s], tau[model, s], q))
             em = np.stack([*kept, *turned], axis=1)
             states = pa.ListArray.from_arrays(pa.array(np.arange(len(em) + 1) * em.shape[1], pa.int32()), pa.array(em.ravel()))
             begin = lists.offsets.to_numpy()
