@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a task that sums up pairs of features and spots, which hardly repeat: its table of pairs doesn't grow with the input.
+TASK_ROWS = 1_000_000
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,7 +20,11 @@ def counts(spark: SparkSession, d: str) -> DataFrame:
     def of(flag: str):
         return F.sum(F.when(F.col("l_returnflag") == flag, F.col("l_quantity")).otherwise(0.0)).cast("long")
 
-    return read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("feature"), F.col("l_suppkey").alias("spot")).agg(of("N").alias("umi"), of("A").alias("a"), of("R").alias("b"))
+    lines = read(spark, d, "lineitem")
+    parts = lines.count() // TASK_ROWS  # from the files' footers
+    if parts:
+        lines = lines.repartition(max(parts + 1, spark.sparkContext.defaultParallelism), "l_partkey", "l_suppkey")
+    return lines.groupBy(F.col("l_partkey").alias("feature"), F.col("l_suppkey").alias("spot")).agg(of("N").alias("umi"), of("A").alias("a"), of("R").alias("b"))
 
 
 def genome(spark: SparkSession, d: str) -> DataFrame:

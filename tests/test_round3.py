@@ -91,3 +91,15 @@ def test_a_fit_reads_its_observations_once(spark):
     obs = rows.mapInPandas(count, rows.schema)
     H.baum_welch(obs, H.default_states(2, 0.9), ["chain"], rounds=3, tol=0.0)
     assert reads.value == 60
+
+
+def test_pairs_are_dealt_by_the_number_of_rows(spark, small, monkeypatch):
+    """Tables of pairs in a task grew with the input where the number of shuffle partitions stayed."""
+    from tessera.plans import bindings as B
+
+    plain = sorted(map(tuple, B.counts(spark, small).collect()))
+    monkeypatch.setattr(B, "TASK_ROWS", 200)
+    dealt = B.counts(spark, small)
+    n = spark.read.parquet(f"{small}/lineitem.parquet").count() // 200 + 1
+    assert n > 8 and dealt.rdd.getNumPartitions() == n
+    assert sorted(map(tuple, dealt.collect())) == plain
