@@ -17,6 +17,7 @@ from .operators import graph as X
 from .operators import hmm as H
 from .operators import hmrf as R
 from .operators import simulate as S
+from .operators.storage import keep
 from .plans import bindings as B
 from .plans import pipeline as P
 from .sources.readers import split_barcode
@@ -45,12 +46,23 @@ def _blocks(spark: SparkSession, d: str) -> DataFrame:
     return B.genome(spark, d).withColumn("block", F.floor(F.col("start") / BLOCK))
 
 
-def _in_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Counts per (chr, block, spot): reads of genes, allele reads of SNPs."""
+def _reads(spark: SparkSession, d: str) -> DataFrame:
+    """(chr, block, spot, umi, a, b): reads of genes, allele reads of SNPs, a row for each feature and spot.
+
+    Sums of single columns over more than a block's spot take these rows: sums by block and spot beforehand hardly shrink them.
+    """
     members = _blocks(spark, d).select("chr", "block", "feature", "is_interval")
-    rows = B.counts(spark, d).join(members, "feature")
     gene = F.col("is_interval")
-    return rows.groupBy("chr", "block", "spot").agg(F.sum(F.when(gene, F.col("umi")).otherwise(0)).alias("umi"), F.sum(F.when(gene, 0).otherwise(F.col("a"))).alias("a"), F.sum(F.when(gene, 0).otherwise(F.col("b"))).alias("b"))
+    own = {"umi": F.when(gene, F.col("umi")).otherwise(0), "a": F.when(gene, 0).otherwise(F.col("a")), "b": F.when(gene, 0).otherwise(F.col("b"))}
+    return B.counts(spark, d).join(members, "feature").select("chr", "block", "spot", *(v.alias(c) for c, v in own.items()))
+
+
+def _in_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Counts per (chr, block, spot): reads of genes, allele reads of SNPs."""
+    rows, parts = _reads(spark, d), B.task_number(spark, d)
+    if parts:
+        rows = rows.repartition(parts, "chr", "block", "spot")
+    return rows.groupBy("chr", "block", "spot").agg(*(F.sum(c).alias(c) for c in ("umi", "a", "b")))
 
 
 #: The same for DuckDB.
@@ -68,7 +80,7 @@ def _bb_sql(k: str, n: str, a: str, b: str) -> str:
 @query(B.with_views("counts genome spots", "SELECT s.clone, c.chr, c.block, CAST(sum(umi) AS BIGINT) AS umi, CAST(sum(a) AS BIGINT) AS a, CAST(sum(b) AS BIGINT) AS b, round(sum(b) / nullif(CAST(sum(a) + sum(b) AS DOUBLE), 0), 6) AS baf FROM cells c JOIN spots s USING (spot) GROUP BY s.clone, c.chr, c.block", _IN_BLOCKS))
 def pseudobulk_baf(spark: SparkSession, d: str) -> DataFrame:
     """Counts and allele share of every clone and block."""
-    bulk = A.pseudobulk(_in_blocks(spark, d), B.spots(spark, d).select("spot", "clone", "tumour"), ["chr", "block"])
+    bulk = A.pseudobulk(_reads(spark, d), B.spots(spark, d).select("spot", "clone", "tumour"), ["chr", "block"])
     return bulk.select("clone", "chr", "block", "umi", "a", "b", F.round(F.col("b") / F.nullif((F.col("a") + F.col("b")).cast("double"), F.lit(0.0)), 6).alias("baf"))
 
 
@@ -225,9 +237,10 @@ def phase_switch_prob(spark: SparkSession, d: str) -> DataFrame:
 @query(B.with_views("counts genome", "SELECT chr, bin, min(block) * 1000 AS first_start, max(block) * 1000 + 1000 AS last_end, count(DISTINCT block) AS n_blocks, string_agg(DISTINCT CAST(block AS VARCHAR), ',' ORDER BY CAST(block AS VARCHAR)) AS blocks, CAST(sum(CASE WHEN block % 2 = 0 THEN b ELSE a END) AS BIGINT) AS b, CAST(sum(a + b) AS BIGINT) AS depth, CAST(sum(umi) AS BIGINT) AS umi FROM (SELECT *, block // 3 AS bin FROM cells) GROUP BY chr, bin", _IN_BLOCKS))
 def bin_phase_counts(spark: SparkSession, d: str) -> DataFrame:
     """Bins of three blocks, every other block's phase flipped."""
-    cells = _in_blocks(spark, d).select(F.concat_ws(":", "chr", "block").alias("id"), "chr", "block", "spot", (F.col("a") + F.col("b")).alias("depth"), "b", "umi")
-    phase = cells.select("id", "chr", F.col("block").alias("number")).distinct().select(F.col("id").alias("block"), "chr", F.floor(F.col("number") / 3).alias("bin"), (F.col("number") % 2 == 0).alias("phase"), (F.col("number") * BLOCK).alias("start"), ((F.col("number") + 1) * BLOCK).alias("end"), F.col("number").alias("rn"))
-    out = A.bin_phase_sums(cells.select(F.col("id").alias("block"), "spot", "depth", "b", "umi"), phase, ["chr", "bin"])
+    cells = _in_blocks(spark, d).groupBy("chr", "block").agg(F.sum(F.col("a") + F.col("b")).alias("depth"), F.sum("b").alias("b"), F.sum("umi").alias("umi"))  # a bin's sums don't tell spots apart
+    cells = keep(cells.select(F.concat_ws(":", "chr", "block").alias("id"), "chr", "block", "depth", "b", "umi"))
+    phase = cells.select("id", "chr", F.col("block").alias("number")).select(F.col("id").alias("block"), "chr", F.floor(F.col("number") / 3).alias("bin"), (F.col("number") % 2 == 0).alias("phase"), (F.col("number") * BLOCK).alias("start"), ((F.col("number") + 1) * BLOCK).alias("end"), F.col("number").alias("rn"))
+    out = A.bin_phase_sums(cells.select(F.col("id").alias("block"), "depth", "b", "umi"), phase, ["chr", "bin"])
     return out.withColumn("blocks", F.array_join(F.transform(F.split("blocks", ","), lambda x: F.element_at(F.split(x, ":"), 2)), ","))
 
 
@@ -247,7 +260,7 @@ def count_histogram(spark: SparkSession, d: str) -> DataFrame:
 @query(B.with_views("counts genome spots", "SELECT sample, round(quantile_cont(std, 0.4), 6) AS p40, round(quantile_cont(std, 0.5), 6) AS p50, round(quantile_cont(std, 0.9), 6) AS p90 FROM (SELECT spot, sqrt(greatest(sum(ln(1 + umi) * ln(1 + umi)) / 40 - (sum(ln(1 + umi)) / 40) * (sum(ln(1 + umi)) / 40), 0)) AS std FROM (SELECT spot, chr * 2 + block % 2 AS bin, sum(umi) AS umi FROM cells GROUP BY ALL) GROUP BY spot) JOIN spots USING (spot) GROUP BY sample", _IN_BLOCKS))
 def percentiles_std(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles, per sample, of the spots' deviation over bins."""
-    bins = _in_blocks(spark, d).groupBy("spot", (F.col("chr") * 2 + F.col("block") % 2).alias("bin")).agg(F.sum("umi").alias("umi"))
+    bins = _reads(spark, d).groupBy("spot", (F.col("chr") * 2 + F.col("block") % 2).alias("bin")).agg(F.sum("umi").alias("umi"))
     rows = A.dispersion_over_bins(bins, 40).join(B.spots(spark, d).select("spot", "sample"), "spot")
     out = A.percentiles(rows, "std", (0.4, 0.5, 0.9), ["sample"])
     return out.select("sample", *(F.round(c, 6).alias(c) for c in ("p40", "p50", "p90")))
@@ -280,7 +293,7 @@ def population_baf(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pseudobulk_rows(spark: SparkSession, d: str) -> DataFrame:
-    return A.pseudobulk(_in_blocks(spark, d), B.spots(spark, d).select("spot", "clone", "tumour"), ["chr", "block"])
+    return A.pseudobulk(_reads(spark, d), B.spots(spark, d).select("spot", "clone", "tumour"), ["chr", "block"])
 
 
 @query(B.with_views("chains", "SELECT chain, part, round(avg(k), 6) AS mean FROM (SELECT chain, (t - 1) // 4 AS part, k FROM chains) GROUP BY ALL HAVING count(*) = 4"))

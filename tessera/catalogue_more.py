@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import _CLONE_LLF, _IN_BLOCKS, _NEAR as NEAR, _OBSERVED, _PAIRS, _STATES_SQL, _state_rows, BLOCK, ORACLE, THREE, _bb_sql, _blocks, _field, _in_blocks, _nb_sql, _observed, _step_sql, icm_sql, query, slice_links
+from .catalogue import _CLONE_LLF, _IN_BLOCKS, _NEAR as NEAR, _OBSERVED, _PAIRS, _STATES_SQL, _state_rows, BLOCK, ORACLE, THREE, _bb_sql, _blocks, _field, _in_blocks, _nb_sql, _observed, _reads, _step_sql, icm_sql, query, slice_links
 from .functions import columns as C
 from .operators import aggregate as A
 from .operators import copynumber as N
@@ -82,7 +82,7 @@ _SPREAD = _IN_BLOCKS + ", bn AS (SELECT spot, chr AS bin, sum(umi) AS umi FROM c
 @query(B.with_views("counts genome spots", "SELECT spot FROM dv WHERE std <= (SELECT arg_min(cut, CASE WHEN n > 4400 THEN i ELSE 100 - i END) FROM sm)", _SPREAD))
 def near_normal_spots(spark: SparkSession, d: str) -> DataFrame:
     """Spots whose counts vary least over bins, enough of them."""
-    bins = _in_blocks(spark, d).groupBy("spot", F.col("chr").alias("bin")).agg(F.sum("umi").alias("umi"))
+    bins = _reads(spark, d).groupBy("spot", F.col("chr").alias("bin")).agg(F.sum("umi").alias("umi"))
     return R.near_normal_spots(A.dispersion_over_bins(bins, 22), bins.groupBy("spot").agg(F.sum("umi").alias("n")), 200 * 22)
 
 
@@ -151,7 +151,7 @@ _PURE = _IN_BLOCKS + ", h AS (SELECT * FROM spots WHERE tumour > 0.5), z AS (SEL
 def pure_pseudobulk(spark: SparkSession, d: str) -> DataFrame:
     """Counts of each clone's purer spots, zeros for a clone without any."""
     every = spark.range(4).select(F.col("id").cast("int").alias("clone"))
-    return A.pseudobulk(_in_blocks(spark, d), B.spots(spark, d).select("spot", "clone", "tumour"), ["chr"], least_purity=0.5, every=every).withColumn("purity", F.round("purity", 6))
+    return A.pseudobulk(_reads(spark, d), B.spots(spark, d).select("spot", "clone", "tumour"), ["chr"], least_purity=0.5, every=every).withColumn("purity", F.round("purity", 6))
 
 
 @query(B.with_views("spots", "SELECT spot, sample, CASE WHEN spot % 3 > 0 THEN tumour END AS tumour FROM spots"))

@@ -24,7 +24,7 @@ def block_sums(counts: DataFrame, members: DataFrame, keys: Sequence[str]) -> Da
 def bin_phase_sums(blocks: DataFrame, phase: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Sums per bin with the second haplotype's reads flipped where ``phase`` is false, and what a bin spans.
 
-    ``blocks``: (block, spot, depth, b, umi); ``phase``: (block, keys, phase, start, end, rn).
+    ``blocks``: (block, depth, b, umi), a row or more for each block; ``phase``: (block, keys, phase, start, end, rn).
     """
     spans = phase.groupBy(*keys).agg(F.min_by("start", "rn").alias("first_start"), F.max_by("end", "rn").alias("last_end"), F.countDistinct("block").alias("n_blocks"), F.array_join(F.array_sort(F.collect_set("block")), ",").alias("blocks"))
     sums = blocks.join(phase.select("block", "phase", *keys), "block").groupBy(*keys).agg(F.sum(F.when(F.col("phase"), F.col("b")).otherwise(F.col("depth") - F.col("b"))).alias("b"), F.sum("depth").alias("depth"), F.sum("umi").alias("umi"))

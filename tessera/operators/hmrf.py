@@ -306,7 +306,7 @@ def reindex_normal(labels: DataFrame, shares: DataFrame, slack: float = 0.05) ->
 
     ``shares``: (clone, bin, baf).
     """
-    off = shares.groupBy("clone").agg(F.sum(F.greatest(F.abs(F.col("baf") - 0.5) - slack, F.lit(0.0))).alias("off"))
+    off = keep(shares.groupBy("clone").agg(F.sum(F.greatest(F.abs(F.col("baf") - 0.5) - slack, F.lit(0.0))).alias("off")))  # read twice
     normal = off.agg(F.min_by("clone", F.struct("off", "clone")).alias("normal"))
     order = off.join(normal).withColumn("new", F.row_number().over(Window.orderBy(F.col("clone") != F.col("normal"), "clone")) - 1)  # one row a clone
     return labels.join(F.broadcast(order.select(F.col("clone").alias("label"), "new")), "label").select("spot", F.col("new").alias("label"))

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 TASK_ROWS = 1_000_000
 
 
+def task_number(spark: SparkSession, d: str) -> int:
+    """Tasks that rows of the number of lines are dealt to; 0: few enough for the session's own number."""
+    n = read(spark, d, "lineitem").count() // TASK_ROWS  # from the files' footers
+    return max(n + 1, spark.sparkContext.defaultParallelism) if n else 0
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,10 +26,9 @@ def counts(spark: SparkSession, d: str) -> DataFrame:
     def of(flag: str):
         return F.sum(F.when(F.col("l_returnflag") == flag, F.col("l_quantity")).otherwise(0.0)).cast("long")
 
-    lines = read(spark, d, "lineitem")
-    parts = lines.count() // TASK_ROWS  # from the files' footers
+    lines, parts = read(spark, d, "lineitem"), task_number(spark, d)
     if parts:
-        lines = lines.repartition(max(parts + 1, spark.sparkContext.defaultParallelism), "l_partkey", "l_suppkey")
+        lines = lines.repartition(parts, "l_partkey")  # what follows by feature needs no further shuffle
     return lines.groupBy(F.col("l_partkey").alias("feature"), F.col("l_suppkey").alias("spot")).agg(of("N").alias("umi"), of("A").alias("a"), of("R").alias("b"))
 
 

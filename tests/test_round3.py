@@ -103,3 +103,16 @@ def test_pairs_are_dealt_by_the_number_of_rows(spark, small, monkeypatch):
     n = spark.read.parquet(f"{small}/lineitem.parquet").count() // 200 + 1
     assert n > 8 and dealt.rdd.getNumPartitions() == n
     assert sorted(map(tuple, dealt.collect())) == plain
+
+
+def test_blocks_and_joins_are_dealt_by_the_number_of_rows(spark, small, duck, same, monkeypatch):
+    """Sums by block and spot followed the session's shuffle partitions, so their tables in a task grew with the input."""
+    from tessera import catalogue as Q
+    from tessera.plans import bindings as B
+
+    monkeypatch.setattr(B, "TASK_ROWS", 200)
+    n = spark.read.parquet(f"{small}/lineitem.parquet").count() // 200 + 1
+    assert Q._reads(spark, small).rdd.getNumPartitions() == n  # the join by features too
+    assert Q._in_blocks(spark, small).rdd.getNumPartitions() == n
+    for name in ("population_baf", "reindex_normal", "pseudobulk_baf", "pure_pseudobulk", "bin_phase_counts", "percentiles_std"):
+        same(duck, Q.ORACLE[name], Q.QUERIES[name](spark, small))
