@@ -648,8 +648,8 @@ def spot_llf(spark: SparkSession, d: str) -> DataFrame:
 def _field(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Counts per chromosome, pooling edges with self, and fixed paths of three clones."""
     counts = _in_blocks(spark, d).groupBy("spot", F.col("chr").alias("bin")).agg(F.sum("umi").alias("umi"), F.sum("b").alias("k"), F.sum(F.col("a") + F.col("b")).alias("depth")).withColumn("base", 10.0 + F.col("bin"))
-    spots = B.spots(spark, d)
-    edges = X.adjacency(spots).select("src", "dst").unionByName(spots.select(F.col("spot").alias("src"), F.col("spot").alias("dst")))
+    counts, spots = keep(counts), B.spots(spark, d)  # all that follows reads sums by spot, not lines
+    edges = keep(X.adjacency(spots).select("src", "dst").unionByName(spots.select(F.col("spot").alias("src"), F.col("spot").alias("dst"))))
     bins = counts.select("bin").distinct()
     decoded = bins.select(F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("clone"), "bin").withColumn("state", ((F.col("clone") + F.col("bin")) % 3).cast("int"))
     return counts, edges, decoded
@@ -680,7 +680,7 @@ def _fixed_field(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Dat
     """Spot likelihoods under fixed paths, present labels, and log shares of clones."""
     counts, edges, decoded = _field(spark, d)
     spots = B.spots(spark, d)
-    llf = R.spot_llf(counts, edges, decoded, R.states_table(spark, THREE))
+    llf = keep(R.spot_llf(counts, edges, decoded, R.states_table(spark, THREE)))
     prior = A.clone_log_weights(spots, spark.range(3).select(F.col("id").cast("int").alias("clone")))
     return llf, spots.select("sample", "spot", F.col("clone").alias("label")), prior
 

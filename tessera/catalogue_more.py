@@ -15,6 +15,7 @@ from .operators import graph as X
 from .operators import hmm as H
 from .operators import hmrf as R
 from .operators import plots as PLOT
+from .operators.storage import keep
 from .plans import bindings as B
 from .sources import readers
 
@@ -215,10 +216,15 @@ _FIELD = (
 )
 
 
+def _softened(decoded: DataFrame) -> DataFrame:
+    """Posteriors that give a path's own state 0.8 and the others 0.1."""
+    every = decoded.select("clone", "bin", F.col("state").alias("own"), F.explode(F.array(*map(F.lit, K))).alias("state"))
+    return every.select("clone", "bin", "state", F.log(F.when(F.col("state") == F.col("own"), 0.8).otherwise(0.1)).alias("log_gamma"))
+
+
 def _posterior_field(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     counts, edges, decoded = _field(spark, d)
-    every = decoded.select("clone", "bin", F.col("state").alias("own"), F.explode(F.array(*map(F.lit, K))).alias("state"))
-    return counts, edges, every.select("clone", "bin", "state", F.log(F.when(F.col("state") == F.col("own"), 0.8).otherwise(0.1)).alias("log_gamma"))
+    return counts, edges, _softened(decoded)
 
 
 @query(B.with_views("counts genome spots", "SELECT spot, clone, round(llf, 3) AS llf FROM pl", _FIELD))
@@ -240,13 +246,13 @@ def final_labels(spark: SparkSession, d: str) -> DataFrame:
     """Labels after one sweep: by decoded paths and by posteriors, with purity and without."""
     spots = B.spots(spark, d)
     counts, edges, decoded = _field(spark, d)
-    counts = counts.join(spots.select("spot", "tumour"), "spot")
-    soft = _posterior_field(spark, d)[2]
+    counts = keep(counts.join(spots.select("spot", "tumour"), "spot"))
+    soft, couple = _softened(decoded), keep(X.weighted_adjacency(spots, 36.0))
     labels = spots.select("sample", "spot", F.col("clone").alias("label"))
     prior = A.clone_log_weights(spots, spark.range(3).select(F.col("id").cast("int").alias("clone")))
     out = None
     for name, paths, purity in (("point", decoded, None), ("posterior", soft, None), ("point, purity", decoded, "tumour"), ("posterior, purity", soft, "tumour")):
-        found, _ = R.final_labels(counts, edges, X.weighted_adjacency(spots, 36.0), labels, paths, R.states_table(spark, THREE), log_prior=prior, purity=purity)
+        found, _ = R.final_labels(counts, edges, couple, labels, paths, R.states_table(spark, THREE), log_prior=prior, purity=purity)
         found = found.select("sample", "spot", "label", F.lit(name).alias("form"))
         out = found if out is None else out.unionByName(found)
     return out
@@ -262,9 +268,9 @@ def node_potential(spark: SparkSession, d: str) -> DataFrame:
     counts, edges, decoded = _field(spark, d)
     labels = spots.select("sample", "spot", F.col("clone").alias("label"))
     prior = A.clone_log_weights(spots, spark.range(3).select(F.col("id").cast("int").alias("clone")))
-    out = None
-    for name, paths in (("max", decoded), ("weighted_sum", _posterior_field(spark, d)[2])):
-        found, _ = R.final_labels(counts, edges, X.weighted_adjacency(spots, 36.0), labels, paths, R.states_table(spark, THREE), log_prior=prior)
+    couple, out = keep(X.weighted_adjacency(spots, 36.0)), None
+    for name, paths in (("max", decoded), ("weighted_sum", _softened(decoded))):
+        found, _ = R.final_labels(counts, edges, couple, labels, paths, R.states_table(spark, THREE), log_prior=prior)
         found = found.select("sample", "spot", "label", F.lit(name).alias("nodes"))
         out = found if out is None else out.unionByName(found)
     return out

@@ -112,7 +112,7 @@ def final_labels(counts: DataFrame, pooling: DataFrame, coupling: DataFrame, lab
     without ``purity``: four forms.
     """
     score = posterior_spot_llf if "log_gamma" in paths.columns else spot_llf
-    llf = score(counts, pooling, paths, states, purity=purity)
+    llf = keep(score(counts, pooling, paths, states, purity=purity))
     found = icm(llf, coupling, labels, weight=weight, sweeps=1, log_prior=log_prior)
     return found, total_llf(found.select("spot", "label"), llf, coupling, weight)
 
@@ -120,7 +120,7 @@ def final_labels(counts: DataFrame, pooling: DataFrame, coupling: DataFrame, lab
 def icm(llf: DataFrame, edges: DataFrame, labels: DataFrame, *, weight: float = 1.0, tol: float = 0.1, sweeps: int = 100, log_prior: DataFrame | None = None, tile: int = TILE) -> DataFrame:
     """(sample, spot, label, posterior): iterated conditional modes on all samples as one graph.
 
-    ``llf``: (spot, clone, llf), of a few clones; ``edges``: (src, dst, weight), within samples and
+    ``llf``: (spot, clone, llf), of a few clones, read twice; ``edges``: (src, dst, weight), within samples and
     between them; ``labels``: (sample, spot, label). Spots are visited in order of their ids; a sweep
     that changes less than ``tol`` of them is the last. Ties go to the first clone; a spot without a
     clone's likelihood doesn't take that clone. ``log_prior``: (sample, clone, log_weight).
@@ -190,7 +190,7 @@ def field_loop(counts: DataFrame, pooling: DataFrame, coupling: DataFrame, label
         em = emission_by_model(models[0].k, reads="m" in update and bool(models[0].log_mu))
         post = posteriors(with_parameters(obs, models, "model").withColumn("em", em), models, ["model", "clone", "chr"], model="model")
         score = spot_llf if nodes == "max" else posterior_spot_llf
-        llf = score(counts, pooling, clone_paths(post, nodes), models_table(spark, models), groups=groups)
+        llf = keep(score(counts, pooling, clone_paths(post, nodes), models_table(spark, models), groups=groups))
         prior = clone_log_weights(labels.select("sample", F.col("label").alias("clone")), labels.select(F.col("label").alias("clone")).distinct()) if inertia else None
         new = keep(icm(llf, own, labels.select("sample", "spot", "label"), weight=weight, log_prior=prior).select("sample", "spot", "label").join(groups, "spot"))
         both = labels.select("spot", F.col("label").alias("old")).join(new, "spot")

@@ -116,3 +116,22 @@ def test_blocks_and_joins_are_dealt_by_the_number_of_rows(spark, small, duck, sa
     assert Q._in_blocks(spark, small).rdd.getNumPartitions() == n
     for name in ("population_baf", "reindex_normal", "pseudobulk_baf", "pure_pseudobulk", "bin_phase_counts", "percentiles_std"):
         same(duck, Q.ORACLE[name], Q.QUERIES[name](spark, small))
+
+
+def test_fields_read_their_counts_once(spark, small, monkeypatch):
+    """Each form of a labelling, and each of its steps, once summed all lines anew."""
+    from tessera import catalogue as Q
+
+    plain, reads = Q._in_blocks, spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            reads.add(len(pdf))
+            yield pdf
+
+    monkeypatch.setattr(Q, "_in_blocks", lambda spark, d: (lambda df: df.mapInPandas(count, df.schema))(plain(spark, d)))
+    n = plain(spark, small).count()
+    for name in ("final_labels", "node_potential", "icm_slices"):
+        before = reads.value
+        Q.QUERIES[name](spark, small).collect()
+        assert reads.value - before == n, name
