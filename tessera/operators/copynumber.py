@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .genome import point_join
+
 #: Pairs of copies a state may have: at most five of either, one to six together.
 CANDIDATES = [(a, b) for a in range(6) for b in range(6) if 1 <= a + b <= 6]
 #: Searches of a finished inference and the highest ploidy each starts from; the first holds the diploid state fixed.
@@ -160,8 +162,8 @@ def segment_copies(decoded: DataFrame, copies: DataFrame, bins: DataFrame) -> Da
 
 def gene_copies(segments: DataFrame, genes: DataFrame) -> DataFrame:
     """(gene, clone, a, b) of ``genes(gene, chr, start, …)``: copies of the segment that holds a gene's start."""
-    held = (F.col("g.start") >= F.col("s.start")) & (F.col("g.start") < F.col("s.end"))
-    return genes.alias("g").join(segments.alias("s"), (F.col("g.chr") == F.col("s.chr")) & held).select("g.gene", "s.clone", "s.a", "s.b")
+    held = segments.select("chr", "start", "end", "clone", "a", "b")
+    return point_join(genes.select("gene", "chr", "start"), held).select("gene", "clone", "a", "b")
 
 
 def state_copies(copies: DataFrame, clones: Sequence[int]) -> DataFrame:

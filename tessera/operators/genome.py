@@ -60,8 +60,9 @@ def _binned(df: DataFrame, start: Column, end: Column) -> DataFrame:
 
 def _asking(df: DataFrame, pos: Column, least: Column) -> DataFrame:
     """``df`` with a row for each level from ``least`` up and the bin around ``pos`` there: at most nine rows."""
-    levels = F.filter(F.array(*(F.struct(F.lit(i).alias("l"), _bin(pos, i).alias("b")) for i in range(len(WIDTHS) + 1))), lambda x: x["l"] >= least)
-    return df.withColumn("_ask", F.explode(levels)).select("*", F.col("_ask.l").alias("_level"), F.col("_ask.b").alias("_bin")).drop("_ask")
+    levels = F.array(*(F.struct(F.lit(i).alias("l"), _bin(pos, i).alias("b")) for i in range(len(WIDTHS) + 1)))
+    asked = df.withColumn("_ask", F.explode(levels)).where(F.col("_ask.l") >= least)  # a filter of the array would be interpreted row by row
+    return asked.select("*", F.col("_ask.l").alias("_level"), F.col("_ask.b").alias("_bin")).drop("_ask")
 
 
 def _met(asking: DataFrame, held: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -81,6 +82,13 @@ def range_anti(points: DataFrame, ranges: DataFrame, pos: str = "start") -> Data
     return points.join(met, (F.col("chr") == F.col("_c")) & (F.col(pos) == F.col("_p")), "left_anti")
 
 
+def point_join(points: DataFrame, ranges: DataFrame, pos: str = "start") -> DataFrame:
+    """Points (chr, ``pos``, …) with the other columns of every ``start <= pos < end`` range of their chromosome, met in bins as in ``range_anti``."""
+    held = ranges.where(F.col("end") > F.col("start")).withColumnsRenamed({"start": "_s", "end": "_e"})
+    met = _met(_asking(points, F.col(pos), F.lit(0)), _binned(held, F.col("_s"), F.col("_e")), ["chr", "_level", "_bin"])
+    return met.where((F.col(pos) >= F.col("_s")) & (F.col(pos) < F.col("_e"))).drop("_level", "_bin", "_s", "_e")
+
+
 def look_back(df: DataFrame, depth: int = 50, keys: Sequence[str] = ("chr",)) -> DataFrame:
     """(…point columns, gene) of points inside the nearest of the ``depth`` rows before that is an interval around them.
 

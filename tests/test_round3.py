@@ -135,3 +135,22 @@ def test_fields_read_their_counts_once(spark, small, monkeypatch):
         before = reads.value
         Q.QUERIES[name](spark, small).collect()
         assert reads.value - before == n, name
+
+
+def test_genes_meet_the_segments_around_them_only(spark):
+    """Every gene once met all segments of its chromosome: 60,000 of each made 3,600 million pairs."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators import copynumber as N
+
+    n = 60_000
+    one = F.lit(1).alias("chr")
+    segments = spark.range(n).select(one, (100 * F.col("id")).alias("start"), (100 * F.col("id") + F.when(F.col("id") == 7, 50_000).otherwise(100)).alias("end"), F.lit(0).alias("clone"), F.col("id").alias("a"), F.lit(1).alias("b"))
+    genes = spark.range(n).select(F.col("id").alias("gene"), one, (100 * F.col("id") + 99).alias("start"))
+    plan = N.gene_copies(segments, genes)
+    assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+    began = time.monotonic()
+    rows = plan.select("gene", "a").collect()
+    assert time.monotonic() - began < 30
+    long_one = {(g, 7) for g in range(8, 507)}
+    assert sorted(map(tuple, rows)) == sorted({(g, g) for g in range(n)} | long_one)
