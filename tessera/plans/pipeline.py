@@ -37,6 +37,7 @@ def initial_phase(obs: DataFrame, *, k: int = 5, rounds: int = 20, least: int =
     half; a block whose depth-weighted share is under one half is in phase. Segments are cut where
     a clone's mirrored share jumps.
     """
+    obs = keep(obs)  # sums over all spots, read by each step
     deep = obs.groupBy("clone").agg(F.sum("depth").alias("_n")).where(F.col("_n") >= least).select("clone")
     rows = obs.join(deep, "clone", "left_semi").withColumn("switch", F.log(F.lit(0.05)))
     states, _ = H.baum_welch(rows, H.default_states(k), ["clone", "chr"], update="sp", rounds=rounds, switch="switch")
@@ -45,7 +46,7 @@ def initial_phase(obs: DataFrame, *, k: int = 5, rounds: int = 20, least: int =
     p = F.element_at(F.array(*map(F.lit, states.p)), F.col("state") + 1)
     share = F.when(F.col("phase"), p).otherwise(1 - p)
     fitted = post.select("clone", "chr", "t", F.when(F.abs(share - 0.5) < snap, F.lit(0.5)).otherwise(share).alias("baf"))
-    every = obs.join(fitted, ["clone", "chr", "t"], "left").fillna(0.5, ["baf"])
+    every = keep(obs.join(fitted, ["clone", "chr", "t"], "left").fillna(0.5, ["baf"]))
     whole = weighted_share(every.withColumn("depth", F.col("depth").cast("double")), "baf", "depth", ["chr", "t"])
     profiles = every.groupBy("chr", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct("clone", "baf"))), lambda x: x["baf"]).alias("bafs"))
     full = F.size("bafs") == F.max(F.size("bafs")).over(Window.partitionBy("chr"))

@@ -154,3 +154,47 @@ def test_genes_meet_the_segments_around_them_only(spark):
     assert time.monotonic() - began < 30
     long_one = {(g, 7) for g in range(8, 507)}
     assert sorted(map(tuple, rows)) == sorted({(g, g) for g in range(n)} | long_one)
+
+
+def test_a_first_phase_reads_its_observations_once(spark):
+    """Each step of a first phase once summed all counts anew."""
+    from pyspark.sql import functions as F
+
+    from tessera.plans import pipeline as P
+
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            reads.add(len(pdf))
+            yield pdf
+
+    i = F.col("id")
+    rows = spark.range(80).select((i % 2).cast("int").alias("clone"), F.lit(1).alias("chr"), F.floor(i / 2).alias("t"), (30 + i % 9).alias("k"), F.lit(100).cast("long").alias("depth"), F.lit(0).cast("long").alias("umi"), F.lit(0.0).alias("base"))
+    found = P.initial_phase(rows.mapInPandas(count, rows.schema), k=2, rounds=1, least=1)
+    assert found.count() == 40 and reads.value == 80
+
+
+def test_differential_genes_read_their_counts_once(spark):
+    """Every sum over the counts of a search for differing genes once read all lines anew."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators import hmrf as R
+
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            reads.add(len(pdf))
+            yield pdf
+
+    i = F.col("id")
+    rows = spark.range(600).select((i % 20).alias("feature"), F.floor(i / 20).alias("spot"), (1 + (i * 7 + F.floor(i / 20)) % 11).alias("umi"), F.lit(0).cast("long").alias("a"))
+    found = sorted(map(tuple, R.differential_genes(rows.mapInPandas(count, rows.schema), spark.range(10).select(i.alias("spot")), parts=2).collect()))
+    assert len(found) == 20 and reads.value == 600
+    limit, R.BROADCAST_SPOTS = R.BROADCAST_SPOTS, 0
+    try:
+        again = sorted(map(tuple, R.differential_genes(rows, spark.range(10).select(i.alias("spot")), parts=2).collect()))
+    finally:
+        R.BROADCAST_SPOTS = limit
+    assert [r[0::4] for r in again] == [r[0::4] for r in found]
