@@ -364,6 +364,10 @@ def normal_bins(obs: DataFrame, key: str = "bin", low: float = 0.05, high: float
     return judged.join(order, key, "left").select(key, "k", "depth", "kept", "renumbered")
 
 
+#: Spots whose vectors are broadcast (40 MB of them); more are joined by a shuffle.
+BROADCAST_SPOTS = 500_000
+
+
 def main_components(cells: DataFrame, parts: int = 4, rounds: int = 6, seed: int = 0) -> DataFrame:
     """(spot, scores): principal components of the long table ``cells(spot, feature, v)``, absent cells being zero.
 
@@ -372,8 +376,9 @@ def main_components(cells: DataFrame, parts: int = 4, rounds: int = 6, seed: int
     driver, whatever the number of features.
     """
     cells = keep(cells.select("spot", "feature", "v"))
-    spots = cells.select("spot").distinct()
+    spots = keep(cells.select("spot").distinct())
     n = spots.count()
+    few = F.broadcast if n <= BROADCAST_SPOTS else (lambda df: df)  # checked by size
     mean = keep(cells.groupBy("feature").agg((F.sum("v") / F.lit(max(n, 1))).alias("mean")))
     part = range(parts)
     # Fixed draws in (-1, 1), one for each spot and part.
@@ -397,7 +402,7 @@ def main_components(cells: DataFrame, parts: int = 4, rounds: int = 6, seed: int
     one = F.lit(1.0)
     for r in range(rounds + 1):
         total = sums(q, *((F.col(f"q{i}"), one) for i in part))
-        down = cells.join(q, "spot").groupBy("feature").agg(*(F.sum(F.col("v") * F.col(f"q{i}")).alias(f"f{i}") for i in part))
+        down = cells.join(few(q), "spot").groupBy("feature").agg(*(F.sum(F.col("v") * F.col(f"q{i}")).alias(f"f{i}") for i in part))
         down = down.join(mean, "feature").select("feature", "mean", *((F.col(f"f{i}") - F.col("mean") * float(total[i])).alias(f"f{i}") for i in part))
         if r == rounds:
             break
@@ -422,7 +427,8 @@ def differential_genes(counts: DataFrame, candidates: DataFrame, *, least_cells:
 
     from .aggregate import fold_changes
 
-    held = counts.groupBy("feature").agg(F.count_if(F.col("umi") > 0).alias("n"), F.sum("umi").alias("umi"))
+    counts = keep(counts.select("feature", "spot", "umi"))  # read by each step
+    held = keep(counts.groupBy("feature").agg(F.count_if(F.col("umi") > 0).alias("n"), F.sum("umi").alias("umi")))
     kept = counts.join(held.where(F.col("n") >= least_cells).select("feature"), "feature", "left_semi")
     totals = kept.groupBy("spot").agg(F.sum("umi").alias("total"))
     middle = totals.agg(F.median("total").alias("median"))
