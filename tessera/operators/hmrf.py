@@ -43,27 +43,78 @@ def _paths(paths: DataFrame, states: DataFrame) -> DataFrame:
     return paths.join(F.broadcast(states), [c for c in ("model", "state") if c in states.columns])  # K rows a model
 
 
-def _meet(sums: DataFrame, path: DataFrame, key: str, groups: DataFrame | None) -> DataFrame:
-    """Spots' sums beside the paths: all of them, or those of each spot's model as ``groups(spot, model)`` tells."""
-    if groups is None:
-        return sums.join(path, key)
-    return sums.join(groups.select("spot", "model"), "spot").join(path, [key, "model"])
+def _menu(paths: DataFrame, states: DataFrame, key: str, weight: Column, by: list[str]) -> DataFrame:
+    """(bin, [model], clones, menu): in a row for each bin the states met there, each with its parameters and with the clones that meet it (places in ``clones``) and their weights."""
+    each = list(dict.fromkeys([*by, *(c for c in ("model", "state") if c in states.columns)]))
+    law = ("log_mu", "alpha", "p", "tau")
+    met = _paths(paths, states).groupBy(*each).agg(*(F.first(c).alias(c) for c in law), F.array_sort(F.collect_list(F.struct("clone", weight.alias("w")))).alias("who"))
+    met = met.groupBy(*by).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("who.clone")))).alias("clones"), F.array_sort(F.collect_list(F.struct(*law, "who"))).alias("menu"))
+    placed = F.transform("menu", lambda m: F.struct(*(m[c].alias(c) for c in law), F.transform(m["who"], lambda x: F.struct((F.array_position("clones", x["clone"]) - 1).cast("int").alias("at"), x["w"].cast("double").alias("w"))).alias("who")))
+    return met.select(*by, "clones", placed.alias("menu"))
 
 
-def _emissions(umi: pa.Array, base: pa.Array, log_mu: pa.Array, alpha: pa.Array, k: pa.Array, depth: pa.Array, p: pa.Array, tau: pa.Array, *purity: pa.Array) -> pa.Array:
-    umi, base, log_mu, alpha, k, depth, p, tau, *purity = (np.asarray(x.cast(pa.float64()).fill_null(np.nan)) for x in (umi, base, log_mu, alpha, k, depth, p, tau, *purity))
-    pure = purity[0] if purity else None
-    found = nb_emissions(umi, base, log_mu, alpha, pure), bb_emissions(k, depth, p, tau, pure)
-    return pa.StructArray.from_arrays([pa.array(f, from_pandas=True) for f in found], ["r", "b"])
+def _by_clone(soft: bool):
+    """(r, b) of each clone of a row: the log-emissions of the states that it meets, weighted and summed, or summed out by log-weights (``soft``).
 
+    A state's emission is computed once for all clones that meet it.
+    """
 
-def row_emissions(pure: Column | None = None) -> Column:
-    """(r, b): log-emissions of a row's reads and alleles under its state's parameters, a batch of rows at a time.
-
-    The same as ``columns.nb_emission`` and ``columns.bb_emission``, whose folds Spark interprets row by row.
+    def run(umi: pa.Array, base: pa.Array, k: pa.Array, depth: pa.Array, clones: pa.Array, menu: pa.Array, *purity: pa.Array) -> pa.Array:
+        seen = [np.asarray(x.cast(pa.float64()).fill_null(np.nan)) for x in (umi, base, k, depth, *purity)]
+        *law, who = menu.flatten().flatten()
+        log_mu, alpha, p, tau = (np.asarray(x.fill_null(np.nan)) for x in law)
+        row = np.repeat(np.arange(len(menu)), np.asarray(menu.value_lengths()))
+        umi_, base_, k_, depth_, *pure = (x[row] for x in seen)
+        pure = pure[0] if pure else None
+        entry = np.repeat(np.arange(len(row)), np.asarray(who.value_lengths()))
+        at, w = (np.asarray(x) for x in who.flatten().flatten())
+        ends = np.concatenate([[0], np.cumsum(np.asarray(clones))])
+        slot = ends[row[entry]] + at
+
+        def by_clone(em: np.ndarray) -> np.ndarray:
+            if not soft:
+                return np.bincount(slot, w * em[entry], ends[-1])
+            v, top = em[entry] + w, np.full(ends[-1], -np.inf)
+            np.maximum.at(top, slot, v)
+            return top + np.log(np.bincount(slot, np.exp(v - top[slot]), ends[-1]))
+
+        with np.errstate(all="ignore"):
+            found = nb_emissions(umi_, base_, log_mu, alpha, pure), bb_emissions(k_, depth_, p, tau, pure)
+            parts = [pa.array(by_clone(f), from_pandas=True) for f in found]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, ["r", "b"]))
+
+    return F.arrow_udf(run, "array<struct<r: double, b: double>>")
+
+
+def _clone_llf(sums: DataFrame, paths: DataFrame, states: DataFrame, key: str, weight: Column, groups: DataFrame | None, *, soft: bool, pure: Column | None, more: Sequence[Column] = ()) -> DataFrame:
+    """(spot, clone, r, b, …) of spots' pooled ``sums(spot, bin, umi, base, k, depth)``, read and allele parts summed over bins; ``more``: aggregates of rows.
+
+    A spot's bin is one row, with all its clones; with ``groups(spot, model)`` those of the spot's model.
     """
-    of = F.arrow_udf(_emissions, "r double, b double")
-    return of(*(F.col(c) for c in ("umi", "base", "log_mu", "alpha", "k", "depth", "p", "tau")), *([] if pure is None else [pure]))
+    by = [key] if groups is None else [key, "model"]
+    rows = sums if groups is None else sums.join(groups.select("spot", "model"), "spot")
+    rows = rows.join(_menu(paths, states, key, weight, by), by)
+    em = _by_clone(soft)(*(F.col(c) for c in ("umi", "base", "k", "depth")), F.size("clones"), F.col("menu"), *([] if pure is None else [pure]))
+    kept = [c for c in sums.columns if c.startswith("_")]
+    rows = rows.select("spot", *kept, "clones", em.alias("em")).select("spot", *kept, F.explode(F.arrays_zip("clones", "em")).alias("c"))
+    return rows.groupBy("spot", F.col("c.clones").alias("clone")).agg(F.sum("c.em.r").alias("r"), F.sum("c.em.b").alias("b"), *more)
+
+
+def _neighbourhoods(counts: DataFrame, edges: DataFrame, key: str, purity: str | None, observed: bool) -> DataFrame:
+    """(spot, bin, umi, base, k, depth, [_nd, _nb], [_pure]): sums over each spot's neighbourhood, and how many observations all of it has and its mean ``purity``, in one pass."""
+    more = {"_nd": F.when(F.col("depth") > 0, 1).otherwise(0), "_nb": F.when(F.col("base") > 0, 1).otherwise(0)} if observed else {}
+    if purity:
+        more |= {"_q": F.col(purity).cast("double"), "_n": F.when(F.col(purity).isNotNull(), 1).otherwise(0)}
+    sums = pooled(counts.withColumns(more) if more else counts, edges, [key], ("umi", "base", "k", "depth", *more))
+    every = Window.partitionBy("spot")
+    if more:
+        sums = sums.withColumns({c: F.sum(c).over(every) for c in more})
+    return sums.withColumn("_pure", F.col("_q") / F.nullif("_n", F.lit(0))).drop("_q", "_n") if purity else sums
+
+
+def _ratio() -> Column:
+    """Allele observations for one read observation."""
+    return F.when((F.col("_nd") > 0) & (F.col("_nb") > 0), F.col("_nd") / F.col("_nb")).otherwise(F.lit(1.0))
 
 
 def spot_llf(counts: DataFrame, edges: DataFrame, decoded: DataFrame, states: DataFrame, key: str = "bin", purity: str | None = None, groups: DataFrame | None = None) -> DataFrame:
@@ -74,15 +125,10 @@ def spot_llf(counts: DataFrame, edges: DataFrame, decoded: DataFrame, states: Da
     neighbourhood. ``purity`` (a column of ``counts``) averages over the neighbourhood. With
     ``groups(spot, model)``, paths and states carry a ``model``, and a spot meets its own model's clones.
     """
-    sums = pooled(counts, edges, [key], ("umi", "base", "k", "depth"))
-    met = edges.join(counts, edges["dst"] == counts["spot"]).groupBy(F.col("src").alias("spot")).agg(F.count_if(F.col("depth") > 0).alias("nd"), F.count_if(F.col("base") > 0).alias("nb"), F.avg(purity).alias("purity") if purity else F.lit(None).cast("double").alias("purity"))
-    ratio = F.when((F.col("nd") > 0) & (F.col("nb") > 0), F.col("nd") / F.col("nb")).otherwise(F.lit(1.0))
-    path = _paths(decoded, states)
+    sums = _neighbourhoods(counts, edges, key, purity, True)
     weight = F.col("weight") if "weight" in decoded.columns else F.lit(1.0)
-    pure = F.col("purity") if purity else None
-    rows = _meet(sums, path, key, groups).join(met, "spot")
-    rows = rows.select("spot", "clone", weight.alias("w"), ratio.alias("ratio"), row_emissions(pure).alias("em"))
-    return rows.select("spot", "clone", (F.col("w") * (F.col("ratio") * F.col("em.r") + F.col("em.b"))).alias("v")).groupBy("spot", "clone").agg(F.sum("v").alias("llf"))
+    found = _clone_llf(sums, decoded, states, key, weight, groups, soft=False, pure=F.col("_pure") if purity else None, more=[F.first(c).alias(c) for c in ("_nd", "_nb")])
+    return found.select("spot", "clone", (_ratio() * F.col("r") + F.col("b")).alias("llf"))
 
 
 def posterior_spot_llf(counts: DataFrame, edges: DataFrame, posterior: DataFrame, states: DataFrame, key: str = "bin", purity: str | None = None, groups: DataFrame | None = None) -> DataFrame:
@@ -91,18 +137,10 @@ def posterior_spot_llf(counts: DataFrame, edges: DataFrame, posterior: DataFrame
     ``posterior``: (clone, bin, state, log_gamma). Read and allele parts are summed out apart; read
     parts are scaled by how many allele observations the spot itself has for one read observation.
     """
-    sums = pooled(counts, edges, [key], ("umi", "base", "k", "depth"))
-    own = counts.groupBy("spot").agg(F.count_if(F.col("depth") > 0).alias("nd"), F.count_if(F.col("base") > 0).alias("nb"))
-    ratio = F.when((F.col("nd") > 0) & (F.col("nb") > 0), F.col("nd") / F.col("nb")).otherwise(F.lit(1.0))
-    rows = _meet(sums, _paths(posterior, states), key, groups).join(own, "spot", "left")
-    if purity:
-        met = edges.join(counts, edges["dst"] == counts["spot"]).groupBy(F.col("src").alias("spot")).agg(F.avg(purity).alias("_pure"))
-        rows = rows.join(met, "spot")
-    pure = F.col("_pure") if purity else None
-    rows = rows.select("spot", "clone", key, ratio.alias("ratio"), "log_gamma", row_emissions(pure).alias("em"))
-    rdr, baf = F.col("em.r") + F.col("log_gamma"), F.col("em.b") + F.col("log_gamma")
-    per = rows.select("spot", "clone", key, "ratio", rdr.alias("r"), baf.alias("b")).groupBy("spot", "clone", key).agg(F.first("ratio").alias("ratio"), F.array_agg("r").alias("r"), F.array_agg("b").alias("b"))
-    return per.groupBy("spot", "clone").agg(F.sum(F.col("ratio") * logsumexp(F.col("r")) + logsumexp(F.col("b"))).alias("llf"))
+    sums = _neighbourhoods(counts, edges, key, purity, False)
+    own = counts.groupBy("spot").agg(F.count_if(F.col("depth") > 0).alias("_nd"), F.count_if(F.col("base") > 0).alias("_nb"))
+    found = _clone_llf(sums, posterior, states, key, F.col("log_gamma"), groups, soft=True, pure=F.col("_pure") if purity else None)
+    return found.join(own, "spot", "left").select("spot", "clone", (_ratio() * F.col("r") + F.col("b")).alias("llf"))
 
 
 def final_labels(counts: DataFrame, pooling: DataFrame, coupling: DataFrame, labels: DataFrame, paths: DataFrame, states: DataFrame, *, weight: float = 1.0, log_prior: DataFrame | None = None, purity: str | None = None) -> tuple[DataFrame, DataFrame]:
