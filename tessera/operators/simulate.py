@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,21 +150,30 @@ def simulate_spots(profile: DataFrame, expression: DataFrame, *, umi: tuple[floa
     ``expression``: (segment, weight). A spot's totals are log-normal (base 10); reads follow the
     profile, allele reads a beta-binomial around its share.
     """
-    rows = profile.join(expression, "segment").select("spot", "segment", "rdr", "baf", "weight")
+    held = F.array_sort(F.collect_list(F.struct("segment", "rdr", "baf", "weight")))
+    rows = profile.join(expression, "segment").groupBy("spot").agg(held.alias("at"))
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("segment")
-        rng = np.random.default_rng((seed, int(pdf["spot"].iloc[0])))
+    def draw(spot: int, segments: np.ndarray, rdr: np.ndarray, baf: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
+        rng = np.random.default_rng((seed, spot))
         totals = 10 ** rng.normal(*umi), 10 ** rng.normal(*snp)
-        w = pdf["weight"].to_numpy(float)
         w = w / w.sum() if w.sum() else np.full(len(w), 1 / len(w))
-        mean = totals[0] * w * pdf["rdr"].to_numpy(float)
-        baf = np.clip(pdf["baf"].to_numpy(float), 0, 1)
+        mean, baf = totals[0] * w * rdr, np.clip(baf, 0, 1)
         depth = segment_draws(rng, int(totals[1]), w)
         share = rng.beta(1 + concentration * baf, 1 + concentration * (1 - baf))
-        return pd.DataFrame({"spot": pdf["spot"], "segment": pdf["segment"], "umi": negative_binomial(rng, mean, dispersion), "depth": depth, "b": rng.binomial(depth, share)})
-
-    return rows.groupBy("spot").applyInPandas(draw, "spot long, segment long, umi long, depth long, b long")
+        return [np.full(len(segments), spot), segments, negative_binomial(rng, mean, dispersion), depth, rng.binomial(depth, share)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = batch.column("at")
+            ends = np.cumsum(np.asarray(at.value_lengths()))
+            columns = [np.split(np.asarray(x.cast(kind).fill_null(np.nan) if kind == pa.float64() else x), ends[:-1]) for x, kind in zip(at.flatten().flatten(), (None, *[pa.float64()] * 3), strict=True)]
+            drawn = [draw(spot, *own) for spot, *own in zip(batch.column("spot").to_pylist(), *columns, strict=True)]
+            names = ["spot", "segment", "umi", "depth", "b"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*drawn, strict=True)], names)
+
+    return rows.mapInArrow(run, "spot long, segment long, umi long, depth long, b long")
 
 
 def grow_tree(steps: int = 4, *, segments: int = 2181, size: int = 500, parsimony: float = 0.25, passengers: int = 10, seed: int = 0) -> list[dict]:
