@@ -52,6 +52,8 @@ def _reads(spark: SparkSession, d: str) -> DataFrame:
     Sums of single columns over more than a block's spot take these rows: sums by block and spot beforehand hardly shrink them.
     """
     members = _blocks(spark, d).select("chr", "block", "feature", "is_interval")
+    if B.task_number(spark, d):
+        members = members.hint("shuffle_hash")  # lines lie by feature already: a task's features meet them unsorted, and none are broadcast
     gene = F.col("is_interval")
     own = {"umi": F.when(gene, F.col("umi")).otherwise(0), "a": F.when(gene, 0).otherwise(F.col("a")), "b": F.when(gene, 0).otherwise(F.col("b"))}
     return B.counts(spark, d).join(members, "feature").select("chr", "block", "spot", *(v.alias(c) for c, v in own.items()))

@@ -18,13 +18,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import logsumexp
-from .aggregate import adjusted_rand, clone_log_weights, order_statistics, pooled
+from .aggregate import adjusted_rand, clone_log_weights, order_statistics
 from .fit import fit_normal_shares, np_bb
 from .hmm import States, emission_by_model, fit_together, gmm_states, posteriors, with_parameters
 from .lattice import bb_emissions, nb_emissions
 from .storage import keep
 from .sweep import TILE, Field
 
+#: Bins up to which their states and clones are broadcast.
+BROADCAST_BINS = 10_000
+
 
 def states_table(spark, states: States) -> DataFrame:
     """(state, log_mu, alpha, p, tau): K rows."""
@@ -90,10 +93,12 @@ def _clone_llf(sums: DataFrame, paths: DataFrame, states: DataFrame, key: str, w
     """(spot, clone, r, b, …) of spots' pooled ``sums(spot, bin, umi, base, k, depth)``, read and allele parts summed over bins; ``more``: aggregates of rows.
 
     A spot's bin is one row, with all its clones; with ``groups(spot, model)`` those of the spot's model.
+    Few bins are broadcast: a join that shuffles by bin has no more tasks than there are bins.
     """
     by = [key] if groups is None else [key, "model"]
     rows = sums if groups is None else sums.join(groups.select("spot", "model"), "spot")
-    rows = rows.join(_menu(paths, states, key, weight, by), by)
+    menu = keep(_menu(paths, states, key, weight, by))
+    rows = rows.join(F.broadcast(menu) if menu.count() <= BROADCAST_BINS else menu, by)
     em = _by_clone(soft)(*(F.col(c) for c in ("umi", "base", "k", "depth")), F.size("clones"), F.col("menu"), *([] if pure is None else [pure]))
     kept = [c for c in sums.columns if c.startswith("_")]
     rows = rows.select("spot", *kept, "clones", em.alias("em")).select("spot", *kept, F.explode(F.arrays_zip("clones", "em")).alias("c"))
@@ -102,10 +107,14 @@ def _clone_llf(sums: DataFrame, paths: DataFrame, states: DataFrame, key: str, w
 
 def _neighbourhoods(counts: DataFrame, edges: DataFrame, key: str, purity: str | None, observed: bool) -> DataFrame:
     """(spot, bin, umi, base, k, depth, [_nd, _nb], [_pure]): sums over each spot's neighbourhood, and how many observations all of it has and its mean ``purity``, in one pass."""
+    spark = counts.sparkSession
     more = {"_nd": F.when(F.col("depth") > 0, 1).otherwise(0), "_nb": F.when(F.col("base") > 0, 1).otherwise(0)} if observed else {}
     if purity:
         more |= {"_q": F.col(purity).cast("double"), "_n": F.when(F.col(purity).isNotNull(), 1).otherwise(0)}
-    sums = pooled(counts.withColumns(more) if more else counts, edges, [key], ("umi", "base", "k", "depth", *more))
+    own = (counts.withColumns(more) if more else counts).withColumnRenamed("spot", "_near")
+    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, but each row has emissions
+    met = edges.select(F.col("src").alias("spot"), F.col("dst").alias("_near")).join(own, "_near").repartition(tasks, "spot")  # sums by spot that follow need no further shuffle
+    sums = met.groupBy("spot", key).agg(*(F.sum(c).alias(c) for c in ("umi", "base", "k", "depth", *more)))
     every = Window.partitionBy("spot")
     if more:
         sums = sums.withColumns({c: F.sum(c).over(every) for c in more})
