@@ -9,12 +9,12 @@ States of many models are fitted in one pass: observations carry the number of t
 from __future__ import annotations
 
 import functools
-from collections.abc import Generator, Iterator, Sequence
+from collections.abc import Generator, Iterable, Iterator, Sequence
 from dataclasses import replace
 from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,6 +103,8 @@ def bb_terms(k: np.ndarray, n: np.ndarray, loc: np.ndarray, disp: np.ndarray, pu
 
 
 TERMS = {"nb": nb_terms, "bb": bb_terms}
+#: Location and dispersion of a law by name, and the range of locations.
+PARAMETERS = {"nb": ("log_mu", "alpha", -2, 2), "bb": ("p", "tau", 0.01, 0.99)}
 
 
 def np_nb(k: np.ndarray, base: np.ndarray, log_mu: np.ndarray, alpha: np.ndarray, purity: np.ndarray | None = None) -> np.ndarray:
@@ -118,31 +120,31 @@ def np_bb(k: np.ndarray, n: np.ndarray, p: np.ndarray, tau: np.ndarray, purity:
 def summed_terms(stats: DataFrame, points: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Of each law [model, state, candidate, six]: terms at ``points[law][model, state, candidate, (loc, disp)]`` summed over ``stats(law, [model], x, n, w, [purity])``, all in one pass.
 
-    ``w``: array of one weight a state.
+    ``w``: array of one weight a state. Each task sums its own rows; what comes to the driver is a row for each task and law.
     """
     pure, many = "purity" in stats.columns, "model" in stats.columns
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {law: np.zeros((*at.shape[:3], 6)) for law, at in points.items()}
-        for pdf in batches:
-            for (law, m), own in pdf.groupby(["law", "model"]) if many else (((law, 0), own) for law, own in pdf.groupby("law")):
-                if law not in points:
-                    continue
-                at = points[law][m]
-                x, n = (own[c].to_numpy(float)[:, None] for c in ("x", "n"))
-                w = np.array(own["w"].tolist(), float).reshape(len(own), len(at))
-                q = own["purity"].to_numpy(float)[:, None] if pure else None
-                for s in range(len(at)):
-                    held = np.flatnonzero(w[:, s])
-                    found = TERMS[law](x[held], n[held], at[s, :, 0], at[s, :, 1], None if q is None else q[held])
-                    total[law][m, s] += np.stack([w[held, s] @ f for f in found], axis=1)
+        for rows in batches:
+            laws, x, n = (np.asarray(rows.column(c)) for c in ("law", "x", "n"))
+            model, weights = np.asarray(rows.column("model")) if many else np.zeros(rows.num_rows, int), np.asarray(rows.column("w").flatten(), float)
+            weights = weights.reshape(rows.num_rows, -1) if rows.num_rows else weights
+            for law, at in points.items():
+                own = np.flatnonzero(laws == law)
+                for m in np.unique(model[own]):
+                    mine = own[model[own] == m]
+                    for s in range(at.shape[1]):
+                        held = mine[weights[mine, s] != 0]
+                        q = np.asarray(rows.column("purity"))[held][:, None] if pure else None
+                        found = TERMS[law](x[held][:, None].astype(float), n[held][:, None].astype(float), at[m, s, :, 0], at[m, s, :, 1], q)
+                        total[law][m, s] += np.stack([weights[held, s] @ f for f in found], axis=1)
         for law, found in total.items():
-            yield pd.DataFrame({"law": law, "g": np.arange(found.size // 6), "v": list(found.reshape(-1, 6))})
+            yield pa.RecordBatch.from_arrays([pa.array([law]), pa.array([found.ravel().tolist()], pa.list_(pa.float64()))], ["law", "v"])
 
     out = {law: np.zeros((*at.shape[:3], 6)) for law, at in points.items()}
-    rows = stats.mapInPandas(part, "law string, g long, v array<double>").groupBy("law", "g").agg(*(F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(6)))
-    for r in rows.collect():
-        out[r[0]].reshape(-1, 6)[r[1]] = r[2:]
+    for law, v in stats.mapInArrow(part, "law string, v array<double>").collect():
+        out[law] += np.reshape(v, out[law].shape)
     return out
 
 
@@ -257,17 +259,20 @@ def climb(kind: str, start: np.ndarray, *, shared: bool, fixed: bool = False, se
     return np.stack([loc, np.exp(at[:, :, 1])], axis=-1), taken
 
 
-def climb_together(stats: DataFrame, climbs: dict[str, Generator]) -> dict[str, tuple[np.ndarray, int]]:
-    """What several laws' ways up end with; each pass over ``stats(law, …)`` serves all that still climb."""
-    points, out = {law: next(way) for law, way in climbs.items()}, {}
+def climb_together(stats: DataFrame, climbs: dict[str, Generator], points: dict[str, np.ndarray] | None = None, found: dict[str, np.ndarray] | None = None) -> dict[str, tuple[np.ndarray, int]]:
+    """What several laws' ways up end with; each pass over ``stats(law, …)`` serves all that still climb.
+
+    ``points``: where ways that have begun stand; ``found``: their summed terms, where these are known already.
+    """
+    points, out = {law: next(way) for law, way in climbs.items()} if points is None else points, {}
     while points:
-        found, later = summed_terms(stats, points), {}
+        found, later = found or summed_terms(stats, points), {}
         for law, terms in found.items():
             try:
                 later[law] = climbs[law].send(terms)
             except StopIteration as end:
                 out[law] = end.value
-        points = later
+        points, found = later, None
     return out
 
 
@@ -286,11 +291,11 @@ def fit_models(rows: DataFrame, models: Sequence[States], *, means: bool, shares
 
     ``phased``: there are 2K posteriors, the second half of which counts reads of the other allele.
     """
-    k, models = models[0].k, list(models)
+    k = models[0].k
     gamma = F.transform("log_gamma", lambda g: F.exp(g))
     both = F.array(*(gamma[s] + gamma[s + k] for s in range(k))) if phased else gamma
 
-    laws, names = {}, {"nb": ("log_mu", "alpha", -2, 2), "bb": ("p", "tau", 0.01, 0.99)}
+    laws = {}
     if means and models[0].log_mu:
         laws["nb"] = compressed(rows.where(F.col("base") > 0), F.col("umi").cast("double"), F.col("base"), both, k, purity=purity, model="model")
     if shares:
@@ -302,16 +307,26 @@ def fit_models(rows: DataFrame, models: Sequence[States], *, means: bool, shares
             weights = F.col("w")
         laws["bb"] = compressed(held, F.col("k").cast("double"), F.col("depth"), weights, k, purity=purity, model="model")
     if not laws:
-        return models
+        return list(models)
     stats = functools.reduce(DataFrame.unionByName, (df.withColumn("law", F.lit(law)) for law, df in laws.items())).persist()
-    starts = {law: np.array([np.stack([getattr(m, names[law][0]), getattr(m, names[law][1])], axis=1) for m in models]) for law in laws}
-    found = climb_together(stats, {law: climb(law, at, shared=shared, fixed=fixed, near=near, settings=settings) for law, at in starts.items()})
+    found = climb_together(stats, ways_up(models, laws, shared=shared, fixed=fixed, near=near, settings=settings))
     weight = {law: np.zeros((len(models), k)) for law in laws}
     for r in stats.groupBy("law", "model").agg(*(F.sum(F.col("w")[s]).alias(f"_{s}") for s in range(k))).collect():
         weight[r[0]][r[1]] = r[2:]
     stats.unpersist()
+    return refitted(models, found, weight, least)
+
+
+def ways_up(models: Sequence[States], laws: Iterable[str], **how) -> dict[str, Generator]:
+    """``climb`` of each law from the models' parameters."""
+    return {law: climb(law, np.array([np.stack([getattr(m, c) for c in PARAMETERS[law][:2]], axis=1) for m in models]), **how) for law in laws}
+
+
+def refitted(models: Sequence[States], found: dict[str, tuple[np.ndarray, int]], weight: dict[str, np.ndarray], least: float = 0.1) -> list[States]:
+    """``models`` with the parameters found; states of less than ``least`` weight (of a law: [model, state]) stay."""
+    models = list(models)
     for law, (values, _) in found.items():
-        loc, disp, low, high = names[law]
+        loc, disp, low, high = PARAMETERS[law]
         for i, m in enumerate(models):
             keep = weight[law][i] < least
             new = {loc: np.where(keep, getattr(m, loc), np.clip(values[i, :, 0], low, high)), disp: np.where(keep, getattr(m, disp), values[i, :, 1])}

@@ -13,12 +13,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import bb_emission, bb_state, nb_emission, nb_state
-from .fit import fit_models
-from .lattice import emitter, finisher, lse, multiplier, scanner
+from .fit import climb_together, refitted, ways_up
+from .lattice import PAIRS, emitter, finisher, lse, multiplier, pair_counter, scanner, sum_shapes
 from .storage import keep
 
 
@@ -61,6 +61,8 @@ def emission(states: States, *, phased: bool = False, reads: bool = True, purity
     return F.array(*shares(F.col("k")), *(shares(F.col("depth") - F.col("k")) if phased else []))
 
 
+#: Rows of chains for each task that sums their distinct pairs.
+TASK_PAIRS = 1_000_000
 #: Parameters of a row's model, as columns.
 PARAMETERS = ("_p", "_tau", "_log_mu", "_alpha")
 
@@ -202,9 +204,13 @@ def start_update(posterior: DataFrame, k: int) -> tuple[float, ...]:
     return tuple(np.log(m / m.sum()))
 
 
-def _after(first, then):
-    """One pass through two mappings of Arrow batches."""
-    return lambda batches: then(first(batches))
+def posteriors_by_model(obs: DataFrame, models: Sequence[States], keys: Sequence[str], *, model: str = "model", reads: bool = True) -> DataFrame:
+    """``posteriors`` of ``obs(model, keys, t, umi, base, k, depth)``, each chain under its model's emissions, in one pass."""
+    carry, kinds = ("umi", "base", "k", "depth"), _schemas(obs, keys, "t", ())[1]
+    p, tau, log_mu, alpha = (np.array([getattr(m, c) for m in models], float) for c in ("p", "tau", "log_mu", "alpha"))
+    emit = emitter(p, tau, log_mu if reads and models[0].log_mu else None, alpha, False, None)
+    finish = finisher(list(keys), "t", _starts(models, False), np.array([m.log_trans for m in models]), False, False, [])
+    return _blocks(obs, keys, "t", None, model=model, carry=carry).mapInArrow(lambda batches: finish(emit(batches)), kinds)
 
 
 def fit_together(obs: DataFrame, models: Sequence[States], keys: Sequence[str], *, model: str = "model", update: str = "stmp", rounds: int = 30, tol: float = 1e-3, switch: str | None = None, diagonal: bool = False, shared: bool = True, purity: str | None = None, settings: dict[str, float] | None = None, telemetry: str | None = None) -> tuple[list[States], list[list[float]]]:
@@ -212,38 +218,44 @@ def fit_together(obs: DataFrame, models: Sequence[States], keys: Sequence[str],
 
     ``update`` names what each round fits: s start, t transitions, m means, p shares. A model is
     done when its transitions, means and shares all change by less than ``tol`` on average; its
-    rows are left out of later rounds. Chains are gathered once; each round is one pass over them for
-    emissions and posteriors, kept while the fits read its compressed pairs. ``keys`` hold ``model`` or tell its chains apart.
-    ``telemetry``: a table that takes a row for each model and round, with what the pass itself observed.
+    rows are left out of later rounds. Chains are gathered once; each round is one pass over them, in
+    which posteriors are summed for distinct pairs of counts, and after the first round the fits' first
+    pass is part of it. ``keys`` hold ``model`` or tell its chains apart.
+    ``telemetry``: a table that takes a row for each model and round, with what the pass itself counted.
     """
-    models, trails = list(models), [[] for _ in models]
+    spark, models, trails = obs.sparkSession, list(models), [[] for _ in models]
     keys, k = [model, *(c for c in keys if c != model)], models[0].k
     reads, going, phased = "m" in update, list(range(len(models))), switch is not None
     carry = ("umi", "base", "k", "depth", *([purity] if purity else []))
-    chains, (_, found) = keep(_blocks(obs, keys, "t", switch, model=model, carry=carry)), _schemas(obs, keys, "t", carry)
+    chains = keep(_blocks(obs, keys, "t", switch, model=model, carry=carry))
+    tasks = max(spark.sparkContext.defaultParallelism, (chains.agg(F.sum(F.size("t"))).first()[0] or 0) // TASK_PAIRS)
+    laws = [*(["nb"] if reads and models[0].log_mu else []), *(["bb"] if "p" in update else [])]
     for number in range(1, rounds + 1):
         began = time.monotonic()
+        climbs = ways_up(models, laws, shared=shared, near=number > 1, settings=settings)
+        points = {law: next(way) for law, way in climbs.items()}
         p, tau, log_mu, alpha = (np.array([getattr(m, c) for m in models], float) for c in ("p", "tau", "log_mu", "alpha"))
-        emit = emitter(p, tau, log_mu if reads and models[0].log_mu else None, alpha, phased, purity)
-        finish = finisher(keys, "t", _starts(models, phased), np.array([m.log_trans for m in models]), phased, False, list(carry))
-        seen = Observation()
-        post = chains.where(F.col(model).isin(going)).mapInArrow(_after(emit, finish), found).observe(seen, F.count(F.lit(1)).alias("rows"), F.sum("llf").alias("llf"))
-        post = post.persist()
-        sums = expected_sums(post, k, model)
+        count = pair_counter(p, tau, log_mu if reads and models[0].log_mu else None, alpha, _starts(models, phased), np.array([m.log_trans for m in models]), phased, purity, laws, points if number > 1 else {})
+        pairs = chains.where(F.col(model).isin(going)).mapInArrow(count, PAIRS)
+        by = ("law", "model", "x", "n", "purity")
+        stats = pairs.repartition(tasks, *by).groupBy(*by).agg(*(F.sum(F.col("w")[s]).alias(f"_{s}") for s in range(k)))
+        stats = stats.select(*by[: 5 if purity else 4], F.array(*(F.col(f"_{s}") for s in range(k))).alias("w")).persist()
+        sums = _model_sums(stats, len(models), k)
         fresh, before = list(models), list(models)
         for m in going:
-            moves, starts, llf = sums.get(m, (np.zeros((k, k)), np.zeros(k), 0.0))
-            trails[m].append(llf)
+            moves, starts = sums["moves"][m], sums["starts"][m]
+            trails[m].append(float(sums["llf"][m]))
             if "s" in update and starts.sum():
                 fresh[m] = replace(fresh[m], log_start=tuple(np.log((starts + 1e-300) / (starts + 1e-300).sum())))
             if "t" in update and moves.sum():
                 fresh[m] = replace(fresh[m], log_trans=normalised_transitions(moves, diagonal))
-        models = fit_models(post.withColumn("model", F.col(model)), fresh, phased=switch is not None, means=reads, shares="p" in update, shared=shared, purity=purity, near=number > 1, settings=settings)
-        post.unpersist()
+        ends = climb_together(stats, climbs, points, {law: sums[f"{law}_terms"][:, :, None] for law in laws} if number > 1 else None)
+        models = refitted(fresh, ends, sums)
+        stats.unpersist()
         if telemetry:
             from ..sources.writers import append_metrics
 
-            append_metrics(obs.sparkSession, telemetry, [("+".join(keys), int(seen.get["rows"]), k, update, time.monotonic() - began, number, float(trails[m][-1])) for m in going])
+            append_metrics(spark, telemetry, [("+".join(keys), int(sums["rows"].sum()), k, update, time.monotonic() - began, number, float(trails[m][-1])) for m in going])
 
         def change(m: int) -> float:
             a, b = models[m], before[m]  # noqa: B023
@@ -256,6 +268,16 @@ def fit_together(obs: DataFrame, models: Sequence[States], keys: Sequence[str],
     return models, trails
 
 
+def _model_sums(stats: DataFrame, models: int, k: int) -> dict[str, np.ndarray]:
+    """The sums that a pass over chains left in ``stats``, by name: [model, …]."""
+    shapes = sum_shapes(k)
+    sizes = [int(np.prod(s)) for s in shapes.values()]
+    flat = np.zeros((models, sum(sizes)))
+    for m, place, w in stats.where("law = 'sum'").select("model", F.col("x").cast("int"), F.col("w")[0]).collect():
+        flat[m, place] = w
+    return {name: part.reshape(models, *shape) for (name, shape), part in zip(shapes.items(), np.split(flat, np.cumsum(sizes)[:-1], axis=1), strict=True)}
+
+
 def baum_welch(obs: DataFrame, states: States, keys: Sequence[str], **how) -> tuple[States, list[float]]:
     """``fit_together`` of one model: (fitted states, log-likelihoods) of ``obs(keys, t, umi, base, k, depth)``."""
     (found,), (trail,) = fit_together(obs.withColumn("_one", F.lit(0)), [states], keys, model="_one", **how)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import logsumexp
 from .aggregate import adjusted_rand, clone_log_weights, order_statistics
 from .fit import fit_normal_shares, np_bb
-from .hmm import States, emission_by_model, fit_together, gmm_states, posteriors, with_parameters
+from .hmm import States, fit_together, gmm_states, posteriors_by_model
 from .lattice import bb_emissions, nb_emissions
 from .storage import keep
 from .sweep import TILE, Field
@@ -234,8 +234,7 @@ def field_loop(counts: DataFrame, pooling: DataFrame, coupling: DataFrame, label
     for _ in range(rounds):
         obs = keep(clone_bulk(counts, labels))
         models, _ = fit_together(obs, models, ["model", "clone", "chr"], rounds=em_rounds, update=update, telemetry=telemetry)
-        em = emission_by_model(models[0].k, reads="m" in update and bool(models[0].log_mu))
-        post = posteriors(with_parameters(obs, models, "model").withColumn("em", em), models, ["model", "clone", "chr"], model="model")
+        post = posteriors_by_model(obs, models, ["model", "clone", "chr"], reads="m" in update)
         score = spot_llf if nodes == "max" else posterior_spot_llf
         llf = keep(score(counts, pooling, clone_paths(post, nodes), models_table(spark, models), groups=groups))
         prior = clone_log_weights(labels.select("sample", F.col("label").alias("clone")), labels.select(F.col("label").alias("clone")).distinct()) if inertia else None

@@ -12,10 +12,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
+from .fit import TERMS
+
 #: Numbers of a padded batch at most.
 CELLS = 4_000_000
+#: What a pass over chains leaves: a law's distinct pairs with each state's summed posteriors, or, under "sum", the sum of place x in the first entry of ``w``.
+PAIRS = "law string, model int, x double, n double, purity double, w array<double>"
 
 
 def lse(a: np.ndarray, axis: int) -> np.ndarray:
@@ -100,18 +105,26 @@ def batches(rows: pa.RecordBatch, trans: np.ndarray, phased: bool) -> Iterator[t
     flat = em.flatten()
     states = len(flat[0]) if len(flat) else 1
     flat = np.asarray(flat.flatten(), float).reshape(-1, states)
+    for at, _, batch in padded(sizes, flat, rows.column("_model").to_numpy(), _switches(rows) if phased else None, trans):
+        yield at, batch
+
+
+def _switches(rows: pa.RecordBatch) -> np.ndarray:
+    return np.asarray(rows.column("switch").flatten().fill_null(-np.inf), float)
+
+
+def padded(sizes: np.ndarray, flat: np.ndarray, model: np.ndarray, switch: np.ndarray | None, trans: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, Batch]]:
+    """(numbers of the blocks, places of their rows, padded blocks) of blocks of ``sizes`` rows that lie one after the other in ``flat``."""
     begin = np.concatenate([[0], np.cumsum(sizes)])
-    model = rows.column("_model").to_numpy()
-    switch = np.asarray(rows.column("switch").flatten().fill_null(-np.inf), float) if phased else None
     order = np.argsort(-sizes, kind="stable")
     lo = 0
     while lo < len(order):
-        most = max(1, CELLS // max(int(sizes[order[lo]]) * states, 1))
+        most = max(1, CELLS // max(int(sizes[order[lo]]) * flat.shape[1], 1))
         at = order[lo : lo + most]
         lo += most
         length = int(sizes[at[0]])
         place = begin[at][:, None] + np.minimum(np.arange(length)[None], sizes[at][:, None] - 1)
-        yield at, Batch(flat[place], sizes[at], trans[model[at]], None if switch is None else switch[place])
+        yield at, place, Batch(flat[place], sizes[at], trans[model[at]], None if switch is None else switch[place])
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -180,6 +193,92 @@ def emitter(p: np.ndarray, tau: np.ndarray, log_mu: np.ndarray | None, alpha: np
     return emit
 
 
+def distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of each distinct tuple, number of every row's tuple)."""
+    of = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        own, values = pd.factorize(c, use_na_sentinel=False)
+        of = pd.factorize(of * max(len(values), 1) + own)[0]
+    first = np.zeros(of.max(initial=-1) + 1, np.int64)
+    first[of[::-1]] = np.arange(len(of))[::-1]
+    return first, of
+
+
+def sum_shapes(k: int) -> dict[str, tuple[int, ...]]:
+    """Sums of a model of k states, in order: transitions, starts, likelihood, rows, and of each law the states' weights and six terms."""
+    return {"moves": (k, k), "starts": (k,), "llf": (), "rows": (), "nb": (k,), "bb": (k,), "nb_terms": (k, 6), "bb_terms": (k, 6)}
+
+
+def pair_counter(p: np.ndarray, tau: np.ndarray, log_mu: np.ndarray | None, alpha: np.ndarray | None, start: np.ndarray, trans: np.ndarray, phased: bool, purity: str | None, laws: list[str], points: dict[str, np.ndarray], decimals: int = 3) -> Callable:
+    """``PAIRS`` from rows of blocks (_model, umi, base, k, depth, [purity], [switch]): posteriors summed where they arise, so that no row of them leaves the pass.
+
+    Parameters are [model, state], as in ``emitter``. An emission, and a term at ``points[law][model, state, 0]``, is computed once for equal rows of a batch.
+    """
+    k, models = p.shape[1], len(trans)
+
+    def rounded(x: np.ndarray) -> np.ndarray:
+        return np.floor(x * 10**decimals + 0.5) / 10**decimals
+
+    def count(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in given:
+            if not rows.num_rows:
+                continue
+            sizes, own = np.asarray(rows.column("k").value_lengths()), rows.column("_model").to_numpy()
+            model = np.repeat(own, sizes)
+            umi, base, kept, depth, *pure = (np.asarray(rows.column(c).flatten().cast(pa.float64()).fill_null(np.nan)) for c in ("umi", "base", "k", "depth", *([purity] if purity else [])))
+            reads, alleles = distinct(model, umi, base, *pure), distinct(model, kept, depth, *pure)
+
+            def each(found: Callable, pairs: tuple, x: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                """Emissions [row, state]."""
+                first, of = pairs
+                m, q = model[first], pure[0][first] if pure else None  # noqa: B023
+                return np.stack([found(x[first], n[first], a[m, s], b[m, s], q) for s in range(k)], axis=1)[of]
+
+            by_reads = 0.0 if log_mu is None else each(nb_emissions, reads, umi, base, log_mu, alpha)
+            parts = [by_reads + each(bb_emissions, alleles, x, depth, p, tau) for x in ((kept, depth - kept) if phased else (kept,))]
+            em = np.concatenate(parts, axis=1)
+            post, sums = np.empty_like(em), {name: np.zeros((models, *shape)) for name, shape in sum_shapes(k).items()}
+            for at, place, batch in padded(sizes, em, own, _switches(rows) if phased else None, trans):
+                n = len(at)
+                gamma, moves, llf = batch.posteriors(start[own[at]], np.zeros((n, em.shape[1])), np.zeros(n, bool), np.full(n, np.nan))
+                held = np.arange(gamma.shape[1])[None] < batch.size[:, None]
+                post[place[held]] = np.exp(gamma[held])
+                # Both phases of a state count.
+                opens, moves = np.exp(gamma[:, 0]).reshape(n, -1, k).sum(axis=1), moves.reshape(n, -1, k, moves.shape[1] // k, k).sum(axis=(1, 3))
+                for name, v in (("moves", moves), ("starts", opens), ("llf", llf), ("rows", batch.size)):
+                    np.add.at(sums[name], own[at], v)
+            out = []
+
+            def pairs(law: str, found: tuple, x: np.ndarray, n: np.ndarray, w: np.ndarray) -> None:
+                first, of = found
+                ok = (n[first] > 0) & np.isfinite(x[first] + (pure[0][first] if pure else 0.0))  # noqa: B023
+                held, first = np.stack([np.bincount(of, w[:, s], len(first)) for s in range(k)], axis=1)[ok], first[ok]
+                m, x, n, q = model[first], x[first], rounded(n[first]), rounded(pure[0][first]) if pure else None  # noqa: B023
+                np.add.at(sums[law], m, held)  # noqa: B023
+                for s in range(k if law in points else 0):
+                    with np.errstate(all="ignore"):
+                        terms = np.stack(TERMS[law](x, n, points[law][m, s, 0, 0], points[law][m, s, 0, 1], q), axis=1) * held[:, s, None]
+                    np.add.at(sums[f"{law}_terms"][:, s], m, np.where(held[:, s, None] > 0, terms, 0.0))  # noqa: B023
+                out.append((law, m, x, n, q, held))  # noqa: B023
+
+            if "nb" in laws:
+                pairs("nb", reads, umi, base, post[:, :k] + post[:, k:] if phased else post)
+            if "bb" in laws:
+                pairs("bb", alleles, kept, depth, post[:, :k])
+                if phased:
+                    pairs("bb", alleles, depth - kept, depth, post[:, k:])
+            flat = np.concatenate([v.reshape(models, -1) for v in sums.values()], axis=1)
+            met = np.unique(own)
+            first = np.zeros((len(met) * flat.shape[1], k))
+            first[:, 0] = flat[met].ravel()
+            out.append(("sum", np.repeat(met, flat.shape[1]), np.tile(np.arange(flat.shape[1], dtype=float), len(met)), np.zeros(len(first)), None, first))
+            for law, m, x, n, q, w in out:
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(w) + 1) * k, pa.int32()), pa.array(w.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array([law] * len(w), pa.string()), pa.array(m, pa.int32()), pa.array(x), pa.array(n), pa.nulls(len(w), pa.float64()) if q is None else pa.array(q), lists], ["law", "model", "x", "n", "purity", "w"])
+
+    return count
+
+
 def finisher(keys: list[str], order: str, start: np.ndarray, trans: np.ndarray, phased: bool, scanned: bool, carry: list[str]) -> Callable:
     """Rows of posteriors, with the columns ``carry``, from rows of blocks (keys, _model, t, em, [switch], carried arrays, and where ``scanned`` entry, after, llf, first)."""
 
