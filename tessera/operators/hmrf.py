@@ -21,12 +21,12 @@ from ..functions.columns import logsumexp
 from .aggregate import adjusted_rand, clone_log_weights, order_statistics
 from .fit import fit_normal_shares, np_bb
 from .hmm import States, fit_together, gmm_states, posteriors_by_model
-from .lattice import bb_emissions, nb_emissions
+from .lattice import bb_emissions, distinct, nb_emissions
 from .storage import keep
 from .sweep import TILE, Field
 
-#: Bins up to which their states and clones are broadcast.
-BROADCAST_BINS = 10_000
+#: Bins up to which their clones and states are broadcast, if these are at most five times as many (some 40 MB).
+BROADCAST_BINS = 200_000
 
 
 def states_table(spark, states: States) -> DataFrame:
@@ -46,69 +46,98 @@ def _paths(paths: DataFrame, states: DataFrame) -> DataFrame:
     return paths.join(F.broadcast(states), [c for c in ("model", "state") if c in states.columns])  # K rows a model
 
 
-def _menu(paths: DataFrame, states: DataFrame, key: str, weight: Column, by: list[str]) -> DataFrame:
-    """(bin, [model], clones, menu): in a row for each bin the states met there, each with its parameters and with the clones that meet it (places in ``clones``) and their weights."""
-    each = list(dict.fromkeys([*by, *(c for c in ("model", "state") if c in states.columns)]))
-    law = ("log_mu", "alpha", "p", "tau")
-    met = _paths(paths, states).groupBy(*each).agg(*(F.first(c).alias(c) for c in law), F.array_sort(F.collect_list(F.struct("clone", weight.alias("w")))).alias("who"))
-    met = met.groupBy(*by).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("who.clone")))).alias("clones"), F.array_sort(F.collect_list(F.struct(*law, "who"))).alias("menu"))
-    placed = F.transform("menu", lambda m: F.struct(*(m[c].alias(c) for c in law), F.transform(m["who"], lambda x: F.struct((F.array_position("clones", x["clone"]) - 1).cast("int").alias("at"), x["w"].cast("double").alias("w"))).alias("who")))
-    return met.select(*by, "clones", placed.alias("menu"))
+def _menu(paths: DataFrame, states: DataFrame, weight: Column, by: list[str]) -> DataFrame:
+    """(bin, [model], who): in a row for each bin its clones with the numbers of the states that they meet there and their weights."""
+    met = _paths(paths, states).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("clone", "number", weight.cast("double").alias("w")))).alias("who"))
+    return met.select(*by, *(F.col(f"who.{c}").alias(f"_{c}") for c in ("clone", "number", "w")))
 
 
-def _by_clone(soft: bool):
-    """(r, b) of each clone of a row: the log-emissions of the states that it meets, weighted and summed, or summed out by log-weights (``soft``).
+def _numbered(states: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(keys of states with their numbers, their parameters [number, (log_mu, alpha, p, tau)]): K rows a model."""
+    names = [c for c in ("model", "state") if c in states.columns]
+    rows = states.select(*names, *(F.col(c).cast("double") for c in ("log_mu", "alpha", "p", "tau"))).orderBy(*names).collect()
+    keys = states.sparkSession.createDataFrame([(*map(int, r[: len(names)]), i) for i, r in enumerate(rows)], ", ".join(f"{c} int" for c in (*names, "number")))
+    return keys, np.array([[np.nan if x is None else x for x in r[len(names) :]] for r in rows], float).reshape(-1, 4)
 
-    A state's emission is computed once for all clones that meet it.
+
+def _by_clone(law: np.ndarray, soft: bool, observed: list[str]):
+    """Sums (spot, clone, r, b, …) of a batch's rows: log-emissions of the states that a clone meets, weighted and summed, or summed out by log-weights (``soft``).
+
+    A row's emission is computed once for all clones that meet its state; those of equal allele counts once in a batch.
     """
 
-    def run(umi: pa.Array, base: pa.Array, k: pa.Array, depth: pa.Array, clones: pa.Array, menu: pa.Array, *purity: pa.Array) -> pa.Array:
-        seen = [np.asarray(x.cast(pa.float64()).fill_null(np.nan)) for x in (umi, base, k, depth, *purity)]
-        *law, who = menu.flatten().flatten()
-        log_mu, alpha, p, tau = (np.asarray(x.fill_null(np.nan)) for x in law)
-        row = np.repeat(np.arange(len(menu)), np.asarray(menu.value_lengths()))
-        umi_, base_, k_, depth_, *pure = (x[row] for x in seen)
-        pure = pure[0] if pure else None
-        entry = np.repeat(np.arange(len(row)), np.asarray(who.value_lengths()))
-        at, w = (np.asarray(x) for x in who.flatten().flatten())
-        ends = np.concatenate([[0], np.cumsum(np.asarray(clones))])
-        slot = ends[row[entry]] + at
-
-        def by_clone(em: np.ndarray) -> np.ndarray:
-            if not soft:
-                return np.bincount(slot, w * em[entry], ends[-1])
-            v, top = em[entry] + w, np.full(ends[-1], -np.inf)
-            np.maximum.at(top, slot, v)
-            return top + np.log(np.bincount(slot, np.exp(v - top[slot]), ends[-1]))
-
-        with np.errstate(all="ignore"):
-            found = nb_emissions(umi_, base_, log_mu, alpha, pure), bb_emissions(k_, depth_, p, tau, pure)
-            parts = [pa.array(by_clone(f), from_pandas=True) for f in found]
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, ["r", "b"]))
-
-    return F.arrow_udf(run, "array<struct<r: double, b: double>>")
-
-
-def _clone_llf(sums: DataFrame, paths: DataFrame, states: DataFrame, key: str, weight: Column, groups: DataFrame | None, *, soft: bool, pure: Column | None, more: Sequence[Column] = ()) -> DataFrame:
-    """(spot, clone, r, b, …) of spots' pooled ``sums(spot, bin, umi, base, k, depth)``, read and allele parts summed over bins; ``more``: aggregates of rows.
-
-    A spot's bin is one row, with all its clones; with ``groups(spot, model)`` those of the spot's model.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            umi, base, k, depth, *pure = (np.asarray(rows.column(c).cast(pa.float64()).fill_null(np.nan)) for c in ("umi", "base", "k", "depth", *(c for c in ("_pure",) if c in rows.schema.names)))
+            whose = rows.column("_clone").flatten()
+            at = np.repeat(np.arange(rows.num_rows), np.asarray(rows.column("_clone").value_lengths()))
+            number, w = np.asarray(rows.column("_number").flatten()), np.asarray(rows.column("_w").flatten().fill_null(np.nan))
+            first, same = distinct(k, depth, *pure)
+            reads, alleles = np.empty(len(at)), np.empty(len(at))
+            for s in np.unique(number):
+                own, of = np.unique(at[number == s], return_inverse=True)
+                log_mu, alpha, p, tau = (np.full(len(own), x) for x in law[s])
+                reads[number == s] = nb_emissions(umi[own], base[own], log_mu, alpha, pure[0][own] if pure else None)[of]
+                used, found = np.zeros(len(first), bool), np.zeros(len(first))
+                used[same[own]] = True
+                some = first[used]
+                found[used] = bb_emissions(k[some], depth[some], np.full(len(some), law[s, 2]), np.full(len(some), law[s, 3]), pure[0][some] if pure else None)
+                alleles[number == s] = found[same[own]][of]
+            spot, place = distinct(np.asarray(rows.column("spot")))
+            clone, which = distinct(np.asarray(whose))
+            slot = place[at] * len(clone) + which
+            parts = []
+            if soft:  # a row's clone has its states one after the other
+                opens = np.flatnonzero(np.diff(at * len(clone) + which, prepend=-1))
+                group = np.repeat(np.arange(len(opens)), np.diff(opens, append=len(at)))
+            with np.errstate(all="ignore"):
+                for em in (reads, alleles):
+                    if soft:
+                        v = em + w
+                        top = np.maximum.reduceat(v, opens)
+                        v, to = top + np.log(np.add.reduceat(np.exp(v - top[group]), opens)), slot[opens]
+                    else:
+                        v, to = w * em, slot
+                    known = ~np.isnan(v)
+                    n = len(spot) * len(clone)
+                    parts.append(np.where(np.bincount(to, known, n) > 0, np.bincount(to, np.where(known, v, 0.0), n), np.nan))
+            met = np.unique(slot)
+            seat = pa.array(spot[met // len(clone)])
+            more = [rows.column(c).take(seat) for c in observed]
+            yield pa.RecordBatch.from_arrays([rows.column("spot").take(seat), whose.take(pa.array(clone[met % len(clone)])), *(pa.array(x[met], from_pandas=True) for x in parts), *more], ["spot", "clone", "r", "b", *observed])
+
+    return run
+
+
+def _clone_llf(sums: DataFrame, paths: DataFrame, states: DataFrame, key: str, soft: bool) -> DataFrame:
+    """(spot, clone, llf) of ``neighbourhoods``, read and allele parts summed over bins.
+
+    A spot's bin is one row, with all its clones, or where ``sums`` has a ``model`` with that model's.
     Few bins are broadcast: a join that shuffles by bin has no more tasks than there are bins.
     """
-    by = [key] if groups is None else [key, "model"]
-    rows = sums if groups is None else sums.join(groups.select("spot", "model"), "spot")
-    menu = keep(_menu(paths, states, key, weight, by))
-    rows = rows.join(F.broadcast(menu) if menu.count() <= BROADCAST_BINS else menu, by)
-    em = _by_clone(soft)(*(F.col(c) for c in ("umi", "base", "k", "depth")), F.size("clones"), F.col("menu"), *([] if pure is None else [pure]))
-    kept = [c for c in sums.columns if c.startswith("_")]
-    rows = rows.select("spot", *kept, "clones", em.alias("em")).select("spot", *kept, F.explode(F.arrays_zip("clones", "em")).alias("c"))
-    return rows.groupBy("spot", F.col("c.clones").alias("clone")).agg(F.sum("c.em.r").alias("r"), F.sum("c.em.b").alias("b"), *more)
-
-
-def _neighbourhoods(counts: DataFrame, edges: DataFrame, key: str, purity: str | None, observed: bool) -> DataFrame:
-    """(spot, bin, umi, base, k, depth, [_nd, _nb], [_pure]): sums over each spot's neighbourhood, and how many observations all of it has and its mean ``purity``, in one pass."""
+    by = [c for c in (key, "model") if c in sums.columns]
+    keys, law = _numbered(states)
+    weight = F.col("log_gamma") if soft else F.col("weight") if "weight" in paths.columns else F.lit(1.0)
+    menu = keep(_menu(paths, keys, weight, by))
+    bins, entries = menu.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_clone")), F.lit(0))).first()
+    rows = sums.join(F.broadcast(menu) if bins <= BROADCAST_BINS and entries <= 5 * BROADCAST_BINS else menu, by)
+    rows = rows.select("spot", "umi", "base", "k", "depth", *(c for c in sums.columns if c.startswith("_")), "_clone", "_number", "_w")
+    kinds = {"spot": sums, "clone": paths, "_nd": sums, "_nb": sums}
+    kinds = {c: df.schema[c].dataType.simpleString() for c, df in kinds.items()}
+    found = rows.mapInArrow(_by_clone(law, soft, ["_nd", "_nb"]), f"spot {kinds['spot']}, clone {kinds['clone']}, r double, b double, _nd {kinds['_nd']}, _nb {kinds['_nb']}")
+    found = found.groupBy("spot", "clone").agg(*(F.sum(c).alias(c) for c in "rb"), *(F.first(c).alias(c) for c in ("_nd", "_nb")))
+    return found.select("spot", "clone", (_ratio() * F.col("r") + F.col("b")).alias("llf"))
+
+
+def neighbourhoods(counts: DataFrame, edges: DataFrame, key: str = "bin", purity: str | None = None, groups: DataFrame | None = None, *, soft: bool = False) -> DataFrame:
+    """(spot, bin, [model], umi, base, k, depth, _nd, _nb, [_pure]): sums over each spot's neighbourhood, and how many observations it has and its mean ``purity``, in one pass.
+
+    With ``soft`` the observations are the spot's own. What no model changes: rounds of a labelling read it again.
+    """
     spark = counts.sparkSession
-    more = {"_nd": F.when(F.col("depth") > 0, 1).otherwise(0), "_nb": F.when(F.col("base") > 0, 1).otherwise(0)} if observed else {}
+    more = {} if soft else {"_nd": F.when(F.col("depth") > 0, 1).otherwise(0), "_nb": F.when(F.col("base") > 0, 1).otherwise(0)}
     if purity:
         more |= {"_q": F.col(purity).cast("double"), "_n": F.when(F.col(purity).isNotNull(), 1).otherwise(0)}
     own = (counts.withColumns(more) if more else counts).withColumnRenamed("spot", "_near")
@@ -118,7 +147,11 @@ def _neighbourhoods(counts: DataFrame, edges: DataFrame, key: str, purity: str |
     every = Window.partitionBy("spot")
     if more:
         sums = sums.withColumns({c: F.sum(c).over(every) for c in more})
-    return sums.withColumn("_pure", F.col("_q") / F.nullif("_n", F.lit(0))).drop("_q", "_n") if purity else sums
+    if purity:
+        sums = sums.withColumn("_pure", F.col("_q") / F.nullif("_n", F.lit(0))).drop("_q", "_n")
+    if soft:
+        sums = sums.join(counts.groupBy("spot").agg(F.count_if(F.col("depth") > 0).alias("_nd"), F.count_if(F.col("base") > 0).alias("_nb")), "spot", "left")
+    return sums if groups is None else sums.join(groups.select("spot", "model"), "spot")
 
 
 def _ratio() -> Column:
@@ -134,10 +167,7 @@ def spot_llf(counts: DataFrame, edges: DataFrame, decoded: DataFrame, states: Da
     neighbourhood. ``purity`` (a column of ``counts``) averages over the neighbourhood. With
     ``groups(spot, model)``, paths and states carry a ``model``, and a spot meets its own model's clones.
     """
-    sums = _neighbourhoods(counts, edges, key, purity, True)
-    weight = F.col("weight") if "weight" in decoded.columns else F.lit(1.0)
-    found = _clone_llf(sums, decoded, states, key, weight, groups, soft=False, pure=F.col("_pure") if purity else None, more=[F.first(c).alias(c) for c in ("_nd", "_nb")])
-    return found.select("spot", "clone", (_ratio() * F.col("r") + F.col("b")).alias("llf"))
+    return _clone_llf(neighbourhoods(counts, edges, key, purity, groups), decoded, states, key, False)
 
 
 def posterior_spot_llf(counts: DataFrame, edges: DataFrame, posterior: DataFrame, states: DataFrame, key: str = "bin", purity: str | None = None, groups: DataFrame | None = None) -> DataFrame:
@@ -146,10 +176,7 @@ def posterior_spot_llf(counts: DataFrame, edges: DataFrame, posterior: DataFrame
     ``posterior``: (clone, bin, state, log_gamma). Read and allele parts are summed out apart; read
     parts are scaled by how many allele observations the spot itself has for one read observation.
     """
-    sums = _neighbourhoods(counts, edges, key, purity, False)
-    own = counts.groupBy("spot").agg(F.count_if(F.col("depth") > 0).alias("_nd"), F.count_if(F.col("base") > 0).alias("_nb"))
-    found = _clone_llf(sums, posterior, states, key, F.col("log_gamma"), groups, soft=True, pure=F.col("_pure") if purity else None)
-    return found.join(own, "spot", "left").select("spot", "clone", (_ratio() * F.col("r") + F.col("b")).alias("llf"))
+    return _clone_llf(neighbourhoods(counts, edges, key, purity, groups, soft=True), posterior, states, key, True)
 
 
 def final_labels(counts: DataFrame, pooling: DataFrame, coupling: DataFrame, labels: DataFrame, paths: DataFrame, states: DataFrame, *, weight: float = 1.0, log_prior: DataFrame | None = None, purity: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -227,16 +254,17 @@ def field_loop(counts: DataFrame, pooling: DataFrame, coupling: DataFrame, label
     in every round, so plans don't grow.
     """
     spark, models, trail = counts.sparkSession, list(start), []
-    counts, pooling = keep(counts), keep(pooling)  # read in every round
+    counts = keep(counts)  # read in every round
     groups = keep(labels.select("spot", "model"))
     a, b = (groups.select(F.col("spot").alias(c), F.col("model").alias(f"_{c}")) for c in ("src", "dst"))
     own = keep(coupling.select("src", "dst", "weight").join(a, "src").join(b, "dst").where("_src = _dst").select("src", "dst", "weight"))
+    soft = nodes != "max"
+    sums = neighbourhoods(counts, pooling, groups=groups, soft=soft).persist()
     for _ in range(rounds):
         obs = keep(clone_bulk(counts, labels))
         models, _ = fit_together(obs, models, ["model", "clone", "chr"], rounds=em_rounds, update=update, telemetry=telemetry)
         post = posteriors_by_model(obs, models, ["model", "clone", "chr"], reads="m" in update)
-        score = spot_llf if nodes == "max" else posterior_spot_llf
-        llf = keep(score(counts, pooling, clone_paths(post, nodes), models_table(spark, models), groups=groups))
+        llf = keep(_clone_llf(sums, clone_paths(post, nodes), models_table(spark, models), "bin", soft))
         prior = clone_log_weights(labels.select("sample", F.col("label").alias("clone")), labels.select(F.col("label").alias("clone")).distinct()) if inertia else None
         new = keep(icm(llf, own, labels.select("sample", "spot", "label"), weight=weight, log_prior=prior).select("sample", "spot", "label").join(groups, "spot"))
         both = labels.select("spot", F.col("label").alias("old")).join(new, "spot")
@@ -244,12 +272,13 @@ def field_loop(counts: DataFrame, pooling: DataFrame, coupling: DataFrame, label
         labels = new.select("sample", "spot", "model", "label")
         if trail[-1] > 0.99 or labels.select("model", "label").distinct().count() <= len(models):
             break
+    sums.unpersist()
     return labels, models, trail
 
 
 def hmrf_loop(counts: DataFrame, pooling: DataFrame, coupling: DataFrame, labels: DataFrame, *, k: int = 3, update: str = "sp", **how) -> tuple[DataFrame, States, list[float]]:
     """``field_loop`` of one model of k states from a mixture start: (labels, states, agreements) of ``labels(sample, spot, label)``."""
-    marked = labels.withColumn("model", F.lit(0))
+    marked, counts = labels.withColumn("model", F.lit(0)), keep(counts)
     start = gmm_states(clone_bulk(counts, marked), k)
     found, (states,), trail = field_loop(counts, pooling, coupling, marked, [start], update=update, **how)
     return found.drop("model"), states, trail
