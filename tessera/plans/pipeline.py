@@ -81,7 +81,7 @@ def simulated(spark: SparkSession, spots: DataFrame, *, segments: int = 60, size
     return drawn.join(placed.select("spot", "truth"), "spot").select("spot", "truth", "segment", "umi", "depth", "b")
 
 
-def infer_clones(counts: DataFrame, spots: DataFrame, *, k: int = 3, rounds: int = 2, em_rounds: int = 3, update: str = "smp") -> tuple[DataFrame, DataFrame, DataFrame]:
+def infer_clones(counts: DataFrame, spots: DataFrame, *, k: int = 3, rounds: int = 20, em_rounds: int = 30, update: str = "smp") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(labels, decoded, copies) of ``counts(spot, chr, bin, umi, base, k, depth)``.
 
     Graph, field loop from the labels that ``spots`` brings, merging of small clones, a final fit
@@ -270,10 +270,18 @@ def staged_clones(counts: DataFrame, spots: DataFrame, *, clones: int = 3, parts
     return Staged(allele, last, models, paths, states, float(total))
 
 
-def round_trip(spark: SparkSession, spots: DataFrame, *, segments: int = 40, seed: int = 0) -> DataFrame:
-    """(spot, truth, label): clones planted in simulated spots beside those inferred from their counts."""
+def round_trip(spark: SparkSession, spots: DataFrame, *, segments: int = 2181, seed: int = 0) -> DataFrame:
+    """(spot, truth, label): clones planted in simulated spots beside those inferred from their counts.
+
+    ``segments``: by default those of a whole genome; planted events take the same shares of it
+    whatever their number. The inference runs until its labels agree, as in ``infer_clones``.
+    """
     size = 500
-    events = [[], [(2, 0, 0, 15 * size), (3, 1, 25 * size, 35 * size)], [(1, 0, 10 * size, 25 * size), (2, 1, 0, 5 * size)]]
+
+    def event(a: int, b: int, start: int, end: int) -> tuple[int, int, int, int]:
+        return a, b, segments * start // 40 * size, segments * end // 40 * size
+
+    events = [[], [event(2, 0, 0, 15), event(3, 1, 25, 35)], [event(1, 0, 10, 25), event(2, 1, 0, 5)]]
     drawn = simulated(spark, spots, segments=segments, size=size, seed=seed, events=events).persist()
     rows = drawn.withColumn("chr", F.expr(f"cast(1 + segment div {max(1, segments // 4)} as int)"))
     normal = rows.where("truth = 0").groupBy("segment").agg(F.sum("umi").alias("w"))
@@ -281,5 +289,5 @@ def round_trip(spark: SparkSession, spots: DataFrame, *, segments: int = 40, see
     total = rows.groupBy("spot").agg(F.sum("umi").alias("total"))
     counts = rows.join(F.broadcast(share), "segment", "left").join(total, "spot").select("spot", "chr", F.col("segment").alias("bin"), "umi", (F.coalesce("share", F.lit(0.0)) * F.col("total")).alias("base"), F.col("b").alias("k"), "depth")
     start = S.random_rectangles(spots.drop("clone"), 3, seed)
-    labels, _, _ = infer_clones(counts, start, rounds=1, em_rounds=2)
+    labels, _, _ = infer_clones(counts, start)
     return drawn.select("spot", "truth").distinct().join(labels, "spot")
