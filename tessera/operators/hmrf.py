@@ -22,7 +22,7 @@ from .aggregate import adjusted_rand, clone_log_weights, order_statistics
 from .fit import fit_normal_shares, np_bb
 from .hmm import States, fit_together, gmm_states, posteriors_by_model
 from .lattice import bb_emissions, distinct, nb_emissions
-from .storage import keep
+from .storage import keep, stored
 from .sweep import TILE, Field
 
 #: Bins up to which their clones and states are broadcast, if these are at most five times as many (some 40 MB).
@@ -266,7 +266,7 @@ def field_loop(counts: DataFrame, pooling: DataFrame, coupling: DataFrame, label
         post = posteriors_by_model(obs, models, ["model", "clone", "chr"], reads="m" in update)
         llf = keep(_clone_llf(sums, clone_paths(post, nodes), models_table(spark, models), "bin", soft))
         prior = clone_log_weights(labels.select("sample", F.col("label").alias("clone")), labels.select(F.col("label").alias("clone")).distinct()) if inertia else None
-        new = keep(icm(llf, own, labels.select("sample", "spot", "label"), weight=weight, log_prior=prior).select("sample", "spot", "label").join(groups, "spot"))
+        new = stored(icm(llf, own, labels.select("sample", "spot", "label"), weight=weight, log_prior=prior).select("sample", "spot", "label").join(groups, "spot"))
         both = labels.select("spot", F.col("label").alias("old")).join(new, "spot")
         trail.append(float(adjusted_rand(both, "old", "label").head()[0]))
         labels = new.select("sample", "spot", "model", "label")

@@ -73,8 +73,10 @@ def test_rounds_of_a_labelling_pool_their_counts_once(spark, monkeypatch):
     calls, plain = [], R.neighbourhoods
     monkeypatch.setattr(R, "neighbourhoods", lambda *a, **k: calls.append(1) or plain(*a, **k))
     monkeypatch.setattr(R, "adjusted_rand", lambda *a: spark.range(1).select(F.lit(0.0)))  # never agreed
-    _, _, trail = R.hmrf_loop(counts, edges, links, labels, k=2, rounds=3, em_rounds=1)
+    found, _, trail = R.hmrf_loop(counts, edges, links, labels, k=2, rounds=3, em_rounds=1)
     assert len(trail) == 3 and len(calls) == 1
+    # Estimates of sizes multiplied from round to round, to numbers that took minutes to multiply.
+    assert len(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 9
 
 
 @pytest.mark.parametrize("soft", [False, True])
